@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import WORD_FOLD, binary_values, materialize
+from .common import LOWER_FOLD, WORD_FOLD, binary_values, materialize
 
 RESULT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:bigint,end:bigint>>>"
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -72,7 +72,7 @@ def scan_text(auto, raw: bytes | None) -> dict:
         edge[last + 1] -= 1
         items.update(ids)
     hit = np.cumsum(edge[:-1]) > 0
-    places = [m.span() for m in WORD.finditer(raw.decode("utf-8", "replace"))]
+    places = [m.span() for m in WORD.finditer(raw.translate(LOWER_FOLD).decode("utf-8", "replace"))]
     step = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
     spans = [{"start": places[a][0], "end": places[b - 1][1]} for a, b in zip(step[::2], step[1::2], strict=True)]
     return out | {"n_hit": int(hit.sum()), "items": sorted(items), "spans": spans}
@@ -149,7 +149,7 @@ def scan_contamination(
     for k in range(1, parts):
         out = materialize(out, "contamination").withColumn("__more", scanner(part(k), window)(F.col(text)))
         a, b = F.col(into), F.col("__more")
-        words = F.regexp_extract_all(F.col("__hit"), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0))
+        words = F.regexp_extract_all(F.lower("__hit"), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0))
         out = out.withColumn("__spans", merged(a["spans"], b["spans"]))
         out = out.withColumn(
             "__hit",
