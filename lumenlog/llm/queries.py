@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import scan_contamination
 from .line_dedup import dedup_lines
+from .packing import pack
 from .secrets import find_secrets
 from .url_filter import LIMIT, RULES, SOFT, STRICT, filter_urls
 
@@ -45,11 +46,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_url_filter": op3_url_filter,
     "op4_secrets": op4_secrets,
     "op5_line_dedup": op5_line_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 ORACLES = {
