@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import language_id, quality, toxicity
+from .common import fold_of, table
 from .decontaminate import scan_contamination
 from .line_dedup import dedup_lines
 from .packing import pack
@@ -26,6 +27,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(fold_of("doc_id", 3) == 1, F.lit(False))
+    model = language_id.learn(docs.where(~held_out))
+    found = language_id.predict(docs.select("doc_id", "text"), model, into="p")
+    return found.select("doc_id", held_out.alias("held_out"), F.col("p.lang").alias("lang_pred"), "p.score")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, into="f").select("page_id", "f.host", "f.path", "f.rule", "f.verdict")
@@ -46,18 +55,37 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False))
+    model = quality.learn(docs, table(spark, sf_dir, "labels").where(~held_out))
+    found = quality.score(docs, model, into="score")
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), path("word_bpe_49k.json"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False))
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~held_out))
+    found = toxicity.score(docs, model, into="score")
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_language_id": op2_language_id,
     "op3_url_filter": op3_url_filter,
     "op4_secrets": op4_secrets,
     "op5_line_dedup": op5_line_dedup,
+    "op7_quality": op7_quality,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
