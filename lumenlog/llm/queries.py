@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, quality, toxicity
+from .ann import nearest_neighbours
 from .common import fold_of, table
 from .decontaminate import scan_contamination
 from .line_dedup import dedup_lines
@@ -69,6 +70,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), path("word_bpe_49k.json"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False))
@@ -85,6 +90,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op7_quality": op7_quality,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_toxicity": op10_toxicity,
 }
 
