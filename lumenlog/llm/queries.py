@@ -10,6 +10,7 @@ from .ann import nearest_neighbours
 from .common import fold_of, table
 from .decontaminate import scan_contamination
 from .line_dedup import dedup_lines
+from .near_dedup import near_duplicates
 from .packing import pack
 from .secrets import find_secrets
 from .url_filter import LIMIT, RULES, SOFT, STRICT, filter_urls
@@ -56,6 +57,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False))
@@ -88,6 +93,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_secrets": op4_secrets,
     "op5_line_dedup": op5_line_dedup,
+    "op6_near_dedup": op6_near_dedup,
     "op7_quality": op7_quality,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
