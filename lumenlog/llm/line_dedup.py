@@ -57,25 +57,25 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     owners = (
         windows.groupBy("h", "g")
         .agg(F.min(F.struct("d", "p")).alias("first"))
-        .groupBy(F.col("first.d").alias("__d"))
-        .agg(F.collect_list("first.p").alias("__first"))
+        .groupBy(F.col("first.d").alias("__ld_id"))
+        .agg(F.collect_list("first.p").alias("__ld_first"))
     )
     lines = F.split(F.col(text), "\n", -1)
     blank = F.transform(lines, lambda x: bare(x) == "")
     starts = F.filter(
-        F.sequence(F.lit(0), F.size("__lines") - WINDOW),
-        lambda p: ~(F.get("__blank", p) & F.get("__blank", p + 1) & F.get("__blank", p + 2)),
+        F.sequence(F.lit(0), F.size("__ld_lines") - WINDOW),
+        lambda p: ~(F.get("__ld_blank", p) & F.get("__ld_blank", p + 1) & F.get("__ld_blank", p + 2)),
     )
-    later = F.array_except(starts, F.coalesce(F.col("__first"), F.array().cast("array<int>")))
+    later = F.array_except(starts, F.coalesce(F.col("__ld_first"), F.array().cast("array<int>")))
     covered = F.array_distinct(F.flatten(F.transform(later, lambda p: F.array(p, p + 1, p + 2))))
-    out = docs.join(owners, F.col(doc_id).eqNullSafe(F.col("__d")), "left").drop("__d")
-    out = out.withColumns({"__lines": lines, "__blank": blank})
-    out = out.withColumn("__cut", F.when(F.size("__lines") >= WINDOW, covered).otherwise(F.array().cast("array<int>")))
-    left = F.when(F.size("__cut") == 0, F.col(text)).otherwise(
+    out = docs.join(owners, F.col(doc_id).eqNullSafe(F.col("__ld_id")), "left").drop("__ld_id")
+    out = out.withColumns({"__ld_lines": lines, "__ld_blank": blank})
+    out = out.withColumn("__ld_cut", F.when(F.size("__ld_lines") >= WINDOW, covered).otherwise(F.array().cast("array<int>")))
+    left = F.when(F.size("__ld_cut") == 0, F.col(text)).otherwise(
         F.array_join(
             F.transform(
-                F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__cut")),
-                lambda i: F.get("__lines", i),
+                F.array_except(F.sequence(F.lit(0), F.size("__ld_lines") - 1), F.col("__ld_cut")),
+                lambda i: F.get("__ld_lines", i),
             ),
             "\n",
         )
@@ -83,8 +83,8 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return out.withColumn(
         into,
         F.struct(
-            F.coalesce(F.size("__lines"), F.lit(0)).cast("bigint").alias("n_lines"),
-            F.when(F.col(text).isNull(), 0).otherwise(F.size("__cut")).cast("bigint").alias("n_removed"),
+            F.coalesce(F.size("__ld_lines"), F.lit(0)).cast("bigint").alias("n_lines"),
+            F.when(F.col(text).isNull(), 0).otherwise(F.size("__ld_cut")).cast("bigint").alias("n_removed"),
             left.alias("text"),
         ),
-    ).drop("__first", "__lines", "__blank", "__cut")
+    ).drop("__ld_first", "__ld_lines", "__ld_blank", "__ld_cut")
