@@ -29,8 +29,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes later occurrences of three-line windows; a document that loses all its lines goes."""
-    found = dedup_lines(docs, into="__lines").where("__lines.n_removed = 0 or __lines.n_removed < __lines.n_lines")
-    text = F.col("__lines.text")
+    found = dedup_lines(docs, into="__dedup").where("__dedup.n_removed = 0 or __dedup.n_removed < __dedup.n_lines")
+    text = F.col("__dedup.text")
     return found.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("bigint").alias("n_chars"))
 
 
