@@ -45,7 +45,7 @@ PRE_TOKEN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 class TokenCache:
     """Token ids of a text as little-endian unsigned 32-bit numbers, with bounded caches."""
 
-    def __init__(self, path: str, chunks: int = 500_000, words: int = 700_000):
+    def __init__(self, path: str, chunks: int = 900_000, words: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -54,12 +54,29 @@ class TokenCache:
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
         self.most = chunks, words
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = bytearray(max(vocabulary.values()) + 1)  # whether a token ends a word
+        for token, k in vocabulary.items():
+            self.ends[k] = token.endswith("</w>")
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
         texts = [raw.decode("utf-8", "replace") for raw in raws]
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array.array("I", x.ids).tobytes() for x in found]
 
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of single words of the tokenizer, coded in one text and cut apart where tokens end words."""
+        import numpy as np
+
+        if not words:
+            return []
+        flat = np.frombuffer(self.encode([b" ".join(words)])[0], np.uint32)
+        ends = np.flatnonzero(np.frombuffer(self.ends, np.uint8)[flat]) + 1
+        if len(ends) != len(words):  # not one word each after all
+            return self.encode(words)
+        whole, at = flat.tobytes(), [0, *(4 * ends).tolist()]
+        return [whole[a:b] for a, b in zip(at, at[1:])]  # noqa: B905
+
     def learn(self, missing: set[bytes]) -> None:
         if len(self.chunks) + len(missing) > self.most[0]:
             self.chunks.clear()
@@ -68,7 +85,7 @@ class TokenCache:
         simple = {c: PRE_TOKEN.findall(c.lower()) for c in missing if SIMPLE.fullmatch(c)}
         rest = [c for c in missing if c not in simple]
         new = [w for w in set().union(*simple.values()) if w not in self.words]
-        self.words.update(zip(new, self.encode(new), strict=True))
+        self.words.update(zip(new, self.encode_words(new), strict=True))
         for c, words in simple.items():
             self.chunks[c] = b"".join(map(self.words.__getitem__, words))
         self.chunks.update(zip(rest, self.encode(rest), strict=True))
