@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import events_queries
+from . import events_queries, summary_queries
 
-QUERIES = dict(events_queries.QUERIES)
-ORACLES = dict(events_queries.ORACLES)
+MODULES = (events_queries, summary_queries)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
