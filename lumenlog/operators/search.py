@@ -65,7 +65,7 @@ def search_events(events: DataFrame, queries: Sequence[str], most: int = 3) -> D
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(*ORDER))
     first = own.withColumn("r", rank).where(F.col("r") <= most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("r", *ORDER, "text"))).alias("events"))
     asked = spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "query_id long, query string")
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("priority") + 1)
+    kind = F.when(F.col("priority") == 0, KINDS[0]).when(F.col("priority") == 1, KINDS[1]).when(F.col("priority") == 2, KINDS[2])
     none = F.array().cast("array<string>")
     return (
         asked.join(sets, "query_id", "left")
