@@ -39,7 +39,7 @@ from .components import connected_components
 WORDS = 5
 POSITIONS = 64
 ROOTS = 10
-LEVELS = 6
+LEVELS = 4
 #: Equal minwise tokens, of POSITIONS, that make a pair a candidate.
 ALIKE = 36
 SIGNATURE = "struct<fp:binary,n:bigint,sig:binary,tokens:array<bigint>>"
@@ -288,7 +288,7 @@ def near_duplicates(
     doc_id: str = "doc_id",
     text: str = "text",
     similarity: tuple[int, int] = (3, 4),
-    node_limit: int = 600,
+    node_limit: int = 2048,
     group_limit: int = 2048,
     group_shingles: int = 2_000_000,
 ) -> DataFrame:
