@@ -1,12 +1,14 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier.
 
 Voters are lists of insults, shouting patterns, and patterns mined from the labelled sample: a word or the
-first 4 to 7 bytes of one, if it stands in toxic texts at least ``LIFT`` times as often.  The label model takes a
+first 4 to 7 bytes of one, if it stands in toxic texts at least ``LIFT`` times as often and more often than
+chance makes any of all the features tried.  Copies in the sample count once, or every word of a toxic text
+with many copies would look like a voter.  The label model takes a
 text's true label as hidden.  Expectation maximisation estimates how often each voter fires on either
 label; the residual correlations between voters given the label are estimated too, and voters that say the
 same share one vote between them.  The given label is one more voter of fixed accuracy.  A logistic
-regression is then fitted to the posterior labels, over the words and word beginnings of a text, and
-scores every whole text as a projection without a shuffle.
+regression is then fitted to the posterior labels, over the lists, patterns, words and word beginnings that
+voted, and scores every whole text as a projection without a shuffle.
 
 Training takes at most ``rows_per_label`` labelled rows of each label (a documented bound), weighted back.
 
@@ -25,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import WORD_FOLD, binary_values
+from .common import WORD_FOLD, binary_values, materialize
+from .near_dedup import ROOTS, SIGNATURE, signature
 from .quality import labelled_sample
 
 BITS = 22
@@ -90,55 +93,50 @@ def label_model(votes, given, weights, *, rounds: int = 15, trust: float = 0.97)
     return p
 
 
-def fit(rows: list[set[int]], given, weights, *, most_voters: int = 400, steps: int = 300, rate: float = 0.3, ridge: float = 2e-4) -> dict:
-    """Mines voters, runs the label model, and fits the classifier to its posterior."""
+def significant(n1, n0, total1: int, total0: int, tried: int):
+    """Which features stand in toxic texts ``LIFT`` times as often, beyond what chance gives ``tried`` features.
+
+    ``n1`` and ``n0`` count the texts of either label that hold a feature; the test is the likelihood ratio.
+    """
     import numpy as np
 
-    idx = np.concatenate([np.fromiter(r, np.int64, len(r)) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    feature, col = np.unique(idx, return_inverse=True)
-
-    def seen(p):
-        return np.bincount(col, (p * weights)[doc], len(feature)), np.bincount(col, ((1 - p) * weights)[doc], len(feature))
-
-    def lift(n1, n0, p):
-        w1, w0 = (p * weights).sum(), ((1 - p) * weights).sum()
-        return ((n1 + 0.1 * weights.min()) / w1) / ((n0 + 0.5 * weights.min()) / w0)
-
-    hard = given.astype(float)
-    n1, n0 = seen(hard)
-    docs1 = np.bincount(col, hard[doc], len(feature))
-    gain = lift(n1, n0, hard)
-    mined = np.flatnonzero((feature >= RESERVED) & (docs1 >= 3) & (gain >= LIFT))
-    mined = mined[np.argsort(-n1[mined], kind="stable")][:most_voters]
-    voters = np.concatenate([np.flatnonzero(feature < RESERVED), mined])
-    place = np.full(len(feature), -1)
-    place[voters] = np.arange(len(voters))
-    votes = np.zeros((len(rows), len(voters)))
-    at = place[col] >= 0
-    votes[doc[at], place[col[at]]] = 1
-    p = label_model(votes, hard, weights)
-    n1, n0 = seen(p)
-    docs1 = np.bincount(col, p[doc], len(feature))
-    use = np.flatnonzero((docs1 >= 1.9) & (lift(n1, n0, p) >= LIFT))  # what a rare stem says must not be drowned by common words
-    place = np.full(len(feature), -1)
-    place[use] = np.arange(len(use))
-    at = place[col] >= 0
-    c, d = place[col[at]], doc[at]
-    w, b = np.zeros(len(use)), float(np.log(np.average(p, weights=weights) / (1 - np.average(p, weights=weights))))
-    first, second, g0 = np.zeros(len(use)), np.zeros(len(use)), 0.0
+    n, share = n1 + n0, total1 / (total1 + total0)
+    e1, e0 = n * share, n * (1 - share)
+    g = n1 * np.log(np.maximum(n1, 1e-9) / e1) + np.where(n0 > 0, n0 * np.log(np.maximum(n0, 1e-9) / e0), 0.0)
+    lift = (n1 / total1) / ((n0 + 0.5) / (total0 + 0.5))
+    return (lift >= LIFT) & (n1 >= 3) & (g >= np.log(max(tried, 1)) + 3)
+
+
+def fit(votes, given, weights, *, steps: int = 400, rate: float = 0.1, ridge: float = 1e-4):
+    """Runs the label model over the votes and fits the classifier to its posterior: bias and weights."""
+    import numpy as np
+
+    p = label_model(votes, given, weights)
+    share = weights / weights.sum()
+    mean = float(p @ share)
+    w, b = np.zeros(votes.shape[1]), float(np.log(mean / (1 - mean)))
+    first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        z = b + np.bincount(d, w[c], len(rows))
-        e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - p) * weights / weights.sum()
-        g = np.bincount(c, e[d], len(use)) + ridge * w / max(len(use), 1)
+        e = (1 / (1 + np.exp(-np.clip(votes @ w + b, -40, 40))) - p) * share
+        g = np.append(votes.T @ e + ridge * w / max(len(w), 1), e.sum())
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
-        w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-        g0 = 0.9 * g0 + 0.1 * e.sum()
-        b -= 20 * rate * g0 / (1 - 0.9**step)
-    return {"bias": b, "weights": {int(f): float(x) for f, x in zip(feature[use], w, strict=True)}, "voters": len(voters)}
+        move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-10)
+        w, b = w - move[:-1], b - move[-1]
+    return b, w
+
+
+def without_copies(sample: DataFrame) -> DataFrame:
+    """Rows (i, label, text) whose minwise shingle tokens are mostly not those of rows with smaller ids."""
+    tokens = sample.select("i", arrow_udf(SIGNATURE)(signature).asNondeterministic()("text").alias("s")).select("i", F.posexplode("s.tokens").alias("k", "token"))
+    tokens = materialize(tokens, "tokens")
+    first = tokens.groupBy("k", "token").agg(F.min("i").alias("first"))
+    copies = tokens.join(first, ["k", "token"]).where("first < i").groupBy("i").count().where(F.col("count") >= ROOTS // 2)
+    return sample.join(copies.select("i"), "i", "left_anti")
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows_per_label: int = 2500, doc_id: str = "doc_id", text: str = "text") -> dict:
+def learn(
+    docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows_per_label: int = 4000, most_voters: int = 600, doc_id: str = "doc_id", text: str = "text"
+) -> dict:
     """The classifier; ``labels`` must hold training rows only."""
     import numpy as np
 
@@ -151,13 +149,27 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows_per_
         for batch in batches:
             yield pa.array([sorted(text_features(raw, known)) for raw in binary_values(batch)], pa.list_(pa.int32()))
 
-    got = sample.select("i", "label", extract.asNondeterministic()("text").alias("f")).toArrow().sort_by("i")
-    y = np.array(got["label"].to_pylist(), np.int64)
-    if len(set(y.tolist())) < 2:
+    own = materialize(without_copies(materialize(sample, "sample")).select("i", "label", extract.asNondeterministic()("text").alias("f")), "features")
+    size = {r[0]: r[1] for r in own.groupBy("label").count().collect()}
+    if len(size) < 2:
         base = n.get(1, 0) / total if total else 0.0
-        return {"bias": float(np.log((base + 1e-9) / (1 - base + 1e-9))), "weights": {}, "voters": 0}
-    share = {k: (n[k] / total) / float((y == k).mean()) for k in (0, 1)}
-    return fit([set(np.array(x.values).tolist()) for x in got["f"].combine_chunks()], y, np.array([share[int(k)] for k in y]))
+        return {"bias": float(np.log((base + 1e-9) / (1 - base + 1e-9))), "weights": {}}
+    counts = own.select("label", F.explode("f").alias("f")).groupBy("f").agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"))
+    counts = materialize(counts, "counts")
+    tried = counts.count()
+    got = counts.where(f"n1 >= 3 or f < {RESERVED}").toArrow().sort_by("f")
+    f, n1, n0 = (got[c].to_numpy() for c in ("f", "n1", "n0"))
+    mined = np.flatnonzero((f >= RESERVED) & significant(n1.astype(float), n0.astype(float), size[1], size[0], tried))
+    voters = np.concatenate([f[f < RESERVED], f[mined[np.argsort(-n1[mined], kind="stable")][:most_voters]]]).tolist()
+    chosen = own.select("i", "label", F.array_intersect("f", F.array(*map(F.lit, voters)).cast("array<int>")).alias("f")).toArrow().sort_by("i")
+    y = chosen["label"].to_numpy()
+    place = {x: k for k, x in enumerate(voters)}
+    votes = np.zeros((len(y), len(voters)))
+    for k, own_f in enumerate(chosen["f"].to_pylist()):
+        votes[k, [place[x] for x in own_f]] = 1
+    weights = np.where(y == 1, n[1] / total / (y == 1).mean(), n[0] / total / (y == 0).mean())
+    b, w = fit(votes, y.astype(float), weights)
+    return {"bias": b, "weights": dict(zip(voters, w.tolist(), strict=True))}
 
 
 def score(docs: DataFrame, model: dict, *, text: str = "text", into: str = "toxicity_score") -> DataFrame:
