@@ -70,7 +70,9 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     covered = F.array_distinct(F.flatten(F.transform(later, lambda p: F.array(p, p + 1, p + 2))))
     out = docs.join(owners, F.col(doc_id).eqNullSafe(F.col("__ld_id")), "left").drop("__ld_id")
     out = out.withColumns({"__ld_lines": lines, "__ld_blank": blank})
-    out = out.withColumn("__ld_cut", F.when(F.size("__ld_lines") >= WINDOW, covered).otherwise(F.array().cast("array<int>")))
+    # a document that owns a window at every line has nothing to lose: no need to look at its lines
+    changed = F.coalesce(F.size("__ld_first"), F.lit(0)) < F.size("__ld_lines") - (WINDOW - 1)
+    out = out.withColumn("__ld_cut", F.when(changed, covered).otherwise(F.array().cast("array<int>")))
     left = F.when(F.size("__ld_cut") == 0, F.col(text)).otherwise(
         F.array_join(
             F.transform(
