@@ -24,17 +24,21 @@ STATE = "seq long, seen boolean, stack boolean, ts string, lines array<string>"
 
 
 def stream_lines(spark: SparkSession, folder: str, *, files_per_trigger: int | None = None) -> DataFrame:
-    """(file, seg, pos, line): blank lines dropped nowhere; ``file`` is the segment's name without its number."""
-    reader = spark.readStream.schema("value string")
+    """(file, seg, pos, line) of rotated segments such as ``a.1.log``; ``file`` is the name without its number.
+
+    A stream has no row numbers, so a segment is read whole, to know its lines' places; its size is what the
+    rotation allows.
+    """
+    reader = spark.readStream.schema("value string").option("wholetext", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     path = F.col("_metadata.file_path")
     name = F.element_at(F.split(path, "/"), -1)
+    lines = F.posexplode(F.split(F.regexp_replace("value", r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n", -1))
     return reader.format("text").load(folder).select(
         F.regexp_replace(name, r"(\.\d+)?\.(log|txt|out)(\.gz)?$", "").alias("file"),
         F.coalesce(F.regexp_extract(name, r"\.(\d+)\.", 1).try_cast("long"), F.lit(0)).alias("seg"),
-        F.monotonically_increasing_id().alias("pos"),
-        F.col("value").alias("line"),
+        lines.alias("pos", "line"),
     )
 
 
