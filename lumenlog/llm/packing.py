@@ -149,6 +149,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 40, donors: int = 24) -> list[list[int]]:
     """Local search over bins that are not full.  Each step takes tokens from a lighter bin into a fuller one
     (a move, one for one, or one for two), which raises the sum of squared fills; the lightest go first."""
+    bins = [list(b) for b in bins]
     fill = [sum(lengths[i] for i in b) for b in bins]
     for _ in range(rounds):
         order = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: fill[k])
