@@ -9,7 +9,7 @@ row a chunk) are combined in order, and each chunk's lines then start from what
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,19 +20,13 @@ CHUNK = ("file", "block")
 BEFORE = (W.unboundedPreceding, -1)
 
 
-def carried(lines: DataFrame, order: str, **sums: Column) -> DataFrame:
-    """Adds to each line, under each name, what the aggregate of ``sums`` gives for all earlier chunks of its file."""
-    chunks = lines.groupBy(*CHUNK).agg(*(c.alias(k) for k, c in sums.items()))
-    prior = W.partitionBy("file").orderBy("block").rowsBetween(*BEFORE)  # one row a chunk
-    kinds = {k: (F.sum if k.startswith("n_") else F.max) for k in sums}
-    chunks = chunks.select(*CHUNK, *(F.coalesce(kinds[k](k).over(prior), F.lit(0 if k.startswith("n_") else -1)).alias(k) for k in sums))
-    return lines.join(chunks, list(CHUNK))
-
-
 def number_lines(lines: DataFrame) -> DataFrame:
     """(file, block, pos, line) to (file, block, line_no, line): numbers from 1 in file order."""
+    prior = W.partitionBy("file").orderBy("block").rowsBetween(*BEFORE)  # one row a chunk
+    chunks = lines.groupBy(*CHUNK).agg(F.count(F.lit(1)).alias("n"))
+    chunks = chunks.select(*CHUNK, F.coalesce(F.sum("n").over(prior), F.lit(0)).alias("n_before"))
     own = F.row_number().over(W.partitionBy(*CHUNK).orderBy("pos"))
-    out = carried(lines, "pos", n_before=F.count(F.lit(1)))
+    out = lines.join(chunks, list(CHUNK))
     return out.withColumn("line_no", (own + F.col("n_before")).cast("long")).drop("pos", "n_before")
 
 
@@ -42,19 +36,37 @@ def line_cap(lines: DataFrame, most: int) -> DataFrame:
 
 
 def assign_blocks(lines: DataFrame) -> DataFrame:
-    """Numbered lines to (file, block, line_no, line, ts, gid): ``gid`` counts a file's blocks; dropped lines are gone."""
+    """Numbered lines to (file, block, line_no, line, ts, gid): ``gid`` counts a file's blocks; dropped lines are gone.
+
+    Of a chunk's past only one bit matters, whether a stack is open, so a chunk is summed up for both: its
+    boundaries if none is open, and whether an open one would make one more, at a blank line that comes first.
+    """
     line = F.col("line")
     marked = lines.withColumn("ts", T.extract_ts(line)).withColumn("k", T.is_stack_line(line) | T.is_cause_line(line))
-    marked = marked.withColumn("a", F.col("ts").isNotNull() & ~F.col("k")).withColumn("b", line.rlike(r"^\s*$"))
-    at = lambda flag: F.when(F.col(flag), F.col("line_no"))
-    marked = carried(marked, "line_no", last_a=F.max(at("a")), last_k=F.max(at("k")), last_b=F.max(at("b")))
-    prior = W.partitionBy(*CHUNK).orderBy("line_no").rowsBetween(*BEFORE)
-    last = {x: F.greatest(F.coalesce(F.max(at(x)).over(prior), F.lit(-1)), F.col(f"last_{x}")) for x in "akb"}
-    marked = marked.withColumn("close", F.col("b") & (last["k"] > F.greatest(last["a"], last["b"])))
-    marked = marked.drop("last_a", "last_k", "last_b", "b", "k")
-    marked = carried(marked, "line_no", n_blocks=F.count_if(F.col("a") | F.col("close")))
-    upto = W.partitionBy(*CHUNK).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    gid = F.count_if(F.col("a") | F.col("close")).over(upto) + F.col("n_blocks")
+    kind = F.when(F.col("k"), "k").when(F.col("ts").isNotNull(), "a").when(line.rlike(r"^\s*$"), "b")
+    order = W.partitionBy(*CHUNK).orderBy("line_no")
+    marked = marked.withColumn("kind", kind).drop("k")
+    marked = marked.withColumn("last", F.last("kind", ignorenulls=True).over(order.rowsBetween(*BEFORE)))
+    blank = F.col("kind") == "b"
+    marked = marked.withColumns(
+        {
+            "close": F.coalesce(blank & (F.col("last") == "k"), F.lit(False)),
+            "first": F.coalesce(blank & F.col("last").isNull(), F.lit(False)),
+            "open": F.coalesce(F.col("kind") == "a", F.lit(False)),
+        }
+    )
+    chunks = marked.groupBy(*CHUNK).agg(
+        F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("line_no"))).alias("ends"),
+        F.count_if(F.col("open") | F.col("close")).alias("n"),
+        F.count_if("first").alias("more"),
+    )
+    prior = W.partitionBy("file").orderBy("block").rowsBetween(*BEFORE)  # one row a chunk
+    chunks = chunks.withColumn("stack", F.coalesce(F.last("ends", ignorenulls=True).over(prior) == "k", F.lit(False)))
+    total = F.sum(F.col("n") + F.when(F.col("stack"), F.col("more")).otherwise(0)).over(prior)
+    chunks = chunks.select(*CHUNK, "stack", F.coalesce(total, F.lit(0)).alias("n_before"))
+    marked = marked.join(chunks, list(CHUNK)).withColumn("close", F.col("close") | (F.col("first") & F.col("stack")))
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    gid = F.count_if(F.col("open") | F.col("close")).over(upto) + F.col("n_before")
     return marked.withColumn("gid", gid.cast("long")).where("not close").select("file", "block", "line_no", "line", "ts", "gid")
 
 
