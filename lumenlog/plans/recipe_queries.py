@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..operators import recipes as R
 from ..operators.summary import summary
+from ..sources import files
 from ..sources.rendered import rendered_lines
 from ..streaming import streams
 from . import sql as S
@@ -187,3 +188,50 @@ def stream_lines(spark, sf_dir):
 
 QUERIES["stream_lines"] = stream_lines
 ORACLES["stream_lines"] = S.WITH_LINES + "SELECT file, count(*) AS n_lines FROM lines GROUP BY file"
+
+
+def written(spark: SparkSession, sf_dir: str) -> str:
+    """The rendered lines as text files, a folder for each log and a file for each of its blocks."""
+    at = folder(spark)
+    own = rendered_lines(table(spark, sf_dir, "events")).repartition("file", "block").sortWithinPartitions("file", "block", "pos")
+    own.select("file", F.col("line").alias("value")).write.partitionBy("file").text(f"{at}/logs")
+    return f"{at}/logs"
+
+
+def read_lines(spark, sf_dir):
+    got = files.read_lines(spark, [written(spark, sf_dir)])
+    name = F.regexp_extract("file", "/file=([^/]+)/", 1)
+    return got.groupBy(name.alias("file")).agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("line") == "").alias("n_blank"), F.sum(F.length("line")).alias("n_chars"))
+
+
+def ingest_report(spark, sf_dir):
+    got = files.ingest_report(spark, [written(spark, sf_dir)])
+    name = F.regexp_extract("path", "/file=([^/]+)/", 1)
+    return got.groupBy(name.alias("file")).agg(F.sum("bytes").alias("bytes"), F.bool_and("readable").alias("readable"))
+
+
+def stream_events(spark, sf_dir):
+    at = folder(spark)
+    own = rendered_lines(table(spark, sf_dir, "events")).select("file", F.col("block").alias("seg"), "pos", "line")
+    own.write.parquet(f"{at}/in")
+    stream = streams.stream_events(spark.readStream.schema("file string, seg long, pos long, line string").parquet(f"{at}/in"))
+    return run_once(stream, "append").select("file", "ts", "level", "code", "exception", "text")
+
+
+def stream_last_lines(spark, sf_dir):
+    name = "tail_" + uuid.uuid4().hex
+    at = folder(spark)
+    keep = streams.last_lines_writer(name, 50)
+    rendered_lines(table(spark, sf_dir, "events")).select("file", F.col("block").alias("seg"), "pos", "line").write.parquet(f"{at}/in")
+    lines = spark.readStream.schema("file string, seg long, pos long, line string").parquet(f"{at}/in")
+    lines.writeStream.foreachBatch(keep).trigger(availableNow=True).option("checkpointLocation", f"{at}/state").start().awaitTermination()
+    return spark.table(name).select("file", "line")
+
+
+QUERIES |= {"read_lines": read_lines, "ingest_report": ingest_report, "stream_events": stream_events, "stream_last_lines": stream_last_lines}
+ORACLES |= {
+    "read_lines": S.WITH_LINES + "SELECT file, count(*) AS n_lines, count(*) FILTER (line = '') AS n_blank, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM lines GROUP BY file",
+    "ingest_report": S.WITH_LINES + "SELECT file, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, true AS readable FROM lines GROUP BY file",
+    "stream_events": S.WITH_EVENTS + "SELECT file, ts, level, code, exception, text FROM ev WHERE event_seq < (SELECT max(event_seq) FROM ev AS o WHERE o.file = ev.file)",
+    "stream_last_lines": S.WITH_LINES + "SELECT file, line FROM lines WHERE NOT regexp_matches(line, '^\\s*$') QUALIFY row_number() OVER (PARTITION BY file ORDER BY line_no DESC) <= 50",
+}
