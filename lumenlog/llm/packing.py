@@ -37,9 +37,15 @@ from .common import binary_values, materialize
 PIECES = "struct<n_tokens:bigint,crcs:array<bigint>>"
 PACKED = "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long"
 LEVELS = 8
-#: A chunk of these characters only may be cut into words by PRE_TOKEN; any other goes to the tokenizer whole.
-SIMPLE = re.compile(rb"[!-~]+")
-PRE_TOKEN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: A chunk of these characters only, printable ASCII and Latin-1 letters, may be cut into words by PRE_TOKEN; any
+#: other goes to the tokenizer whole.  None of them changes under NFC, and all have a single lower case.
+SIMPLE = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+SIMPLE_LINES = re.compile(rb"(?:[\n!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
+PRE_TOKEN = re.compile(rb"\n|'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+#: The character by which byte-level models write a byte that is not printable by itself.
+BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+#: Stands for a line end between chunks; no ids below 2 ** 24 hold these four bytes in a row.
+BREAK = b"\xff\xff\xff\xff"
 
 
 class TokenCache:
@@ -52,12 +58,9 @@ class TokenCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
         self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {b"\n": BREAK}
         self.most = chunks, words
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = bytearray(max(vocabulary.values()) + 1)  # whether a token ends a word
-        for token, k in vocabulary.items():
-            self.ends[k] = token.endswith("</w>")
+        self.model = self.tokenizer.model
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
         texts = [raw.decode("utf-8", "replace") for raw in raws]
@@ -65,41 +68,39 @@ class TokenCache:
         return [array.array("I", x.ids).tobytes() for x in found]
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of single words of the tokenizer, coded in one text and cut apart where tokens end words."""
-        import numpy as np
-
-        if not words:
-            return []
-        flat = np.frombuffer(self.encode([b" ".join(words)])[0], np.uint32)
-        ends = np.flatnonzero(np.frombuffer(self.ends, np.uint8)[flat]) + 1
-        if len(ends) != len(words):  # not one word each after all
-            return self.encode(words)
-        whole, at = flat.tobytes(), [0, *(4 * ends).tolist()]
-        return [whole[a:b] for a, b in zip(at, at[1:])]  # noqa: B905
+        """Ids of single words, straight from the tokenizer's model: they are normalised and cut already."""
+        ids = self.model.tokenize
+        texts = (w.decode() if w.isascii() else w.decode("latin-1").translate(BYTE_CHARACTERS) for w in words)
+        return [array.array("I", [t.id for t in ids(text)]).tobytes() for text in texts]
 
     def learn(self, missing: set[bytes]) -> None:
+        """Adds the chunks to the cache.  They are cut into words as the lines of one text, and only new words are coded."""
         if len(self.chunks) + len(missing) > self.most[0]:
             self.chunks.clear()
         if len(self.words) > self.most[1]:
-            self.words.clear()
-        simple = {c: PRE_TOKEN.findall(c.lower()) for c in missing if SIMPLE.fullmatch(c)}
-        rest = [c for c in missing if c not in simple]
-        new = [w for w in set().union(*simple.values()) if w not in self.words]
+            self.words = {b"\n": BREAK}
+        simple, rest = list(missing), []
+        if not SIMPLE_LINES.fullmatch(b"\n".join(simple)):
+            simple = [c for c in missing if SIMPLE.fullmatch(c)]
+            rest = [c for c in missing if not SIMPLE.fullmatch(c)]
+        words = PRE_TOKEN.findall(b"\n".join(simple).decode().lower().encode())
+        new = [w for w in set(words) if w not in self.words]
         self.words.update(zip(new, self.encode_words(new), strict=True))
-        for c, words in simple.items():
-            self.chunks[c] = b"".join(map(self.words.__getitem__, words))
+        if simple:
+            self.chunks.update(zip(simple, b"".join(map(self.words.__getitem__, words)).split(BREAK), strict=True))
         self.chunks.update(zip(rest, self.encode(rest), strict=True))
 
     def ids(self, raws: list[bytes]) -> Iterator[bytes]:
         for k in range(0, len(raws), 64):
             cut = [raw.split() for raw in raws[k : k + 64]]
-            kept = self.chunks
-            missing = {c for chunks in cut for c in chunks if c not in kept}
-            if missing:
-                before = None if len(kept) + len(missing) <= self.most[0] else set().union(*cut)
-                self.learn(missing if before is None else before)
-            for chunks in cut:
-                yield b"".join(map(self.chunks.__getitem__, chunks))
+            found = [list(map(self.chunks.get, chunks)) for chunks in cut]
+            gaps = [[i for i, x in enumerate(own) if x is None] if None in own else [] for own in found]
+            if missing := {chunks[i] for chunks, at in zip(cut, gaps, strict=True) for i in at}:
+                self.learn(missing)
+            for chunks, own, at in zip(cut, found, gaps, strict=True):
+                for i in at:
+                    own[i] = self.chunks[chunks[i]]
+                yield b"".join(own)
 
 
 def tokens_of(path: str, capacity: int, end_id: int):
