@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import patterns as P
 
-#: Line terminators other than \n do not end a dot's reach, as in the reference semantics.
+#: Line terminators other than \n do not end a dot's reach.
 UNIX = "(?d)"
 
 
@@ -133,8 +133,8 @@ def is_fixed(text: Column) -> Column:
     return text.rlike(r"[\x{2705}\x{2714}]|~~.*?~~") | text.contains("Done") | text.contains("Fixed")
 
 
-def normalize(text: Column) -> Column:
-    """A finding's text for matching: no marks, markup, efforts or paths; lower case."""
+def normalize(text: Column, roots: tuple[str, ...] = P.PATH_ROOTS) -> Column:
+    """A finding's text for matching: no marks, markup, efforts or paths below ``roots``; lower case."""
     for pattern, to in (
         (r"~~(.*?)~~", "$1"),
         (r"[\x{2705}\x{2714}]", ""),
@@ -143,7 +143,7 @@ def normalize(text: Column) -> Column:
         (r"[|`*_~]", ""),
         (r"\s*\d+\s*min\b", ""),
         (r"\s*\d+\s*hr\b", ""),
-        (r"\b(app|wslog|tests/)[\w./:-]*", ""),
+        (r"\b(" + "|".join(roots) + r")[\w./:-]*", ""),
         (r"\s+", " "),
     ):
         text = F.regexp_replace(text, pattern, to)

@@ -77,7 +77,7 @@ FIXED = "regexp_matches({x}, '[\\x{{2705}}\\x{{2714}}]|~~.*?~~') OR contains({x}
 def normalize_sql(x: str) -> str:
     for pattern, to in (
         ("~~(.*?)~~", "\\1"), ("[\\x{2705}\\x{2714}]", ""), ("\\s+", " "), ("^ | $", ""), ("[|`*_~]", ""), ("\\s*\\d+\\s*min\\b", ""), ("\\s*\\d+\\s*hr\\b", ""),
-        ("\\b(app|wslog|tests/)[\\w./:-]*", ""), ("\\s+", " "),
+        ("\\b(" + "|".join(P.PATH_ROOTS) + ")[\\w./:-]*", ""), ("\\s+", " "),
     ):
         x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
     return f"lower(trim({x}))"
