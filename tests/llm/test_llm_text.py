@@ -146,6 +146,25 @@ def test_secret_contexts_and_edges(spark):
     assert find_secrets(docs_of(spark, [])).count() == 0
 
 
+KEYS = (
+    "AWS_SECRET_ACCESS_KEY={}", "SECRET_KEY = '{}'", "secret_key: {}", "DB_PWD={}", "DB_PASSWORD={}", '"dbPasswordProd": "{}"', "PGPASSWORD={}", "spring.datasource.password={}",
+    "X-Api-Key: {}", "my.private-key => {}", "ACCESS_TOKEN_2 := {}", "USER_PIN={}", "userPin={}", "pin_code: {}", "pwd: {}", "old token, new secret: {}",
+)
+
+
+@pytest.mark.parametrize("key", KEYS)
+def test_names_with_a_credential_word_are_contexts(key):
+    for value, hard in (("p@kX9#qL2vB7mZ!", True), ("password", False)):
+        text = "é x=1 " + key.format(value)
+        spans = [text[s["start"] : s["end"]].rstrip("\"") for s in scan_secrets(text.encode(), 10)["spans"] if s["kind"] == "guess"]
+        assert spans == [value] * hard
+
+
+def test_names_that_are_no_credentials():
+    for text in ("shipping: p@kX9#qL2vB7mZ!", "mapping=p@kX9#qL2vB7mZ!", "Pinned: p@kX9#qL2vB7mZ!", "key=p@kX9#qL2vB7mZ!", "token" * 40000):
+        assert scan_secrets(text.encode(), 10)["spans"] == []
+
+
 def test_url_rules_and_terms(spark):
     urls = [
         ("http://WWW.Example.com/en/x?y", "www.example.com", "/en/x", "www.example.com/en/", "allow"),
