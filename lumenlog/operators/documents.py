@@ -143,10 +143,11 @@ def fixed_crossref(findings: DataFrame, fixed: DataFrame) -> DataFrame:
 def extract_queries(replies: DataFrame) -> DataFrame:
     """(doc_id, block, part, description, query) of the searches in a reply's fenced code blocks."""
     parts = F.split(F.regexp_replace("text", r"(?s)(```[^\n]*\n.*?\n```)", "\x01$1\x01"), "\x01", -1)
-    rows = replies.select("doc_id", F.posexplode(parts).alias("i", "part"), parts.alias("all"))
+    beside = F.arrays_zip(parts.alias("part"), F.concat(F.array(F.lit(None).cast("string")), parts).alias("before"))  # one longer than parts; no row holds all parts
+    rows = replies.select("doc_id", F.posexplode(beside).alias("i", "p")).select("doc_id", "i", "p.part", "p.before")
     fence = r"(?s)^```(\w*)\n(.*?)\n```$"
     rows = rows.where(F.col("part").rlike(fence)).select(
-        "doc_id", "i", F.lower(F.regexp_extract("part", fence, 1)).alias("lang"), F.trim(F.regexp_extract("part", fence, 2), F.lit(" \n\t")).alias("code"), F.get("all", F.col("i") - 1).alias("before")
+        "doc_id", "i", F.lower(F.regexp_extract("part", fence, 1)).alias("lang"), F.trim(F.regexp_extract("part", fence, 2), F.lit(" \n\t")).alias("code"), "before"
     )
     looks = lambda c: F.lower(c).rlike("|".join(w.replace("|", r"\|") for w in P.SEARCH_WORDS))
     rows = rows.where(F.col("lang").isin("spl", "splunk", "") & looks(F.col("code")))

@@ -53,6 +53,49 @@ def reports(s, d) -> DataFrame:
     return table(s, d, "documents").where("text is not null").select("doc_id", F.expr(REPORT).alias("text"))
 
 
+#: Java's line ends, so that no dot of a pattern stops inside a line.
+LINE_END = r"\r\n|[\n\r\x{85}\x{2028}\x{2029}]"
+
+
+def whole_reports(s, d) -> DataFrame:
+    """Reports around whole texts: each line that is not blank is a bullet, a named finding, a table row, a coverage row and a section."""
+    bare = F.transform(F.split("text", LINE_END, -1), lambda x: F.trim(F.replace(x, F.lit("|"), F.lit("/"))))
+    docs = table(s, d, "documents").where("text is not null").select("doc_id", F.filter(bare, lambda x: x != "").alias("own"))
+
+    def each(f) -> F.Column:
+        return F.array_join(F.transform("own", f), "\n")
+
+    def marked(x, i) -> F.Column:
+        k = (F.col("doc_id") + i) % 4
+        return (
+            F.when(k == 0, F.concat(F.lit("~~"), x, F.lit("~~ Done"))).when(k == 1, F.concat(x, F.lit(" 30 min")))
+            .when(k == 2, F.concat(F.lit("**"), x, F.lit("**"))).otherwise(F.concat(x, F.lit(" Fixed")))
+        )
+
+    parts = [
+        F.expr("'# Report ' || CAST(doc_id AS STRING)"),
+        F.expr("'Architecture: ' || CASE doc_id % 3 WHEN 0 THEN 'A-' WHEN 1 THEN 'B+' ELSE 'F' END"),
+        F.lit("## 1. Executive Summary\nKey findings, short:"),
+        each(lambda x, i: F.concat(F.lit("- "), marked(x, i))),
+        F.expr("'\\nGrade: **' || CASE doc_id % 2 WHEN 0 THEN 'B' ELSE 'C+' END || '**'"),
+        F.lit("## 2. Code Review Findings"),
+        each(lambda x, i: F.concat(F.lit("#### B"), i, F.lit(": "), marked(x, i))),
+        F.lit("| # | Item | Effort |"),
+        each(lambda x, i: F.concat(F.lit("| "), i, F.lit(" | fix "), x, F.lit(" | 2 hr |"))),
+        F.expr("'| Security | **' || CASE doc_id % 2 WHEN 0 THEN 'A' ELSE 'D' END || '** |'"),
+        F.lit("## Test Coverage Analysis"),
+        each(lambda x, i: F.concat(F.lit("| `"), x, F.lit("` | High |"))),
+        F.lit("## Notes"),
+        each(lambda x, i: F.concat(F.lit("## "), i, F.lit(". "), x, F.lit("\nas said: "), x)),
+        F.lit("## Searches"),
+        each(lambda x, i: F.concat(F.lit("Search "), i, F.lit("\n```spl\nindex=APP "), x, F.lit("\n```"))),
+        F.lit("```"),
+        each(lambda x, i: F.concat(F.lit("-- "), x, F.lit("\nindex=APP "), i, F.lit(" | stats count"))),
+        F.lit("```"),
+    ]
+    return docs.select("doc_id", F.concat_ws("\n", *parts).alias("text"))
+
+
 def add(name: str, f, oracle: str | None = None) -> None:
     QUERIES[name] = f
     if oracle:
@@ -86,8 +129,8 @@ def normalize_sql(x: str) -> str:
 LINES = f"WITH {REPORTS}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM reports) "
 
 
-def doc_lines(s, d):
-    return reports(s, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).withColumn("i", (F.col("p") + 1).cast("long"))
+def doc_lines(s, d, read=reports):
+    return read(s, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).withColumn("i", (F.col("p") + 1).cast("long"))
 
 
 add("fixed_flag", lambda s, d: doc_lines(s, d).select("doc_id", "i", T.is_fixed(F.col("line")).alias("fixed")), LINES + f"SELECT doc_id, i, {FIXED.format(x='line')} AS fixed FROM l")
@@ -95,7 +138,7 @@ add("normalize_text", lambda s, d: doc_lines(s, d).select("doc_id", "i", T.norma
 
 
 def findings(s, d):
-    sections = D.doc_sections(reports(s, d))
+    sections = D.doc_sections(whole_reports(s, d))
     return D.doc_findings(D.section_targets(sections))
 
 
@@ -117,7 +160,13 @@ add(
     f"v AS (SELECT doc_id, o, i, {_title} AS label, upper(grade) AS grade FROM g WHERE upper(grade) NOT IN ('D+', 'D-', 'F+', 'F-')) "
     f"SELECT doc_id, label, grade, CASE grade[1:1] {_known} END AS class FROM v QUALIFY row_number() OVER (PARTITION BY doc_id, replace(lower(label), '  ', ' ') ORDER BY o, i) = 1",
 )
-add("extract_queries", lambda s, d: D.extract_queries(reports(s, d)))
+add("extract_queries", lambda s, d: D.extract_queries(whole_reports(s, d)))
+#: The SQL of the queries above reads 24 characters of each text; these read whole texts and have no SQL.
+add("doc_sections_whole", lambda s, d: D.doc_sections(whole_reports(s, d)))
+add("section_targets_whole", lambda s, d: D.section_targets(D.doc_sections(whole_reports(s, d))))
+add("fixed_flag_whole", lambda s, d: doc_lines(s, d, whole_reports).select("doc_id", "i", T.is_fixed(F.col("line")).alias("fixed")))
+add("normalize_text_whole", lambda s, d: doc_lines(s, d, whole_reports).select("doc_id", "i", T.normalize(F.col("line")).alias("norm")))
+add("extract_grades_whole", lambda s, d: D.extract_grades(whole_reports(s, d)))
 
 
 def snapshot(s, d, odd: int):
