@@ -121,23 +121,78 @@ def containing_pairs(short: DataFrame, long: DataFrame, k: int = 4) -> DataFrame
     return left.join(right, ["size", "g"]).where(F.contains("b", "a")).select("a", "b")
 
 
+#: Words that count as frequent where rare ones are looked for first; any number gives the same rows.
+FREQUENT = 4096
+
+
+def keyed(texts: DataFrame) -> DataFrame:
+    """(k, t): distinct texts t that are not empty, with a short key."""
+    return texts.where("t <> ''").select(F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("k"), "t").distinct()
+
+
+def frequent(words: DataFrame) -> DataFrame:
+    """(w, often) of the most frequent words of (k, w); a table that can be broadcast."""
+    return F.broadcast(words.groupBy("w").agg(F.count(F.lit(1)).alias("often")).orderBy(F.desc("often"), "w").limit(FREQUENT))
+
+
+def word_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(ka, kb, wa, wb) that can share two words and 0.4 of the smaller set; every pair that does is there.
+
+    Words stand rarest first.  Two sets that share t words share one of the first n - t + 1 of the smaller set, so its t - 1
+    most frequent words make no pairs.
+    """
+    words = lambda df: df.withColumn("w", significant(F.col("t"))).where("size(w) >= 2").select("k", F.explode("w").alias("w"))
+    x, y = words(a), words(b)
+    order = frequent(x.unionByName(y))
+
+    def ranked(df: DataFrame) -> DataFrame:
+        own = df.join(order, "w", "left").groupBy("k").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "w"))).alias("ws"))
+        return own.select("k", F.col("ws.w").alias("ws"))
+
+    sets_a, sets_b = ranked(x), ranked(y)
+    at = lambda df, s: df.select(F.col("k").alias("k" + s), F.size("ws").alias("n" + s), F.posexplode("ws").alias("p" + s, "w"))
+    left, right = at(sets_a, "a"), at(sets_b, "b")
+    need = F.expr("greatest(2, (2 * least(na, nb) + 4) div 5)")
+    first = (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need) & F.expr("if(na <= nb, pa <= na - greatest(2, (2 * na + 4) div 5), pb <= nb - greatest(2, (2 * nb + 4) div 5))")
+    own = F.col("pa") <= F.col("na") - 2  # of either side the most frequent word never comes first
+    pairs = left.where(own).join(right.where("pb <= nb - 2"), "w").where(first).select("ka", "kb").distinct()
+    return pairs.join(sets_a.select(F.col("k").alias("ka"), F.col("ws").alias("wa")), "ka").join(sets_b.select(F.col("k").alias("kb"), F.col("ws").alias("wb")), "kb")
+
+
+def inside_keys(short: DataFrame, long: DataFrame, side: str) -> DataFrame:
+    """k of the texts of ``short`` that stand in one of ``long`` (side "s"), or of those of ``long`` that hold one (side "l").
+
+    A text of three words or more is met at the rarest of its inner words, which are whole words of the other text too; of
+    shorter ones the longest word is looked for in the vocabulary.
+    """
+    words = long.select("k", F.explode(F.array_distinct(F.split("t", " "))).alias("w")).where("w <> ''")
+    parts = short.withColumn("ws", F.split("t", " ")).withColumn("inner", F.filter("ws", lambda w, i: (i > 0) & (i < F.size("ws") - 1) & (w != "")))
+    met = parts.where("size(inner) > 0").select("k", F.explode("inner").alias("w")).join(frequent(words), "w", "left")
+    met = met.groupBy("k").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "w")).alias("m")).select(F.col("k").alias("ks"), F.col("m.w").alias("w"))
+    longest = F.array_max(F.transform("ws", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    few = parts.where("size(inner) = 0").select(F.col("k").alias("ks"), longest.alias("a"), (F.size("ws") == 1).alias("one"))
+    held = few.join(containing_pairs(few.select("a").distinct(), words.select(F.col("w").alias("b")).distinct()), "a").select("ks", "one", F.col("b").alias("w"))
+    single, double = held.where("one"), held.where("not one").select("ks", "w")
+    pairs = met.unionByName(double).join(words.select(F.col("k").alias("kl"), "w"), "w").select("ks", "kl").distinct()
+    texts = lambda df, n: df.select(F.col("k").alias("k" + n), F.col("t").alias("t" + n))
+    sure = pairs.join(texts(short, "s"), "ks").join(texts(long, "l"), "kl").where(F.contains("tl", "ts")).select(F.col("k" + side).alias("k"))
+    one = single.select(F.col("ks").alias("k")) if side == "s" else words.join(single.select("w").distinct(), "w", "left_semi").select("k")
+    return sure.unionByName(one).distinct()
+
+
 def fixed_crossref(findings: DataFrame, fixed: DataFrame) -> DataFrame:
     """The fid of findings (fid, id, norm) that some fixed row (ids, norm) covers: by id, by containing text either
     way, or by two shared words that are 0.4 of the smaller word set.
 
-    Words and substrings are matched through inverted indexes, so pairs arise only where something is shared.
+    Texts meet at rare words first, so a word that most of them share makes no pairs of all of them.
     """
     by_id = findings.join(fixed.select(F.explode("ids").alias("id")).distinct(), "id", "left_semi").select("fid")
-    own = findings.where("norm <> ''").select("fid", F.col("norm").alias("a"))
-    a, b = own.select("a").distinct(), fixed.where("norm <> ''").select(F.col("norm").alias("b")).distinct()
-    left = a.withColumn("w", significant(F.col("a"))).select("a", F.size("w").alias("n"), F.explode("w").alias("word"))
-    right = b.withColumn("w", significant(F.col("b"))).select("b", F.size("w").alias("m"), F.explode("w").alias("word"))
-    shared = left.join(right, "word").groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c"))
-    by_words = shared.where("c >= 2 and c / least(n, m) >= 0.4").select("a")
-    inside = containing_pairs(a, b).select("a")
-    around = containing_pairs(b.select(F.col("b").alias("a")), a.select(F.col("a").alias("b"))).select(F.col("b").alias("a"))
-    texts = by_words.unionByName(inside).unionByName(around).distinct()
-    return by_id.unionByName(own.join(texts, "a", "left_semi").select("fid")).distinct()
+    a, b = keyed(findings.select(F.col("norm").alias("t"))), keyed(fixed.select(F.col("norm").alias("t")))
+    shared = F.size(F.array_intersect("wa", "wb"))
+    by_words = word_pairs(a, b).where((shared >= 2) & (shared / F.least(F.size("wa"), F.size("wb")) >= 0.4)).select(F.col("ka").alias("k"))
+    keys = by_words.unionByName(inside_keys(a, b, "s")).unionByName(inside_keys(b, a, "l")).distinct()
+    own = findings.where("norm <> ''").select("fid", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("k"))
+    return by_id.unionByName(own.join(keys, "k", "left_semi").select("fid")).distinct()
 
 
 def extract_queries(replies: DataFrame) -> DataFrame:

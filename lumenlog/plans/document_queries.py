@@ -169,10 +169,11 @@ add("normalize_text_whole", lambda s, d: doc_lines(s, d, whole_reports).select("
 add("extract_grades_whole", lambda s, d: D.extract_grades(whole_reports(s, d)))
 
 
-def snapshot(s, d, odd: int):
+def snapshot(s, d, odd: int, whole: bool = False):
     """Lines of half of the documents as findings; equal normal forms are the same finding."""
-    own = table(s, d, "documents").where(f"text is not null and doc_id % 2 = {odd}").select("doc_id", F.explode(F.split(F.substring("text", 1, 400), "[.] ")).alias("x"))
-    own = own.withColumn("norm", T.normalize(F.substring("x", 1, 9)))
+    text, x = (F.col("text"), F.col("x")) if whole else (F.substring("text", 1, 400), F.substring("x", 1, 9))
+    own = table(s, d, "documents").where(f"text is not null and doc_id % 2 = {odd}").select("doc_id", F.explode(F.split(text, "[.] ")).alias("x"))
+    own = own.withColumn("norm", T.normalize(x))
     return own.groupBy("norm").agg(F.max("doc_id").alias("seq")).withColumn("fixed", F.col("seq") % 3 == 0)
 
 
@@ -193,9 +194,14 @@ add("findings_diff", lambda s, d: D.findings_diff(snapshot(s, d, 0), snapshot(s,
 add("diff_counts", lambda s, d: D.diff_counts(D.findings_diff(snapshot(s, d, 0), snapshot(s, d, 1))), DIFF + "SELECT category, count(*) AS findings FROM diff WHERE category IS NOT NULL GROUP BY category")
 
 
-def fixed_crossref(s, d):
+#: The SQL of these two reads 400 characters of a text and 9 of a sentence; the whole-text forms have no SQL.
+add("findings_diff_whole", lambda s, d: D.findings_diff(snapshot(s, d, 0, True), snapshot(s, d, 1, True)))
+add("diff_counts_whole", lambda s, d: D.diff_counts(D.findings_diff(snapshot(s, d, 0, True), snapshot(s, d, 1, True))))
+
+
+def fixed_crossref(s, d, whole: bool = False):
     talk = table(s, d, "conversations").where("text is not null")
-    norm = T.normalize(F.substring("text", 1, 30))
+    norm = T.normalize(F.col("text") if whole else F.substring("text", 1, 30))
     own = talk.select((F.col("conv_id") * 100 + F.col("turn")).alias("fid"), F.concat(F.lit("#"), F.col("conv_id") % 50).alias("id"), norm.alias("norm"))
     fixed = talk.where("conv_id % 25 = 0").select(F.array(F.concat(F.lit("#"), F.col("conv_id") % 50)).alias("ids"), norm.alias("norm"))
     return D.fixed_crossref(own, fixed)
@@ -212,6 +218,9 @@ add(
 )
 
 
+add("fixed_crossref_whole", lambda s, d: fixed_crossref(s, d, True))
+
+
 def previous_snapshot(s, d):
     versions = table(s, d, "orders").select("o_custkey", "o_orderkey")
     return D.previous_snapshot(versions, "o_custkey", "o_orderkey")

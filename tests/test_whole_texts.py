@@ -1,8 +1,12 @@
 """Registered queries read whole texts: what stands at the end of a long one is found."""
 
+import random
+
 import pytest
 
 import __spark_entry__ as entry
+from lumenlog.functions import patterns
+from lumenlog.operators import documents
 from lumenlog.plans import document_queries
 
 
@@ -40,3 +44,42 @@ def test_flags_and_grades_of_whole_texts(spark, docs_dir):
 
 def test_the_queries_with_sql_stay(spark):
     assert "doc_sections" in document_queries.ORACLES and "doc_sections_whole" not in document_queries.ORACLES
+
+
+def test_diff_of_whole_sentences(spark, tmp_path):
+    head = "x" * 500 + ". "
+    rows = [(0, head + "the parser is slow. the parser is wrong"), (1, head + "the parser is slow. the parser is new")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.norm: r.category for r in entry.queries()["findings_diff_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"x" * 500: "remaining", "the parser is slow": "remaining", "the parser is wrong": "fixed", "the parser is new": "new"}
+    assert {r.category: r.findings for r in entry.queries()["diff_counts_whole"](spark, str(tmp_path)).collect()} == {"remaining": 2, "fixed": 1, "new": 1}
+
+
+def test_crossref_of_whole_turns(spark, tmp_path):
+    rows = [(25, 0, "a" * 40 + " stamps parse slowly"), (1, 0, "b" * 40 + " parse stamps"), (2, 0, "c" * 40 + " other work")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert {r.fid for r in entry.queries()["fixed_crossref_whole"](spark, str(tmp_path)).collect()} == {2500, 100}
+
+
+def covered(a, b):
+    wa, wb = ({w for w in x.split() if w not in patterns.STOP_WORDS} for x in (a, b))
+    return a in b or b in a or len(wa & wb) >= 2 and len(wa & wb) / min(len(wa), len(wb)) >= 0.4
+
+
+@pytest.mark.parametrize("most", [4096, 3])
+def test_crossref_equals_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(documents, "FREQUENT", most)
+    rng = random.Random(7)
+    line = lambda n: " ".join(rng.choice(("hot", "the", *"uvxyz")) + rng.choice(("", "", "1", "2", "33", "k", "mm")) for _ in range(n))
+    own, fixed = [line(rng.randrange(1, 16)) for _ in range(150)], [line(rng.choice((1, 2, 3, 12))) for _ in range(6)]
+    want = {i for i, a in enumerate(own) if any(covered(a, b) for b in fixed)}
+    got = documents.fixed_crossref(
+        spark.createDataFrame(list(enumerate(own)), "fid long, norm string").selectExpr("fid", "cast(null as string) as id", "norm"),
+        spark.createDataFrame([([], x) for x in fixed], "ids array<string>, norm string"),
+    )
+    assert {r.fid for r in got.collect()} == want and 0 < len(want) < 150
+
+
+def test_a_frequent_word_makes_no_pairs(spark):
+    texts = lambda side: documents.keyed(spark.createDataFrame([(f"hot {side}{i} {side}{i}x {side}{i}y",) for i in range(100)], "t string"))
+    assert documents.word_pairs(texts("a"), texts("b")).count() == 0
