@@ -91,6 +91,18 @@ add(
     ", o AS (SELECT * FROM ev WHERE event_seq % 5 <> 0 OR ts_dt >= timestamp '2024-01-02') SELECT exception, count(*) AS cnt FROM o WHERE ts_dt >= timestamp '2024-01-02' AND exception IS NOT NULL "
     "AND exception NOT IN (SELECT exception FROM o WHERE ts_dt < timestamp '2024-01-02' AND exception IS NOT NULL) GROUP BY exception",
 )
+DEPLOY = "2024-01-02 00:00:00"
+LATE = "com.acme.pay.LateError"
+
+
+def with_late_errors(ev: DataFrame) -> DataFrame:
+    """Events of which some after the deploy, without an exception of their own, have one that is not seen before it."""
+    late = F.coalesce((F.col("ts_dt") >= F.lit(DEPLOY).cast("timestamp_ntz")) & F.col("exception").isNull() & (F.col("event_seq") % 50 == 0), F.lit(False))
+    return ev.withColumn("exception", F.when(late, LATE).otherwise(F.col("exception")))
+
+
+#: All events; the SQL of regressions leaves every fifth before the deploy out.
+add("regressions_whole", lambda s, d: R.regressions(with_late_errors(doubled(s, d)), DEPLOY))
 add(
     "shared_top_frames",
     lambda s, d: R.shared_top_frames(events(s, d)),

@@ -109,7 +109,15 @@ def append_distinct(spark, sf_dir):
     return A.append_distinct(turns.where("conv_id % 2 = 0"), turns.where("conv_id % 3 = 0"), ["role", "text"])
 
 
+def append_distinct_whole(spark, sf_dir):
+    """Even conversations are history and all others new, also those without a number; the SQL of append_distinct leaves two in six out."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "role", "text").distinct()
+    old = F.coalesce(F.col("conv_id") % 2 == 0, F.lit(False))
+    return A.append_distinct(turns.where(old), turns.where(~old), ["role", "text"])
+
+
 QUERIES["append_distinct"] = append_distinct
+QUERIES["append_distinct_whole"] = append_distinct_whole
 ORACLES["append_distinct"] = """
 WITH t AS (SELECT DISTINCT conv_id, role, text FROM conversations)
 SELECT * FROM t WHERE conv_id % 2 = 0 UNION ALL

@@ -1,13 +1,14 @@
-"""Registered queries read whole texts: what stands at the end of a long one is found."""
+"""Registered queries read whole texts and all rows: what stands at the end of a long text, or in any conversation or event, is found."""
 
 import random
+from datetime import datetime
 
 import pytest
 
 import __spark_entry__ as entry
 from lumenlog.functions import patterns
 from lumenlog.operators import documents
-from lumenlog.plans import document_queries
+from lumenlog.plans import document_queries, recipe_queries
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +84,19 @@ def test_crossref_equals_brute_force(spark, monkeypatch, most):
 def test_a_frequent_word_makes_no_pairs(spark):
     texts = lambda side: documents.keyed(spark.createDataFrame([(f"hot {side}{i} {side}{i}x {side}{i}y",) for i in range(100)], "t string"))
     assert documents.word_pairs(texts("a"), texts("b")).count() == 0
+
+
+def test_every_conversation_is_history_or_new(spark, tmp_path):
+    rows = [(k, "user", f"text {k}") for k in (*range(12), None)] + [(5, "user", "text 0")]
+    spark.createDataFrame(rows, "conv_id long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = [(r.conv_id, r.text) for r in entry.queries()["append_distinct_whole"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(k, t) for k, _, t in rows[:-1]], key=str)
+
+
+def test_regressions_see_every_event(spark, monkeypatch):
+    day = lambda k: datetime(2024, 1, k)
+    rows = [("f", 5, day(1), "a.Old"), ("f", 7, day(3), "a.Old"), ("f", 8, day(3), "a.New"), ("f", 100, day(3), None), ("f", 50, day(1), None), ("f", 10, None, "a.Old")]
+    ev = spark.createDataFrame(rows, "file string, event_seq long, ts_dt timestamp_ntz, exception string")
+    monkeypatch.setattr(recipe_queries, "events", lambda s, d: ev)
+    got = {(r.exception, r.cnt) for r in entry.queries()["regressions_whole"](spark, "").collect()}
+    assert got == {("a.New", 1), (recipe_queries.LATE, 1)}
