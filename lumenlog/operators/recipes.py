@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import text as T
 from .summary import ORDER
 
@@ -23,13 +24,13 @@ def seconds(ts) -> F.Column:
 
 def noise_candidates(events: DataFrame, least: int = 1000) -> DataFrame:
     """Codes seen more than ``least`` times with one distinct message and never at an error level."""
-    message = F.regexp_replace("text", r"^\[[^\]]*\]\s+[0-9a-f]+\s+", "")
+    message = F.regexp_replace("text", r"^(?:\[[^\]]*\]\s+[0-9a-f]+|" + P.TS_ISO + r")\s+", "")
     out = events.where("code is not null").groupBy("code").agg(
         F.count(F.lit(1)).alias("cnt"),
         F.count_distinct(F.xxhash64(message)).alias("texts"),
         F.count_if(F.col("level").isin(*NEVER_NOISE)).alias("errors"),
     )
-    return out.where((F.col("cnt") > least) & (F.col("errors") == 0))
+    return out.where((F.col("cnt") > least) & (F.col("texts") == 1) & (F.col("errors") == 0))
 
 
 def without_noise(events: DataFrame, codes: list[str], prefixes: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from lumenlog.functions import patterns
-from lumenlog.operators import documents
+from lumenlog.operators import documents, recipes
 from lumenlog.plans import document_queries, recipe_queries
 
 
@@ -100,3 +100,11 @@ def test_regressions_see_every_event(spark, monkeypatch):
     monkeypatch.setattr(recipe_queries, "events", lambda s, d: ev)
     got = {(r.exception, r.cnt) for r in entry.queries()["regressions_whole"](spark, "").collect()}
     assert got == {("a.New", 1), (recipe_queries.LATE, 1)}
+
+
+def test_noise_has_one_message(spark):
+    head = ("[10/12/15 21:22:10:000 UTC] 0000001a ", "2015-10-12 21:22:10,000 ", "2015-10-12 21:22:11,500 ")
+    rows = [("ONE", "INFO", h + "ONE: same") for h in head[1:]] + [("CLASSIC", "INFO", head[0] + "CLASSIC: same")] * 2
+    rows += [("MANY", "INFO", f"{head[0]}MANY: message {k}") for k in range(2)] + [("BAD", "ERROR", head[0] + "BAD: same")] * 2
+    events = spark.createDataFrame(rows, "code string, level string, text string")
+    assert {(r.code, r.cnt) for r in recipes.noise_candidates(events, 1).collect()} == {("ONE", 2), ("CLASSIC", 2)}
