@@ -2,16 +2,18 @@
 
 A text is cut at newlines; trailing blanks and carriage returns do not count in comparisons.  Every three
 consecutive lines that are not all blank make a window, known by a 128-bit hash.  Of the windows that are
-equal anywhere in the corpus the first, by (doc_id, line), stays; the lines of every later one are covered
-and go.  A removed line always has an earlier equal line, so the first copy of every line stays.
+equal anywhere in the corpus the first, by (doc_id, hash of the text, line), stays; the lines of every later one
+are covered and go.  A removed line always has an earlier equal line, so the first copy of every line stays.
 
-How it scales: the one wide step is ``min((doc_id, line))`` by window hash, which combines on the map side, so
-a passage that a third of all documents share reaches the reducer as one row per map task.  The owners go
-back to their documents by doc_id, not by hash, so no join has a hot key.
+How it scales: the one wide step is ``min((doc_id, text, line))`` by window hash, which combines on the map side,
+so a passage that a third of all documents share reaches the reducer as one row per map task.  The owners go
+back to their documents by id and text, not by window, so neither a common window nor a common id is a hot key.
 
 Defined results: null texts stay null and have no lines; texts of fewer than three lines stay whole; rows
-that share a doc_id are one document (equal windows at the same line count as one occurrence), and a null
-doc_id is an id of its own; other columns pass through untouched.
+that share an id are documents of their own, in the order of a hash of their texts, and a null id is an id too,
+before all others; rows equal in id and text are one document and come out alike; very long texts are read
+whole; other columns pass through untouched, but a column named as ``into`` is replaced, and names that start
+with ``__ld_`` are the operator's own.
 """
 
 from __future__ import annotations
@@ -42,13 +44,14 @@ def line_hashes(text: str):
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", into: str = "line_dedup") -> DataFrame:
     """``docs`` with a struct column ``into``: n_lines, n_removed, and the text that is left (null if it was null)."""
     windows = (
-        docs.select(F.col(doc_id).alias("d"), line_hashes(text).alias("l"))
+        docs.select(F.col(doc_id).alias("d"), F.xxhash64(F.col(text)).alias("t"), line_hashes(text).alias("l"))
         .where(F.size("l") >= WINDOW)
-        .select("d", "l", F.explode(F.sequence(F.lit(0), F.size("l") - WINDOW)).alias("p"))
-        .select("d", "p", *(F.get("l", F.col("p") + i).alias(f"l{i}") for i in range(WINDOW)))
+        .select("d", "t", "l", F.explode(F.sequence(F.lit(0), F.size("l") - WINDOW)).alias("p"))
+        .select("d", "t", "p", *(F.get("l", F.col("p") + i).alias(f"l{i}") for i in range(WINDOW)))
         .where(~(F.col("l0.blank") & F.col("l1.blank") & F.col("l2.blank")))
         .select(
             "d",
+            "t",
             "p",
             F.xxhash64("l0.h", "l1.h", "l2.h").alias("h"),
             F.xxhash64("l0.g", "l1.g", "l2.g").alias("g"),
@@ -56,8 +59,8 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     )
     owners = (
         windows.groupBy("h", "g")
-        .agg(F.min(F.struct("d", "p")).alias("first"))
-        .groupBy(F.col("first.d").alias("__ld_id"))
+        .agg(F.min(F.struct("d", "t", "p")).alias("first"))
+        .groupBy(F.col("first.d").alias("__ld_id"), F.col("first.t").alias("__ld_text"))
         .agg(F.collect_list("first.p").alias("__ld_first"))
     )
     lines = F.split(F.col(text), "\n", -1)
@@ -68,7 +71,8 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     )
     later = F.array_except(starts, F.coalesce(F.col("__ld_first"), F.array().cast("array<int>")))
     covered = F.array_distinct(F.flatten(F.transform(later, lambda p: F.array(p, p + 1, p + 2))))
-    out = docs.join(owners, F.col(doc_id).eqNullSafe(F.col("__ld_id")), "left").drop("__ld_id")
+    same = F.col(doc_id).eqNullSafe(F.col("__ld_id")) & (F.xxhash64(F.col(text)) == F.col("__ld_text"))
+    out = docs.join(owners, same, "left").drop("__ld_id", "__ld_text")
     out = out.withColumns({"__ld_lines": lines, "__ld_blank": blank})
     # a document that owns a window at every line has nothing to lose: no need to look at its lines
     changed = F.coalesce(F.size("__ld_first"), F.lit(0)) < F.size("__ld_lines") - (WINDOW - 1)

@@ -218,6 +218,28 @@ def test_line_dedup_equals_brute_force(spark):
     assert kept >= {line.rstrip(" \t\r") for _, t in docs if t is not None for line in t.split("\n")}  # no line is lost altogether
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    rows = [(0, "a\nb\nc"), (1, "a\nb\nc\nz1\nz2"), (1, "q\nr\ns")]
+    rows += [(rng.choice([None, 2, 3]), "\n".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 9)))) for _ in range(60)]
+    frame = spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(rows)], "k long, doc_id long, text string")
+    keyed = frame.select("k", "doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = {}
+    for r in sorted(keyed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h)):
+        order.setdefault((r.doc_id, r.text), len(order))
+    want = brute_lines([(n, t) for (_, t), n in order.items()])
+    got = {r.k: r.line_dedup.text for r in dedup_lines(frame).collect()}
+    assert got == {r.k: want[order[r.doc_id, r.text]] for r in keyed}
+    assert got[1] == "z1\nz2"
+
+
+def test_line_dedup_replaces_a_column_of_its_result(spark):
+    frame = spark.createDataFrame([(1, "a\nb\nc", "clash")], "doc_id long, text string, line_dedup string")
+    assert dedup_lines(frame).select("line_dedup.n_lines").first()[0] == 3
+
+
 def test_line_dedup_edges(spark):
     frame = spark.createDataFrame([(None, "a\nb\nc"), (1, "a\nb\nc"), (1, "a\nb\nc")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.line_dedup.text) for r in dedup_lines(frame).collect())
