@@ -5,26 +5,31 @@ last shorter one.  Pieces keep whole; a full piece is a sequence of its own.  Th
 into groups of about ``group_size`` pieces.  In a group each piece, longest first, goes to the fullest bin
 that still holds it; then a local search works on the bins that are not full: it moves a piece, exchanges
 one for one or two for one between two bins wherever that raises the sum of squared fills, so that the
-light bins run empty.  What is in bins that stay light is dealt again, over as many fewer groups, while that
-shrinks what is left, so light sequences remain in the last groups only.
+light bins run empty.  It ends when no bin has such a step left, or when no fewer bins can hold the group.
+What is in bins that stay light is dealt again, over as many fewer groups, while that shrinks what is left, so
+light sequences remain in the last groups only.
 
 Scale: texts are read once and never shuffled; what is shuffled is a few numbers a piece.  A group has a
-bounded number of pieces, drawn by a hash of id and piece, so no key can fill one.
+bounded number of pieces, drawn by a number of the stored row, so no key and no repeated row can fill one.
 
-Defined results: a null text counts as empty and is one end token; repeated rows are packed each on their own
-(a pair of doc_id and piece then occurs twice); other columns do not matter.
+Defined results: a null text counts as empty and is one end token; a very long one is cut like any other above
+``capacity``; repeated rows, and rows with a null id, are packed each on their own (a pair of doc_id and piece
+may then occur twice); an empty table gives no rows; other columns do not matter.
 
-Tokens are cached by white-space-delimited chunk, and by the tokenizer's own word within a chunk: it drops
-white space and no token spans it, so a text's tokens are its chunks' tokens in turn.
+Token ids are those of the plain tokenizer, also for texts that hold its special strings.  They are cached by
+white-space-delimited chunk, and by the tokenizer's own word within a chunk.  That needs a tokenizer that drops
+white space and cuts words by a known pattern; any other one reads its texts whole.
 """
 
 from __future__ import annotations
 
 import array
 import bisect
+import json
 import os
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +40,7 @@ from pyspark.sql.functions import arrow_udf
 from .common import binary_values, materialize
 
 PIECES = "struct<n_tokens:bigint,crcs:array<bigint>>"
-PACKED = "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long"
+PACKED = "doc_id long, piece long, start long, length long, ids_crc32 long, row long, sequence_id long, offset long"
 LEVELS = 8
 #: A chunk of these characters only, printable ASCII and Latin-1 letters, may be cut into words by PRE_TOKEN; any
 #: other goes to the tokenizer whole.  None of them changes under NFC, and all have a single lower case.
@@ -46,6 +51,20 @@ PRE_TOKEN = re.compile(rb"\n|'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x9f-\xb6\xb8
 BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 #: Stands for a line end between chunks; no ids below 2 ** 24 hold these four bytes in a row.
 BREAK = b"\xff\xff\xff\xff"
+#: How a tokenizer has to treat texts for chunks and words to be cached: these steps are what the patterns above restate.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUTS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def cacheable(config: dict) -> bool:
+    """Whether a tokenizer, given as its file's content, works chunk by chunk and word by word as the patterns above say."""
+    steps = (config.get("normalizer") or {}).get("normalizers"), (config.get("pre_tokenizer") or {}).get("pretokenizers")
+    added = config.get("added_tokens") or []
+    plain = all(t["content"].isascii() and t["content"].split() == [t["content"]] and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in added)
+    return steps == (NORMALIZERS, CUTS) and plain and config["model"]["type"] == "BPE" and not config.get("truncation") and not config.get("padding")
 
 
 class TokenCache:
@@ -56,7 +75,9 @@ class TokenCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
+        with open(path, "rb") as f:
+            self.by_chunk = cacheable(json.load(f))
+        self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()) or b"(?!)")
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {b"\n": BREAK}
         self.most = chunks, words
@@ -80,9 +101,10 @@ class TokenCache:
         if len(self.words) > self.most[1]:
             self.words = {b"\n": BREAK}
         simple, rest = list(missing), []
-        if not SIMPLE_LINES.fullmatch(b"\n".join(simple)):
-            simple = [c for c in missing if SIMPLE.fullmatch(c)]
-            rest = [c for c in missing if not SIMPLE.fullmatch(c)]
+        joined = b"\n".join(simple)
+        if self.special.search(joined) or not SIMPLE_LINES.fullmatch(joined):
+            alone = {c for c in missing if self.special.search(c) or not SIMPLE.fullmatch(c)}
+            simple, rest = list(missing - alone), list(alone)
         words = PRE_TOKEN.findall(b"\n".join(simple).decode().lower().encode())
         new = [w for w in set(words) if w not in self.words]
         self.words.update(zip(new, self.encode_words(new), strict=True))
@@ -92,6 +114,9 @@ class TokenCache:
 
     def ids(self, raws: list[bytes]) -> Iterator[bytes]:
         for k in range(0, len(raws), 64):
+            if not self.by_chunk:
+                yield from self.encode(raws[k : k + 64])
+                continue
             cut = [raw.split() for raw in raws[k : k + 64]]
             found = [list(map(self.chunks.get, chunks)) for chunks in cut]
             gaps = [[i for i, x in enumerate(own) if x is None] if None in own else [] for own in found]
@@ -147,61 +172,110 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 40, donors: int = 24) -> list[list[int]]:
-    """Local search over bins that are not full.  Each step takes tokens from a lighter bin into a fuller one
-    (a move, one for one, or one for two), which raises the sum of squared fills; the lightest go first."""
-    bins = [list(b) for b in bins]
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        order = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: fill[k])
-        if len(order) < 2:
-            break
-        done = False
-        targets = sorted(order, key=lambda k: -fill[k])
-        for d in order[:donors]:
-            for t in targets:
-                gap = capacity - fill[t]
-                if t == d or not gap or fill[t] < fill[d] or not bins[d]:
-                    continue
-                step = best_step([lengths[i] for i in bins[d]], [lengths[i] for i in bins[t]], gap)
-                if step:
-                    give, take = step
-                    out, back = [bins[d][i] for i in give], [bins[t][i] for i in take]
-                    bins[d] = [i for i in bins[d] if i not in out] + back
-                    bins[t] = [i for i in bins[t] if i not in back] + out
-                    moved = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
-                    fill[d] -= moved
-                    fill[t] += moved
-                    done = True
-        if not done:
-            break
-    return [b for b in bins if b]
-
-
-def best_step(light: list[int], full: list[int], gap: int) -> tuple[list[int], list[int]] | None:
-    """Which pieces to give and take so that the fuller bin gains most, ``gap`` at most."""
-    best, step = 0, None
-    give = sorted(range(len(light)), key=light.__getitem__)
-    sizes = [light[i] for i in give]
-    takes = [((), 0)] + [((j,), full[j]) for j in range(len(full))]
-    takes += [((j, k), full[j] + full[k]) for j in range(min(len(full), 12)) for k in range(j)]
-    for take, back in takes:
-        at = bisect.bisect_right(sizes, gap + back) - 1  # the largest single piece that fits
-        if at >= 0 and sizes[at] - back > best:
-            best, step = sizes[at] - back, ([give[at]], list(take))
-        if len(take) < 2 and len(sizes) > 1:  # two for one
-            a, b = 0, len(sizes) - 1
-            while a < b:
-                both = sizes[a] + sizes[b]
-                if both > gap + back:
-                    b -= 1
-                    continue
-                if both - back > best:
-                    best, step = both - back, ([give[a], give[b]], list(take))
-                a += 1
-        if best == gap:
-            break
-    return step
+def totals(lengths: list[int]) -> tuple[list[int], dict[int, tuple[int, int]]]:
+    """The distinct lengths in a bin, and what two of its pieces add up to, with the two lengths.  A bin of ``capacity``
+    tokens has few distinct lengths, however many pieces it holds."""
+    count = Counter(lengths)
+    ones = sorted(count)
+    twos = {a + b: (a, b) for k, b in enumerate(ones) for a in ones[: k + 1] if a != b or count[a] > 1}
+    return ones, twos
+
+
+class Search:
+    """Bins under local search.  A step gives one or two pieces of a lighter bin to a fuller one, for none, one or (against
+    one) two of its own; it raises the sum of squared fills if the fuller bin gains."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        import numpy as np
+
+        self.lengths, self.capacity = lengths, capacity
+        self.bins = [list(b) for b in bins]
+        self.gap = np.array([capacity - sum(lengths[i] for i in b) for b in self.bins])
+        self.own = [totals([lengths[i] for i in b]) for b in self.bins]
+        self.stale = True
+
+    def open_bins(self) -> list[int]:
+        """Bins that are neither full nor empty, lightest first."""
+        return sorted((k for k, b in enumerate(self.bins) if b and self.gap[k]), key=lambda k: -self.gap[k])
+
+    def options(self) -> None:
+        """What the open bins could give back: totals of none or one piece, and of two, with their bins."""
+        import numpy as np
+
+        at = self.open_bins()
+        self.one = np.array([x for k in at for x in (0, *self.own[k][0])], np.int64)
+        self.one_bin = np.repeat(at, [1 + len(self.own[k][0]) for k in at])
+        self.two = np.array([x for k in at for x in self.own[k][1]], np.int64)
+        self.two_bin = np.repeat(at, [len(self.own[k][1]) for k in at])
+        self.stale = False
+
+    def step(self, light: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
+        """The step that moves most tokens out of ``light``: the other bin, the lengths given and the lengths taken."""
+        import numpy as np
+
+        if self.stale:
+            self.options()
+
+        def reach(total, where):
+            """By total, the largest gap of a fuller bin that could give it back."""
+            gap = self.gap[where]
+            fits = (gap <= self.gap[light]) & (where != light)
+            out = np.zeros(self.capacity + 1, np.int64)
+            np.maximum.at(out, total[fits], gap[fits])
+            return out
+
+        one, two = reach(self.one, self.one_bin), reach(self.two, self.two_bin)
+        ones, twos = self.own[light]
+        give = np.array([*ones, *twos], np.int64)
+        gain = give[:, None] - np.arange(self.capacity + 1)
+        most = np.where((np.arange(len(give)) < len(ones))[:, None], np.maximum(one, two), one)  # two pieces are given for one at most
+        gain[(gain > most) | (gain < 0)] = 0
+        at, back = np.unravel_index(int(gain.argmax()), gain.shape)
+        moved = int(gain[at, back])
+        if not moved:
+            return None
+        given = (ones[at],) if at < len(ones) else twos[int(give[at])]
+        for total, where, single in ((self.one, self.one_bin, True), (self.two, self.two_bin, False)):
+            if single or at < len(ones):
+                gap = self.gap[where]
+                fits = np.flatnonzero((total == back) & (gap >= moved) & (gap <= self.gap[light]) & (where != light))
+                if len(fits):
+                    other = int(where[fits[gap[fits].argmin()]])
+                    return other, given, ((int(back),) if back else ()) if single else self.own[other][1][int(back)]
+        return None
+
+    def apply(self, light: int, other: int, given: tuple[int, ...], taken: tuple[int, ...]) -> None:
+        def out_of(k: int, sizes: tuple[int, ...]) -> list[int]:
+            picked = []
+            for n in sizes:
+                i = next(i for i in self.bins[k] if self.lengths[i] == n)
+                self.bins[k].remove(i)
+                picked.append(i)
+            return picked
+
+        there, back = out_of(light, given), out_of(other, taken)
+        self.bins[other] += there
+        self.bins[light] += back
+        for k in (light, other):
+            self.own[k] = totals([self.lengths[i] for i in self.bins[k]])
+            self.gap[k] = self.capacity - sum(self.lengths[i] for i in self.bins[k])
+        self.stale = True
+
+
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Local search: passes over all bins that are not full, lightest first, until a pass finds no step in any of them, or
+    no fewer bins could hold the pieces."""
+    search, least = Search(bins, lengths, capacity), -(-sum(lengths) // capacity)
+    moving = True
+    while moving:
+        moving = False
+        for k in search.open_bins():
+            while search.bins[k] and search.gap[k] and (step := search.step(k)):
+                search.apply(k, *step)
+                moving = True
+            if sum(map(bool, search.bins)) <= least:
+                return [b for b in search.bins if b]
+    return [b for b in search.bins if b]
 
 
 def pack_group(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -229,6 +303,7 @@ def pack(
             (F.col("piece").cast("long") * capacity).alias("start"),
             F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece").cast("long") * capacity).cast("long").alias("length"),
             "ids_crc32",
+            F.monotonically_increasing_id().alias("row"),  # stored, so that a rerun deals a piece to the same group
         ),
         "pieces",
     )
@@ -240,7 +315,7 @@ def pack(
     for level in range(LEVELS):
         groups = max(1, -(-todo // group_size))
         last = groups == 1 or level == LEVELS - 1 or before is not None and todo > before * 0.6
-        key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(groups))
+        key = F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups))
         packed = materialize(
             left.withColumn("__group", key).groupBy("__group").applyInArrow(group_packer(capacity, level), PACKED + ", light boolean"),
             "packed",
@@ -250,14 +325,14 @@ def pack(
             break
         left = packed.where("light").drop("light", "sequence_id", "offset")
         todo, before = left.count(), todo
-    return out
+    return out.drop("row")
 
 
 def group_packer(capacity: int, level: int):
     """Packs one group; a sequence's number holds its level, its group and its place there."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.drop_columns("__group").sort_by([("length", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        rows = rows.drop_columns("__group").sort_by([("length", "ascending"), ("row", "ascending")])
         lengths = rows["length"].to_pylist()
         n = len(lengths)
         sequence, offset, light = [0] * n, [0] * n, [False] * n

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lumenlog.llm import quality, toxicity
+from lumenlog.llm import packing, quality, toxicity
 from lumenlog.llm.ann import nearest_neighbours
 from lumenlog.llm.components import connected_components
 from lumenlog.llm.near_dedup import near_duplicates
@@ -87,22 +87,50 @@ def test_cached_tokens_equal_the_tokenizers(tokenizer):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer)
-    plain.encode_special_tokens = True
     rng = random.Random(1)
-    parts = ["Hello", "don't", "it's_ok", "3.14", "日本語", "İSTANBUL", "ΣΑΣ", "½²", "é", "́x", "<|endoftext|>", "a\x1cb", "c\x85d", "naïve,", "***", "we'll", "O'Neill's", "x" * 50, " "]
+    parts = ["Hello", "don't", "it's_ok", "3.14", "日本語", "İSTANBUL", "ΣΑΣ", "½²", "é", "́x", "<|endoftext|>", "a<|endoftext|>'s", "<|ENDOFTEXT|>", "é<|startoftext|>B", "<|endof text|>", "a\x1cb", "c\x85d", "naïve,", "***", "we'll", "O'Neill's", "x" * 50, " "]
     texts = [" ".join(rng.choice(parts) for _ in range(40)) for _ in range(30)] + ["", " ", "\n\t"]
     cache = TokenCache(tokenizer, chunks=12, words=10)
     for text, ids in zip(texts, cache.ids([t.encode() for t in texts]), strict=True):
         assert list(array.array("I", ids)) == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_read_texts_whole(tokenizer):
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    path = str(Path(tokenizer).parent / "byte_bpe_50k.json")
+    cache, plain = TokenCache(path), Tokenizer.from_file(path)
+    assert not cache.by_chunk and TokenCache(tokenizer).by_chunk
+    for text, ids in zip(texts := ["Two  words", " a\nb", "<|endoftext|>"], cache.ids([t.encode() for t in texts]), strict=True):
+        assert list(array.array("I", ids)) == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_repeated_rows_fill_no_group(spark, tokenizer, monkeypatch):
+    def group_size_as_sequence(capacity, level):
+        def run(key, rows):
+            import pyarrow as pa
+
+            n = rows.num_rows
+            rows = rows.drop_columns("__group").append_column("sequence_id", pa.array([key[0].as_py()] * n, pa.int64()))
+            return rows.append_column("offset", pa.array([0] * n, pa.int64())).append_column("light", pa.array([False] * n, pa.bool_()))
+
+        return run
+
+    monkeypatch.setattr(packing, "group_packer", group_size_as_sequence)
+    frame = spark.range(10_000).selectExpr("cast(null as long) as doc_id", "'same text' as text")
+    sizes = [r["count"] for r in pack(frame, tokenizer, group_size=1000).groupBy("sequence_id").count().collect()]
+    assert sum(sizes) == 10_000 and len(sizes) == 10 and max(sizes) < 1200
+
+
 def test_packing_round_trip(spark, tokenizer):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer)
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["alpha", "Beta!", "7", "ünï"]) for _ in range(rng.choice([0, 1, 5, 20, 33]))) for _ in range(80)] + [None, "", "q " * 500]
-    frame = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, length string")
+    frame = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, row string")
     rows = pack(frame, tokenizer, capacity=32, group_size=20).collect()
     ids = {i: [*plain.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
     seen = {}
@@ -137,6 +165,30 @@ def test_local_search_empties_bins():
     assert all(sum(lengths[i] for i in b) <= 2048 for b in better)
     fill = lambda bins: sum(sum(lengths[i] for i in b) ** 2 for b in bins)
     assert fill(better) > fill(first) and len(better) <= len(first) - 5
+    assert not steps_left(better, lengths, 2048)
+
+
+def steps_left(bins, lengths, capacity):
+    """By brute force: can a fuller bin gain from a lighter one by a move, or by exchanging one for one or two for one?"""
+    from itertools import combinations, permutations
+
+    parts = lambda b: [c for k in range(3) for c in combinations([lengths[i] for i in b], k)]
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    for a, b in permutations([k for k in range(len(bins)) if fill[k] < capacity], 2):
+        for x in parts(bins[a]) if fill[a] <= fill[b] else ():
+            for y in parts(bins[b]):
+                if x and len(x) + len(y) <= 3 and 0 < sum(x) - sum(y) <= capacity - fill[b]:
+                    return True
+    return False
+
+
+@pytest.mark.parametrize("low, high", [(1, 60), (20, 50), (34, 66), (51, 99)])
+def test_local_search_ends_in_a_local_optimum(low, high):
+    rng = random.Random(low)
+    lengths = [rng.randint(low, high) for _ in range(60)]
+    better = improve(best_fit(lengths, 100), lengths, 100)
+    assert sorted(i for b in better for i in b) == list(range(60))
+    assert len(better) == -(-sum(lengths) // 100) or not steps_left(better, lengths, 100)
 
 
 def brute_nearest(rows, queries, k):
