@@ -12,7 +12,7 @@ from .decontaminate import scan_contamination
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack
-from .secrets import find_secrets
+from .secrets import find_secrets, frequent_words
 from .url_filter import LIMIT, RULES, SOFT, STRICT, filter_urls
 
 
@@ -45,7 +45,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     joined = F.array_join(F.transform("s.spans", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    return find_secrets(docs, into="s").select(
+    return find_secrets(docs, words=frequent_words(docs), into="s").select(
         "doc_id", "s.n_assign", "s.n_access", "s.n_hex", "s.base_sha256", joined.alias("spans")
     )
 

@@ -11,7 +11,8 @@ from pyspark.sql import Row
 from lumenlog.llm import language_id
 from lumenlog.llm.decontaminate import scan_contamination
 from lumenlog.llm.line_dedup import dedup_lines
-from lumenlog.llm.secrets import ASSIGN, find_secrets, guess_cost, scan_secrets
+from lumenlog.llm import secrets
+from lumenlog.llm.secrets import ASSIGN, find_secrets, frequent_words, guess_cost, scan_secrets
 from lumenlog.llm.url_filter import filter_urls
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -137,6 +138,130 @@ def test_guess_cost_orders_values():
     assert max(costs[:5]) < costs[5] < 10 < costs[6]
     assert guess_cost("") == 0
     assert guess_cost("ab" * 300) < guess_cost("x9Q" + "ab" * 300)
+    for easy in ("a" * 100, "=" * 80, "*" * 40, "x" * 1_000_000, "ab" * 500_000):
+        assert guess_cost(easy, limit=10) < 10
+    assert guess_cost("a" * 100) < 5 and guess_cost("=" * 80) < 5 and guess_cost("qwertyuiop" * 12) < 6
+
+
+def test_long_values_are_weighed_quickly():
+    import time
+
+    rng = random.Random(1)
+    began = time.perf_counter()
+    for value in ("".join(rng.choice("abcXYZ019#$") for _ in range(1_000_000)), "password" * 125_000, "qwerty" * 170_000, "qwqw" * 250_000, "correcthorse" * 80_000 + "x9Q"):
+        guess_cost(value, limit=10)
+    assert time.perf_counter() - began < 5
+
+
+def brute_cost(value, rank):
+    """The cheapest way to cut the value, over all cuts; what a part costs is judged from the part alone."""
+    low = value.translate(LOWER)
+
+    def part(a, b):
+        x, lx, n = value[a:b], low[a:b], b - a
+        costs = [secrets.char_cost(x)] if n == 1 else []
+        for form, exact in ((lx, True), (lx.translate(secrets.LEET), False)):
+            if form in rank and n > 1:
+                costs.append(secrets.word_cost(x, lx, rank[form], exact))
+                break
+        if 4 <= n <= 10 and secrets.DATE.fullmatch(x):
+            costs.append(secrets.date_cost(n))
+        if n >= 3 and all((p, q) in secrets.NEXT for p, q in zip(lx, lx[1:])):  # noqa: B905
+            costs.append(secrets.walk_cost(n))
+        steps = {ord(q) - ord(p) for p, q in zip(x, x[1:])}  # noqa: B905
+        if n >= 3 and len(steps) == 1 and abs(steps.pop()) <= 2:
+            costs.append(secrets.sequence_cost(n))
+        if n >= 3:
+            costs += [brute_cost(x[:u], rank) + math.log10(n // u) for u in range(1, n // 2 + 1) if n % u == 0 and x == x[:u] * (n // u)]
+        return min(costs, default=math.inf)
+
+    best = [0.0]
+    for b in range(1, len(value) + 1):
+        best.append(min(best[a] + part(a, b) for a in range(b)))
+    return best[-1]
+
+
+def test_guess_cost_equals_brute_force():
+    rng = random.Random(8)
+    rank = secrets.RANK | {"summerhouse": 200}
+    pieces = ("password", "P4ssw0rd", "qwe", "asdf", "abc", "ace", "1999", "2024-01-31", "aaa", "xyxy", "summerhouse", "Z", "9", "#", "é", "cba", "321", "Tiger", "0o")
+    for _ in range(250):
+        value = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 6)))[:24]
+        if rng.random() < 0.3:
+            value = value[:8] * 2
+        want = brute_cost(value, rank)
+        assert guess_cost(value, rank) == pytest.approx(want), value
+        assert guess_cost(value, rank, 6.0) == pytest.approx(min(want, 6.0)), value
+
+
+def brute_base(text):
+    """The three fixed patterns, matched place by place."""
+    word = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    out = []
+
+    def run(at, chars):
+        end = at
+        while end < len(text) and text[end] in chars:
+            end += 1
+        return end
+
+    def assigned(at):
+        for key in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if text[at : at + len(key)].translate(LOWER) == key:
+                for quote in (1, 0):
+                    k = at + len(key)
+                    if quote and text[k : k + 1] not in ("'", '"'):
+                        continue
+                    k = run(k + quote, " ")
+                    if text[k : k + 1] not in (":", "="):
+                        continue
+                    k = run(k + 1, " ")
+                    k += text[k : k + 1] in ("'", '"') and bool(text[k : k + 1])
+                    end = run(k, word | set("+/_.=-"))
+                    if end > k:
+                        return k, end
+        return None
+
+    at = 0
+    while at < len(text):
+        if found := assigned(at):
+            if found[1] - found[0] >= 6:
+                out.append((at, 0, "assign", found[1]))
+            at = found[1]
+        else:
+            at += 1
+    for order, kind, start, chars, least in ((1, "access", "AKIA", word - set("abcdefghijklmnopqrstuvwxyz"), 20), (2, "hex", "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(start), chars) if text.startswith(start, at) else at
+            if end > at + len(start):
+                if end - at >= least:
+                    out.append((at, order, kind, end))
+                at = end
+            else:
+                at += 1
+    return ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(out))
+
+
+def test_base_spans_equal_brute_force(spark):
+    import hashlib
+
+    rng = random.Random(4)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", '"', "'", " ", "  ", ":", "=", "é", "\t", "abc", "Ab1+/_.=-", "AKIA", "ABCDEFGH12345678", "AKIAZZ", "0123456789abcdef", "deadbeef", "x"]
+    texts = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(0, 40)))) for i in range(300)] + [(900, None), (901, ""), (902, "y " * 40000 + "token=abcdefg")]
+    for r in find_secrets(docs_of(spark, texts), into="s").collect():
+        base = brute_base(r.text or "")
+        assert r.s.base_sha256 == hashlib.sha256(base.encode()).hexdigest(), r.text
+        kinds = [x.split(":")[0] for x in base.split(",") if x]
+        assert [kinds.count(k) for k in ("assign", "access", "hex")] == [r.s.n_assign, r.s.n_access, r.s.n_hex]
+
+
+def test_frequent_words(spark):
+    texts = [(i, "the Lantern burns, lantern! " + ("quartz" if i < 30 else "")) for i in range(200)] + [(300, "kjhgqwxz"), (301, None)]
+    rank = frequent_words(docs_of(spark, texts), share=0.2)
+    assert "lantern" in rank and "burns" in rank and "quartz" not in rank and "kjhgqwxz" not in rank and rank["password"] == 1
+    assert guess_cost("LanternBurns", rank) < guess_cost("LanternBurns")
+    assert frequent_words(docs_of(spark, [])) == secrets.RANK
 
 
 def test_secret_contexts_and_edges(spark):
