@@ -2,12 +2,15 @@
 
 Words are runs of digits, ASCII letters and non-ASCII characters, with A-Z lower-cased.  A window is
 ``window`` consecutive words of a benchmark item; an item of fewer words, but not none, is one window.
-All windows, written as ``" w1 w2 ... "``, go into one automaton that reads each normalised text once;
-the spaces at both ends make hits fall on whole words.  A document word inside any occurrence is hit.
+All distinct windows go into one automaton over words, not characters, which keeps it small (about 40 bytes a
+state, at most ``window`` states a benchmark word); it reads each text's words once, and hits are placed in the
+original text.  A document word inside any occurrence is hit.
 
 Defined results: null or wordless texts give zero counts and no items; null items and items without
-words have no windows; repeated documents are scanned each on their own; an empty benchmark hits nothing.
-Rows stay where they are: the scan is a projection and shuffles nothing.
+words have no windows; items that share an id count as one; repeated documents are scanned each on their own;
+an empty benchmark hits nothing; other columns pass through, but one named as ``into`` is replaced, and names
+that start with ``__dc_`` are the operator's own.  Rows stay where they are: the scan is a projection and
+shuffles nothing.
 """
 
 from __future__ import annotations
@@ -24,53 +27,57 @@ from .common import LOWER_FOLD, WORD_FOLD, binary_values, materialize
 
 RESULT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:bigint,end:bigint>>>"
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+WORD_SQL = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def windows_of(raw: bytes | None, window: int) -> list[tuple[str, int]]:
-    """Distinct windows of one item, with their word counts."""
-    words = (raw or b"").translate(WORD_FOLD).split()
-    if not words:
-        return []
-    size = min(window, len(words))
-    cut = {b" %b " % b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
-    return [(w.decode("latin-1"), size) for w in sorted(cut)]
-
-
-def build_automaton(items: list[tuple[str, bytes]], window: int):
-    """The automaton; a pattern's value is (its words, the items that hold it)."""
-    import ahocorasick
-
-    found: dict[str, tuple[int, list[str]]] = {}
-    for item_id, raw in items:
-        for pattern, size in windows_of(raw, window):
-            found.setdefault(pattern, (size, []))[1].append(item_id)
-    auto = ahocorasick.Automaton()
-    for pattern, value in found.items():
-        auto.add_word(pattern, value)
-    if found:
-        auto.make_automaton()
-    return auto if found else None
-
-
-def scan_text(auto, raw: bytes | None) -> dict:
+def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """(win, size, items): each distinct window as words with blanks between, and the sorted items that hold it."""
+    words = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD_SQL), F.lit(0))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words.alias("w")).where("item is not null and size(w) > 0")
+    size = F.least(F.lit(window), F.size("w"))
+    cut = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.array_join(F.slice("w", i, size), " "))
+    each = items.select("item", size.alias("size"), F.explode(F.array_distinct(cut)).alias("win"))
+    return each.groupBy("win", "size").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+class Words:
+    """The automaton over word numbers; a pattern's value is its place in ``sizes`` and ``items``."""
+
+    def __init__(self, windows: list[tuple[str, int, list[str]]]):
+        import ahocorasick
+
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE) if windows else None
+        self.number: dict[bytes, int] = {}  # 0 is any other word
+        self.sizes, self.items = [], []
+        for k, (win, size, items) in enumerate(windows):
+            self.auto.add_word(tuple(self.number.setdefault(w, len(self.number) + 1) for w in win.encode().split(b" ")), k)
+            self.sizes.append(size)
+            self.items.append(items)
+        if windows:
+            self.auto.make_automaton()
+
+    def hits(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """(place of the last word, pattern) of every occurrence."""
+        number = self.number.get
+        return list(self.auto.iter(tuple([number(w, 0) for w in words]))) if self.auto else []
+
+
+def scan_text(auto: Words, raw: bytes | None) -> dict:
     """Counts, items and character spans of hit words of one text."""
     import numpy as np
 
     words = (raw or b"").translate(WORD_FOLD).split()
     out = {"n_words": len(words), "n_hit": 0, "items": [], "spans": []}
-    if auto is None or not words:
-        return out
-    hits = list(auto.iter((b" %b " % b" ".join(words)).decode("latin-1")))
+    hits = auto.hits(words) if words else []
     if not hits:
         return out
-    ends = np.cumsum([len(w) + 1 for w in words])  # where the space after each word stands
     edge = np.zeros(len(words) + 1, np.int64)
     items: set[str] = set()
-    for at, (size, ids) in hits:
-        last = int(np.searchsorted(ends, at))
-        edge[last - size + 1] += 1
+    for last, k in hits:
+        edge[last - auto.sizes[k] + 1] += 1
         edge[last + 1] -= 1
-        items.update(ids)
+        items.update(auto.items[k])
     hit = np.cumsum(edge[:-1]) > 0
     places = [m.span() for m in WORD.finditer(raw.translate(LOWER_FOLD).decode("utf-8", "replace"))]
     step = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
@@ -78,8 +85,16 @@ def scan_text(auto, raw: bytes | None) -> dict:
     return out | {"n_hit": int(hit.sum()), "items": sorted(items), "spans": spans}
 
 
-def scanner(held, window: int):
-    """The scan as a column function; ``held`` is a broadcast list of (item_id, text)."""
+def automaton_of(held) -> Words:
+    """The automaton of a broadcast list of windows.  A worker process builds it once and keeps it beside the list."""
+    built = getattr(held, "automaton", None)
+    if built is None:
+        built = held.automaton = Words(held.value)
+    return built
+
+
+def scanner(held):
+    """The scan as a column function; ``held`` is a broadcast list of windows."""
 
     @arrow_udf(RESULT)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -91,7 +106,7 @@ def scanner(held, window: int):
                 ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             ]
         )
-        auto = build_automaton(held.value, window)
+        auto = automaton_of(held)
         for batch in batches:
             yield pa.array([scan_text(auto, raw) for raw in binary_values(batch)], kind)
 
@@ -126,34 +141,31 @@ def scan_contamination(
     window: int = 10,
     text: str = "text",
     into: str = "contamination",
-    max_benchmark_bytes: int = 32 << 20,
+    max_states: int = 4_000_000,
 ) -> DataFrame:
     """``docs`` with a struct column ``into``: n_words, n_hit, items, and spans of hit words in the original text.
 
-    The benchmark's size is summed before anything is sent: up to ``max_benchmark_bytes`` it becomes one
-    automaton in a broadcast.  A larger one is dealt by item into parts below that size, each scanned in
-    turn over the stored result of the one before, and spans and items of all parts are merged.
+    The automaton's states are bounded before anything is sent: up to ``max_states`` (about 160 MB a worker) all
+    windows go into one.  More of them are dealt by window into parts below that number, each scanned in turn over
+    the stored result of the one before, and spans and items of all parts are merged.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("raw")).where(
-        "item_id is not null and raw is not null"
-    )
-    total = items.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0))).first()[0]
-    parts = max(1, -(-total // max_benchmark_bytes))
+    windows = materialize(benchmark_windows(benchmark, window), "windows")
+    parts = max(1, -(-(windows.agg(F.sum("size")).first()[0] or 0) // max_states))
 
     def part(k: int):
-        chosen = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
-        return spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in chosen.collect()])
+        chosen = windows if parts == 1 else windows.where(F.pmod(F.xxhash64("win"), F.lit(parts)) == k)
+        return scanner(spark.sparkContext.broadcast([tuple(r) for r in chosen.collect()]))(F.col(text))
 
-    out = docs.withColumn(into, scanner(part(0), window)(F.col(text)))
+    out = docs.withColumn(into, part(0))
     for k in range(1, parts):
-        out = materialize(out, "contamination").withColumn("__more", scanner(part(k), window)(F.col(text)))
-        a, b = F.col(into), F.col("__more")
-        words = F.regexp_extract_all(F.lower("__hit"), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0))
-        out = out.withColumn("__spans", merged(a["spans"], b["spans"]))
+        out = materialize(out, "contamination").withColumn("__dc_more", part(k))
+        a, b = F.col(into), F.col("__dc_more")
+        words = F.regexp_extract_all(F.translate("__dc_hit", UPPER, LOWER), F.lit(WORD_SQL), F.lit(0))
+        out = out.withColumn("__dc_spans", merged(a["spans"], b["spans"]))
         out = out.withColumn(
-            "__hit",
-            F.array_join(F.transform("__spans", lambda s: F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])), " "),
+            "__dc_hit",
+            F.array_join(F.transform("__dc_spans", lambda s: F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])), " "),
         )
         out = out.withColumn(
             into,
@@ -161,7 +173,7 @@ def scan_contamination(
                 a["n_words"].alias("n_words"),
                 F.size(words).cast("bigint").alias("n_hit"),
                 F.array_sort(F.array_union(a["items"], b["items"])).alias("items"),
-                F.col("__spans").alias("spans"),
+                F.col("__dc_spans").alias("spans"),
             ),
-        ).drop("__more", "__spans", "__hit")
+        ).drop("__dc_more", "__dc_spans", "__dc_hit")
     return out

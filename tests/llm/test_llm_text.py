@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Row
 
 from lumenlog.llm import language_id
-from lumenlog.llm.decontaminate import scan_contamination
+from lumenlog.llm.decontaminate import automaton_of, scan_contamination
 from lumenlog.llm.line_dedup import dedup_lines
 from lumenlog.llm import secrets
 from lumenlog.llm.secrets import ASSIGN, find_secrets, frequent_words, guess_cost, scan_secrets
@@ -47,7 +47,7 @@ def brute_contamination(texts, items, n=10):
     return out
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 60])
+@pytest.mark.parametrize("limit", [1 << 20, 90])
 def test_contamination_equals_brute_force(spark, limit):
     rng = random.Random(3)
     vocabulary = ["Ab", "cd", "É", "x1", "Zz", "日本"]
@@ -55,7 +55,7 @@ def test_contamination_equals_brute_force(spark, limit):
     items = [(i, line(rng.choice([0, 2, 5, 14]))) for i in range(12)] + [(50, None), (51, ""), (None, line(12))]
     texts = [(i, line(rng.randrange(0, 60))) for i in range(40)] + [(100, None), (101, ""), (None, "Ab cd"), (7, line(30)), (102, items[3][1] or "x")]
     texts += [(103, "q " * 30000 + (items[2][1] or ""))]
-    got = scan_contamination(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string"), into="c", max_benchmark_bytes=limit).collect()
+    got = scan_contamination(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string"), into="c", max_states=limit).collect()
     expected = Counter()
     for i, t in texts:
         n, hit, ids = brute_contamination([(i, t)], [x for x in items if x[0] is not None])[i]
@@ -65,6 +65,14 @@ def test_contamination_equals_brute_force(spark, limit):
         assert sum(len(words(r.text[s.start : s.end])) for s in r.c.spans) == r.c.n_hit
 
 
+def test_the_automaton_is_built_once_a_worker():
+    from types import SimpleNamespace
+
+    held = SimpleNamespace(value=[("a b", 2, ["x"])])
+    assert automaton_of(held) is automaton_of(held)
+    assert automaton_of(held).hits([b"b", b"a", b"b", b"zz"]) == [(2, 0)]
+
+
 def test_contamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.c.n_hit for r in scan_contamination(docs_of(spark, [(1, "a b")]), none, into="c").collect()] == [0]
