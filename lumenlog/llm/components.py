@@ -20,7 +20,10 @@ def _star(both: DataFrame, name: str) -> DataFrame:
 
 
 def connected_components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
-    """(vertex, component) of every vertex that is not the least of its component; ``links`` has longs a and b."""
+    """(vertex, component) of every vertex that is not the least of its component; ``links`` has longs a and b.
+
+    It fails if the components have not settled after ``rounds``, which are enough for 2 ** rounds vertices in a row.
+    """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialize(edges, "links")
     before = None
@@ -36,4 +39,6 @@ def connected_components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"the components did not settle in {rounds} rounds")
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component"))

@@ -3,25 +3,29 @@
 A document's set holds the hashes of its distinct shingles of ``WORDS`` words (A-Z lower-cased, cut at ASCII white
 space); one of fewer words is a single shingle.  Documents of equal sets are one class.  From then on:
 
-1. Each class gets ``POSITIONS`` minwise tokens.  At the root of every tree two of them are chosen; classes that
-   agree on one go to the same child node, so all trees together make ``ROOTS`` nodes a class.
+1. Each class gets ``POSITIONS`` minwise tokens.  At the root of every tree one of them is chosen; classes that
+   agree on it go to the same child node, so all trees together make ``ROOTS`` nodes a class.
 2. A node of at most ``node_limit`` classes is compared exhaustively, by the share of equal minwise tokens.  A
    larger one branches again by two more tokens, chosen by the node's own hash.  What is still too large at
-   the last level is cut into blocks and every pair of blocks is compared, so no node is skipped or capped.
+   the last level is compared in blocks (4), so no node is skipped or capped.
 3. Pairs that look alike enough chain classes into candidate groups.  Inside a group all pairs that could
    matter are compared on their full sets; only these exact comparisons make links.
-4. Links make components; each component's smallest id stands for it.
+4. A group too large for one task meets in random blocks first, twice, and what is confirmed there becomes one part.
+   Only if a group is then still in several parts do the smaller parts meet every block.  A family of near copies
+   is thus read twice, however large it is; what costs more are large groups whose members look alike and are not.
+5. Links make components; the smallest (id, hash of the text) of each stands for it.
 
 Recall: a pair of similarity 0.75 shares none of the 10 root nodes with a probability of 1e-6, and looks too
 unlike to be a candidate with one of 4e-4; both fall quickly with similarity and with further links.
 
 Scale: texts are read twice (signatures, then the sets of candidates).  Every group that meets in a task is
 bounded: nodes by ``node_limit`` classes, candidate groups by ``group_limit`` classes and ``group_shingles``
-shingles, beyond which they are dealt to pairs of blocks.  Copies collapse into classes before they meet.
+shingles.  Copies collapse into classes before they meet, and the few classes of very many copies go back to
+their rows by a broadcast, whose size is bound by their number.
 
 Defined results: null and wordless texts have 0 shingles and are linked with nothing; so are rows with a null
-id, whose component is null and which are kept; rows that share an id are each returned; other columns
-do not matter.
+id, whose component is null and which are kept; rows that share an id are each judged by their own text, and
+rows equal in id and text alike; an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -43,7 +47,6 @@ LEVELS = 4
 #: Equal minwise tokens, of POSITIONS, that make a pair a candidate.
 ALIKE = 36
 SIGNATURE = "struct<fp:binary,n:bigint,sig:binary,tokens:array<bigint>>"
-FULL_SET = "struct<fp:binary,s:binary>"
 
 
 class WordHashes(dict):
@@ -112,13 +115,9 @@ def signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def full_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    import xxhash
-
     hashes = WordHashes()
-    kind = pa.struct([("fp", pa.binary()), ("s", pa.binary())])
     for batch in batches:
-        sets = [shingle_set(raw, hashes).tobytes() for raw in binary_values(batch)]
-        yield pa.array([{"fp": xxhash.xxh3_128_digest(s), "s": s} for s in sets], kind)
+        yield pa.array([shingle_set(raw, hashes).tobytes() for raw in binary_values(batch)], pa.binary())
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -165,13 +164,13 @@ def chains(alike) -> list[tuple[int, int]]:
 
 
 def alike_in_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, rep, sig) rows sorted by node g to candidate edges (a, b)."""
+    """(g, rep, known, sig) rows sorted by node g to candidate edges (a, b)."""
     import numpy as np
 
     for table in sorted_groups(batches):
         table = table.combine_chunks()
         g, rep = table.column(0).to_numpy(), table.column(1).to_numpy()
-        sig = np.frombuffer(b"".join(table.column(2).to_pylist()), "<u4").reshape(len(g), POSITIONS)
+        sig = np.frombuffer(b"".join(table.column(3).to_pylist()), "<u4").reshape(len(g), POSITIONS)
         start = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
         size = np.diff(np.concatenate((start, [len(g)])))
         two = start[size == 2]
@@ -192,20 +191,24 @@ def alike_in_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(a[real]), pa.array(b[real])], ["a", "b"])
 
 
-def linked_in_group(reps, sets, numerator: int, denominator: int) -> list[tuple[int, int]]:
-    """(least id, id) of every class that exact comparisons connect with another one."""
+def linked_in_group(reps, known, sets, numerator: int, denominator: int) -> list[tuple[int, int]]:
+    """Edges (class, class) that connect the group as its exact links do; classes of equal ``known`` are connected already."""
     import numpy as np
 
     size = np.array([len(s) for s in sets])
     start = np.cumsum(size) - size
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     mask = np.zeros(int(ids.max()) + 1, np.int32)
+    part = np.unique(known, return_inverse=True)[1]
+    by_part = np.argsort(part, kind="stable")
+    edge = np.searchsorted(part[by_part], np.arange(part.max() + 2))
+    together = lambda i: by_part[edge[part[i]] : edge[part[i] + 1]]
     unseen, out = np.ones(len(sets), bool), []
     for first in np.argsort(reps, kind="stable").tolist():
         if not unseen[first]:
             continue
-        unseen[first] = False
-        todo = [first]
+        todo = together(first).tolist()
+        unseen[todo] = False
         while todo:
             u = todo.pop()
             n = size[u]
@@ -220,9 +223,12 @@ def linked_in_group(reps, sets, numerator: int, denominator: int) -> list[tuple[
             both = np.add.reduceat(mask[ids[spot]], begin)
             mask[own] = 0
             near = left[denominator * both >= numerator * (sizes + n - both)]
-            unseen[near] = False
-            out += [(int(reps[first]), int(reps[v])) for v in near.tolist()]
-            todo += near.tolist()
+            for v in near.tolist():
+                out.append((int(reps[first]), int(reps[v])))
+                if unseen[v]:
+                    more = together(v)
+                    unseen[more] = False
+                    todo += more.tolist()
     return out
 
 
@@ -232,25 +238,70 @@ def links_of_groups(numerator: int, denominator: int):
 
         for table in sorted_groups(batches):
             table = table.combine_chunks()
-            g, rep = table.column(0).to_numpy(), table.column(1).to_numpy()
-            sets = [np.frombuffer(s, np.uint64) for s in table.column(2).to_pylist()]
+            g, rep, known = (table.column(k).to_numpy() for k in range(3))
+            sets = [np.frombuffer(s, np.uint64) for s in table.column(3).to_pylist()]
             start = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))).tolist()
             found = []
             for a, b in zip(start, [*start[1:], len(g)], strict=True):
                 if b - a > 1:
-                    found += linked_in_group(rep[a:b], sets[a:b], numerator, denominator)
+                    found += linked_in_group(rep[a:b], known[a:b], sets[a:b], numerator, denominator)
             cols = list(zip(*found, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], ["a", "b"])
 
     return run
 
 
-def in_blocks(members: DataFrame, key: str, parts: str) -> DataFrame:
-    """Deals members of keys with ``parts`` over 1 to all pairs of blocks; adds ``g``, equal for those that meet."""
-    block = F.pmod(F.xxhash64("rep", F.lit("block")), F.col(parts))
-    other = F.explode(F.when(F.col(parts) > 1, F.sequence(F.lit(0).cast("long"), F.col(parts) - 1)).otherwise(F.array(F.lit(0).cast("long"))))
-    dealt = members.withColumn("__i", block).withColumn("__j", other)
-    return dealt.withColumn("g", F.xxhash64(key, F.least("__i", "__j"), F.greatest("__i", "__j"))).drop("__i", "__j")
+def met(rows: DataFrame, key: Column, payload: str, compare) -> DataFrame:
+    """Edges that ``compare`` finds among the rows of equal key."""
+    dealt = rows.select(key.alias("g"), "rep", "known", payload).repartition("g").sortWithinPartitions("g")
+    return materialize(dealt.mapInArrow(compare, "a long, b long").where("a <> b").distinct(), "edges")
+
+
+def connected_in_groups(members: DataFrame, group: str, parts: Column, payload: str, compare, *, rounds: int = 2) -> DataFrame:
+    """Edges (a, b) that connect the members (group, rep, payload) of each group as a comparison of all its pairs would.
+
+    ``parts`` says how many blocks a group fills.  Those of one are compared at once.  Larger ones meet in random blocks
+    ``rounds`` times, then the members outside the largest connected part of their group meet all others, block by block.
+    """
+    rows = members.select(group, "rep", payload, parts.cast("long").alias("parts"), F.col("rep").alias("known"))
+    edges = met(rows.where("parts = 1"), F.col(group), payload, compare)
+    large = rows.where("parts > 1")
+    if not large.head(1):
+        return edges
+    large = materialize(large, "large")
+    own = None
+    for k in range(rounds):
+        block = F.pmod(F.xxhash64("rep", F.lit(k)), F.col("parts"))
+        more = met(known_parts(large, own), F.xxhash64(group, block, F.lit(k)), payload, compare)
+        own = more if own is None else own.unionByName(more)
+    parted = materialize(known_parts(large.drop(payload), own), "parted")
+    size = parted.groupBy(group, "known").agg(F.count(F.lit(1)).alias("n"), F.max("parts").alias("parts"))
+    load = size.groupBy(group).agg(F.count(F.lit(1)).alias("pieces"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("known", "n").alias("main"), F.max("parts").alias("parts"))
+    # blocks for the largest part and for the rest, in proportion to their members
+    blocks = lambda n: F.ceil(F.col("parts") * n / F.col("all")).cast("long")
+    load = load.where("pieces > 1").select(group, "main", blocks(F.col("most")).alias("mains"), blocks(F.col("all") - F.col("most")).alias("rests"))
+    load = materialize(load, "open-groups")
+    if load.head(1):
+        rest = F.col("known") != F.col("main")
+        ranks = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+        at = F.pmod(F.xxhash64("rep", F.lit("rest")), F.when(rest, F.col("rests")).otherwise(F.col("mains")))
+        # a pair of blocks is (rest, rest), lower number first, or (rest, main), whose number is negative
+        pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+        meets = F.when(rest, F.concat(F.transform(ranks(F.col("rests")), lambda j: pair(at, j)), F.transform(ranks(F.col("mains")), lambda j: pair(at, -1 - j)))).otherwise(
+            F.transform(ranks(F.col("rests")), lambda j: pair(j, -1 - at))
+        )
+        spread = parted.join(load, group).select(group, "rep", "known", F.explode(meets).alias("pair"))
+        sent = spread.join(large.select("rep", group, payload), ["rep", group])
+        own = own.unionByName(met(sent, F.xxhash64(group, "pair", F.lit("rest")), payload, compare))
+    return edges.unionByName(own)
+
+
+def known_parts(rows: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """``rows`` with ``known``, the least member of the part that the edges make of each member's surroundings."""
+    if edges is None:
+        return rows
+    found = connected_components(edges).withColumnsRenamed({"vertex": "rep", "component": "known"})
+    return rows.drop("known").join(found, "rep", "left").withColumn("known", F.coalesce("known", "rep"))
 
 
 def candidate_edges(reps: DataFrame, node_limit: int) -> DataFrame:
@@ -261,13 +312,8 @@ def candidate_edges(reps: DataFrame, node_limit: int) -> DataFrame:
         sizes = materialize(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "nodes")
         members = materialize(nodes.join(sizes, "node"), "members").join(reps.select("rep", "sig"), "rep")
         last = level == LEVELS
-        small = in_blocks(
-            members.withColumn("parts", F.ceil(F.col("size") * 2 / node_limit)) if last else members.where(F.col("size") <= node_limit).withColumn("parts", F.lit(1).cast("long")),
-            "node",
-            "parts",
-        )
-        edges = small.select("g", "rep", "sig").repartition("g").sortWithinPartitions("g").mapInArrow(alike_in_nodes, "a long, b long")
-        edges = materialize(edges.distinct(), "alike")
+        chosen = members if last else members.where(F.col("size") <= node_limit)
+        edges = connected_in_groups(chosen, "node", F.ceil(F.col("size") / node_limit), "sig", alike_in_nodes)
         found = edges if found is None else found.unionByName(edges)
         if last or not sizes.where(F.col("size") > node_limit).head(1):
             return found
@@ -289,35 +335,39 @@ def near_duplicates(
     text: str = "text",
     similarity: tuple[int, int] = (3, 4),
     node_limit: int = 2048,
-    group_limit: int = 2048,
-    group_shingles: int = 2_000_000,
+    group_limit: int = 512,
+    group_shingles: int = 1_000_000,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row; ``similarity`` is the least Jaccard as a fraction."""
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = materialize(own.withColumn("s", arrow_udf(SIGNATURE)(signature).asNondeterministic()("text")).select("doc_id", "s.*"), "signatures")
-    reps = materialize(
-        signed.where("fp is not null and doc_id is not null")
-        .groupBy("fp")
-        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("tokens").alias("tokens")),
-        "classes",
+    """doc_id, n_shingles, component_id, kept, text_hash and first of every row; ``similarity`` is the least Jaccard as
+    a fraction.  ``kept`` says that the row has its component's id, ``first`` that it has its text too."""
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    signed = materialize(own.withColumn("s", arrow_udf(SIGNATURE)(signature).asNondeterministic()("text")).select("doc_id", "text_hash", "s.*"), "signatures")
+    whole = F.col("fp").isNotNull() & F.col("doc_id").isNotNull()
+    classes = signed.where(whole).groupBy("fp").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("tokens").alias("tokens")
     )
+    reps = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # a class's number is what is stored
     groups = connected_components(candidate_edges(reps, node_limit))
     every = groups.select(F.col("vertex").alias("rep"), "component").unionByName(groups.select(F.col("component").alias("rep"), "component").distinct())
-    members = materialize(every.join(reps.select("rep", "n", "fp"), "rep"), "members")
+    members = materialize(every.join(reps.select("rep", "n", "at"), "rep"), "members")
     load = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("load"))
     parts = F.greatest(F.ceil(F.col("size") / group_limit), F.ceil(F.col("load") / group_shingles))
-    load = materialize(load.select("component", F.when(parts > 1, 2 * parts).otherwise(1).cast("long").alias("parts")), "groups")
-    dealt = members.join(load, "component").select("rep", "fp", "component", "parts")
-    texts = own.join(dealt, F.col("doc_id") == F.col("rep")).select("rep", "component", "parts", F.col("fp").alias("__fp"), arrow_udf(FULL_SET)(full_set).asNondeterministic()("text").alias("f"))
-    sets = texts.where(F.col("f.fp") == F.col("__fp")).select("rep", "component", "parts", F.col("f.s").alias("s"))
-    links = (
-        in_blocks(sets, "component", "parts").select("g", "rep", "s").repartition("g").sortWithinPartitions("g").mapInArrow(links_of_groups(*similarity), "a long, b long")
-    )
+    load = materialize(load.select("component", parts.cast("long").alias("parts")), "groups")
+    dealt = members.join(load, "component").select("rep", "component", "parts", F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash"))
+    sets = own.join(dealt, ["doc_id", "text_hash"]).select("rep", "component", "parts", arrow_udf("binary")(full_set).asNondeterministic()("text").alias("s"))
+    links = connected_in_groups(sets, "component", F.col("parts"), "s", links_of_groups(*similarity))
     joined = connected_components(links)
-    classes = materialize(
-        reps.select("fp", "rep").join(joined, F.col("rep") == F.col("vertex"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")),
-        "components",
+    parted = joined.select(F.col("vertex").alias("rep"), "component").unionByName(joined.select(F.col("component").alias("rep"), "component").distinct())
+    parted = materialize(parted.join(reps.select("rep", "at"), "rep"), "parts")
+    best = parted.join(parted.groupBy("component").agg(F.min("at").alias("best")), "component").select("rep", "best")
+    found = materialize(reps.select("fp", "rep", "at", "copies").join(best, "rep", "left").select("fp", "copies", F.coalesce("best", "at").alias("best")), "components")
+    # classes with over a ten-thousandth of all rows are ten thousand at most
+    hot = F.broadcast(found.where(F.col("copies") > max(1000, signed.count() // 10_000)).select("fp", "best"))
+    real = signed.where(whole)
+    out = real.join(hot, "fp").unionByName(real.join(hot, "fp", "left_anti").join(found.select("fp", "best"), "fp"))
+    alone = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
+    out = out.unionByName(signed.where(~whole).withColumn("best", alone))
+    id_, first = F.col("best.doc_id"), (F.col("best.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("best.text_hash") == F.col("text_hash"))
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), id_.alias("component_id"), F.col("doc_id").eqNullSafe(id_).alias("kept"), "text_hash", F.coalesce(first, F.lit(True)).alias("first")
     )
-    out = signed.select("doc_id", "fp", F.col("n").alias("n_shingles")).join(classes, "fp", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

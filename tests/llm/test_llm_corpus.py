@@ -7,8 +7,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lumenlog.llm import packing, quality, toxicity
+from lumenlog.llm import near_dedup, packing, quality, toxicity
 from lumenlog.llm.ann import nearest_neighbours
 from lumenlog.llm.components import connected_components
 from lumenlog.llm.near_dedup import near_duplicates
@@ -65,9 +66,9 @@ def test_near_duplicates_equal_brute_force(spark, limits):
 
 
 def test_near_duplicates_edges(spark):
-    frame = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (9, None)], "doc_id long, text string")
-    got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in near_duplicates(frame).collect())
-    assert got == [(-1, -1, True), (4, 4, True), (4, 4, True), (9, 9, True)]
+    frame = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (9, None), (3, "z y x w v u"), (4, "z y x w v u")], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.text or "", r.component_id or -1, r.kept, r.first) for r in near_duplicates(frame).join(frame.selectExpr("text", "xxhash64(text) as text_hash").distinct(), "text_hash").collect())
+    assert got == [(-1, "a b c d e f", -1, True, True), (3, "z y x w v u", 3, True, True), (4, "a b c d e f", 4, True, True), (4, "a b c d e f", 4, True, True), (4, "z y x w v u", 3, False, False), (9, "", 9, True, True)]
     assert near_duplicates(frame.where("false")).count() == 0
 
 
@@ -76,6 +77,42 @@ def test_components_of_chains_and_stars(spark):
     got = {r.vertex: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(1, 41)} | {k: 100 for k in range(101, 160)} | {201: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame(links, "a long, b long"), rounds=2)
+
+
+def test_large_groups_meet_block_by_block(spark):
+    rng = random.Random(5)
+    # numbers on a line: those closer than 3 are linked; groups of different density, from one part to many
+    rows = [(g, g * 10_000 + k, rng.randrange(0, spread)) for g, (n, spread) in enumerate([(5, 9), (60, 30), (80, 2000), (50, 120), (1, 5)]) for k in range(n)]
+    rows = [(g, r, x) for g, r, x in rows]
+    frame = spark.createDataFrame(rows, "grp long, rep long, x long")
+
+    def compare(batches):
+        import pyarrow as pa
+
+        for table in near_dedup.sorted_groups(batches):
+            by = {}
+            for g, r, _, x in zip(*(table.column(k).to_pylist() for k in range(4)), strict=True):
+                by.setdefault(g, []).append((r, x))
+            assert max(map(len, by.values())) < 50
+            edges = [(a, b) for own in by.values() for a, x in own for b, y in own if a < b and abs(x - y) < 3]
+            cols = list(zip(*edges, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], ["a", "b"])
+
+    sizes = frame.groupBy("grp").agg(F.count("*").alias("n"))
+    edges = near_dedup.connected_in_groups(frame.join(sizes, "grp"), "grp", F.ceil(F.col("n") / 8), "x", compare)
+    got = {r.vertex: r.component for r in connected_components(edges).collect()}
+    want = {}
+    for g in {g for g, _, _ in rows}:
+        own, part = sorted((x, r) for h, r, x in rows if h == g), []
+        for k, (x, r) in enumerate(own):
+            if k and x - own[k - 1][0] >= 3:
+                want |= {v: min(part) for v in part if v != min(part)}
+                part = []
+            part.append(r)
+        want |= {v: min(part) for v in part if v != min(part)}
+    assert got == want
 
 
 @pytest.fixture(scope="module")
