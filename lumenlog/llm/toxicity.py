@@ -3,18 +3,20 @@
 Voters are lists of insults, shouting patterns, and patterns mined from the labelled sample: a word or the
 first 4 to 7 bytes of one, if it stands in toxic texts at least ``LIFT`` times as often and more often than
 chance makes any of all the features tried.  Copies in the sample count once, or every word of a toxic text
-with many copies would look like a voter.  The label model takes a
-text's true label as hidden.  Expectation maximisation estimates how often each voter fires on either
-label; the residual correlations between voters given the label are estimated too, and voters that say the
-same share one vote between them.  The given label is one more voter of fixed accuracy.  A logistic
-regression is then fitted to the posterior labels, over the lists, patterns, words and word beginnings that
-voted, and scores every whole text as a projection without a shuffle.
+with many copies would look like a voter.  Voters that fire on the same texts are one.
+
+The label model takes a text's true label as hidden.  Expectation maximisation estimates, to convergence, how
+often each voter fires on either label, and in every round the correlations between voters given the label: voters
+that say the same share one vote between them.  The given label is one more voter, whose accuracy is estimated
+like that of any other.  A logistic regression is then fitted to the posterior labels, over the lists, patterns,
+words and word beginnings that voted, and scores every whole text as a projection without a shuffle.
 
 Training takes at most ``rows_per_label`` labelled rows of each label (a documented bound), weighted back.
 
 Defined results: null and empty texts hold no feature and score the intercept; null labels teach nothing;
-of rows that share an id in the labels one is used; without labels of both kinds the score is the share
-of label 1 (0 without any); repeated rows score alike.
+of rows that share an id in the labels or documents one is used; without labels of both kinds the score is the share
+of label 1 (0 without any); repeated rows score alike; an empty table gives no rows; other columns pass through,
+but one named as ``into`` is replaced.
 """
 
 from __future__ import annotations
@@ -69,28 +71,34 @@ def text_features(raw: bytes | None, known: Features) -> set[int]:
     return set(patterns(raw)).union(*map(known.__getitem__, set(raw.translate(WORD_FOLD).split())))
 
 
-def label_model(votes, given, weights, *, rounds: int = 15, trust: float = 0.97):
-    """Posterior of label 1 for each text.  ``votes``: texts by voters, 0 or 1; ``given``: labels."""
+def label_model(votes, given, weights, *, trust: float = 0.9, still: float = 1e-4, rounds: int = 1000):
+    """Posterior of label 1 for each text, and how often the given label is 1 on either label.
+
+    ``votes``: texts by voters, 0 or 1; ``given``: labels.  ``trust`` in the labels is where the estimation starts.  It ends
+    when no posterior moves by ``still``, or after ``rounds``.
+    """
     import numpy as np
 
-    prior = float((given * weights).sum() / weights.sum())
+    share = weights * (len(given) / weights.sum())
+    prior = float((given * share).sum() / share.sum())
     p = np.where(given == 1, trust, 1 - trust)
-    discount = np.ones(votes.shape[1])
-    for k in range(rounds):
-        w1, w0 = p * weights, (1 - p) * weights
+    for _ in range(rounds):
+        w1, w0 = p * share, (1 - p) * share
         a1 = (votes.T @ w1 + 0.05) / (w1.sum() + 1)  # how often each voter fires on toxic texts
         a0 = (votes.T @ w0 + 0.05) / (w0.sum() + 1)
-        if k == 2:  # correlations of voters given the label
-            rest = votes - (p[:, None] * a1 + (1 - p)[:, None] * a0)
-            cov = (rest * p[:, None]).T @ rest / max(p.sum(), 1e-9)
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            together = np.maximum(cov / np.outer(sd, sd), 0)
-            np.fill_diagonal(together, 1)
-            discount = 1 / np.where(together > 0.2, together, 0).sum(1).clip(1)
-        z = np.log(prior / (1 - prior)) + np.where(given == 1, 1, -1) * np.log(trust / (1 - trust))
-        z = z + votes @ (discount * np.log(a1 / a0)) + (1 - votes) @ (discount * np.log((1 - a1) / (1 - a0)))
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    return p
+        t1, t0 = ((given @ w + 1) / (w.sum() + 2) for w in (w1, w0))
+        cov = (votes * w1[:, None]).T @ votes / max(w1.sum(), 1e-9) - np.outer(a1, a1)
+        sd = np.sqrt(a1 * (1 - a1))
+        together = np.clip(cov / np.outer(sd, sd), 0, 1)
+        together[together < max(0.1, 3 / np.sqrt(max(p.sum(), 1)))] = 0  # no more than chance
+        np.fill_diagonal(together, 1)
+        own = 1 / together.sum(1)  # a voter's share of the vote that it has in common with others
+        z = np.log(prior / (1 - prior)) + np.where(given == 1, np.log(t1 / t0), np.log((1 - t1) / (1 - t0)))
+        z = z + votes @ (own * np.log(a1 / a0)) + (1 - votes) @ (own * np.log((1 - a1) / (1 - a0)))
+        before, p = p, 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        if np.abs(p - before).max() < still:
+            break
+    return p, (t1, t0)
 
 
 def significant(n1, n0, total1: int, total0: int, tried: int):
@@ -111,18 +119,21 @@ def fit(votes, given, weights, *, steps: int = 400, rate: float = 0.1, ridge: fl
     """Runs the label model over the votes and fits the classifier to its posterior: bias and weights."""
     import numpy as np
 
-    p = label_model(votes, given, weights)
+    # voters that fire on the same texts are one voter, whose weight they share
+    _, first, one, shared = np.unique(np.packbits(votes.astype(bool), axis=0), axis=1, return_index=True, return_inverse=True, return_counts=True)
+    votes = votes[:, first].astype(np.float32)
+    p, _ = label_model(votes, given, weights)
     share = weights / weights.sum()
     mean = float(p @ share)
     w, b = np.zeros(votes.shape[1]), float(np.log(mean / (1 - mean)))
-    first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    moment, square = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        e = (1 / (1 + np.exp(-np.clip(votes @ w + b, -40, 40))) - p) * share
-        g = np.append(votes.T @ e + ridge * w / max(len(w), 1), e.sum())
-        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
-        move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-10)
+        e = (1 / (1 + np.exp(-np.clip(votes @ w.astype(np.float32) + b, -40, 40))) - p) * share
+        g = np.append(votes.T @ e.astype(np.float32) + ridge * w / max(len(w), 1), e.sum())
+        moment, square = 0.9 * moment + 0.1 * g, 0.99 * square + 0.01 * g * g
+        move = rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-10)
         w, b = w - move[:-1], b - move[-1]
-    return b, w
+    return b, (w / shared)[one.ravel()]
 
 
 def without_copies(sample: DataFrame) -> DataFrame:
@@ -135,7 +146,7 @@ def without_copies(sample: DataFrame) -> DataFrame:
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows_per_label: int = 4000, most_voters: int = 600, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows_per_label: int = 4000, doc_id: str = "doc_id", text: str = "text"
 ) -> dict:
     """The classifier; ``labels`` must hold training rows only."""
     import numpy as np
@@ -159,12 +170,11 @@ def learn(
     tried = counts.count()
     got = counts.where(f"n1 >= 3 or f < {RESERVED}").toArrow().sort_by("f")
     f, n1, n0 = (got[c].to_numpy() for c in ("f", "n1", "n0"))
-    mined = np.flatnonzero((f >= RESERVED) & significant(n1.astype(float), n0.astype(float), size[1], size[0], tried))
-    voters = np.concatenate([f[f < RESERVED], f[mined[np.argsort(-n1[mined], kind="stable")][:most_voters]]]).tolist()
+    voters = f[(f < RESERVED) | significant(n1.astype(float), n0.astype(float), size[1], size[0], tried)].tolist()
     chosen = own.select("i", "label", F.array_intersect("f", F.array(*map(F.lit, voters)).cast("array<int>")).alias("f")).toArrow().sort_by("i")
     y = chosen["label"].to_numpy()
     place = {x: k for k, x in enumerate(voters)}
-    votes = np.zeros((len(y), len(voters)))
+    votes = np.zeros((len(y), len(voters)), np.uint8)
     for k, own_f in enumerate(chosen["f"].to_pylist()):
         votes[k, [place[x] for x in own_f]] = 1
     weights = np.where(y == 1, n[1] / total / (y == 1).mean(), n[0] / total / (y == 0).mean())

@@ -309,5 +309,61 @@ def test_label_model_finds_accurate_voters():
     y = (rng.random(2000) < 0.3).astype(float)
     votes = np.stack([np.where(y == 1, rng.random(2000) < a, rng.random(2000) < b) for a, b in ((0.8, 0.02), (0.7, 0.05), (0.5, 0.5))], 1).astype(float)
     given = np.where(rng.random(2000) < 0.15, 1 - y, y)  # labels that are often wrong
-    p = toxicity.label_model(votes, given, np.ones(2000), trust=0.85)
+    p, (t1, t0) = toxicity.label_model(votes, given, np.ones(2000))
     assert ((p > 0.5) == y).mean() > (given == y).mean()
+    assert 0.75 < t1 < 0.97 and 0.02 < t0 < 0.25  # the labels' accuracy is found, not assumed
+
+
+def test_label_model_equals_plain_loops():
+    """The same estimation, text by text and voter by voter."""
+    rng = random.Random(2)
+    n, m = 60, 5
+    y = [float(rng.random() < 0.4) for _ in range(n)]
+    votes = [[float(rng.random() < (0.7 if y[i] else 0.1)) for _ in range(m)] for i in range(n)]
+    for row in votes:
+        row[1] = row[0] if rng.random() < 0.9 else row[1]  # two that agree
+    weights = [1.0 if y[i] else 2.0 for i in range(n)]
+    share = [w * n / sum(weights) for w in weights]
+    prior = sum(a * b for a, b in zip(y, share, strict=True)) / sum(share)
+    p = [0.9 if x else 0.1 for x in y]
+    for _ in range(40):
+        s1, s0 = sum(p[i] * share[i] for i in range(n)), sum((1 - p[i]) * share[i] for i in range(n))
+        a1 = [(sum(votes[i][j] * p[i] * share[i] for i in range(n)) + 0.05) / (s1 + 1) for j in range(m)]
+        a0 = [(sum(votes[i][j] * (1 - p[i]) * share[i] for i in range(n)) + 0.05) / (s0 + 1) for j in range(m)]
+        t1 = (sum(y[i] * p[i] * share[i] for i in range(n)) + 1) / (s1 + 2)
+        t0 = (sum(y[i] * (1 - p[i]) * share[i] for i in range(n)) + 1) / (s0 + 2)
+        own = []
+        for j in range(m):
+            total = 1.0
+            for k in range(m):
+                cov = sum(votes[i][j] * votes[i][k] * p[i] * share[i] for i in range(n)) / s1 - a1[j] * a1[k]
+                r = min(max(cov / (a1[j] * (1 - a1[j]) * a1[k] * (1 - a1[k])) ** 0.5, 0), 1)
+                total += r if j != k and r >= max(0.1, 3 / max(sum(p), 1) ** 0.5) else 0
+            own.append(1 / total)
+        new = []
+        for i in range(n):
+            z = np.log(prior / (1 - prior)) + (np.log(t1 / t0) if y[i] else np.log((1 - t1) / (1 - t0)))
+            z += sum(own[j] * (np.log(a1[j] / a0[j]) if votes[i][j] else np.log((1 - a1[j]) / (1 - a0[j]))) for j in range(m))
+            new.append(1 / (1 + np.exp(-z)))
+        p = new
+    got, _ = toxicity.label_model(np.array(votes), np.array(y), np.array(weights), still=0, rounds=40)
+    assert got == pytest.approx(np.array(p), abs=1e-6)
+
+
+def test_equal_voters_share_their_weight():
+    rng = np.random.default_rng(5)
+    y = (rng.random(400) < 0.5).astype(float)
+    one = np.where(y == 1, rng.random(400) < 0.8, rng.random(400) < 0.05)
+    other = np.where(y == 1, rng.random(400) < 0.6, rng.random(400) < 0.1)
+    b, w = toxicity.fit(np.stack([one, other], 1), y, np.ones(400))
+    b3, w3 = toxicity.fit(np.stack([one, other, one, one], 1), y, np.ones(400))
+    assert b3 == pytest.approx(b, abs=1e-4) and w3 == pytest.approx([w[0] / 3, w[1], w[0] / 3, w[0] / 3], abs=1e-4)
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(50)] * 3 + [(60, "y" * 90_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(61)], "doc_id long, quality int")
+    sample, n = quality.labelled_sample(docs, labels, "quality", 10, sample_bytes=12_000)
+    rows = sample.collect()
+    assert n == {0: 31, 1: 30} and len({r.i for r in rows}) == len(rows)
+    assert all(sum(len(r.text) for r in rows if r.label == k) <= 6000 for k in (0, 1)) and len(rows) >= 6
