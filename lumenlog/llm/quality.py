@@ -5,12 +5,14 @@ bin out of ``BINS`` for each statistic of its structure and size.  Both kinds ar
 The score is the logistic of ``w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j``; the pairs are summed in linear
 time as half of ``(sum v x)^2 - sum (v x)^2`` by factor.
 
-Training reads at most ``rows_per_label`` labelled rows of each label (a documented bound), weighted back to
-the labels' shares; scoring reads every whole text and is a projection without a shuffle.
+Training reads at most ``rows_per_label`` labelled rows of each label and ``sample_bytes`` of their texts
+(documented bounds), weighted back to the labels' shares; scoring reads every whole text and is a projection without
+a shuffle.
 
 Defined results: null and empty texts have no words and score as their structure does; a null label teaches
-nothing; of rows that share an id in the labels one is used; without labels of both kinds the score is
-the share of label 1 (0.5 without any); repeated rows score alike.
+nothing; of rows that share an id in the labels or documents one is used; without labels of both kinds the score is
+the share of label 1 (0.5 without any); repeated rows score alike; an empty table gives no rows; other columns pass
+through, but one named as ``into`` is replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -142,13 +145,22 @@ def train(rows: list[tuple], labels, weights, *, epochs: int = 8, batch: int = 1
     return {"w0": float(theta[0][0]), "w": theta[1], "v": theta[2]}
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_label: int, *, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, label, text) of at most ``rows_per_label`` labelled ids a label, and how many ids have each label."""
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, rows_per_label: int, *, doc_id: str = "doc_id", text: str = "text", sample_bytes: int = 64 << 20
+) -> tuple[DataFrame, dict[int, int]]:
+    """(i, label, text) of at most ``rows_per_label`` labelled ids a label, and how many ids have each label.
+
+    The texts of a label hold half of ``sample_bytes`` at most: of longer ones together, those of the smallest hashes are
+    taken.  Of rows that share an id the one with the smallest text is used.
+    """
     own = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("label")).where("i is not null and label in (0, 1)")
     n = {r[0]: r[1] for r in own.groupBy("label").count().collect()}
     chosen = sample_by_key(own, "label", "i", rows_per_label).groupBy("i").agg(F.min("label").alias("label"))
     texts = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).where("text is not null")
-    return texts.join(F.broadcast(chosen), "i"), n  # 2 * rows_per_label rows at most are broadcast
+    found = texts.join(F.broadcast(chosen), "i").groupBy("i", "label").agg(F.min("text").alias("text"))  # 2 * rows_per_label rows at most are broadcast
+    before = W.partitionBy("label").orderBy(F.xxhash64("i", F.lit("bytes")), "i").rowsBetween(W.unboundedPreceding, 0)
+    held = found.withColumn("held", F.sum(F.octet_length("text")).over(before))
+    return held.where(F.col("held") <= sample_bytes // 2).drop("held"), n
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows_per_label: int = 2500, doc_id: str = "doc_id", text: str = "text") -> dict:
