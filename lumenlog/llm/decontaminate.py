@@ -2,9 +2,9 @@
 
 Words are runs of digits, ASCII letters and non-ASCII characters, with A-Z lower-cased.  A window is
 ``window`` consecutive words of a benchmark item; an item of fewer words, but not none, is one window.
-All distinct windows go into one automaton over words, not characters, which keeps it small (about 40 bytes a
-state, at most ``window`` states a benchmark word); it reads each text's words once, and hits are placed in the
-original text.  A document word inside any occurrence is hit.
+All distinct windows go into one automaton, in which a word is its number, written in two or three digits: that keeps
+it small (about 40 bytes a state, two or three states a word of a window) and each state's branches few.  It reads
+each text's words once, and hits are placed in the original text.  A document word inside any occurrence is hit.
 
 Defined results: null or wordless texts give zero counts and no items; null items and items without
 words have no windows; items that share an id count as one; repeated documents are scanned each on their own;
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,26 +42,33 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return each.groupBy("win", "size").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
+#: A digit of a word's number has so many values.  Each place has digits of its own, so a match starts and ends with a word.
+DIGITS = 128
+
+
 class Words:
     """The automaton over word numbers; a pattern's value is its place in ``sizes`` and ``items``."""
 
     def __init__(self, windows: list[tuple[str, int, list[str]]]):
         import ahocorasick
 
-        self.auto = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE) if windows else None
-        self.number: dict[bytes, int] = {}  # 0 is any other word
-        self.sizes, self.items = [], []
-        for k, (win, size, items) in enumerate(windows):
-            self.auto.add_word(tuple(self.number.setdefault(w, len(self.number) + 1) for w in win.encode().split(b" ")), k)
-            self.sizes.append(size)
-            self.items.append(items)
+        cut = [win.encode().split(b" ") for win, _, _ in windows]
+        words = sorted({w for own in cut for w in own})
+        self.width = 2 if len(words) <= DIGITS**2 else 3 if len(words) <= DIGITS**3 else 4
+        self.code = {w: "".join(chr(1 + j * DIGITS + k // DIGITS**j % DIGITS) for j in reversed(range(self.width))) for k, w in enumerate(words)}
+        self.other = "\0" * self.width  # any other word
+        self.sizes, self.items = [n for _, n, _ in windows], [items for _, _, items in windows]
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_INTS) if windows else None
+        for k, own in enumerate(cut):
+            self.auto.add_word("".join(map(self.code.__getitem__, own)), k)
         if windows:
             self.auto.make_automaton()
 
     def hits(self, words: list[bytes]) -> list[tuple[int, int]]:
         """(place of the last word, pattern) of every occurrence."""
-        number = self.number.get
-        return list(self.auto.iter(tuple([number(w, 0) for w in words]))) if self.auto else []
+        if not self.auto:
+            return []
+        return [(end // self.width, k) for end, k in self.auto.iter("".join(map(self.code.get, words, repeat(self.other))))]
 
 
 def scan_text(auto: Words, raw: bytes | None) -> dict:
@@ -141,17 +149,17 @@ def scan_contamination(
     window: int = 10,
     text: str = "text",
     into: str = "contamination",
-    max_states: int = 4_000_000,
+    max_states: int = 6_000_000,
 ) -> DataFrame:
     """``docs`` with a struct column ``into``: n_words, n_hit, items, and spans of hit words in the original text.
 
-    The automaton's states are bounded before anything is sent: up to ``max_states`` (about 160 MB a worker) all
+    The automaton's states are bounded before anything is sent: up to ``max_states`` (about 240 MB a worker) all
     windows go into one.  More of them are dealt by window into parts below that number, each scanned in turn over
     the stored result of the one before, and spans and items of all parts are merged.
     """
     spark = docs.sparkSession
     windows = materialize(benchmark_windows(benchmark, window), "windows")
-    parts = max(1, -(-(windows.agg(F.sum("size")).first()[0] or 0) // max_states))
+    parts = max(1, -(-3 * (windows.agg(F.sum("size")).first()[0] or 0) // max_states))
 
     def part(k: int):
         chosen = windows if parts == 1 else windows.where(F.pmod(F.xxhash64("win"), F.lit(parts)) == k)

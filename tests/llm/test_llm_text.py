@@ -11,7 +11,7 @@ from pyspark.sql import Row
 from lumenlog.llm import language_id
 from lumenlog.llm.decontaminate import automaton_of, scan_contamination
 from lumenlog.llm.line_dedup import dedup_lines
-from lumenlog.llm import secrets
+from lumenlog.llm import decontaminate, secrets
 from lumenlog.llm.secrets import ASSIGN, find_secrets, frequent_words, guess_cost, scan_secrets
 from lumenlog.llm.url_filter import filter_urls
 
@@ -47,7 +47,7 @@ def brute_contamination(texts, items, n=10):
     return out
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 90])
+@pytest.mark.parametrize("limit", [1 << 20, 270])
 def test_contamination_equals_brute_force(spark, limit):
     rng = random.Random(3)
     vocabulary = ["Ab", "cd", "É", "x1", "Zz", "日本"]
@@ -73,6 +73,19 @@ def test_the_automaton_is_built_once_a_worker():
     assert automaton_of(held).hits([b"b", b"a", b"b", b"zz"]) == [(2, 0)]
 
 
+@pytest.mark.parametrize("width", [2, 3])
+def test_word_numbers_of_several_digits(monkeypatch, width):
+    monkeypatch.setattr(decontaminate, "DIGITS", 128 if width == 2 else 3)
+    rng = random.Random(9)
+    word = lambda: b"w%d" % rng.randrange(24)
+    windows = [(b" ".join(own).decode(), len(own), [str(k)]) for k, own in enumerate({tuple(word() for _ in range(rng.choice([1, 2, 3]))) for _ in range(40)})]
+    auto = decontaminate.Words(windows)
+    assert auto.width == width
+    text = [word() for _ in range(3000)]
+    want = {(k + n - 1, j) for j, (win, n, _) in enumerate(windows) for k in range(len(text) - n + 1) if b" ".join(text[k : k + n]).decode() == win}
+    assert set(auto.hits(text)) == want
+
+
 def test_contamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.c.n_hit for r in scan_contamination(docs_of(spark, [(1, "a b")]), none, into="c").collect()] == [0]
