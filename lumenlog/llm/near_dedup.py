@@ -8,11 +8,12 @@ space); one of fewer words is a single shingle.  Documents of equal sets are one
 2. A node of at most ``node_limit`` classes is compared exhaustively, by the share of equal minwise tokens.  A
    larger one branches again by two more tokens, chosen by the node's own hash.  What is still too large at
    the last level is compared in blocks (4), so no node is skipped or capped.
-3. Pairs that look alike enough chain classes into candidate groups.  Inside a group all pairs that could
+3. Pairs that look alike enough join classes into candidate groups.  Inside a group all pairs that could
    matter are compared on their full sets; only these exact comparisons make links.
-4. A group too large for one task meets in random blocks first, twice, and what is confirmed there becomes one part.
-   Only if a group is then still in several parts do the smaller parts meet every block.  A family of near copies
-   is thus read twice, however large it is; what costs more are large groups whose members look alike and are not.
+4. A group too large for one task meets in random blocks first, twice, each joined by the few members that look most
+   like all others, and what is confirmed there becomes one part.  Only if a group is then still in several parts do
+   the smaller parts meet every block.  A family of near copies is thus compared in linear time, however large it is;
+   what costs more are large groups whose members look alike and are not.
 5. Links make components; the smallest (id, hash of the text) of each stands for it.
 
 Recall: a pair of similarity 0.75 shares none of the 10 root nodes with a probability of 1e-6, and looks too
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -142,8 +144,8 @@ def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def chains(alike) -> list[tuple[int, int]]:
-    """A chain of edges through each connected part of the graph, given as a boolean matrix."""
+def stars(alike) -> list[tuple[int, int]]:
+    """An edge from the first member of each connected part of the graph, given as a boolean matrix, to every other one."""
     import numpy as np
 
     n = len(alike)
@@ -152,13 +154,11 @@ def chains(alike) -> list[tuple[int, int]]:
         if not unseen[start]:
             continue
         unseen[start] = False
-        todo, last = [start], start
+        todo = [start]
         while todo:
             near = np.flatnonzero(alike[todo.pop()] & unseen)
             unseen[near] = False
-            for v in near.tolist():
-                out.append((last, v))
-                last = v
+            out += [(start, v) for v in near.tolist()]
             todo += near.tolist()
     return out
 
@@ -177,15 +177,16 @@ def alike_in_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         two = two[(sig[two] == sig[two + 1]).sum(1) >= ALIKE]
         a, b = [rep[two]], [rep[two + 1]]
         for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            own = sig[s : s + n]
+            at = s + np.argsort(rep[s : s + n], kind="stable")  # the first is the least, so edges go to the least
+            own = sig[at]
             alike = np.zeros((n, n), bool)
             rows = max(1, (1 << 20) // (n * POSITIONS) * 4)
             for k in range(0, n, rows):
                 alike[k : k + rows] = (own[k : k + rows, None, :] == own[None, :, :]).sum(2, dtype=np.uint8) >= ALIKE
-            if edges := chains(alike):
+            if edges := stars(alike):
                 e = np.array(edges)
-                a.append(rep[s + e[:, 0]])
-                b.append(rep[s + e[:, 1]])
+                a.append(rep[at[e[:, 0]]])
+                b.append(rep[at[e[:, 1]]])
         a, b = np.concatenate(a), np.concatenate(b)
         real = a != b
         yield pa.RecordBatch.from_arrays([pa.array(a[real]), pa.array(b[real])], ["a", "b"])
@@ -257,24 +258,40 @@ def met(rows: DataFrame, key: Column, payload: str, compare) -> DataFrame:
     return materialize(dealt.mapInArrow(compare, "a long, b long").where("a <> b").distinct(), "edges")
 
 
-def connected_in_groups(members: DataFrame, group: str, parts: Column, payload: str, compare, *, rounds: int = 2) -> DataFrame:
+def central_members(members: DataFrame, group: str, *, most: int = 16, positions: int = 16) -> DataFrame:
+    """(group, rep) of the members (group, rep, sig) of each group that share most minwise tokens with the others."""
+    tokens = F.array(*(F.substring("sig", 4 * p + 1, 4) for p in range(positions)))
+    rows = members.select(group, "rep", F.posexplode(tokens).alias("p", "token"))
+    common = rows.groupBy(group, "p", "token").agg(F.count(F.lit(1)).alias("n")).groupBy(group, "p").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
+    score = rows.join(common, [group, "p", "token"]).groupBy(group, "rep").agg(F.count(F.lit(1)).alias("score"))
+    rank = F.row_number().over(W.partitionBy(group).orderBy(F.desc("score"), "rep"))
+    return score.withColumn("rank", rank).where(F.col("rank") <= most).select(group, "rep")
+
+
+def connected_in_groups(members: DataFrame, group: str, parts: Column, payload: str, compare, *, signed: DataFrame | None = None, rounds: int = 2) -> DataFrame:
     """Edges (a, b) that connect the members (group, rep, payload) of each group as a comparison of all its pairs would.
 
     ``parts`` says how many blocks a group fills.  Those of one are compared at once.  Larger ones meet in random blocks
-    ``rounds`` times, then the members outside the largest connected part of their group meet all others, block by block.
+    ``rounds`` times; with ``signed``, the (rep, sig) of all members, each block also holds the central members.  Then
+    those outside the largest connected part of their group meet all others, block by block.
     """
     rows = members.select(group, "rep", payload, parts.cast("long").alias("parts"), F.col("rep").alias("known"))
     edges = met(rows.where("parts = 1"), F.col(group), payload, compare)
     large = rows.where("parts > 1")
     if not large.head(1):
         return edges
-    large = materialize(large, "large")
+    large, hubs = materialize(large, "large"), None
+    if signed is not None:
+        hubs = materialize(central_members(large.select(group, "rep").join(signed, "rep"), group), "central")
+        hubs = large.join(hubs, [group, "rep"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     own = None
     for k in range(rounds):
-        block = F.pmod(F.xxhash64("rep", F.lit(k)), F.col("parts"))
-        more = met(known_parts(large, own), F.xxhash64(group, block, F.lit(k)), payload, compare)
+        dealt = large.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(k)), F.col("parts")))
+        more = met(dealt if hubs is None else dealt.unionByName(hubs), F.xxhash64(group, "block", F.lit(k)), payload, compare)
         own = more if own is None else own.unionByName(more)
-    parted = materialize(known_parts(large.drop(payload), own), "parted")
+    found = connected_components(own).withColumnsRenamed({"vertex": "rep", "component": "known"})
+    parted = large.select(group, "rep", "parts").join(found, "rep", "left")
+    parted = materialize(parted.withColumn("known", F.coalesce("known", "rep")), "parted")  # least member of the part that the edges make
     size = parted.groupBy(group, "known").agg(F.count(F.lit(1)).alias("n"), F.max("parts").alias("parts"))
     load = size.groupBy(group).agg(F.count(F.lit(1)).alias("pieces"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("known", "n").alias("main"), F.max("parts").alias("parts"))
     # blocks for the largest part and for the rest, in proportion to their members
@@ -296,16 +313,8 @@ def connected_in_groups(members: DataFrame, group: str, parts: Column, payload:
     return edges.unionByName(own)
 
 
-def known_parts(rows: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """``rows`` with ``known``, the least member of the part that the edges make of each member's surroundings."""
-    if edges is None:
-        return rows
-    found = connected_components(edges).withColumnsRenamed({"vertex": "rep", "component": "known"})
-    return rows.drop("known").join(found, "rep", "left").withColumn("known", F.coalesce("known", "rep"))
-
-
 def candidate_edges(reps: DataFrame, node_limit: int) -> DataFrame:
-    """Edges (a, b) that chain the classes which look alike in some node of some tree."""
+    """Edges (a, b) that connect the classes which look alike in some node of some tree."""
     nodes = reps.select("rep", F.posexplode("tokens").alias("k", "token")).select(F.xxhash64("k", "token").alias("node"), "rep")
     found = None
     for level in range(1, LEVELS + 1):
@@ -313,7 +322,7 @@ def candidate_edges(reps: DataFrame, node_limit: int) -> DataFrame:
         members = materialize(nodes.join(sizes, "node"), "members").join(reps.select("rep", "sig"), "rep")
         last = level == LEVELS
         chosen = members if last else members.where(F.col("size") <= node_limit)
-        edges = connected_in_groups(chosen, "node", F.ceil(F.col("size") / node_limit), "sig", alike_in_nodes)
+        edges = connected_in_groups(chosen, "node", F.ceil(F.col("size") / node_limit), "sig", alike_in_nodes, signed=reps.select("rep", "sig"))
         found = edges if found is None else found.unionByName(edges)
         if last or not sizes.where(F.col("size") > node_limit).head(1):
             return found
@@ -334,7 +343,7 @@ def near_duplicates(
     doc_id: str = "doc_id",
     text: str = "text",
     similarity: tuple[int, int] = (3, 4),
-    node_limit: int = 2048,
+    node_limit: int = 1024,
     group_limit: int = 512,
     group_shingles: int = 1_000_000,
 ) -> DataFrame:
@@ -355,7 +364,7 @@ def near_duplicates(
     load = materialize(load.select("component", parts.cast("long").alias("parts")), "groups")
     dealt = members.join(load, "component").select("rep", "component", "parts", F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash"))
     sets = own.join(dealt, ["doc_id", "text_hash"]).select("rep", "component", "parts", arrow_udf("binary")(full_set).asNondeterministic()("text").alias("s"))
-    links = connected_in_groups(sets, "component", F.col("parts"), "s", links_of_groups(*similarity))
+    links = connected_in_groups(materialize(sets, "sets"), "component", F.col("parts"), "s", links_of_groups(*similarity), signed=reps.select("rep", "sig"))
     joined = connected_components(links)
     parted = joined.select(F.col("vertex").alias("rep"), "component").unionByName(joined.select(F.col("component").alias("rep"), "component").distinct())
     parted = materialize(parted.join(reps.select("rep", "at"), "rep"), "parts")
