@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from ..functions.time import parse_ts, ts_parts
 from ..operators import assembly
 from ..sources.files import path_allowed
 from ..sources.rendered import rendered_lines
+from ..storage import new_folder
 from . import sql as S
 
 QUERIES: dict = {}
@@ -31,17 +33,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without numbers, as a file source gives them."""
+    return rendered_lines(table(spark, sf_dir, "events"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.number_lines(rendered_lines(table(spark, sf_dir, "events")))
+    return assembly.number_lines(raw_lines(spark, sf_dir))
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.events(lines(spark, sf_dir))
+#: Tables that several queries read, stored once an application: (application, folder, name) to a path and a schema.
+KEPT: dict[tuple[str, str, str], tuple] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """What ``build`` makes of the tables, stored by the first query that asks for it and read by all."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in KEPT:
+        path, schema = KEPT[key]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:  # the shared folder was cleared since
+            del KEPT[key]
+    df = build()
+    path = new_folder(spark, name)
+    df.write.parquet(path)
+    KEPT[key] = path, df.schema
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.join_blocks(assembly.drop_preamble(assembly.assign_blocks(raw_lines(spark, sf_dir))))
 
 
 def text_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events before redaction and classification."""
-    return assembly.join_blocks(assembly.drop_preamble(assembly.assign_blocks(lines(spark, sf_dir))))
+    return kept(spark, sf_dir, "text-events", lambda: assembled(spark, sf_dir))
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "events", lambda: assembly.classify(text_events(spark, sf_dir)))
 
 
 @query(S.WITH_LINES + "SELECT file, line_no, line FROM lines")
@@ -90,13 +121,13 @@ def assign_blocks(spark, sf_dir):
 
 @query(S.WITH_BLOCKS + "," + S.KEPT + "SELECT file, gid, count(*) AS n_lines FROM kept GROUP BY ALL")
 def drop_preamble(spark, sf_dir):
-    kept = assembly.drop_preamble(assembly.assign_blocks(lines(spark, sf_dir)))
-    return kept.groupBy("file", "gid").agg(F.count("*").alias("n_lines"))
+    own = assembly.drop_preamble(assembly.assign_blocks(raw_lines(spark, sf_dir)))
+    return own.groupBy("file", "gid").agg(F.count("*").alias("n_lines"))
 
 
 @query(S.WITH_BLOCKS + "," + S.KEPT + "," + S.JOINED + "SELECT file, event_seq, ts, raw_text AS text FROM joined")
 def assemble_events(spark, sf_dir):
-    return text_events(spark, sf_dir)
+    return assembled(spark, sf_dir)
 
 
 @query(S.WITH_EVENTS + "SELECT file, event_seq, ts, ts_dt, level, thread_id, code, exception, root_cause, array_to_string(tags, ',') AS tags, text FROM ev")

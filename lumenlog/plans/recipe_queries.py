@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from ..operators import recipes as R
 from ..operators.summary import summary
 from ..sources import files
 from ..sources.rendered import rendered_lines
+from ..storage import new_folder
 from ..streaming import streams
 from . import sql as S
 from .events_queries import events, table
@@ -29,11 +29,6 @@ def add(name: str, f, oracle: str | None = None) -> None:
         ORACLES[name] = S.WITH_EVENTS + oracle
 
 
-def doubled(s, d) -> DataFrame:
-    """Events, kept, as what follows reads them twice."""
-    return events(s, d).persist()
-
-
 add(
     "noise_candidates",
     lambda s, d: R.noise_candidates(events(s, d), 20).select("code", "cnt", "errors"),
@@ -52,7 +47,7 @@ add(
 )
 add(
     "context_rows",
-    lambda s, d: R.context_rows(doubled(s, d)).select("file", "event_seq"),
+    lambda s, d: R.context_rows(events(s, d)).select("file", "event_seq"),
     f"SELECT file, event_seq FROM ev WHERE level IN ('INFO', 'AUDIT') AND EXISTS (SELECT 1 FROM ev AS e WHERE e.level IN ('ERROR', 'SEVERE', 'FATAL') AND abs(epoch_us(e.ts_dt) - epoch_us(ev.ts_dt)) <= 300000000)",
 )
 _own = f"list_filter(string_split(text, chr(10)), lambda x: {S.matches('x', P.STACK_LINE)} AND NOT {S.matches('x', R.FRAMEWORK)})"
@@ -87,7 +82,7 @@ add(
 )
 add(
     "regressions",
-    lambda s, d: R.regressions(doubled(s, d).where("event_seq % 5 <> 0 or ts_dt >= timestamp_ntz'2024-01-02'"), "2024-01-02 00:00:00"),
+    lambda s, d: R.regressions(events(s, d).where("event_seq % 5 <> 0 or ts_dt >= timestamp_ntz'2024-01-02'"), "2024-01-02 00:00:00"),
     ", o AS (SELECT * FROM ev WHERE event_seq % 5 <> 0 OR ts_dt >= timestamp '2024-01-02') SELECT exception, count(*) AS cnt FROM o WHERE ts_dt >= timestamp '2024-01-02' AND exception IS NOT NULL "
     "AND exception NOT IN (SELECT exception FROM o WHERE ts_dt < timestamp '2024-01-02' AND exception IS NOT NULL) GROUP BY exception",
 )
@@ -102,7 +97,7 @@ def with_late_errors(ev: DataFrame) -> DataFrame:
 
 
 #: All events; the SQL of regressions leaves every fifth before the deploy out.
-add("regressions_whole", lambda s, d: R.regressions(with_late_errors(doubled(s, d)), DEPLOY))
+add("regressions_whole", lambda s, d: R.regressions(with_late_errors(events(s, d)), DEPLOY))
 add(
     "shared_top_frames",
     lambda s, d: R.shared_top_frames(events(s, d)),
@@ -120,7 +115,7 @@ _sum = "SELECT dim, key, count(*) AS cnt FROM (SELECT 'level' AS dim, coalesce(l
 
 
 def summary_diff(s, d):
-    own = doubled(s, d)
+    own = events(s, d)
     return R.summary_diff(summary(own.where("file < 'node4'"), None), summary(own.where("file >= 'node4'"), None))
 
 
@@ -144,12 +139,7 @@ add(
 
 def folder(spark: SparkSession) -> str:
     """A new folder that the cluster shares, for the segments and state of a stream that is run once."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: a stream needs a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="lumenlog-")
-    return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

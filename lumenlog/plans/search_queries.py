@@ -8,7 +8,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import search as R
 from . import sql as S
-from .events_queries import events
+from .events_queries import events, kept
 
 #: What users asked; the last ones fall through to text or hit nothing.
 ASKED = ("SRVE0293E", "srve", "SQLException", "handshake", "CWPKI0022E why?", "stuck thread", "liberty startup & <system>login</system>", "heap space", "no such thing")
@@ -44,8 +44,8 @@ def add(name: str, f, oracle: str | None = None, start: str = WITH_MATCH) -> Non
 
 
 def matches(s, d):
-    """One row per question.  Events and matches are read several times by what follows, so both are kept."""
-    return R.search_events(events(s, d).persist(), ASKED).persist()
+    """One row per question, read several times by what follows."""
+    return kept(s, d, "matches", lambda: R.search_events(events(s, d), ASKED))
 
 
 def _values(rules: dict) -> str:

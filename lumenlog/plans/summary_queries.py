@@ -123,4 +123,4 @@ WITH t AS (SELECT DISTINCT conv_id, role, text FROM conversations)
 SELECT * FROM t WHERE conv_id % 2 = 0 UNION ALL
 SELECT * FROM t WHERE conv_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM t AS o WHERE o.conv_id % 2 = 0 AND o.role = t.role AND o.text = t.text)
 """
-QUERIES["triage_report_json"] = lambda s, d: A.triage_report(events(s, d).persist())
+QUERIES["triage_report_json"] = lambda s, d: A.triage_report(events(s, d))

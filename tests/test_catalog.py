@@ -6,13 +6,10 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from lumenlog.plans import catalog
 
 SF_DIR = os.environ.get("LUMENLOG_TEST_SF", "/root/testdata/sf0.001")
-#: One or two from each module, as every query takes seconds; the rest are compared at larger scale outside the tests.
-COMPARED = (
-    "number_lines", "assemble_events", "events_table", "summary", "time_histogram", "hung_threads", "incident_window",
-    "search_events", "select_rules", "doc_sections", "extract_grades", "findings_diff", "fixed_crossref", "error_bursts", "stream_histogram",
-)
+COMPARED = sorted(k for k in catalog.ORACLES)
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
