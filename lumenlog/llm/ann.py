@@ -3,19 +3,20 @@
 Vectors are dealt into blocks of bounded size by a hash of their values, so equal vectors share a block and
 count once there.  In a block each of ``projections`` random directions keeps the vectors sorted by their
 projection.  A query opens a window around its own projection in every array and widens all windows step by
-step (virtual rehashing: a window twice as wide is the next coarser hash, without a new table).  A vector
-collides in each array whose window holds it.  Those that reach the collision threshold are verified: their
-exact distance is computed on the original vectors.  Widening goes on until at least ``verify`` vectors, or
-``share`` of the block if that is more, have reached the threshold.  Blocks work alone; a window over all
-blocks' best gives each query its nearest.
+step (virtual rehashing: a wider window is the next coarser hash, without a new table).  A vector collides in each
+array whose window holds it.  Those that reach the collision threshold are verified: their exact distance is computed
+on the original vectors.  A window is wide enough for vectors at distance d at ``reach`` times d: then those collide in
+over the threshold's share of the arrays.  So widening ends once the window is ``reach`` times the distance of the
+``k``-th nearest verified, which takes few verifications where near vectors are much nearer than others.
+Blocks work alone; a window over all blocks' best gives each query its nearest.
 
-Every vector is indexed; nothing is sampled.  Queries go to the blocks in broadcasts of ``query_batch``
-rows at most, whose bytes are bound by that and the dimension.
+Every vector is indexed; nothing is sampled.  Each block is stored once, as one row, and is read once for each
+broadcast of queries; those hold ``query_bytes`` at most.
 
 Defined results: vectors that are null, zero, of another length than most, or that
 hold null or non-finite components take no part as query or candidate; equal distances go to the smaller id;
-a query with fewer than ``k`` candidates gets all; rows that share an id are candidates of their own, and a
-query never meets its own id; null ids take no part.
+a query with fewer than ``k`` candidates gets all; rows that share an id are queries and candidates of their own, and
+only the query's own row is left out; null ids take no part; an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Window as W
 
 from .common import materialize
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_row long, query_id long, vec_id long, score double"
 
 
 def valid_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -48,74 +49,101 @@ def valid_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 class Block:
     """The sorted arrays of one block of vectors."""
 
-    def __init__(self, ids, vectors, directions):
+    def __init__(self, ids, rows, vectors, directions):
         import numpy as np
 
-        self.vectors, self.where = np.unique(vectors, axis=0, return_inverse=True)
-        order = np.lexsort((ids, self.where.ravel()))
-        self.ids, own = ids[order], self.where.ravel()[order]
+        self.vectors, where = np.unique(vectors, axis=0, return_inverse=True)
+        where = where.ravel()
+        order = np.lexsort((rows, ids, where))
+        self.ids, self.rows, own = ids[order], rows[order], where[order]
         self.first = np.searchsorted(own, np.arange(len(self.vectors) + 1))  # where the ids of each distinct vector stand
+        self.copies = np.diff(self.first)
         p = directions @ self.vectors.T
         self.order = np.argsort(p, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(p, self.order, 1)
-        self.step = np.maximum(np.median(np.abs(p - np.median(p, axis=1, keepdims=True)), axis=1), 1e-12) / 8
+        # all arrays in one, each in a range of its own, so that one search finds all ends of the windows
+        self.span = 4 * float(np.abs(p).max()) + 1
+        self.base = np.arange(len(p)) * self.span
+        self.flat = (self.sorted + self.base[:, None]).ravel()
+        self.start = np.median(np.abs(p - np.median(p, axis=1, keepdims=True))) / 16 or 1e-12
 
-    def candidates(self, at, threshold: int, enough: int):
-        """Distinct vectors that collide with a query in ``threshold`` arrays; ``at``: the query's projections."""
+    def ends(self, at, side: str):
         import numpy as np
 
         m, n = self.sorted.shape
-        counts = np.zeros(n, np.int16)
-        lo = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at, strict=True)])
-        hi = lo.copy()
-        width = 1.0
-        while True:
-            for j in range(m):
-                a = int(np.searchsorted(self.sorted[j], at[j] - width * self.step[j], "left"))
-                b = int(np.searchsorted(self.sorted[j], at[j] + width * self.step[j], "right"))
-                a, b = min(a, lo[j]), max(b, hi[j])
-                counts[self.order[j, a : lo[j]]] += 1  # a vector stands in an array once
-                counts[self.order[j, hi[j] : b]] += 1
-                lo[j], hi[j] = a, b
-            if (hi - lo).min() == n or int((counts >= threshold).sum()) >= min(enough, n):
-                return np.flatnonzero(counts >= threshold)
-            width *= 1.5
-
-    def nearest(self, query_id: int, query, found, k: int) -> list[tuple[int, int, float]]:
-        """The exact distances of the verified; ``k`` of them at most, with all ties settled by id."""
+        at = np.clip(at, -self.span / 3, self.span / 3)  # beyond all projections is as good as at their end
+        return np.clip(np.searchsorted(self.flat, at + self.base, side) - np.arange(m) * n, 0, n)
+
+    def nearest(self, query_id: int, query_row: int, query, at, threshold: int, reach: float, k: int) -> tuple[list[tuple], int]:
+        """The best ``k`` candidates of a query with its projections ``at``, and how many vectors were verified."""
         import numpy as np
 
-        d = np.sqrt(((self.vectors[found] - query) ** 2).sum(1))
-        if len(d) > k + 1:
-            keep = d <= np.partition(d, k)[k]  # one more distinct vector than asked, as one may hold the query alone
-            found, d = found[keep], d[keep]
+        m, n = self.sorted.shape
+        counts, distance = np.zeros(n, np.int16), np.full(n, np.inf)
+        lo = self.ends(at, "left")
+        hi = lo.copy()
+        width, verified, enough = self.start, np.zeros(0, np.int64), np.inf
+        while True:
+            a, b = np.minimum(self.ends(at - width, "left"), lo), np.maximum(self.ends(at + width, "right"), hi)
+            new = [self.order[j, a[j] : lo[j]] for j in range(m)] + [self.order[j, hi[j] : b[j]] for j in range(m)]
+            counts += np.bincount(np.concatenate(new), minlength=n).astype(np.int16)  # a vector stands in an array once
+            lo, hi = a, b
+            found = np.flatnonzero((counts >= threshold) & (distance == np.inf))
+            if len(found):
+                distance[found] = np.sqrt(((self.vectors[found] - query) ** 2).sum(1))
+                verified = np.concatenate([verified, found])
+                verified = verified[np.argsort(distance[verified], kind="stable")]
+                # the query's own row is among the copies of a vector at distance 0
+                place = int(np.searchsorted(np.cumsum(self.copies[verified]), k + 1))
+                enough = reach * distance[verified[place]] if place < len(verified) else np.inf
+            if width >= enough or (hi - lo).min() == n:
+                break
+            width = min(width * 1.25, max(enough, width * 1.02))
         out = []
-        for i, x in zip(found.tolist(), d.tolist(), strict=True):
-            ids = self.ids[self.first[i] : self.first[i + 1]]
-            out += [(x, int(v)) for v in ids[ids != query_id][:k]]
-        return [(query_id, v, x) for x, v in sorted(out)[:k]]
+        for i in verified.tolist():
+            if len(out) >= k and distance[i] > out[-1][0]:
+                break
+            own = slice(self.first[i], self.first[i + 1])
+            ids = self.ids[own][self.rows[own] != query_row][:k]
+            out += [(float(distance[i]), int(v)) for v in ids]
+        return [(query_row, query_id, v, x) for x, v in sorted(out)[:k]], len(verified)
 
 
-def search_block(held, projections: int, threshold: int, verify: int, share: float, k: int, seed: int):
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+def search_blocks(held, projections: int, threshold: int, reach: float, k: int, seed: int):
+    """Searches stored blocks, one in each row, for the queries of a broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        queries, qv = held.value
-        ids = rows["vec_id"].to_numpy()
-        flat = rows["v"].combine_chunks().flatten().to_numpy()
-        vectors = flat.reshape(len(ids), -1)
-        directions = np.random.default_rng(seed).normal(size=(projections, vectors.shape[1]))
-        block = Block(ids, vectors, directions)
-        enough = max(verify, int(share * len(block.vectors)))
-        out: list[tuple[int, int, float]] = []
-        for q, v, p in zip(queries, qv, qv @ directions.T, strict=True):
-            out += block.nearest(int(q), v, block.candidates(p, threshold, enough), k)
-        cols = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
+        rows, ids, vectors = held.value
+        for batch in batches:
+            for members in batch.column(0):
+                own = members.values
+                flat = own.field("v").flatten().to_numpy(zero_copy_only=False)
+                directions = np.random.default_rng(seed).normal(size=(projections, len(flat) // len(own)))
+                block = Block(own.field("vec_id").to_numpy(), own.field("row").to_numpy(), flat.reshape(len(own), -1), directions)
+                out: list[tuple] = []
+                for row, query_id, v, at in zip(rows.tolist(), ids.tolist(), vectors, vectors @ directions.T, strict=True):
+                    out += block.nearest(query_id, row, v, at, threshold, reach, k)[0]
+                cols = list(zip(*out, strict=True)) or [[], [], [], []]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["query_row", "query_id", "vec_id", "score"])
 
     return run
 
 
+def stored_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
+    """One row a block: an array of (vec_id, row, v)."""
+    blocks = max(1, -(-rows.count() // block_rows))
+    # equal vectors go to one block unless they are so many that they would crowd it: then their rows are dealt
+    copies = rows.groupBy(F.xxhash64("v").alias("h")).count().where(F.col("count") > block_rows // 8)
+    hot = materialize(copies.select("h", F.ceil(F.col("count") / (block_rows // 8)).alias("parts")), "hot-vectors")
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("row"), F.col("parts"))).otherwise(0)
+    dealt = rows.withColumn("h", F.xxhash64("v")).join(hot, "h", "left")
+    dealt = dealt.select("vec_id", "row", "v", F.pmod(F.xxhash64("h", part), F.lit(blocks)).alias("block"))
+    return materialize(dealt.groupBy("block").agg(F.collect_list(F.struct("vec_id", "row", "v")).alias("members")).select("members"), "blocks")
+
+
 def nearest_neighbours(
     vectors: DataFrame,
     *,
@@ -123,38 +151,31 @@ def nearest_neighbours(
     k: int = 10,
     vec_id: str = "vec_id",
     embedding: str = "embedding",
-    projections: int = 48,
-    threshold: int = 24,
-    verify: int = 400,
-    share: float = 0.25,
+    projections: int = 160,
+    threshold: int = 112,
+    reach: float = 1.2,
     block_rows: int = 8_000,
-    query_batch: int = 4_000,
+    query_bytes: int = 32 << 20,
     seed: int = 17,
 ) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest found for every row that ``is_query`` names."""
-    import numpy as np
-
     spark = vectors.sparkSession
-    rows = materialize(valid_vectors(vectors, vec_id, embedding), "vectors")
-    n = rows.count()
-    blocks = max(1, -(-n // block_rows))
-    # equal vectors go to one block unless they are so many that they would crowd it: then their ids are dealt
-    copies = rows.groupBy(F.xxhash64("v").alias("h")).count().where(F.col("count") > block_rows // 8)
-    hot = materialize(copies.select("h", F.ceil(F.col("count") / (block_rows // 8)).alias("parts")), "hot-vectors")
-    dealt = (
-        rows.withColumn("h", F.xxhash64("v"))
-        .join(hot, "h", "left")
-        .select("vec_id", "v", F.pmod(F.xxhash64("h", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("vec_id"), F.col("parts"))).otherwise(0)), F.lit(blocks)).alias("block"))
-    )
+    rows = materialize(valid_vectors(vectors, vec_id, embedding).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    first = rows.select(F.size("v").alias("n")).first()
+    size = 8 * first["n"] if first else 8
+    blocks = stored_blocks(rows, max(1, min(block_rows, (64 << 20) // size)))
     asked = rows.where(is_query)
-    batches = max(1, -(-asked.count() // query_batch))
+    batches = max(1, -(-asked.count() * size // query_bytes))
+    rank = F.row_number().over(W.partitionBy("query_row").orderBy("score", "vec_id"))
     best = None
     for b in range(batches):
-        own = asked if batches == 1 else asked.where(F.pmod(F.xxhash64("vec_id", F.lit("batch")), F.lit(batches)) == b)
-        got = own.select("vec_id", "v").dropDuplicates().toArrow()
-        qv = got["v"].combine_chunks().flatten().to_numpy()
-        held = spark.sparkContext.broadcast((got["vec_id"].to_numpy(), qv.reshape(got.num_rows, -1) if got.num_rows else np.zeros((0, 1))))
-        part = dealt.groupBy("block").applyInArrow(search_block(held, projections, threshold, verify, share, k, seed), FOUND) if got.num_rows else spark.createDataFrame([], FOUND)
+        own = asked if batches == 1 else asked.where(F.pmod(F.xxhash64("row", F.lit("batch")), F.lit(batches)) == b)
+        got = own.select("row", "vec_id", "v").toArrow()
+        flat = got["v"].combine_chunks().flatten().to_numpy()
+        held = spark.sparkContext.broadcast((got["row"].to_numpy(), got["vec_id"].to_numpy(), flat.reshape(got.num_rows, -1) if got.num_rows else flat.reshape(0, size // 8)))
+        part = blocks.mapInArrow(search_blocks(held, projections, threshold, reach, k, seed), FOUND)
+        part = part.withColumn("rank", rank).where(F.col("rank") <= k)
+        if batches > 1:
+            part = materialize(part, "found")
         best = part if best is None else best.unionByName(part)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.select("query_id", "rank", "vec_id", "score")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlog.llm import near_dedup, packing, quality, toxicity
+from lumenlog.llm import ann, near_dedup, packing, quality, toxicity
 from lumenlog.llm.ann import nearest_neighbours
 from lumenlog.llm.components import connected_components
 from lumenlog.llm.near_dedup import near_duplicates
@@ -245,7 +245,7 @@ def test_neighbours(spark):
     frame = spark.createDataFrame([(i, v, "clash") for i, v in rows + odd], "vec_id long, embedding array<float>, score string")
     exact = [(i, np.array(v, np.float32).astype(float).tolist()) for i, v in rows]
     queries = [(i, v) for i, v in exact if i % 100 == 0]
-    got = nearest_neighbours(frame, verify=150, block_rows=200, query_batch=5).collect()
+    got = nearest_neighbours(frame, block_rows=200, query_bytes=600).collect()
     found = {(r.query_id, r.rank, r.vec_id) for r in got}
     want = brute_nearest(exact, queries, 10)
     assert {q for q, _, _ in found} == {q for q, _ in queries}
@@ -258,6 +258,26 @@ def test_neighbours(spark):
     few = nearest_neighbours(frame.where("vec_id in (0, 1, 2)")).collect()
     assert sorted((r.query_id, r.vec_id) for r in few) == [(0, 1), (0, 2)]
     assert nearest_neighbours(frame.where("false")).count() == 0
+    twice = spark.createDataFrame([(100, [1.0, 0.0]), (100, [1.0, 0.5]), (7, [3.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.rank, r.vec_id, r.score) for r in nearest_neighbours(twice).collect()) == [(1, 100, 0.5), (1, 100, 0.5), (2, 7, 2.0), (2, 7, pytest.approx(4.25**0.5))]
+
+
+def test_near_vectors_are_found_with_few_verified():
+    rng = np.random.default_rng(4)
+    near = np.repeat(rng.normal(size=(200, 32)), 15, axis=0) + 0.02 * rng.normal(size=(3000, 32))  # families of 15
+    far = rng.normal(size=(3000, 32))  # no structure at all
+    directions = rng.normal(size=(160, 32))
+    for vectors, most in ((near, 0.02), (far, 0.5)):
+        ids = np.arange(3000)
+        block = ann.Block(ids, ids, vectors, directions)
+        hits = verified = 0
+        for q in range(0, 3000, 100):
+            found, n = block.nearest(q, q, vectors[q], directions @ vectors[q], 112, 1.2, 10)
+            d = np.linalg.norm(vectors - vectors[q], axis=1)
+            d[q] = np.inf
+            hits += len({v for _, _, v, _ in found} & set(np.argsort(d)[:10].tolist()))
+            verified += n
+        assert hits >= 0.9 * 300 and verified <= most * 30 * 3000
 
 
 def corpus(n=400):
