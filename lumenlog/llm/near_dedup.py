@@ -45,7 +45,7 @@ from .components import connected_components
 WORDS = 5
 POSITIONS = 64
 ROOTS = 10
-LEVELS = 4
+LEVELS = 2
 #: Equal minwise tokens, of POSITIONS, that make a pair a candidate.
 ALIKE = 36
 SIGNATURE = "struct<fp:binary,n:bigint,sig:binary,tokens:array<bigint>>"
@@ -268,29 +268,31 @@ def central_members(members: DataFrame, group: str, *, most: int = 16, positions
     return score.withColumn("rank", rank).where(F.col("rank") <= most).select(group, "rep")
 
 
-def connected_in_groups(members: DataFrame, group: str, parts: Column, payload: str, compare, *, signed: DataFrame | None = None, rounds: int = 2) -> DataFrame:
-    """Edges (a, b) that connect the members (group, rep, payload) of each group as a comparison of all its pairs would.
+def connected_in_groups(
+    members: DataFrame, group: str, parts: Column, payload: str, compare, *, edges: DataFrame | None = None, signed: DataFrame | None = None, rounds: int = 2
+) -> DataFrame:
+    """(vertex, component) of the members (group, rep, payload), connected as a comparison of all pairs of each group would.
 
     ``parts`` says how many blocks a group fills.  Those of one are compared at once.  Larger ones meet in random blocks
     ``rounds`` times; with ``signed``, the (rep, sig) of all members, each block also holds the central members.  Then
-    those outside the largest connected part of their group meet all others, block by block.
+    those outside the largest connected part of their group meet all others, block by block.  ``edges`` are known before.
     """
     rows = members.select(group, "rep", payload, parts.cast("long").alias("parts"), F.col("rep").alias("known"))
-    edges = met(rows.where("parts = 1"), F.col(group), payload, compare)
     large = rows.where("parts > 1")
-    if not large.head(1):
-        return edges
-    large, hubs = materialize(large, "large"), None
-    if signed is not None:
-        hubs = materialize(central_members(large.select(group, "rep").join(signed, "rep"), group), "central")
-        hubs = large.join(hubs, [group, "rep"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    own = None
-    for k in range(rounds):
-        dealt = large.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(k)), F.col("parts")))
-        more = met(dealt if hubs is None else dealt.unionByName(hubs), F.xxhash64(group, "block", F.lit(k)), payload, compare)
-        own = more if own is None else own.unionByName(more)
-    found = connected_components(own).withColumnsRenamed({"vertex": "rep", "component": "known"})
-    parted = large.select(group, "rep", "parts").join(found, "rep", "left")
+    some = bool(large.head(1))
+    dealt = rows.where("parts = 1").withColumns({"block": F.lit(0).cast("long"), "round": F.lit(-1)})
+    if some:
+        both = large.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+        dealt = dealt.unionByName(both.withColumn("block", F.pmod(F.xxhash64("rep", "round"), F.col("parts"))))
+        if signed is not None:
+            hubs = materialize(central_members(large.select(group, "rep").join(signed, "rep"), group), "central")
+            dealt = dealt.unionByName(both.join(hubs, [group, "rep"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
+    found = met(dealt, F.xxhash64(group, "block", "round"), payload, compare)
+    found = connected_components(found if edges is None else found.unionByName(edges))
+    if not some:
+        return found
+    known = found.withColumnsRenamed({"vertex": "rep", "component": "known"})
+    parted = large.select(group, "rep", "parts").join(known, "rep", "left")
     parted = materialize(parted.withColumn("known", F.coalesce("known", "rep")), "parted")  # least member of the part that the edges make
     size = parted.groupBy(group, "known").agg(F.count(F.lit(1)).alias("n"), F.max("parts").alias("parts"))
     load = size.groupBy(group).agg(F.count(F.lit(1)).alias("pieces"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("known", "n").alias("main"), F.max("parts").alias("parts"))
@@ -298,35 +300,37 @@ def connected_in_groups(members: DataFrame, group: str, parts: Column, payload:
     blocks = lambda n: F.ceil(F.col("parts") * n / F.col("all")).cast("long")
     load = load.where("pieces > 1").select(group, "main", blocks(F.col("most")).alias("mains"), blocks(F.col("all") - F.col("most")).alias("rests"))
     load = materialize(load, "open-groups")
-    if load.head(1):
-        rest = F.col("known") != F.col("main")
-        ranks = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-        at = F.pmod(F.xxhash64("rep", F.lit("rest")), F.when(rest, F.col("rests")).otherwise(F.col("mains")))
-        # a pair of blocks is (rest, rest), lower number first, or (rest, main), whose number is negative
-        pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-        meets = F.when(rest, F.concat(F.transform(ranks(F.col("rests")), lambda j: pair(at, j)), F.transform(ranks(F.col("mains")), lambda j: pair(at, -1 - j)))).otherwise(
-            F.transform(ranks(F.col("rests")), lambda j: pair(j, -1 - at))
-        )
-        spread = parted.join(load, group).select(group, "rep", "known", F.explode(meets).alias("pair"))
-        sent = spread.join(large.select("rep", group, payload), ["rep", group])
-        own = own.unionByName(met(sent, F.xxhash64(group, "pair", F.lit("rest")), payload, compare))
-    return edges.unionByName(own)
+    if not load.head(1):
+        return found
+    rest = F.col("known") != F.col("main")
+    ranks = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    at = F.pmod(F.xxhash64("rep", F.lit("rest")), F.when(rest, F.col("rests")).otherwise(F.col("mains")))
+    # a pair of blocks is (rest, rest), lower number first, or (rest, main), whose number is negative
+    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    meets = F.when(rest, F.concat(F.transform(ranks(F.col("rests")), lambda j: pair(at, j)), F.transform(ranks(F.col("mains")), lambda j: pair(at, -1 - j)))).otherwise(
+        F.transform(ranks(F.col("rests")), lambda j: pair(j, -1 - at))
+    )
+    spread = parted.join(load, group).select(group, "rep", "known", F.explode(meets).alias("pair"))
+    sent = spread.join(large.select("rep", group, payload), ["rep", group])
+    more = met(sent, F.xxhash64(group, "pair"), payload, compare)
+    if not more.head(1):
+        return found
+    return connected_components(more.unionByName(found.select(F.col("component").alias("a"), F.col("vertex").alias("b"))))
 
 
-def candidate_edges(reps: DataFrame, node_limit: int) -> DataFrame:
-    """Edges (a, b) that connect the classes which look alike in some node of some tree."""
+def candidate_groups(reps: DataFrame, node_limit: int) -> DataFrame:
+    """(vertex, component) of the classes that look alike in some node of some tree."""
     nodes = reps.select("rep", F.posexplode("tokens").alias("k", "token")).select(F.xxhash64("k", "token").alias("node"), "rep")
     found = None
     for level in range(1, LEVELS + 1):
         sizes = materialize(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "nodes")
         members = materialize(nodes.join(sizes, "node"), "members").join(reps.select("rep", "sig"), "rep")
-        last = level == LEVELS
-        chosen = members if last else members.where(F.col("size") <= node_limit)
-        edges = connected_in_groups(chosen, "node", F.ceil(F.col("size") / node_limit), "sig", alike_in_nodes, signed=reps.select("rep", "sig"))
-        found = edges if found is None else found.unionByName(edges)
-        if last or not sizes.where(F.col("size") > node_limit).head(1):
-            return found
         large = members.where(F.col("size") > node_limit)
+        if level == LEVELS or not sizes.where(F.col("size") > node_limit).head(1):
+            return connected_in_groups(members, "node", F.ceil(F.col("size") / node_limit), "sig", alike_in_nodes, edges=found)
+        small = members.where(F.col("size") <= node_limit).withColumn("known", F.col("rep"))
+        edges = met(small, F.col("node"), "sig", alike_in_nodes)
+        found = edges if found is None else found.unionByName(edges)
         pick = F.explode(F.transform(F.array(F.lit(1), F.lit(2)), lambda b: F.pmod(F.xxhash64("node", b), F.lit(POSITIONS - ROOTS)) + ROOTS))
         nodes = materialize(
             large.select("node", "rep", "sig", pick.alias("p"))
@@ -334,7 +338,7 @@ def candidate_edges(reps: DataFrame, node_limit: int) -> DataFrame:
             .distinct(),
             "children",
         )
-    return found
+    raise AssertionError("no level")
 
 
 def near_duplicates(
@@ -343,8 +347,8 @@ def near_duplicates(
     doc_id: str = "doc_id",
     text: str = "text",
     similarity: tuple[int, int] = (3, 4),
-    node_limit: int = 1024,
-    group_limit: int = 512,
+    node_limit: int = 2048,
+    group_limit: int = 1024,
     group_shingles: int = 1_000_000,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_hash and first of every row; ``similarity`` is the least Jaccard as
@@ -356,7 +360,7 @@ def near_duplicates(
         F.min(F.struct("doc_id", "text_hash")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("tokens").alias("tokens")
     )
     reps = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # a class's number is what is stored
-    groups = connected_components(candidate_edges(reps, node_limit))
+    groups = candidate_groups(reps, node_limit)
     every = groups.select(F.col("vertex").alias("rep"), "component").unionByName(groups.select(F.col("component").alias("rep"), "component").distinct())
     members = materialize(every.join(reps.select("rep", "n", "at"), "rep"), "members")
     load = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("load"))
@@ -364,8 +368,7 @@ def near_duplicates(
     load = materialize(load.select("component", parts.cast("long").alias("parts")), "groups")
     dealt = members.join(load, "component").select("rep", "component", "parts", F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash"))
     sets = own.join(dealt, ["doc_id", "text_hash"]).select("rep", "component", "parts", arrow_udf("binary")(full_set).asNondeterministic()("text").alias("s"))
-    links = connected_in_groups(materialize(sets, "sets"), "component", F.col("parts"), "s", links_of_groups(*similarity), signed=reps.select("rep", "sig"))
-    joined = connected_components(links)
+    joined = connected_in_groups(materialize(sets, "sets"), "component", F.col("parts"), "s", links_of_groups(*similarity), signed=reps.select("rep", "sig"))
     parted = joined.select(F.col("vertex").alias("rep"), "component").unionByName(joined.select(F.col("component").alias("rep"), "component").distinct())
     parted = materialize(parted.join(reps.select("rep", "at"), "rep"), "parts")
     best = parted.join(parted.groupBy("component").agg(F.min("at").alias("best")), "component").select("rep", "best")

@@ -101,8 +101,8 @@ def test_large_groups_meet_block_by_block(spark):
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], ["a", "b"])
 
     sizes = frame.groupBy("grp").agg(F.count("*").alias("n"))
-    edges = near_dedup.connected_in_groups(frame.join(sizes, "grp"), "grp", F.ceil(F.col("n") / 8), "x", compare)
-    got = {r.vertex: r.component for r in connected_components(edges).collect()}
+    found = near_dedup.connected_in_groups(frame.join(sizes, "grp"), "grp", F.ceil(F.col("n") / 8), "x", compare)
+    got = {r.vertex: r.component for r in found.collect()}
     want = {}
     for g in {g for g, _, _ in rows}:
         own, part = sorted((x, r) for h, r, x in rows if h == g), []
