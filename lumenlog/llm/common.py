@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import store as materialize  # noqa: F401
+
 #: A-Z to a-z, 0-9, a-z and every byte of a non-ASCII character as they are, the rest to a space.
 WORD_FOLD = bytes(
     b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)
@@ -20,26 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; on one machine a temporary one if none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set: this job needs a folder that all executors share")
-    where = "file://" + tempfile.mkdtemp(prefix="lumenlog-")
-    spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: lineage ends there, so lost executors cost no rerun."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold_of(doc_id: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``."""
     return F.crc32(F.col(doc_id).cast("string")) % mod

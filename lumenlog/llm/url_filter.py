@@ -6,8 +6,10 @@ hit counts if no ASCII letter or digit stands on either side.  One strict term,
 weights (each distinct term once) reach ``limit``, block.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and no rule; the
-vocabulary still reads it, and a null counts as empty; repeated rows are judged alike; other columns pass.
-The vocabulary and the rules are parameters, so their size does not grow with the pages.
+vocabulary still reads it, and a null counts as empty; repeated rows are judged alike; very long URLs are read
+whole; an empty table gives no rows; other columns pass, but one named as ``into`` is replaced, and ``__terms`` is the
+operator's own.  The vocabulary (English, with some German, French and Spanish) and the rules are parameters, so
+their size does not grow with the pages.
 """
 
 from __future__ import annotations
@@ -29,12 +31,20 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 #: One of these blocks.
-STRICT = ("xxx", "porn", "porno", "pornhub", "hentai", "sexcam", "camgirls", "escort", "escorts", "warez", "keygen", "malware", "phishing")
+STRICT = (
+    "xxx", "porn", "porno", "pornos", "pornhub", "pornstar", "xvideos", "xnxx", "redtube", "hentai", "sexcam", "sexcams", "sexchat", "sexshop", "camgirls", "livejasmin",
+    "milf", "milfs", "bdsm", "blowjob", "gangbang", "bukkake", "fetish", "escort", "escorts", "callgirl", "callgirls", "puta", "putas", "salope", "nutten", "fickt", "sexo", "pornografia",
+    "warez", "keygen", "keygens", "malware", "phishing", "ransomware", "botnet", "carding", "cvvshop", "darknet", "spamlink", "linkfarm",
+)
 #: Distinct ones add up.
 SOFT = {
-    "adult": 1, "sex": 2, "sexy": 1, "nude": 2, "nudes": 2, "casino": 2, "poker": 1, "bet": 1, "betting": 1, "slots": 1,
-    "gambling": 2, "jackpot": 1, "viagra": 2, "cialis": 2, "pills": 1, "torrent": 2, "crack": 1, "serial": 1, "free": 1,
-    "download": 1, "dating": 1, "hookup": 2, "loan": 1, "payday": 2, "crypto": 1, "click": 1, "ads": 1, "promo": 1, "coupon": 1,
+    "adult": 1, "adults": 1, "sex": 2, "sexy": 1, "nude": 2, "nudes": 2, "naked": 1, "erotic": 2, "erotik": 2, "erotica": 2, "erotico": 2, "sexe": 2, "sexuel": 1, "webcam": 1, "cam": 1, "cams": 1, "hot": 1, "teen": 1, "teens": 1, "desnuda": 2, "nackt": 2, "nue": 1,
+    "casino": 2, "casinos": 2, "kasino": 2, "poker": 1, "roulette": 1, "blackjack": 1, "baccarat": 1, "bingo": 1, "bet": 1, "bets": 1, "betting": 1, "bookmaker": 1, "slot": 1, "slots": 1, "gambling": 2, "jackpot": 1, "lotto": 1, "apuestas": 2, "wetten": 1, "paris-sportifs": 2,
+    "viagra": 2, "cialis": 2, "levitra": 2, "xanax": 2, "tramadol": 2, "pills": 1, "pharmacy": 1, "rx": 1, "steroids": 1,
+    "torrent": 2, "torrents": 2, "crack": 1, "cracked": 2, "serial": 1, "nulled": 2, "pirate": 1, "free": 1, "download": 1, "downloads": 1, "apk": 1, "mod": 1, "gratis": 1,
+    "dating": 1, "hookup": 2, "hookups": 2, "singles": 1, "mature": 1,
+    "loan": 1, "loans": 1, "payday": 2, "kredit": 1, "credito": 1, "crypto": 1, "forex": 1, "invest": 1, "bitcoin": 1, "profit": 1, "replica": 1, "rolex": 1, "cheap": 1, "discount": 1,
+    "click": 1, "ads": 1, "adserver": 2, "promo": 1, "coupon": 1, "coupons": 1, "affiliate": 1, "winner": 1, "prize": 1, "giveaway": 1,
 }
 LIMIT = 3
 RESULT = "struct<strict:array<string>,soft:array<string>,weight:bigint>"

@@ -326,6 +326,10 @@ def test_url_rules_and_terms(spark):
         (None, "", "", None, "allow"),
         ("", "", "", None, "allow"),
         ("http://example.comx/en/", "example.comx", "/en/", None, "allow"),
+        ("http://x.org/erotik/webcam", "x.org", "/erotik/webcam", None, "block"),
+        ("http://x.org/a-hot-summer/free-cam", "x.org", "/a-hot-summer/free-cam", None, "block"),
+        ("http://x.org/a-hot-summer/download", "x.org", "/a-hot-summer/download", None, "allow"),
+        ("http://x.org/" + "a/" * 50_000 + "keygen", "x.org", "/" + "a/" * 50_000 + "keygen", None, "block"),
     ]
     pages = spark.createDataFrame([Row(page_id=i, url=u[0], host="clash", verdict="clash") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string")
     got = filter_urls(pages, into="f").orderBy("page_id").collect()
