@@ -146,5 +146,5 @@ def normalize(text: Column, roots: tuple[str, ...] = P.PATH_ROOTS) -> Column:
         (r"\b(" + "|".join(roots) + r")[\w./:-]*", ""),
         (r"\s+", " "),
     ):
-        text = F.regexp_replace(text, pattern, to)
+        text = F.regexp_replace(text, UNIX + pattern, to)
     return F.lower(F.trim(text))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 
-HEADING = r"^##\s+\d*\.?\s*(.*)"
+HEADING = P.HEADING
 
 
 def doc_sections(docs: DataFrame) -> DataFrame:
@@ -51,12 +51,12 @@ def doc_findings(sections: DataFrame) -> DataFrame:
         ids = F.regexp_extract_all(body, F.lit(pattern), F.lit(first))
         return F.arrays_zip(ids.alias("id"), F.regexp_extract_all(body, F.lit(pattern), F.lit(second)).alias("raw"))
 
-    named = pairs(r"(?i)####\s+([A-Z]\d+):\s*(.*)")
-    rows = pairs(r"(?m)^\|\s*(\d+)\s*\|\s*(.*?)\s*\|")
-    block = F.regexp_extract(body, r"(?is)(?:findings requiring attention|key findings).*?:(.*?)(?=\n\n|\n\*\*|\z)", 1)
-    bullets = F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^[-*]\s+(.*)"), F.lit(1)), lambda x: F.struct(F.lit(None).cast("string").alias("id"), x.alias("raw")))
+    named = pairs(P.FINDING_NAMED)
+    rows = pairs(P.FINDING_ROW)
+    block = F.regexp_extract(body, P.FINDING_BLOCK, 1)
+    bullets = F.transform(F.regexp_extract_all(block, F.lit(P.FINDING_BULLET), F.lit(1)), lambda x: F.struct(F.lit(None).cast("string").alias("id"), x.alias("raw")))
     gaps = F.transform(
-        F.regexp_extract_all(body, F.lit(r"(?m)^\|\s*`?([^|]+?)`?\s*\|\s*(\w+)\s*\|"), F.lit(1)), lambda x: F.struct(F.lit(None).cast("string").alias("id"), x.alias("raw"))
+        F.regexp_extract_all(body, F.lit(P.FINDING_GAP), F.lit(1)), lambda x: F.struct(F.lit(None).cast("string").alias("id"), x.alias("raw"))
     )
     target = F.lower("target")
     none = F.array().cast("array<struct<id:string,raw:string>>")
@@ -88,12 +88,7 @@ def findings_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(norm, category) of two tables of (seq, norm, fixed): fixed, remaining or new; of equal keys the last counts."""
     last = lambda df, name: df.where("norm <> ''").groupBy("norm").agg(F.max_by("fixed", "seq").alias(name))
     both = last(old, "old_fixed").join(last(new, "new_fixed"), "norm", "full")
-    category = (
-        F.when(F.col("new_fixed").isNull(), "fixed")
-        .when(F.col("old_fixed").isNotNull(), F.when(F.col("new_fixed"), "fixed").otherwise("remaining"))
-        .when(~F.col("new_fixed"), "new")
-    )
-    return both.select("norm", category.alias("category")).where("category is not null")
+    return both.select("norm", category(F.col("old_fixed"), F.col("new_fixed")).alias("category")).where("category is not null")
 
 
 def diff_counts(diff: DataFrame) -> DataFrame:
@@ -112,13 +107,13 @@ def grams(text: Column, k: int) -> Column:
 
 
 def containing_pairs(short: DataFrame, long: DataFrame, k: int = 4) -> DataFrame:
-    """(a, b) with text a of ``short`` inside text b of ``long``, by an equi join on the first ``k`` characters of a
-    (all of them if it has fewer) among the substrings of b."""
+    """(d, a, b) with text a of ``short`` inside text b of ``long`` of the same d, by an equi join on the first ``k``
+    characters of a (all of them if it has fewer) among the substrings of b."""
     size = F.least(F.lit(k), F.length("a"))
-    left = short.where("a <> ''").select("a", size.alias("size"), F.substring(F.col("a"), F.lit(1), size).alias("g"))
+    left = short.where("a <> ''").select("d", "a", size.alias("size"), F.substring(F.col("a"), F.lit(1), size).alias("g"))
     parts = F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.length("b")))).alias("size")
-    right = long.where("b <> ''").select("b", parts).select("b", "size", F.explode(grams(F.col("b"), F.col("size"))).alias("g"))
-    return left.join(right, ["size", "g"]).where(F.contains("b", "a")).select("a", "b")
+    right = long.where("b <> ''").select("d", "b", parts).select("d", "b", "size", F.explode(grams(F.col("b"), F.col("size"))).alias("g"))
+    return left.join(right, ["d", "size", "g"]).where(F.contains("b", "a")).select("d", "a", "b")
 
 
 #: Words that count as frequent where rare ones are looked for first; any number gives the same rows.
@@ -126,8 +121,12 @@ FREQUENT = 4096
 
 
 def keyed(texts: DataFrame) -> DataFrame:
-    """(k, t): distinct texts t that are not empty, with a short key."""
-    return texts.where("t <> ''").select(F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("k"), "t").distinct()
+    """(d, k, t): distinct texts t of documents d that are not empty, with a short key."""
+    return texts.where("t <> ''").select("d", text_key(F.col("t")).alias("k"), "t").distinct()
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
 def frequent(words: DataFrame) -> DataFrame:
@@ -136,70 +135,101 @@ def frequent(words: DataFrame) -> DataFrame:
 
 
 def word_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(ka, kb, wa, wb) that can share two words and 0.4 of the smaller set; every pair that does is there.
+    """(d, ka, kb, wa, wb) that can share two words and 0.4 of the smaller set; every pair of a document that does is there.
 
     Words stand rarest first.  Two sets that share t words share one of the first n - t + 1 of the smaller set, so its t - 1
     most frequent words make no pairs.
     """
-    words = lambda df: df.withColumn("w", significant(F.col("t"))).where("size(w) >= 2").select("k", F.explode("w").alias("w"))
+    words = lambda df: df.withColumn("w", significant(F.col("t"))).where("size(w) >= 2").select("d", "k", F.explode("w").alias("w"))
     x, y = words(a), words(b)
     order = frequent(x.unionByName(y))
 
     def ranked(df: DataFrame) -> DataFrame:
-        own = df.join(order, "w", "left").groupBy("k").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "w"))).alias("ws"))
-        return own.select("k", F.col("ws.w").alias("ws"))
+        own = df.join(order, "w", "left").groupBy("d", "k").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "w"))).alias("ws"))
+        return own.select("d", "k", F.col("ws.w").alias("ws"))
 
     sets_a, sets_b = ranked(x), ranked(y)
-    at = lambda df, s: df.select(F.col("k").alias("k" + s), F.size("ws").alias("n" + s), F.posexplode("ws").alias("p" + s, "w"))
+    at = lambda df, s: df.select("d", F.col("k").alias("k" + s), F.size("ws").alias("n" + s), F.posexplode("ws").alias("p" + s, "w"))
     left, right = at(sets_a, "a"), at(sets_b, "b")
     need = F.expr("greatest(2, (2 * least(na, nb) + 4) div 5)")
     first = (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need) & F.expr("if(na <= nb, pa <= na - greatest(2, (2 * na + 4) div 5), pb <= nb - greatest(2, (2 * nb + 4) div 5))")
     own = F.col("pa") <= F.col("na") - 2  # of either side the most frequent word never comes first
-    pairs = left.where(own).join(right.where("pb <= nb - 2"), "w").where(first).select("ka", "kb").distinct()
-    return pairs.join(sets_a.select(F.col("k").alias("ka"), F.col("ws").alias("wa")), "ka").join(sets_b.select(F.col("k").alias("kb"), F.col("ws").alias("wb")), "kb")
+    pairs = left.where(own).join(right.where("pb <= nb - 2"), ["d", "w"]).where(first).select("d", "ka", "kb").distinct()
+    return pairs.join(sets_a.select("d", F.col("k").alias("ka"), F.col("ws").alias("wa")), ["d", "ka"]).join(sets_b.select("d", F.col("k").alias("kb"), F.col("ws").alias("wb")), ["d", "kb"])
 
 
 def inside_keys(short: DataFrame, long: DataFrame, side: str) -> DataFrame:
-    """k of the texts of ``short`` that stand in one of ``long`` (side "s"), or of those of ``long`` that hold one (side "l").
+    """(d, k) of the texts of ``short`` that stand in one of ``long`` (side "s"), or of those of ``long`` that hold one (side "l").
 
     A text of three words or more is met at the rarest of its inner words, which are whole words of the other text too; of
     shorter ones the longest word is looked for in the vocabulary.
     """
-    words = long.select("k", F.explode(F.array_distinct(F.split("t", " "))).alias("w")).where("w <> ''")
+    words = long.select("d", "k", F.explode(F.array_distinct(F.split("t", " "))).alias("w")).where("w <> ''")
     parts = short.withColumn("ws", F.split("t", " ")).withColumn("inner", F.filter("ws", lambda w, i: (i > 0) & (i < F.size("ws") - 1) & (w != "")))
-    met = parts.where("size(inner) > 0").select("k", F.explode("inner").alias("w")).join(frequent(words), "w", "left")
-    met = met.groupBy("k").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "w")).alias("m")).select(F.col("k").alias("ks"), F.col("m.w").alias("w"))
+    met = parts.where("size(inner) > 0").select("d", "k", F.explode("inner").alias("w")).join(frequent(words), "w", "left")
+    met = met.groupBy("d", "k").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "w")).alias("m")).select("d", F.col("k").alias("ks"), F.col("m.w").alias("w"))
     longest = F.array_max(F.transform("ws", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    few = parts.where("size(inner) = 0").select(F.col("k").alias("ks"), longest.alias("a"), (F.size("ws") == 1).alias("one"))
-    held = few.join(containing_pairs(few.select("a").distinct(), words.select(F.col("w").alias("b")).distinct()), "a").select("ks", "one", F.col("b").alias("w"))
-    single, double = held.where("one"), held.where("not one").select("ks", "w")
-    pairs = met.unionByName(double).join(words.select(F.col("k").alias("kl"), "w"), "w").select("ks", "kl").distinct()
-    texts = lambda df, n: df.select(F.col("k").alias("k" + n), F.col("t").alias("t" + n))
-    sure = pairs.join(texts(short, "s"), "ks").join(texts(long, "l"), "kl").where(F.contains("tl", "ts")).select(F.col("k" + side).alias("k"))
-    one = single.select(F.col("ks").alias("k")) if side == "s" else words.join(single.select("w").distinct(), "w", "left_semi").select("k")
+    few = parts.where("size(inner) = 0").select("d", F.col("k").alias("ks"), longest.alias("a"), (F.size("ws") == 1).alias("one"))
+    held = few.join(containing_pairs(few.select("d", "a").distinct(), words.select("d", F.col("w").alias("b")).distinct()), ["d", "a"]).select("d", "ks", "one", F.col("b").alias("w"))
+    single, double = held.where("one"), held.where("not one").select("d", "ks", "w")
+    pairs = met.unionByName(double).join(words.select("d", F.col("k").alias("kl"), "w"), ["d", "w"]).select("d", "ks", "kl").distinct()
+    texts = lambda df, n: df.select("d", F.col("k").alias("k" + n), F.col("t").alias("t" + n))
+    sure = pairs.join(texts(short, "s"), ["d", "ks"]).join(texts(long, "l"), ["d", "kl"]).where(F.contains("tl", "ts")).select("d", F.col("k" + side).alias("k"))
+    one = single.select("d", F.col("ks").alias("k")) if side == "s" else words.join(single.select("d", "w").distinct(), ["d", "w"], "left_semi").select("d", "k")
     return sure.unionByName(one).distinct()
 
 
-def fixed_crossref(findings: DataFrame, fixed: DataFrame) -> DataFrame:
+def fixed_crossref(findings: DataFrame, fixed: DataFrame, within: str | None = None) -> DataFrame:
     """The fid of findings (fid, id, norm) that some fixed row (ids, norm) covers: by id, by containing text either
-    way, or by two shared words that are 0.4 of the smaller word set.
+    way, or by two shared words that are 0.4 of the smaller word set.  ``within`` names a column of both, such as a
+    report: then only rows of equal value meet.
 
     Texts meet at rare words first, so a word that most of them share makes no pairs of all of them.
     """
-    by_id = findings.join(fixed.select(F.explode("ids").alias("id")).distinct(), "id", "left_semi").select("fid")
-    a, b = keyed(findings.select(F.col("norm").alias("t"))), keyed(fixed.select(F.col("norm").alias("t")))
+    d = (F.lit("") if within is None else F.col(within)).alias("d")
+    findings, fixed = findings.select(d, "fid", "id", "norm"), fixed.select(d, "ids", "norm")
+    by_id = findings.join(fixed.select("d", F.explode("ids").alias("id")).distinct(), ["d", "id"], "left_semi").select("fid")
+    a, b = keyed(findings.select("d", F.col("norm").alias("t"))), keyed(fixed.select("d", F.col("norm").alias("t")))
     shared = F.size(F.array_intersect("wa", "wb"))
-    by_words = word_pairs(a, b).where((shared >= 2) & (shared / F.least(F.size("wa"), F.size("wb")) >= 0.4)).select(F.col("ka").alias("k"))
+    by_words = word_pairs(a, b).where((shared >= 2) & (shared / F.least(F.size("wa"), F.size("wb")) >= 0.4)).select("d", F.col("ka").alias("k"))
     keys = by_words.unionByName(inside_keys(a, b, "s")).unionByName(inside_keys(b, a, "l")).distinct()
-    own = findings.where("norm <> ''").select("fid", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("k"))
-    return by_id.unionByName(own.join(keys, "k", "left_semi").select("fid")).distinct()
+    own = findings.where("norm <> ''").select("fid", "d", text_key(F.col("norm")).alias("k"))
+    return by_id.unionByName(own.join(keys, ["d", "k"], "left_semi").select("fid")).distinct()
+
+
+def fixed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, i, ids, norm): the index of what a report marks as fixed.  Each marked line counts, with the ids it names."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).where(T.is_fixed(F.col("line")))
+    numbers = F.transform(F.regexp_extract_all("line", F.lit(P.FINDING_NUMBER), F.lit(1)), lambda x: F.concat(F.lit("#"), x))
+    ids = F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all("line", F.lit(P.FINDING_ID), F.lit(1)), numbers)))
+    return lines.select("doc_id", "i", ids.alias("ids"), T.normalize(F.col("line")).alias("norm"))
+
+
+def category(old: Column, new: Column) -> Column:
+    """What became of a finding, by whether the old and the new version have it marked as fixed (null: do not have it)."""
+    return F.when(new.isNull(), "fixed").when(old.isNotNull(), F.when(new, "fixed").otherwise("remaining")).when(~new, "new")
+
+
+def compare_reports(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(doc_id, target, norm, category) of two versions (doc_id, text) of each report, section by section.
+
+    Findings of the new version that it marks as fixed anywhere, by id, by containing text or by shared words, count as fixed.
+    """
+    found = lambda docs: doc_findings(section_targets(doc_sections(docs)))
+    after = found(new)
+    own = after.where("not fixed").select("doc_id", F.struct("doc_id", "target", "seq").alias("fid"), "id", "norm")
+    sure = fixed_crossref(own, fixed_lines(new), "doc_id").select("fid.*").withColumn("sure", F.lit(True))
+    after = after.join(sure, ["doc_id", "target", "seq"], "left").withColumn("fixed", F.col("fixed") | F.coalesce("sure", F.lit(False)))
+    last = lambda df, name: df.where("norm <> ''").groupBy("doc_id", "target", "norm").agg(F.max_by("fixed", "seq").alias(name))
+    both = last(found(old), "old_fixed").join(last(after, "new_fixed"), ["doc_id", "target", "norm"], "full")
+    return both.select("doc_id", "target", "norm", category(F.col("old_fixed"), F.col("new_fixed")).alias("category")).where("category is not null")
 
 
 def extract_queries(replies: DataFrame) -> DataFrame:
     """(doc_id, block, part, description, query) of the searches in a reply's fenced code blocks."""
-    parts = F.split(F.regexp_replace("text", r"(?s)(```[^\n]*\n.*?\n```)", "\x01$1\x01"), "\x01", -1)
-    beside = F.arrays_zip(parts.alias("part"), F.concat(F.array(F.lit(None).cast("string")), parts).alias("before"))  # one longer than parts; no row holds all parts
-    rows = replies.select("doc_id", F.posexplode(beside).alias("i", "p")).select("doc_id", "i", "p.part", "p.before")
+    block = r"(?s)```[^\n]*\n.*?\n```"
+    beside = F.arrays_zip(F.regexp_extract_all("text", F.lit(block), F.lit(0)).alias("part"), F.split("text", block, -1).alias("before"))  # one longer
+    rows = replies.select("doc_id", F.posexplode(beside).alias("k", "p")).where("p.part is not null").select("doc_id", (2 * F.col("k") + 1).alias("i"), "p.part", "p.before")
     fence = r"(?s)^```(\w*)\n(.*?)\n```$"
     rows = rows.where(F.col("part").rlike(fence)).select(
         "doc_id", "i", F.lower(F.regexp_extract("part", fence, 1)).alias("lang"), F.trim(F.regexp_extract("part", fence, 2), F.lit(" \n\t")).alias("code"), "before"

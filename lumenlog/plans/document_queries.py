@@ -13,54 +13,18 @@ from .events_queries import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-NL = " || chr(10) || "
-WORDS = "substr(replace(replace(text, chr(10), ' '), '|', '/'), 1 + CAST(doc_id % 7 AS INT) * 5, 24)"
-MARK = "CASE doc_id % 4 WHEN 0 THEN '~~' || {x} || '~~ Done' WHEN 1 THEN {x} || ' 30 min' WHEN 2 THEN '**' || {x} || '**' ELSE {x} || ' Fixed' END"
-#: A report in Markdown around words of a document; SQL that Spark and DuckDB read alike.
-REPORT = NL.join([
-    "'# Report ' || CAST(doc_id AS STRING)",
-    "'Architecture: ' || CASE doc_id % 3 WHEN 0 THEN 'A-' WHEN 1 THEN 'B+' ELSE 'F' END",
-    "'## 1. Executive Summary'",
-    "'Key findings, short:'",
-    "'- ' || " + MARK.format(x=WORDS),
-    "'- tiny'",
-    "''",
-    "'Grade: **' || CASE doc_id % 2 WHEN 0 THEN 'B' ELSE 'C+' END || '**'",
-    "'## 2. Code Review Findings'",
-    "'#### B' || CAST(doc_id % 9 AS STRING) || ': ' || " + MARK.format(x=WORDS),
-    "'| # | Item | Effort |'",
-    "'| ' || CAST(doc_id % 5 AS STRING) || ' | fix ' || " + WORDS + " || ' | 2 hr |'",
-    "'| Security | **' || CASE doc_id % 2 WHEN 0 THEN 'A' ELSE 'D' END || '** |'",
-    "'## Test Coverage Analysis'",
-    "'| `' || " + WORDS + " || '` | High |'",
-    "'## Notes'",
-    "'see below'",
-    "'```spl'",
-    "'index=APP sourcetype=WAS ' || CAST(doc_id AS STRING)",
-    "'```'",
-    "'Use **both**'",
-    "'```'",
-    "'-- first'",
-    "'index=APP a | stats count'",
-    "'-- second'",
-    "'index=APP b | table x'",
-    "'```'",
-])
-REPORTS = f"reports AS (SELECT doc_id, {REPORT} AS text FROM documents WHERE text IS NOT NULL)"
-
-
-def reports(s, d) -> DataFrame:
-    return table(s, d, "documents").where("text is not null").select("doc_id", F.expr(REPORT).alias("text"))
-
-
 #: Java's line ends, so that no dot of a pattern stops inside a line.
 LINE_END = r"\r\n|[\n\r\x{85}\x{2028}\x{2029}]"
 
 
-def whole_reports(s, d) -> DataFrame:
+def reports(s, d) -> DataFrame:
     """Reports around whole texts: each line that is not blank is a bullet, a named finding, a table row, a coverage row and a section."""
+    return rendered_reports(table(s, d, "documents"))
+
+
+def rendered_reports(docs: DataFrame) -> DataFrame:
     bare = F.transform(F.split("text", LINE_END, -1), lambda x: F.trim(F.replace(x, F.lit("|"), F.lit("/"))))
-    docs = table(s, d, "documents").where("text is not null").select("doc_id", F.filter(bare, lambda x: x != "").alias("own"))
+    docs = docs.where("text is not null").select("doc_id", F.filter(bare, lambda x: x != "").alias("own"))
 
     def each(f) -> F.Column:
         return F.array_join(F.transform("own", f), "\n")
@@ -96,24 +60,58 @@ def whole_reports(s, d) -> DataFrame:
     return docs.select("doc_id", F.concat_ws("\n", *parts).alias("text"))
 
 
+def _reports_sql() -> str:
+    """The same reports in DuckDB."""
+    each = lambda x: f"coalesce(array_to_string(list_transform(own, lambda x, j: {x}), chr(10)), '')"
+    i = "CAST(j - 1 AS VARCHAR)"
+    marked = "CASE (doc_id + j - 1) % 4 WHEN 0 THEN '~~' || x || '~~ Done' WHEN 1 THEN x || ' 30 min' WHEN 2 THEN '**' || x || '**' ELSE x || ' Fixed' END"
+    parts = [
+        "'# Report ' || CAST(doc_id AS VARCHAR)",
+        "'Architecture: ' || CASE doc_id % 3 WHEN 0 THEN 'A-' WHEN 1 THEN 'B+' ELSE 'F' END",
+        "'## 1. Executive Summary' || chr(10) || 'Key findings, short:'",
+        each(f"'- ' || {marked}"),
+        "chr(10) || 'Grade: **' || CASE doc_id % 2 WHEN 0 THEN 'B' ELSE 'C+' END || '**'",
+        "'## 2. Code Review Findings'",
+        each(f"'#### B' || {i} || ': ' || {marked}"),
+        "'| # | Item | Effort |'",
+        each(f"'| ' || {i} || ' | fix ' || x || ' | 2 hr |'"),
+        "'| Security | **' || CASE doc_id % 2 WHEN 0 THEN 'A' ELSE 'D' END || '** |'",
+        "'## Test Coverage Analysis'",
+        each("'| `' || x || '` | High |'"),
+        "'## Notes'",
+        each(f"'## ' || {i} || '. ' || x || chr(10) || 'as said: ' || x"),
+        "'## Searches'",
+        each(f"'Search ' || {i} || chr(10) || '```spl' || chr(10) || 'index=APP ' || x || chr(10) || '```'"),
+        "'```'",
+        each(f"'-- ' || x || chr(10) || 'index=APP ' || {i} || ' | stats count'"),
+        "'```'",
+    ]
+    own = f"list_filter(list_transform(string_split_regex(text, '{LINE_END}'), lambda x: trim(replace(x, '|', '/'))), lambda x: x <> '')"
+    return f"reports AS (SELECT doc_id, {' || chr(10) || '.join(parts)} AS text FROM (SELECT doc_id, {own} AS own FROM documents WHERE text IS NOT NULL))"
+
+
+REPORTS = _reports_sql()
+
+
 def add(name: str, f, oracle: str | None = None) -> None:
     QUERIES[name] = f
     if oracle:
         ORACLES[name] = oracle
 
 
-HEAD = "'^##\\s+\\d*\\.?\\s*(.*)'"
+HEAD = S.lit(P.HEADING)
 SECTIONS = f"""WITH {REPORTS},
 split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM reports),
 headed AS (SELECT *, regexp_matches(line, {HEAD}) AS h, CAST(count(*) FILTER (regexp_matches(line, {HEAD})) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS seq FROM split),
-sections AS (
+titled AS (
   SELECT doc_id, seq, max(trim(regexp_extract(line, {HEAD}, 1))) FILTER (h) AS title, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT h), '') AS body
-  FROM headed WHERE seq > 0 GROUP BY doc_id, seq)
+  FROM headed WHERE seq > 0 GROUP BY doc_id, seq),
+sections AS (SELECT * FROM titled WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, title ORDER BY seq DESC) = 1)
 """
 _targets = "(VALUES " + ", ".join(f"({i}, {S.lit(t)})" for i, t in enumerate(P.TARGET_SECTIONS)) + ") v(o, target)"
 TARGETS = f", targets AS (SELECT doc_id, target, seq, title, body FROM sections, {_targets} WHERE contains(lower(title), lower(target)) OR contains(lower(target), lower(title)) QUALIFY row_number() OVER (PARTITION BY doc_id, target ORDER BY seq) = 1)"
 add("doc_sections", lambda s, d: D.doc_sections(reports(s, d)), SECTIONS + "SELECT doc_id, seq, title, body FROM sections")
-add("section_targets", lambda s, d: D.section_targets(D.doc_sections(reports(s, d))).select("doc_id", "target", "seq", "title"), SECTIONS + TARGETS + "SELECT doc_id, target, seq, title FROM targets")
+add("section_targets", lambda s, d: D.section_targets(D.doc_sections(reports(s, d))), SECTIONS + TARGETS + "SELECT doc_id, target, seq, title, body FROM targets")
 FIXED = "regexp_matches({x}, '[\\x{{2705}}\\x{{2714}}]|~~.*?~~') OR contains({x}, 'Done') OR contains({x}, 'Fixed')"
 
 
@@ -129,8 +127,8 @@ def normalize_sql(x: str) -> str:
 LINES = f"WITH {REPORTS}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM reports) "
 
 
-def doc_lines(s, d, read=reports):
-    return read(s, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).withColumn("i", (F.col("p") + 1).cast("long"))
+def doc_lines(s, d):
+    return reports(s, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).withColumn("i", (F.col("p") + 1).cast("long"))
 
 
 add("fixed_flag", lambda s, d: doc_lines(s, d).select("doc_id", "i", T.is_fixed(F.col("line")).alias("fixed")), LINES + f"SELECT doc_id, i, {FIXED.format(x='line')} AS fixed FROM l")
@@ -138,11 +136,37 @@ add("normalize_text", lambda s, d: doc_lines(s, d).select("doc_id", "i", T.norma
 
 
 def findings(s, d):
-    sections = D.doc_sections(whole_reports(s, d))
-    return D.doc_findings(D.section_targets(sections))
+    return D.doc_findings(D.section_targets(D.doc_sections(reports(s, d))))
 
 
-add("doc_findings", findings)
+def _found_sql(kind: int, pattern: str, id_: str | None, group: int, source: str = "body", where: str = "true") -> str:
+    all_ = lambda g: f"regexp_extract_all({source}, {S.lit(pattern)}, {g})"
+    named = f"unnest({all_(1)})" if id_ else "CAST(NULL AS VARCHAR)"
+    return (
+        f"SELECT doc_id, target, {kind} AS kind, i, {id_ or 'id'} AS id, trim(raw) AS text FROM "
+        f"(SELECT doc_id, target, generate_subscripts({all_(1)}, 1) AS i, {named} AS id, unnest({all_(group)}) AS raw FROM targets WHERE {where})"
+    )
+
+
+FOUND = f""", found AS (
+  {_found_sql(0, P.FINDING_NAMED, 'upper(id)', 2)} UNION ALL
+  {_found_sql(1, P.FINDING_ROW, "'#' || id", 2)} UNION ALL
+  {_found_sql(2, P.FINDING_BULLET, None, 1, f"regexp_extract(body, {S.lit(P.FINDING_BLOCK)}, 1)", "contains(lower(target), 'summary')")} UNION ALL
+  {_found_sql(3, P.FINDING_GAP, None, 1, "body", "contains(lower(target), 'coverage') OR contains(lower(target), 'test')")}),
+normed AS (SELECT *, {normalize_sql('text')} AS norm FROM found),
+fit AS (
+  SELECT * FROM normed WHERE NOT (kind = 1 AND (starts_with(text, '---') OR starts_with(lower(text), 'item') OR starts_with(text, '#')))
+    AND NOT (kind = 3 AND (starts_with(text, '---') OR lower(text) = 'missing test')) AND (kind = 0 OR norm <> '') AND (kind <> 2 OR length(text) > 10)),
+once AS (SELECT *, row_number() OVER (PARTITION BY doc_id, target, norm ORDER BY kind, i) AS r FROM fit),
+findings AS (SELECT doc_id, target, CAST(row_number() OVER (PARTITION BY doc_id, target ORDER BY kind, i) AS INT) AS seq, id, text, {FIXED.format(x='text')} AS fixed, norm FROM once WHERE kind = 0 OR r = 1)
+"""
+add("doc_findings", findings, SECTIONS + TARGETS + FOUND + "SELECT doc_id, target, seq, id, text, fixed, norm FROM findings")
+add(
+    "fixed_index",
+    lambda s, d: D.fixed_lines(reports(s, d)).select("doc_id", "i", F.array_join("ids", ",").alias("ids"), "norm"),
+    LINES + f", f AS (SELECT doc_id, CAST(i - 1 AS INT) AS i, line FROM l WHERE {FIXED.format(x='line')}) "
+    f"SELECT doc_id, i, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(line, {S.lit(P.FINDING_ID)}, 1), list_transform(regexp_extract_all(line, {S.lit(P.FINDING_NUMBER)}, 1), lambda x: '#' || x)))), ',') AS ids, {normalize_sql('line')} AS norm FROM f",
+)
 
 
 def _pairs(order: int, pattern: str) -> str:
@@ -160,65 +184,82 @@ add(
     f"v AS (SELECT doc_id, o, i, {_title} AS label, upper(grade) AS grade FROM g WHERE upper(grade) NOT IN ('D+', 'D-', 'F+', 'F-')) "
     f"SELECT doc_id, label, grade, CASE grade[1:1] {_known} END AS class FROM v QUALIFY row_number() OVER (PARTITION BY doc_id, replace(lower(label), '  ', ' ') ORDER BY o, i) = 1",
 )
-add("extract_queries", lambda s, d: D.extract_queries(whole_reports(s, d)))
-#: The SQL of the queries above reads 24 characters of each text; these read whole texts and have no SQL.
-add("doc_sections_whole", lambda s, d: D.doc_sections(whole_reports(s, d)))
-add("section_targets_whole", lambda s, d: D.section_targets(D.doc_sections(whole_reports(s, d))))
-add("fixed_flag_whole", lambda s, d: doc_lines(s, d, whole_reports).select("doc_id", "i", T.is_fixed(F.col("line")).alias("fixed")))
-add("normalize_text_whole", lambda s, d: doc_lines(s, d, whole_reports).select("doc_id", "i", T.normalize(F.col("line")).alias("norm")))
-add("extract_grades_whole", lambda s, d: D.extract_grades(whole_reports(s, d)))
-
-
-def snapshot(s, d, odd: int, whole: bool = False):
-    """Lines of half of the documents as findings; equal normal forms are the same finding."""
-    text, x = (F.col("text"), F.col("x")) if whole else (F.substring("text", 1, 400), F.substring("x", 1, 9))
-    own = table(s, d, "documents").where(f"text is not null and doc_id % 2 = {odd}").select("doc_id", F.explode(F.split(text, "[.] ")).alias("x"))
-    own = own.withColumn("norm", T.normalize(x))
-    return own.groupBy("norm").agg(F.max("doc_id").alias("seq")).withColumn("fixed", F.col("seq") % 3 == 0)
+_fence = "(?s)```[^\\n]*\\n.*?\\n```"
+_looks = lambda c: "(" + " OR ".join(f"contains(lower({c}), '{w}')" for w in P.SEARCH_WORDS) + ")"
+_bare = "' ' || chr(10) || chr(9)"
+add(
+    "extract_queries",
+    lambda s, d: D.extract_queries(reports(s, d)),
+    rf"""WITH {REPORTS},
+cut AS (SELECT doc_id, regexp_extract_all(text, '{_fence}', 0) AS f, string_split_regex(text, '{_fence}') AS b FROM reports),
+each AS (SELECT doc_id, generate_subscripts(f, 1) AS k, unnest(f) AS part, unnest(b[1:len(f)]) AS before FROM cut),
+code AS (
+  SELECT doc_id, 2 * k - 1 AS block, before, trim(regexp_extract(part, '(?s)^```(\w*)\n(.*?)\n```$', 2), {_bare}) AS code FROM each
+  WHERE lower(regexp_extract(part, '(?s)^```(\w*)\n(.*?)\n```$', 1)) IN ('spl', 'splunk', '') AND regexp_matches(part, '(?s)^```(\w*)\n(.*?)\n```$')),
+listed AS (
+  SELECT doc_id, block, code, len(string_split_regex(code, '(?m)^-- +')) > 1 AS several,
+         list_filter(list_transform(string_split(before, chr(10)), lambda x: trim(trim(trim(trim(x), '*'), '#'))), lambda x: x <> '') AS said,
+         list_filter(list_transform(list_filter(list_transform(string_split_regex(code, '(?m)^-- +'), lambda x: trim(x, {_bare})), lambda x: x <> ''),
+           lambda x: {{'description': trim(split_part(x, chr(10), 1)), 'query': trim(regexp_extract(x, '(?s)^[^\n]*\n(.*)$', 1), {_bare})}}), lambda x: {_looks('x.query')}) AS cut
+  FROM code WHERE {_looks('code')}),
+found AS (SELECT doc_id, block, CASE WHEN several AND len(cut) > 1 THEN cut ELSE [{{'description': coalesce(said[-1], 'Splunk query'), 'query': code}}] END AS f FROM listed)
+SELECT doc_id, CAST(block AS INT) AS block, CAST(part AS INT) AS part, x.description AS description, x.query AS query FROM (SELECT doc_id, block, generate_subscripts(f, 1) - 1 AS part, unnest(f) AS x FROM found)
+""",
+)
 
 
+def snapshot(s, d, odd: int):
+    """The sentences of half of the documents as findings; equal normal forms are the same finding."""
+    own = table(s, d, "documents").where(f"text is not null and doc_id % 2 = {odd}").select("doc_id", F.explode(F.split("text", "[.] ", -1)).alias("x"))
+    own = own.withColumn("norm", T.normalize(F.col("x")))
+    return own.groupBy("norm").agg(F.max("doc_id").alias("seq")).withColumn("fixed", F.col("seq") % 3 == 0)
 
 
 def _snap(name: str, odd: int) -> str:
     return (
-        f"{name} AS (SELECT norm, max(doc_id) AS seq, max(doc_id) % 3 = 0 AS fixed FROM (SELECT doc_id, {normalize_sql('substr(x, 1, 9)')} AS norm FROM "
-        f"(SELECT doc_id, unnest(string_split(substr(text, 1, 400), '. ')) AS x FROM documents WHERE text IS NOT NULL AND doc_id % 2 = {odd})) WHERE norm <> '' GROUP BY norm)"
+        f"{name} AS (SELECT norm, max(doc_id) AS seq, max(doc_id) % 3 = 0 AS fixed FROM (SELECT doc_id, {normalize_sql('x')} AS norm FROM "
+        f"(SELECT doc_id, unnest(string_split(text, '. ')) AS x FROM documents WHERE text IS NOT NULL AND doc_id % 2 = {odd})) WHERE norm <> '' GROUP BY norm)"
     )
 
 
-DIFF = (
-    f"WITH {_snap('o', 0)}, {_snap('w', 1)}, diff AS (SELECT norm, CASE WHEN w.fixed IS NULL THEN 'fixed' WHEN o.fixed IS NOT NULL THEN CASE WHEN w.fixed THEN 'fixed' ELSE 'remaining' END "
-    "WHEN NOT w.fixed THEN 'new' END AS category FROM o FULL JOIN w USING (norm)) "
-)
+_category = "CASE WHEN {n} IS NULL THEN 'fixed' WHEN {o} IS NOT NULL THEN CASE WHEN {n} THEN 'fixed' ELSE 'remaining' END WHEN NOT {n} THEN 'new' END"
+DIFF = f"WITH {_snap('o', 0)}, {_snap('w', 1)}, diff AS (SELECT norm, {_category.format(o='o.fixed', n='w.fixed')} AS category FROM o FULL JOIN w USING (norm)) "
 add("findings_diff", lambda s, d: D.findings_diff(snapshot(s, d, 0), snapshot(s, d, 1)), DIFF + "SELECT norm, category FROM diff WHERE category IS NOT NULL")
 add("diff_counts", lambda s, d: D.diff_counts(D.findings_diff(snapshot(s, d, 0), snapshot(s, d, 1))), DIFF + "SELECT category, count(*) AS findings FROM diff WHERE category IS NOT NULL GROUP BY category")
 
 
-#: The SQL of these two reads 400 characters of a text and 9 of a sentence; the whole-text forms have no SQL.
-add("findings_diff_whole", lambda s, d: D.findings_diff(snapshot(s, d, 0, True), snapshot(s, d, 1, True)))
-add("diff_counts_whole", lambda s, d: D.diff_counts(D.findings_diff(snapshot(s, d, 0, True), snapshot(s, d, 1, True))))
-
-
-def fixed_crossref(s, d, whole: bool = False):
-    talk = table(s, d, "conversations").where("text is not null")
-    norm = T.normalize(F.col("text") if whole else F.substring("text", 1, 30))
-    own = talk.select((F.col("conv_id") * 100 + F.col("turn")).alias("fid"), F.concat(F.lit("#"), F.col("conv_id") % 50).alias("id"), norm.alias("norm"))
-    fixed = talk.where("conv_id % 25 = 0").select(F.array(F.concat(F.lit("#"), F.col("conv_id") % 50)).alias("ids"), norm.alias("norm"))
-    return D.fixed_crossref(own, fixed)
+def fixed_crossref(s, d):
+    """Of each conversation, the turns of others that a turn of the assistant covers."""
+    talk = table(s, d, "conversations").where("text is not null").withColumn("norm", T.normalize(F.col("text")))
+    number = F.concat(F.lit("#"), F.col("turn") % 5)
+    own = talk.where("role <> 'assistant'").select("conv_id", F.struct("conv_id", "turn").alias("fid"), number.alias("id"), "norm")
+    fixed = talk.where("role = 'assistant'").select("conv_id", F.when(F.col("turn") % 7 == 1, F.array(number)).otherwise(F.array().cast("array<string>")).alias("ids"), "norm")
+    return D.fixed_crossref(own, fixed, "conv_id").select("fid.*")
 
 
 _words = "list_filter(list_distinct(string_split({x}, ' ')), lambda w: w <> '' AND NOT list_contains([" + ", ".join(f"'{w}'" for w in P.STOP_WORDS) + "], w))"
+COVERS = (
+    "w.norm <> '' AND f.norm <> '' AND (contains(f.norm, w.norm) OR contains(w.norm, f.norm) OR "
+    "len(list_intersect(w.w, f.w)) >= 2 AND len(list_intersect(w.w, f.w)) / least(len(w.w), len(f.w)) >= 0.4)"
+)
 add(
     "fixed_crossref",
     fixed_crossref,
-    f"WITH t AS (SELECT conv_id, conv_id * 100 + turn AS fid, '#' || (conv_id % 50) AS id, {normalize_sql('substr(text, 1, 30)')} AS norm FROM conversations WHERE text IS NOT NULL), "
-    f"w AS (SELECT *, {_words.format(x='norm')} AS w FROM t), f AS (SELECT DISTINCT id, norm, w FROM w WHERE conv_id % 25 = 0) "
-    "SELECT DISTINCT w.fid FROM w, f WHERE w.id = f.id OR w.norm <> '' AND f.norm <> '' AND (contains(f.norm, w.norm) OR contains(w.norm, f.norm) OR "
-    "len(list_intersect(w.w, f.w)) >= 2 AND len(list_intersect(w.w, f.w)) / least(len(w.w), len(f.w)) >= 0.4)",
+    f"WITH t AS (SELECT conv_id, turn, role, '#' || (turn % 5) AS id, {normalize_sql('text')} AS norm FROM conversations WHERE text IS NOT NULL), "
+    f"w AS (SELECT *, {_words.format(x='norm')} AS w FROM t) "
+    f"SELECT DISTINCT w.conv_id, w.turn FROM w JOIN w AS f ON w.conv_id = f.conv_id AND w.role <> 'assistant' AND f.role = 'assistant' WHERE f.turn % 7 = 1 AND w.id = f.id OR {COVERS}",
 )
 
 
-add("fixed_crossref_whole", lambda s, d: fixed_crossref(s, d, True))
+def compare_reports(s, d):
+    """Each report against its next version, which is rendered with the marks moved by one and without its first line."""
+    docs = table(s, d, "documents").where("text is not null")
+    old = rendered_reports(docs)
+    new = rendered_reports(docs.select((F.col("doc_id") + 1).alias("doc_id"), F.regexp_replace("text", r"^[^\n]*\n", "").alias("text")))
+    return D.compare_reports(old, new.select((F.col("doc_id") - 1).alias("doc_id"), "text"))
+
+
+add("compare_reports", compare_reports)
 
 
 def previous_snapshot(s, d):

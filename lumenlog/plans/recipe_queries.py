@@ -29,10 +29,12 @@ def add(name: str, f, oracle: str | None = None) -> None:
         ORACLES[name] = S.WITH_EVENTS + oracle
 
 
+_message = "regexp_replace(text, " + S.lit(r"^(?:\[[^\]]*\]\s+[0-9a-f]+|" + P.TS_ISO + r")\s+") + ", '')"
 add(
     "noise_candidates",
     lambda s, d: R.noise_candidates(events(s, d), 20).select("code", "cnt", "errors"),
-    f", n AS (SELECT code, count(*) AS cnt, count(*) FILTER ({ERROR}) AS errors FROM ev WHERE code IS NOT NULL GROUP BY code) SELECT * FROM n WHERE cnt > 20 AND errors = 0",
+    f", n AS (SELECT code, count(*) AS cnt, count(*) FILTER ({ERROR}) AS errors, count(DISTINCT {_message}) AS texts FROM ev WHERE code IS NOT NULL GROUP BY code) "
+    "SELECT code, cnt, errors FROM n WHERE cnt > 20 AND errors = 0 AND texts = 1",
 )
 add(
     "without_noise",
@@ -80,12 +82,6 @@ add(
     f", c AS (SELECT CAST(floor({SEC} / 3600) AS BIGINT) AS hour, count(*) AS cnt FROM ev WHERE ts_dt IS NOT NULL GROUP BY 1), "
     "w AS (SELECT hour, cnt, avg(cnt) OVER r + 2 * stddev_pop(cnt) OVER r AS most FROM c WINDOW r AS (ORDER BY hour RANGE BETWEEN 24 PRECEDING AND 1 PRECEDING)) SELECT hour, cnt FROM w WHERE cnt > most",
 )
-add(
-    "regressions",
-    lambda s, d: R.regressions(events(s, d).where("event_seq % 5 <> 0 or ts_dt >= timestamp_ntz'2024-01-02'"), "2024-01-02 00:00:00"),
-    ", o AS (SELECT * FROM ev WHERE event_seq % 5 <> 0 OR ts_dt >= timestamp '2024-01-02') SELECT exception, count(*) AS cnt FROM o WHERE ts_dt >= timestamp '2024-01-02' AND exception IS NOT NULL "
-    "AND exception NOT IN (SELECT exception FROM o WHERE ts_dt < timestamp '2024-01-02' AND exception IS NOT NULL) GROUP BY exception",
-)
 DEPLOY = "2024-01-02 00:00:00"
 LATE = "com.acme.pay.LateError"
 
@@ -96,8 +92,13 @@ def with_late_errors(ev: DataFrame) -> DataFrame:
     return ev.withColumn("exception", F.when(late, LATE).otherwise(F.col("exception")))
 
 
-#: All events; the SQL of regressions leaves every fifth before the deploy out.
-add("regressions_whole", lambda s, d: R.regressions(with_late_errors(events(s, d)), DEPLOY))
+_late = f", o AS (SELECT * REPLACE (CASE WHEN ts_dt >= timestamp '{DEPLOY}' AND exception IS NULL AND event_seq % 50 = 0 THEN '{LATE}' ELSE exception END AS exception) FROM ev) "
+add(
+    "regressions",
+    lambda s, d: R.regressions(with_late_errors(events(s, d)), DEPLOY),
+    _late + f"SELECT exception, count(*) AS cnt FROM o WHERE ts_dt >= timestamp '{DEPLOY}' AND exception IS NOT NULL "
+    f"AND exception NOT IN (SELECT exception FROM o WHERE ts_dt < timestamp '{DEPLOY}' AND exception IS NOT NULL) GROUP BY exception",
+)
 add(
     "shared_top_frames",
     lambda s, d: R.shared_top_frames(events(s, d)),

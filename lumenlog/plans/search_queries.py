@@ -108,18 +108,16 @@ add("prompt_worklist", prompt_worklist, f"SELECT query_id, {KEY} AS cache_key FR
 
 
 def rule_docs(s, d):
-    """Texts of the rules, taken from the conversations: one reply for each rule but one."""
-    names = sorted({r for m in (P.RULES_BY_TAG, P.RULES_BY_CODE_PREFIX, P.RULES_BY_EXCEPTION, P.RULES_BY_WORD) for rs in m.values() for r in rs} - {"splunk-query.md"})
-    rules = s.createDataFrame([(i, n) for i, n in enumerate(names)], "conv_id long, rule string")
-    talk = s.read.parquet(f"{d}/conversations.parquet").where("turn = 0").groupBy("conv_id").agg(F.min("text").alias("text"))
-    return talk.join(F.broadcast(rules), "conv_id").select("rule", "text")
+    """Texts of the rules, taken from all turns of the conversations: the least of a rule's share.  One rule has none."""
+    names = F.array(*map(F.lit, _names))
+    talk = s.read.parquet(f"{d}/conversations.parquet").where("text is not null and conv_id is not null")
+    return talk.groupBy(F.get(names, F.pmod("conv_id", F.lit(len(_names))).cast("int")).alias("rule")).agg(F.min("text").alias("text"))
 
 
 _names = sorted({r for m in (P.RULES_BY_TAG, P.RULES_BY_CODE_PREFIX, P.RULES_BY_EXCEPTION, P.RULES_BY_WORD) for rs in m.values() for r in rs} - {"splunk-query.md"})
 DOCS = (
-    ", talk AS (SELECT conv_id, min(text) AS text FROM conversations WHERE turn = 0 GROUP BY conv_id), rule_docs AS (SELECT rule, text FROM talk JOIN (VALUES "
-    + ", ".join(f"({i}, {S.lit(n)})" for i, n in enumerate(_names))
-    + ") v(conv_id, rule) USING (conv_id)), context AS (SELECT query_id, string_agg('--- ' || rule || ' ---' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY rank) AS context FROM selected JOIN rule_docs USING (rule) GROUP BY query_id)"
+    f", rule_docs AS (SELECT [{', '.join(map(S.lit, _names))}][conv_id % {len(_names)} + 1] AS rule, min(text) AS text FROM conversations WHERE text IS NOT NULL AND conv_id IS NOT NULL GROUP BY 1), "
+    "context AS (SELECT query_id, string_agg('--- ' || rule || ' ---' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY rank) AS context FROM selected JOIN rule_docs USING (rule) GROUP BY query_id)"
 )
 add("rule_context", lambda s, d: R.rule_context(R.select_rules(matches(s, d)), rule_docs(s, d)), ROUTES + DOCS + "SELECT query_id, context FROM context")
 _clean = f"replace(replace(replace(regexp_replace(%s, {S.lit(P.DELIMITER_TAGS)}, '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"

@@ -105,22 +105,16 @@ ORACLES["keep_last_n"] = "SELECT event_id, event_type FROM events ORDER BY event
 
 
 def append_distinct(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "role", "text").distinct()
-    return A.append_distinct(turns.where("conv_id % 2 = 0"), turns.where("conv_id % 3 = 0"), ["role", "text"])
-
-
-def append_distinct_whole(spark, sf_dir):
-    """Even conversations are history and all others new, also those without a number; the SQL of append_distinct leaves two in six out."""
+    """Even conversations are history and all others new, also those without a number."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "role", "text").distinct()
     old = F.coalesce(F.col("conv_id") % 2 == 0, F.lit(False))
     return A.append_distinct(turns.where(old), turns.where(~old), ["role", "text"])
 
 
 QUERIES["append_distinct"] = append_distinct
-QUERIES["append_distinct_whole"] = append_distinct_whole
 ORACLES["append_distinct"] = """
-WITH t AS (SELECT DISTINCT conv_id, role, text FROM conversations)
-SELECT * FROM t WHERE conv_id % 2 = 0 UNION ALL
-SELECT * FROM t WHERE conv_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM t AS o WHERE o.conv_id % 2 = 0 AND o.role = t.role AND o.text = t.text)
+WITH t AS (SELECT DISTINCT conv_id, role, text, coalesce(conv_id % 2 = 0, false) AS old FROM conversations)
+SELECT conv_id, role, text FROM t WHERE old UNION ALL
+SELECT conv_id, role, text FROM t WHERE NOT old AND NOT EXISTS (SELECT 1 FROM t AS o WHERE o.old AND o.role = t.role AND o.text = t.text)
 """
 QUERIES["triage_report_json"] = lambda s, d: A.triage_report(events(s, d))

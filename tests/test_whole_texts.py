@@ -23,7 +23,7 @@ def docs_dir(spark, tmp_path_factory):
 
 @pytest.mark.parametrize(
     ("name", "column", "most"),
-    [("doc_sections_whole", "title", 1206), ("section_targets_whole", "body", 0), ("normalize_text_whole", "norm", 0), ("doc_findings", "norm", 0), ("extract_queries", "query", 0), ("extract_queries", "description", 0)],
+    [("doc_sections", "title", 1206), ("section_targets", "body", 0), ("normalize_text", "norm", 0), ("doc_findings", "norm", 0), ("extract_queries", "query", 0), ("extract_queries", "description", 0)],
 )
 def test_the_end_of_a_text_is_read(spark, docs_dir, name, column, most):
     rows = entry.queries()[name](spark, docs_dir).where("doc_id < 2").collect()
@@ -37,29 +37,43 @@ def test_every_line_is_a_finding(spark, docs_dir):
 
 
 def test_flags_and_grades_of_whole_texts(spark, docs_dir):
-    flags = entry.queries()["fixed_flag_whole"](spark, docs_dir).where("doc_id = 0 and fixed").count()
+    flags = entry.queries()["fixed_flag"](spark, docs_dir).where("doc_id = 0 and fixed").count()
     assert flags == 2 * 301  # bullets and findings of lines 0, 3, 4, 7, 8, ... 600
-    grades = {(r.doc_id, r.label): r.grade for r in entry.queries()["extract_grades_whole"](spark, docs_dir).collect()}
+    grades = {(r.doc_id, r.label): r.grade for r in entry.queries()["extract_grades"](spark, docs_dir).collect()}
     assert grades[0, "Security"] == "A" and grades[1, "Security"] == "D" and grades[0, "Overall"] == "B"
 
 
-def test_the_queries_with_sql_stay(spark):
-    assert "doc_sections" in document_queries.ORACLES and "doc_sections_whole" not in document_queries.ORACLES
-
-
 def test_diff_of_whole_sentences(spark, tmp_path):
     head = "x" * 500 + ". "
     rows = [(0, head + "the parser is slow. the parser is wrong"), (1, head + "the parser is slow. the parser is new")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.norm: r.category for r in entry.queries()["findings_diff_whole"](spark, str(tmp_path)).collect()}
+    got = {r.norm: r.category for r in entry.queries()["findings_diff"](spark, str(tmp_path)).collect()}
     assert got == {"x" * 500: "remaining", "the parser is slow": "remaining", "the parser is wrong": "fixed", "the parser is new": "new"}
-    assert {r.category: r.findings for r in entry.queries()["diff_counts_whole"](spark, str(tmp_path)).collect()} == {"remaining": 2, "fixed": 1, "new": 1}
+    assert {r.category: r.findings for r in entry.queries()["diff_counts"](spark, str(tmp_path)).collect()} == {"remaining": 2, "fixed": 1, "new": 1}
 
 
 def test_crossref_of_whole_turns(spark, tmp_path):
-    rows = [(25, 0, "a" * 40 + " stamps parse slowly"), (1, 0, "b" * 40 + " parse stamps"), (2, 0, "c" * 40 + " other work")]
-    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    assert {r.fid for r in entry.queries()["fixed_crossref_whole"](spark, str(tmp_path)).collect()} == {2500, 100}
+    rows = [(1, 0, "user", "b" * 40 + " parse stamps"), (1, 1, "assistant", "a" * 40 + " stamps parse slowly"), (1, 2, "user", "c" * 40 + " other work"), (2, 0, "user", "b" * 40 + " parse stamps")]
+    rows += [(2, 1, "assistant", "nothing"), (3, 1, "user", "unlike"), (3, 8, "assistant", "far off")]
+    spark.createDataFrame([(*r[:3], r[3]) for r in rows], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert {tuple(r) for r in entry.queries()["fixed_crossref"](spark, str(tmp_path)).collect()} == {(1, 0)}  # only within a conversation
+
+
+def test_reports_are_compared_section_by_section(spark):
+    old = "## Code Review Findings\n#### B1: slow parser\n#### B2: wrong dates\n#### B3: lost rows\n#### B4: odd names here\n## Notes\nx"
+    new = "## Code Review Findings\n#### B2: wrong dates\n#### B3: lost rows\n#### B4: odd names here\n#### B5: new leak\n#### B6: new and done ✅\n## Plan\n- ~~B3~~ Done\n- odd names ✅"
+    frame = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.norm): r.category for r in documents.compare_reports(frame(old, old), frame(new, old)).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == 0} == {"slow parser": "fixed", "wrong dates": "remaining", "lost rows": "fixed", "odd names here": "fixed", "new leak": "new"}
+    assert {v for k, v in got.items() if k[0] == 1} == {"remaining"}
+    index = documents.fixed_lines(frame("| #7 | B2 and C3 | Done |\nopen\n~~gone~~")).orderBy("i").collect()
+    assert [(r.i, r.ids, r.norm) for r in index] == [(0, ["#7", "B2", "C3"], "#7 b2 and c3 done"), (2, [], "gone")]
+
+
+def test_queries_of_replies_keep_control_characters(spark):
+    text = "Say \x01 first\n```spl\nindex=APP \x01 a\n```\nlater"
+    got = documents.extract_queries(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r.block, r.description, r.query) for r in got] == [(1, "Say \x01 first", "index=APP \x01 a")]
 
 
 def covered(a, b):
@@ -82,14 +96,14 @@ def test_crossref_equals_brute_force(spark, monkeypatch, most):
 
 
 def test_a_frequent_word_makes_no_pairs(spark):
-    texts = lambda side: documents.keyed(spark.createDataFrame([(f"hot {side}{i} {side}{i}x {side}{i}y",) for i in range(100)], "t string"))
+    texts = lambda side: documents.keyed(spark.createDataFrame([("", f"hot {side}{i} {side}{i}x {side}{i}y") for i in range(100)], "d string, t string"))
     assert documents.word_pairs(texts("a"), texts("b")).count() == 0
 
 
 def test_every_conversation_is_history_or_new(spark, tmp_path):
     rows = [(k, "user", f"text {k}") for k in (*range(12), None)] + [(5, "user", "text 0")]
     spark.createDataFrame(rows, "conv_id long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = [(r.conv_id, r.text) for r in entry.queries()["append_distinct_whole"](spark, str(tmp_path)).collect()]
+    got = [(r.conv_id, r.text) for r in entry.queries()["append_distinct"](spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted([(k, t) for k, _, t in rows[:-1]], key=str)
 
 
@@ -98,7 +112,7 @@ def test_regressions_see_every_event(spark, monkeypatch):
     rows = [("f", 5, day(1), "a.Old"), ("f", 7, day(3), "a.Old"), ("f", 8, day(3), "a.New"), ("f", 100, day(3), None), ("f", 50, day(1), None), ("f", 10, None, "a.Old")]
     ev = spark.createDataFrame(rows, "file string, event_seq long, ts_dt timestamp_ntz, exception string")
     monkeypatch.setattr(recipe_queries, "events", lambda s, d: ev)
-    got = {(r.exception, r.cnt) for r in entry.queries()["regressions_whole"](spark, "").collect()}
+    got = {(r.exception, r.cnt) for r in entry.queries()["regressions"](spark, "").collect()}
     assert got == {("a.New", 1), (recipe_queries.LATE, 1)}
 
 
