@@ -110,9 +110,11 @@ def event_label(lvl: Column, code: Column, exc: Column) -> Column:
     return F.trim(F.concat(part(lvl), F.lit(" "), part(code), F.lit(" "), part(short_exception(exc))))
 
 
-def cache_key(query: Column, codes: Column, exceptions: Column, tags: Column, match_type: Column) -> Column:
+def cache_key(query: Column, codes: Column, exceptions: Column, tags: Column, match_type: Column, *, provider: str | None = None, style: str | None = None) -> Column:
+    """Key of a stored response; one for each provider but the usual one, and for each style of answers."""
     joined = lambda a: F.array_join(F.array_sort(F.coalesce(a, F.array().cast("array<string>"))), ",")
-    return F.concat_ws("|", F.lower(F.trim(query)), joined(codes), joined(exceptions), joined(tags), F.coalesce(match_type, F.lit("none")))
+    key = F.concat_ws("|", F.lower(F.trim(query)), joined(codes), joined(exceptions), joined(tags), F.coalesce(match_type, F.lit("none")))
+    return F.concat(F.lit(f"{provider}:" if provider else ""), key, F.lit(f":{style}" if style else ""))
 
 
 def is_error(lvl: Column) -> Column:

@@ -6,7 +6,7 @@ an equi join on buckets and neighbours, never a scan of all pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,14 +50,25 @@ def regular_messages(events: DataFrame, least: int = 5, spread: float = 1.0) ->
 
 
 def context_rows(events: DataFrame, within: int = 300) -> DataFrame:
-    """Info and audit events within ``within`` seconds of an error, by an interval semi join on buckets."""
+    """Info and audit events within ``within`` seconds of an error.
+
+    Buckets are as wide as the window, so an error of the same bucket is in reach, and of the buckets beside it only the
+    last error before and the first after matter: three numbers a bucket, however many errors there are.
+    """
     s = seconds(F.col("ts_dt"))
     bucket = F.floor(s / within)
-    errors = events.where(T.is_error(F.col("level")) & F.col("ts_dt").isNotNull()).select(s.alias("e"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b")).distinct()
-    edges = errors.groupBy("b").agg(F.array_sort(F.collect_set("e")).alias("es"))  # distinct error times of three windows
+    errors = events.where(T.is_error(F.col("level")) & F.col("ts_dt").isNotNull()).groupBy(bucket.alias("b")).agg(F.min(s).alias("lo"), F.max(s).alias("hi"))
+    beside = lambda k, *cols: errors.select((F.col("b") + k).alias("b"), *cols)
+    none = F.lit(None).cast("double")
+    edges = (
+        beside(0, F.lit(True).alias("own"), none.alias("before"), none.alias("after"))
+        .unionByName(beside(1, F.lit(False).alias("own"), F.col("hi").alias("before"), none.alias("after")))
+        .unionByName(beside(-1, F.lit(False).alias("own"), none.alias("before"), F.col("lo").alias("after")))
+        .groupBy("b").agg(F.bool_or("own").alias("own"), F.max("before").alias("before"), F.max("after").alias("after"))
+    )
     rows = events.where(F.col("level").isin("INFO", "AUDIT") & F.col("ts_dt").isNotNull()).withColumns({"s": s, "b": bucket})
-    near = F.exists("es", lambda e: F.abs(e - F.col("s")) <= within)
-    return rows.join(edges, "b").where(near).drop("s", "b", "es")
+    near = F.col("own") | F.coalesce(F.col("s") - F.col("before") <= within, F.lit(False)) | F.coalesce(F.col("after") - F.col("s") <= within, F.lit(False))
+    return rows.join(edges, "b").where(near).drop("s", "b", "own", "before", "after")
 
 
 def stack_clusters(events: DataFrame) -> DataFrame:
@@ -70,11 +81,47 @@ def stack_clusters(events: DataFrame) -> DataFrame:
     return out.select("fingerprint", "cnt", "first.*")
 
 
+#: Events of a file that are ordered together; a file's blocks are then joined at their ends.
+BLOCK = 100_000
+
+
+def before_in_file(events: DataFrame, value: Column, name: str) -> DataFrame:
+    """``events`` with ``name``, the value of the event before, which must not be null, in the order of a file.
+
+    A file is cut into blocks by its event numbers.  Only a block's first event looks to the block before, whose
+    last value is one row, so no task orders a whole file.
+    """
+    rows = events.withColumns({"__block": F.floor(F.col("event_seq") / BLOCK), "__value": value})
+    ends = rows.groupBy("file", "__block").agg(F.max_by("__value", "event_seq").alias("__end"))
+    carried = ends.select("file", "__block", F.lag("__end").over(W.partitionBy("file").orderBy("__block")).alias("__carried"))  # one row a block
+    own = F.lag("__value").over(W.partitionBy("file", "__block").orderBy("event_seq"))
+    return rows.withColumn("__own", own).join(carried, ["file", "__block"]).withColumn(name, F.coalesce("__own", "__carried")).drop("__block", "__value", "__own", "__carried")
+
+
+def runs_in_file(events: DataFrame, opens: Column, name: str) -> DataFrame:
+    """``events`` with ``name``, how many events up to this one in the order of its file have ``opens``; by blocks too."""
+    rows = events.withColumns({"__block": F.floor(F.col("event_seq") / BLOCK), "__opens": F.coalesce(opens, F.lit(False))})
+    sums = rows.groupBy("file", "__block").agg(F.count_if("__opens").alias("__n"))
+    prior = W.partitionBy("file").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)  # one row a block
+    sums = sums.select("file", "__block", F.coalesce(F.sum("__n").over(prior), F.lit(0)).alias("__before"))
+    own = F.count_if("__opens").over(W.partitionBy("file", "__block").orderBy("event_seq"))
+    return rows.withColumn("__run", own).join(sums, ["file", "__block"]).withColumn(name, F.col("__run") + F.col("__before")).drop("__block", "__opens", "__run", "__before")
+
+
 def gaps(events: DataFrame, least: int = 30) -> DataFrame:
     """(file, event_seq, gap_seconds) where a file was silent for ``least`` seconds."""
     s = seconds(F.col("ts_dt"))
-    gap = s - F.lag(s).over(W.partitionBy("file").orderBy("event_seq"))
-    return events.where("ts_dt is not null").select("file", "event_seq", gap.alias("gap_seconds")).where(F.col("gap_seconds") > least)
+    dated = before_in_file(events.where("ts_dt is not null").select("file", "event_seq", "ts_dt"), s, "before")
+    return dated.select("file", "event_seq", (s - F.col("before")).alias("gap_seconds")).where(F.col("gap_seconds") > least)
+
+
+def startups(events: DataFrame, start_code: str, ready_code: str, slow: int = 300) -> DataFrame:
+    """(file, run, start, ready, seconds, slow): each start of a file, up to its first ready event, if there is one."""
+    is_code = lambda code: F.coalesce(F.col("code") == code, F.lit(False))
+    run = runs_in_file(events.select("file", "event_seq", "ts_dt", "code"), is_code(start_code), "run").where("run > 0")
+    out = run.groupBy("file", "run").agg(F.min_by("ts_dt", F.when(is_code(start_code), F.col("event_seq"))).alias("start"), F.min_by("ts_dt", F.when(is_code(ready_code), F.col("event_seq"))).alias("ready"))
+    took = seconds(F.col("ready")) - seconds(F.col("start"))
+    return out.withColumn("seconds", took).withColumn("slow", F.coalesce(took > slow, F.lit(False)))
 
 
 def code_spikes(events: DataFrame, minutes: int = 5, least: int = 2) -> DataFrame:
@@ -84,6 +131,18 @@ def code_spikes(events: DataFrame, minutes: int = 5, least: int = 2) -> DataFram
     return out.groupBy(at.cast("long").alias("start"), "code").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= least)
 
 
+def hourly_hung(events: DataFrame) -> DataFrame:
+    """(hour, hung): events that report hung threads, by hour."""
+    at = F.floor(seconds(F.col("ts_dt")) / 3600) * 3600
+    return events.where(F.col("ts_dt").isNotNull() & F.array_contains("tags", "HungThreads")).groupBy(at.cast("long").alias("hour")).agg(F.count(F.lit(1)).alias("hung"))
+
+
+def pool_errors(events: DataFrame, minutes: int = 10) -> DataFrame:
+    """(start, pool): events of connection pools, by window."""
+    at = F.floor(seconds(F.col("ts_dt")) / (60 * minutes)) * 60 * minutes
+    return events.where(F.col("ts_dt").isNotNull() & F.array_contains("tags", "DB/Pool")).groupBy(at.cast("long").alias("start")).agg(F.count(F.lit(1)).alias("pool"))
+
+
 def file_code_matrix(events: DataFrame, codes: list[str]) -> DataFrame:
     """One row per file with a count column for each of the given codes."""
     return events.groupBy("file").pivot("code", codes).agg(F.count(F.lit(1))).na.fill(0)
@@ -105,6 +164,17 @@ def regressions(events: DataFrame, deploy: str) -> DataFrame:
     return new.join(old, "exception", "left_anti")
 
 
+def error_rates(events: DataFrame, deploy: str) -> DataFrame:
+    """One row: events, errors and error rates before and after ``deploy``, and the second rate as a multiple of the first."""
+    late = F.col("ts_dt") >= F.lit(deploy).cast("timestamp_ntz")
+    error = T.is_error(F.col("level"))
+    out = events.where("ts_dt is not null").agg(
+        F.count_if(~late).alias("events_before"), F.count_if(~late & error).alias("errors_before"), F.count_if(late).alias("events_after"), F.count_if(late & error).alias("errors_after")
+    )
+    rate = lambda when: F.try_divide(F.col("errors_" + when), F.col("events_" + when))
+    return out.withColumns({"rate_before": rate("before"), "rate_after": rate("after"), "ratio": F.try_divide(rate("after"), rate("before"))})
+
+
 def shared_top_frames(events: DataFrame, least: int = 2) -> DataFrame:
     """(frame, threads, cnt) of top frames on which several threads stand."""
     frame = F.trim(F.get(F.filter(F.split("text", "\n", -1), T.is_stack_line), F.lit(0)), F.lit(" \t"))
@@ -113,13 +183,15 @@ def shared_top_frames(events: DataFrame, least: int = 2) -> DataFrame:
 
 
 def error_bursts(events: DataFrame, gap: int = 600) -> DataFrame:
-    """(file, burst, start, end, cnt): errors of a file with no pause longer than ``gap`` seconds."""
-    errors = events.where(T.is_error(F.col("level")) & F.col("ts_dt").isNotNull())
-    order = W.partitionBy("file").orderBy("ts_dt", "event_seq")
+    """(file, burst, start, end, cnt, largest): errors of a file with no pause longer than ``gap`` seconds, in the order of
+    its events; ``largest`` marks the file's burst of most errors, the first of several."""
     s = seconds(F.col("ts_dt"))
-    opens = F.coalesce(s - F.lag(s).over(order) > gap, F.lit(True))
-    marked = errors.withColumn("opens", opens).withColumn("burst", F.count_if("opens").over(order))
-    return marked.groupBy("file", "burst").agg(F.min("ts_dt").alias("start"), F.max("ts_dt").alias("end"), F.count(F.lit(1)).alias("cnt"))
+    errors = events.where(T.is_error(F.col("level")) & F.col("ts_dt").isNotNull()).select("file", "event_seq", "ts_dt")
+    marked = before_in_file(errors, s, "before")
+    marked = runs_in_file(marked, F.col("before").isNull() | (F.abs(s - F.col("before")) > gap), "burst")
+    out = marked.groupBy("file", "burst").agg(F.min("ts_dt").alias("start"), F.max("ts_dt").alias("end"), F.count(F.lit(1)).alias("cnt"))
+    best = out.groupBy("file").agg(F.max_by("burst", F.struct("cnt", -F.col("burst"))).alias("best"))  # one row a file
+    return out.join(best, "file").withColumn("largest", F.col("burst") == F.col("best")).drop("best")
 
 
 def summary_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -146,9 +218,41 @@ def failures_per_minute(events: DataFrame, pattern: str, least: int) -> DataFram
     return out.where(F.col("cnt") >= least)
 
 
-def restarts(events: DataFrame, start_code: str) -> DataFrame:
-    """(file, run, events, errors, first_seq): runs of a file between two events of the start code."""
-    run = F.count_if(F.coalesce(F.col("code") == start_code, F.lit(False))).over(W.partitionBy("file").orderBy("event_seq"))
-    return events.withColumn("run", run).groupBy("file", "run").agg(
-        F.count(F.lit(1)).alias("events"), F.count_if(T.is_error(F.col("level"))).alias("errors"), F.min("event_seq").alias("first_seq")
-    )
+def lockouts(events: DataFrame, failure: str, lockout: str, within: int = 300) -> DataFrame:
+    """(file, event_seq, failed_seq): lockouts whose last event before it that failed to log in is at most ``within`` seconds old."""
+    kind = F.when(F.col("text").rlike(lockout), "lockout").when(F.col("text").rlike(failure), "failure")
+    rows = events.where("ts_dt is not null").select("file", "event_seq", "ts_dt", kind.alias("kind")).where("kind is not null")
+    at = F.struct("kind", seconds(F.col("ts_dt")).alias("s"), F.col("event_seq").alias("seq"))
+    found = before_in_file(rows, at, "before").where("kind = 'lockout' and before.kind = 'failure'")
+    return found.where(seconds(F.col("ts_dt")) - F.col("before.s") <= within).select("file", "event_seq", F.col("before.seq").alias("failed_seq"))
+
+
+def restarts(events: DataFrame, start_code: str, ready_code: str | None = None) -> DataFrame:
+    """(file, run, events, errors, first_seq, unexpected): runs of a file between two events of the start code.
+
+    A run begins unexpectedly if the one before was ready and then had errors.
+    """
+    ready = F.coalesce(F.col("code") == ready_code, F.lit(False)) if ready_code else F.lit(False)
+    rows = runs_in_file(events.select("file", "event_seq", "code", "level"), F.col("code") == start_code, "run")
+    error = T.is_error(F.col("level"))
+    out = rows.groupBy("file", "run").agg(
+        F.count(F.lit(1)).alias("events"), F.count_if(error).alias("errors"), F.min("event_seq").alias("first_seq"),
+        F.min(F.when(ready, F.col("event_seq"))).alias("ready"), F.max(F.when(error, F.col("event_seq"))).alias("failed"),
+    )
+    before = F.lag(F.coalesce(F.col("failed") > F.col("ready"), F.lit(False))).over(W.partitionBy("file").orderBy("run"))  # one row a run
+    return out.withColumn("unexpected", F.coalesce(before, F.lit(False))).drop("ready", "failed")
+
+
+def thread_timeline(events: DataFrame, minutes: int = 5) -> DataFrame:
+    """(file, event_seq, hung_seq, seconds): what a thread did in the ``minutes`` before it was reported as hung.
+
+    Both sides are dealt to buckets as wide as the window; an event meets the reports of its own bucket and the next.
+    """
+    wide = 60 * minutes
+    s = seconds(F.col("ts_dt"))
+    rows = events.where("ts_dt is not null and thread_id is not null").select("file", "event_seq", "thread_id", s.alias("s"), F.array_contains("tags", "HungThreads").alias("hung"))
+    bucket = F.floor(F.col("s") / wide)
+    hung = rows.where("hung").select("file", "thread_id", F.col("event_seq").alias("hung_seq"), F.col("s").alias("at"), F.explode(F.array(bucket, bucket - 1)).alias("b"))
+    pairs = rows.withColumn("b", bucket).join(hung, ["file", "thread_id", "b"]).where((F.col("event_seq") < F.col("hung_seq")) & (F.col("at") - F.col("s")).between(0, wide))
+    # of an event's reports the next one counts
+    return pairs.groupBy("file", "event_seq").agg(F.min(F.struct("hung_seq", (F.col("at") - F.col("s")).alias("seconds"))).alias("h")).select("file", "event_seq", "h.hung_seq", "h.seconds")

@@ -130,8 +130,8 @@ def rule_context(selected: DataFrame, rule_docs: DataFrame) -> DataFrame:
     return joined.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))), lambda x: x["part"]), "\n\n").alias("context"))
 
 
-def cache_keys(matches: DataFrame) -> DataFrame:
-    key = T.cache_key(F.col("query"), F.col("codes"), F.col("exceptions"), F.col("tags"), F.col("match_type"))
+def cache_keys(matches: DataFrame, *, provider: str | None = None, style: str | None = None) -> DataFrame:
+    key = T.cache_key(F.col("query"), F.col("codes"), F.col("exceptions"), F.col("tags"), F.col("match_type"), provider=provider, style=style)
     return matches.withColumn("cache_key", key)
 
 

@@ -220,21 +220,38 @@ def append_distinct(history: DataFrame, new: DataFrame, keys: list[str]) -> Data
     return history.unionByName(new.join(history.select(*keys), keys, "left_anti"))
 
 
-def triage_report(events: DataFrame, top_n: int = 10, samples: int = 5) -> DataFrame:
-    """One row: the JSON of totals, summary, causes and samples.  Every part is bounded before it is gathered."""
-    def listed(df: DataFrame, name: str) -> DataFrame:
-        own = F.struct(*df.columns)
-        return df.agg(F.to_json(F.array_sort(F.collect_list(own))).alias("part")).select(F.lit(name).alias("name"), "part")
-
-    picked = pick_samples(events, samples).select("rank", "file", "ts", "level", "code", "exception", T.sample_text(F.col("text")).alias("text"))
-    parts = [
-        listed(total_events(events), "total"),
-        listed(summary(events, top_n), "summary"),
-        listed(likely_causes(events).select("rank", "id", "title", "cnt"), "causes"),
-        listed(suggested_searches(events), "searches"),
-        listed(picked, "samples"),
-    ]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "part"))))).alias("report"))
+def triage_report(events: DataFrame, top_n: int = 10, samples: int = 5, minutes: int = 1) -> DataFrame:
+    """One row: a JSON object of files, totals, ranked summaries, causes, searches, hung threads, timeline and samples.
+
+    Every part is ranked or grouped before it is gathered; what is gathered grows with the files and the buckets only.
+    """
+    options = {"ignoreNullFields": "false"}
+
+    def listed(name: str, df: DataFrame, order: str, fields: list) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*fields).alias("x"))))
+        return df.agg(F.to_json(F.transform(rows, lambda r: r["x"]), options).alias("part")).select(F.lit(name).alias("name"), "part")
+
+    ranks = summary(events, top_n)
+    entry = lambda r: F.concat(F.to_json(F.array(r["key"])), F.lit(":"), r["cnt"].cast("string"))
+    counted = ranks.groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("rank", "key", "cnt"))).alias("rows"))
+    # a key in quotes is what an array of it holds
+    maps = F.array_join(F.transform("rows", lambda r: F.regexp_replace(entry(r), r"^\[(?s)(.*)\]:", "$1:")), ",")
+    counted = counted.select(F.col("dim").alias("name"), F.concat(F.lit("{"), maps, F.lit("}")).alias("part"))
+    picked = pick_samples(events, samples)
+    every = (
+        listed("files", per_file(events), "file", ["file", F.col("total").alias("events"), "errors"])
+        .unionByName(total_events(events).select(F.lit("total_events").alias("name"), F.col("total_events").cast("string").alias("part")))
+        .unionByName(counted)
+        .unionByName(listed("causes", likely_causes(events), "rank", ["id", "title", "cnt"]))
+        .unionByName(listed("searches", suggested_searches(events, top_n=top_n), "rank", ["description", "search"]))
+        .unionByName(listed("hung", hung_threads(events), "rank", ["thread_name", "cnt", "first_ts", "last_ts", "hex_ids", "stack_sample", "search"]))
+        .unionByName(listed("timeline", time_histogram(events, minutes), "bucket", ["bucket", "total", "errors"]))
+        .unionByName(listed("samples", picked, "rank", ["level", "thread_id", "code", "exception", "root_cause", "ts", "tags", T.sample_text(F.col("text")).alias("text")]))
+    )
+    parts = every.agg(F.map_from_entries(F.collect_list(F.struct("name", "part"))).alias("p"))
+    part = lambda title, name, none="{}": F.concat(F.lit(f'"{title}":'), F.coalesce(F.col("p")[name], F.lit(none)))
+    fields = [
+        part("files", "files"), part("total_events", "total_events"), part("levels", "level"), part("codes", "code"), part("exceptions", "exception"), part("tags", "tag"),
+        part("likely_causes", "causes"), part("searches", "searches"), part("hung_threads", "hung"), part("timeline", "timeline"), part("samples", "samples"),
+    ]
+    return parts.select(F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("report"))

@@ -108,9 +108,10 @@ add(
 add(
     "error_bursts",
     lambda s, d: R.error_bursts(events(s, d), 3600),
-    f", e AS (SELECT file, event_seq, ts_dt, coalesce({SEC} - lag({SEC}) OVER w > 3600, true) AS opens FROM ev WHERE {ERROR} AND ts_dt IS NOT NULL WINDOW w AS (PARTITION BY file ORDER BY ts_dt, event_seq)), "
-    "b AS (SELECT file, ts_dt, count(*) FILTER (opens) OVER (PARTITION BY file ORDER BY ts_dt, event_seq) AS burst FROM e) "
-    'SELECT file, burst, min(ts_dt) AS start, max(ts_dt) AS "end", count(*) AS cnt FROM b GROUP BY file, burst',
+    f", e AS (SELECT file, event_seq, ts_dt, coalesce(abs({SEC} - lag({SEC}) OVER w) > 3600, true) AS opens FROM ev WHERE {ERROR} AND ts_dt IS NOT NULL WINDOW w AS (PARTITION BY file ORDER BY event_seq)), "
+    "b AS (SELECT file, ts_dt, count(*) FILTER (opens) OVER (PARTITION BY file ORDER BY event_seq) AS burst FROM e), "
+    'g AS (SELECT file, burst, min(ts_dt) AS start, max(ts_dt) AS "end", count(*) AS cnt FROM b GROUP BY file, burst) '
+    "SELECT *, row_number() OVER (PARTITION BY file ORDER BY cnt DESC, burst) = 1 AS largest FROM g",
 )
 _sum = "SELECT dim, key, count(*) AS cnt FROM (SELECT 'level' AS dim, coalesce(level, 'UNKNOWN') AS key FROM o UNION ALL SELECT 'code', code FROM o WHERE code IS NOT NULL UNION ALL SELECT 'exception', exception FROM o WHERE exception IS NOT NULL UNION ALL SELECT 'tag', unnest(tags) FROM o) GROUP BY ALL"
 
@@ -131,11 +132,62 @@ add(
     lambda s, d: R.failures_per_minute(events(s, d), "REDACTED", 1),
     f"SELECT CAST(floor({SEC} / 60) AS BIGINT) AS minute, file, count(*) AS cnt FROM ev WHERE ts_dt IS NOT NULL AND contains(text, 'REDACTED') GROUP BY ALL",
 )
+RUNS = f"r AS (SELECT *, count(*) FILTER (code = 'ARFM5007I') OVER (PARTITION BY file ORDER BY event_seq) AS run FROM ev)"
 add(
     "restarts",
-    lambda s, d: R.restarts(events(s, d), "ARFM5007I"),
-    f", r AS (SELECT file, event_seq, level, count(*) FILTER (code = 'ARFM5007I') OVER (PARTITION BY file ORDER BY event_seq) AS run FROM ev) SELECT file, run, count(*) AS events, count(*) FILTER ({ERROR}) AS errors, min(event_seq) AS first_seq FROM r GROUP BY file, run",
+    lambda s, d: R.restarts(events(s, d), "ARFM5007I", "CWWKZ0001I"),
+    f", {RUNS}, g AS (SELECT file, run, count(*) AS events, count(*) FILTER ({ERROR}) AS errors, min(event_seq) AS first_seq, "
+    f"max(event_seq) FILTER ({ERROR}) > min(event_seq) FILTER (code = 'CWWKZ0001I') AS broken FROM r GROUP BY file, run) "
+    "SELECT file, run, events, errors, first_seq, coalesce(lag(coalesce(broken, false)) OVER (PARTITION BY file ORDER BY run), false) AS unexpected FROM g",
 )
+add(
+    "startups",
+    lambda s, d: R.startups(events(s, d), "ARFM5007I", "CWWKZ0001I", 600).withColumn("seconds", F.round("seconds", 3)),
+    f", {RUNS}, g AS (SELECT file, run, arg_min(ts_dt, event_seq) FILTER (code = 'ARFM5007I') AS start, arg_min(ts_dt, event_seq) FILTER (code = 'CWWKZ0001I') AS ready FROM r WHERE run > 0 GROUP BY file, run) "
+    "SELECT file, run, start, ready, round((epoch_us(ready) - epoch_us(start)) / 1e6, 3) AS seconds, coalesce((epoch_us(ready) - epoch_us(start)) / 1e6 > 600, false) AS slow FROM g",
+)
+add(
+    "hourly_hung",
+    lambda s, d: R.hourly_hung(events(s, d)),
+    f"SELECT CAST(floor({SEC} / 3600) * 3600 AS BIGINT) AS hour, count(*) AS hung FROM ev WHERE ts_dt IS NOT NULL AND list_contains(tags, 'HungThreads') GROUP BY 1",
+)
+add(
+    "pool_errors",
+    lambda s, d: R.pool_errors(events(s, d)),
+    f"SELECT CAST(floor({SEC} / 600) * 600 AS BIGINT) AS start, count(*) AS pool FROM ev WHERE ts_dt IS NOT NULL AND list_contains(tags, 'DB/Pool') GROUP BY 1",
+)
+add(
+    "error_rates",
+    lambda s, d: R.error_rates(events(s, d), DEPLOY).select("events_before", "errors_before", "events_after", "errors_after", *(F.round(c, 6).alias(c) for c in ("rate_before", "rate_after", "ratio"))),
+    f", n AS (SELECT count(*) FILTER (NOT late) AS events_before, count(*) FILTER (NOT late AND e) AS errors_before, count(*) FILTER (late) AS events_after, count(*) FILTER (late AND e) AS errors_after "
+    f"FROM (SELECT ts_dt >= timestamp '{DEPLOY}' AS late, {ERROR} AS e FROM ev WHERE ts_dt IS NOT NULL)), "
+    "q AS (SELECT *, errors_before / nullif(events_before, 0) AS b, errors_after / nullif(events_after, 0) AS a FROM n) "
+    "SELECT events_before, errors_before, events_after, errors_after, round(b, 6) AS rate_before, round(a, 6) AS rate_after, round(a / nullif(b, 0), 6) AS ratio FROM q",
+)
+add(
+    "lockouts",
+    lambda s, d: R.lockouts(events(s, d), "REDACTED", "(?i)stuck thread", 3600),
+    f", k AS (SELECT file, event_seq, ts_dt, CASE WHEN regexp_matches(text, '(?i)stuck thread') THEN 'lockout' WHEN contains(text, 'REDACTED') THEN 'failure' END AS kind FROM ev WHERE ts_dt IS NOT NULL), "
+    f"p AS (SELECT *, {SEC} AS s, lag(kind) OVER w AS before, lag({SEC}) OVER w AS then_s, lag(event_seq) OVER w AS failed_seq FROM k WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY file ORDER BY event_seq)) "
+    "SELECT file, event_seq, failed_seq FROM p WHERE kind = 'lockout' AND before = 'failure' AND s - then_s <= 3600",
+)
+add(
+    "thread_timeline",
+    lambda s, d: R.thread_timeline(events(s, d), 600).select("file", "event_seq", "hung_seq", F.round("seconds", 3).alias("seconds")),
+    f", t AS (SELECT file, event_seq, thread_id, {SEC} AS s, list_contains(tags, 'HungThreads') AS hung FROM ev WHERE ts_dt IS NOT NULL AND thread_id IS NOT NULL) "
+    "SELECT t.file, t.event_seq, h.event_seq AS hung_seq, round(h.s - t.s, 3) AS seconds FROM t JOIN t AS h ON h.hung AND t.file = h.file AND t.thread_id = h.thread_id AND t.event_seq < h.event_seq AND h.s - t.s BETWEEN 0 AND 36000 "
+    "QUALIFY row_number() OVER (PARTITION BY t.file, t.event_seq ORDER BY h.event_seq) = 1",
+)
+
+
+def json_lines(spark, sf_dir):
+    """The events table as JSON server logs, of which every row is read back."""
+    row = F.to_json(F.struct(F.lit("liberty_message").alias("type"), F.col("ts").cast("string").alias("ibm_datetime"), F.col("event_type").alias("loglevel"), F.col("props").alias("message"), F.hex("user_id").alias("ibm_threadId")))
+    return R.json_lines(table(spark, sf_dir, "events").select(row.alias("line")))
+
+
+QUERIES["json_lines"] = json_lines
+ORACLES["json_lines"] = "SELECT CASE WHEN extract(microsecond FROM ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE rtrim(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0') END AS ts, event_type AS level, CAST(NULL AS VARCHAR) AS code, props AS message, to_hex(user_id) AS thread FROM events WHERE props IS NOT NULL"
 
 
 def folder(spark: SparkSession) -> str:

@@ -98,6 +98,13 @@ KEY = "lower(trim(query)) || '|' || array_to_string(codes, ',') || '|' || array_
 add("cache_key", lambda s, d: R.cache_keys(matches(s, d)).select("query_id", "cache_key"), f"SELECT query_id, {KEY} AS cache_key FROM match")
 
 
+add(
+    "cache_key_variants",
+    lambda s, d: R.cache_keys(matches(s, d), provider="gemini", style="plain").select("query_id", "cache_key"),
+    f"SELECT query_id, 'gemini:' || {KEY} || ':plain' AS cache_key FROM match",
+)
+
+
 def prompt_worklist(s, d):
     own = matches(s, d)
     keyed = R.cache_keys(own)

@@ -117,4 +117,26 @@ WITH t AS (SELECT DISTINCT conv_id, role, text, coalesce(conv_id % 2 = 0, false)
 SELECT conv_id, role, text FROM t WHERE old UNION ALL
 SELECT conv_id, role, text FROM t WHERE NOT old AND NOT EXISTS (SELECT 1 FROM t AS o WHERE o.old AND o.role = t.role AND o.text = t.text)
 """
-QUERIES["triage_report_json"] = lambda s, d: A.triage_report(events(s, d))
+_hist = "SELECT CASE WHEN dates > 1 THEN date || ' ' ELSE '' END || printf('%02d:%02d', m // 60, m % 60) AS bucket, count(*) AS total, count(*) FILTER (" + ERROR + ") AS errors FROM timed, (SELECT count(DISTINCT date) AS dates FROM timed) GROUP BY ALL"
+_dims = "'{' || (SELECT coalesce(string_agg(CAST(to_json(key) AS VARCHAR) || ':' || cnt, ',' ORDER BY rank), '') FROM summary WHERE dim = '%s' AND rank <= 10) || '}'"
+_listed = lambda fields, source, order: f"(SELECT CAST(to_json(coalesce(list({{{', '.join(fields)}}} ORDER BY {order}), [])) AS VARCHAR) FROM {source})"
+_same = lambda *names: [f"'{n}': {n}" for n in names]
+_pairs = (
+    ("files", _listed(["'file': file", "'events': total", "'errors': errors"], f"(SELECT file, count(*) AS total, count(*) FILTER ({ERROR}) AS errors FROM ev GROUP BY file)", "file")),
+    ("total_events", "(SELECT CAST(count(*) AS VARCHAR) FROM ev)"),
+    ("levels", _dims % "level"), ("codes", _dims % "code"), ("exceptions", _dims % "exception"), ("tags", _dims % "tag"),
+    ("likely_causes", _listed(_same("id", "title", "cnt"), "causes", "rank")),
+    ("searches", _listed(_same("description", "search"), "(SELECT * FROM suggested WHERE rank <= 8)", "rank")),
+    ("hung_threads", _listed(_same("thread_name", "cnt", "first_ts", "last_ts", "hex_ids", "stack_sample", "search"), "hungs", "rank")),
+    ("timeline", _listed(_same("bucket", "total", "errors"), f"({_hist})", "bucket")),
+    ("samples", _listed([*_same("level", "thread_id", "code", "exception", "root_cause", "ts", "tags"), "'text': substring(text, 1, 4000)"], "picked", "rank")),
+)
+_hungs = ORACLES["hung_threads"][len(S.WITH_EVENTS) :].replace("coalesce(string_agg(DISTINCT thread_id, ',' ORDER BY thread_id), '')", "coalesce(list_sort(list(DISTINCT thread_id) FILTER (thread_id IS NOT NULL)), [])")
+_hungs = _hungs.replace(" SELECT thread_name, cnt", ", hungs AS (SELECT thread_name, cnt", 1) + ")"
+add(
+    "triage_report_json",
+    lambda s, d: A.triage_report(events(s, d)),
+    KEYS + "," + SUGGESTED + "," + CAUSES + _hungs + HIST + UNIQUE
+    + f", picked AS (SELECT *, row_number() OVER (ORDER BY {SCORE} DESC, file, event_seq) AS rank FROM uniq QUALIFY rank <= 5) "
+    + "SELECT '{' || " + " || ',' || ".join(f"'\"{t}\":' || {x}" for t, x in _pairs) + " || '}' AS report",
+)
