@@ -85,22 +85,13 @@ def line_cap(spark, sf_dir):
     return assembly.line_cap(lines(spark, sf_dir), 100).select("file", "line_no", "line")
 
 
-@query(S.WITH_LINES + "SELECT CAST(CASE WHEN file < 'node4' THEN 0 ELSE 1 END AS BIGINT) AS file_ord, file, count(*) AS n_lines FROM lines GROUP BY ALL")
-def multi_file_union(spark, sf_dir):
-    own = lines(spark, sf_dir)
-    first, second = own.where("file < 'node4'"), own.where("file >= 'node4'")
-    both = first.withColumn("file_ord", F.lit(0).cast("long")).unionByName(second.withColumn("file_ord", F.lit(1).cast("long")))
-    return both.groupBy("file_ord", "file").agg(F.count("*").alias("n_lines"))
-
-
 @query(
-    "SELECT page_id, url FROM (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS p FROM pages) "
-    "WHERE regexp_matches(lower(p), '(\\.html|\\.txt|\\.log)$') AND NOT starts_with(p, 'http://m.')"
+    "SELECT page_id, url FROM (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS p FROM pages), LATERAL (SELECT regexp_replace(p, '^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?', '') AS q) "
+    "WHERE regexp_matches(lower(p), '(\\.html|\\.txt|\\.log)$') AND q <> '/es' AND NOT starts_with(q, '/es/')"
 )
 def path_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    path = F.regexp_replace("url", "[?#].*$", "")
-    return pages.where(path_allowed(path, (".html", ".txt", ".log")) & ~path.startswith("http://m."))
+    return pages.where(path_allowed(F.regexp_replace("url", "[?#].*$", ""), (".html", ".txt", ".log"), ("/es/",)))
 
 
 @query(S.WITH_LINES + f"SELECT file, line_no, {S.extract_ts('line')} AS ts FROM lines")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -274,13 +272,24 @@ def stream_events(spark, sf_dir):
 
 
 def stream_last_lines(spark, sf_dir):
-    name = "tail_" + uuid.uuid4().hex
     at = folder(spark)
-    keep = streams.last_lines_writer(name, 50)
+    keep = streams.last_lines_writer(f"{at}/last", 50)
     rendered_lines(table(spark, sf_dir, "events")).select("file", F.col("block").alias("seg"), "pos", "line").write.parquet(f"{at}/in")
     lines = spark.readStream.schema("file string, seg long, pos long, line string").parquet(f"{at}/in")
     lines.writeStream.foreachBatch(keep).trigger(availableNow=True).option("checkpointLocation", f"{at}/state").start().awaitTermination()
-    return spark.table(name).select("file", "line")
+    return streams.last_lines_of(spark, f"{at}/last").select("file", "line")
+
+
+def multi_file_union(spark, sf_dir):
+    """Real files by folder, in the order given, of which one is missing."""
+    root = written(spark, sf_dir)
+    paths = [f"{root}/missing.log", *(f"{root}/file=node{k}.log" for k in (4, 5, 6, 7, 0, 1, 2, 3))]
+    own = files.with_file_order(files.read_lines(spark, paths), paths)
+    return own.groupBy("file_ord", F.regexp_extract("file", "/file=([^/]+)/", 1).alias("file")).agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+QUERIES["multi_file_union"] = multi_file_union
+ORACLES["multi_file_union"] = S.WITH_LINES + "SELECT CAST((CAST(substr(file, 5, 1) AS INT) + 4) % 8 + 1 AS BIGINT) AS file_ord, file, count(*) AS n_lines FROM lines GROUP BY ALL"
 
 
 QUERIES |= {"read_lines": read_lines, "ingest_report": ingest_report, "stream_events": stream_events, "stream_last_lines": stream_last_lines}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,46 +11,100 @@ from pyspark.sql import functions as F
 from ..operators.assembly import number_lines
 
 EXTENSIONS = (".log", ".gz", ".txt", ".out")
+#: Roots that are never read, nor anything below them.
+BLOCKED = ("/etc", "/private/etc", "/var/run", "/proc", "/sys", "/dev")
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 
-def path_allowed(path: Column, extensions: Sequence[str] = EXTENSIONS, blocked: Sequence[str] = ()) -> Column:
-    """Whether a path has an allowed extension and lies under no blocked root."""
+def bare_path(path: Column) -> Column:
+    """The path without its scheme and authority."""
+    return F.regexp_replace(path, SCHEME, "")
+
+
+def path_allowed(path: Column, extensions: Sequence[str] = EXTENSIONS, blocked: Sequence[str] = BLOCKED) -> Column:
+    """Whether a path has an allowed extension and is no blocked root, nor below one."""
+    own = bare_path(path)
     ok = F.lower(path).rlike(r"(" + "|".join(x.replace(".", r"\.") for x in extensions) + r")$")
     for root in blocked:
-        ok = ok & ~path.startswith(root.rstrip("/") + "/")
+        ok = ok & (own != root.rstrip("/")) & ~own.startswith(root.rstrip("/") + "/")
     return ok
 
 
-def read_lines(spark: SparkSession, paths: Sequence[str], *, chunk_bytes: int = 64 << 20, blocked: Sequence[str] = ()) -> DataFrame:
-    """(file, block, pos, line) of text and gzip files.  A block is one split of a file, so a big plain file is
-    many; a gzip file is read by one task.  Bad bytes are dropped, missing and corrupt files skipped."""
-    reader = spark.read.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
+def files_below(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, int, bool]]:
+    """(path, bytes, readable) of the files at and below ``paths``; missing and hidden ones are left out.
+
+    A gzip name without gzip's first two bytes is not readable as gzip.  Only these bytes of such files are looked at.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(conf)
+        for found in fs.globStatus(at) or []:
+            files = fs.listFiles(found.getPath(), True)
+            while files.hasNext():
+                one = files.next()
+                name, readable = one.getPath().toString(), True
+                if one.getPath().getName()[:1] in "._":  # hidden, as the readers see it too
+                    continue
+                if name.lower().endswith(".gz"):
+                    stream = fs.open(one.getPath())
+                    readable = (stream.read(), stream.read()) == (0x1F, 0x8B)
+                    stream.close()
+                out.append((name, one.getLen(), readable))
+    return out
+
+
+def read_lines(spark: SparkSession, paths: Sequence[str], *, blocked: Sequence[str] = BLOCKED, skip_corrupt: bool = True) -> DataFrame:
+    """(file, block, pos, line) of text and gzip files at and below ``paths``.  A block is one split of a file, so a big plain
+    file is many; a gzip file is read by one task.
+
+    Bad bytes are dropped and missing paths skipped.  A file that is named as gzip and is none is read as text, whole.  With
+    ``skip_corrupt`` a broken gzip file gives the lines before the break, and ``ingest_report`` lists what was found.
+    """
+    paths, odd = list(paths), [name for name, _, readable in files_below(spark, paths) if not readable]
+    there = [p for p in paths if files_below_any(spark, p)]
     meta = F.col("_metadata")
-    lines = reader.text(list(paths)).select(
-        meta["file_path"].alias("file"),
-        meta["file_block_start"].alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
-        F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit("")).alias("line"),
-    )
+    clean = lambda x: F.replace(F.make_valid_utf8(x), F.lit("\ufffd"), F.lit(""))
+    schema = "file string, block long, pos long, line string"
+    lines = spark.createDataFrame([], schema)
+    if there:
+        reader = spark.read.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", str(skip_corrupt).lower()).option("recursiveFileLookup", "true")
+        own = reader.text(there).select(
+            meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("pos"), clean(F.col("value")).alias("line")
+        )
+        lines = own if not odd else own.where(~bare_path(F.col("file")).isin(*(re.sub(SCHEME, "", x) for x in odd)))
+    if odd:
+        whole = spark.read.format("binaryFile").load(odd).select("path", clean(F.col("content").cast("string")).alias("text"))
+        split = F.posexplode(F.split(F.regexp_replace("text", r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n", -1)).alias("pos", "line")
+        whole = whole.where("text <> ''").select(F.col("path").alias("file"), F.lit(0).cast("long").alias("block"), split)
+        lines = lines.unionByName(whole.withColumn("pos", F.col("pos").cast("long")))
     return lines.where(path_allowed(F.col("file"), blocked=blocked))
 
 
+def files_below_any(spark: SparkSession, path: str) -> bool:
+    """Whether something matches the path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return len(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []) > 0
+
+
 def read_numbered(spark: SparkSession, paths: Sequence[str], **more) -> DataFrame:
     return number_lines(read_lines(spark, paths, **more))
 
 
 def with_file_order(lines: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """Adds ``file_ord``, a file's place among the given paths (a list from the caller, broadcast)."""
-    spark = lines.sparkSession
-    order = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, file_ord long")
-    return lines.join(F.broadcast(order), lines["file"].endswith(order["path"]), "left").drop("path")
+    """Adds ``file_ord``, the place among the given paths of the first that is a file's own or a folder above it."""
+    own = bare_path(F.col("file"))
+    place = F.lit(None).cast("long")
+    for i, path in reversed(list(enumerate(paths))):
+        root = re.sub(SCHEME, "", path).rstrip("/")
+        place = F.when((own == root) | own.startswith(root + "/"), F.lit(i).cast("long")).otherwise(place)
+    return lines.withColumn("file_ord", place)
 
 
 def ingest_report(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, bytes, readable): every listed file; a gzip name without gzip's first two bytes is not readable."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(list(paths))
-    magic = F.hex(F.substring("content", 1, 2))
-    return files.select("path", F.col("length").alias("bytes"), (~F.col("path").endswith(".gz") | (magic == "1F8B")).alias("readable"))
+    """(path, bytes, readable): every file found; a gzip name without gzip's first two bytes is not readable as such."""
+    return spark.createDataFrame(files_below(spark, paths), "path string, bytes long, readable boolean")
 
 
 def write_events(events: DataFrame, path: str) -> None:

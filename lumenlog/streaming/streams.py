@@ -42,23 +42,32 @@ def stream_lines(spark: SparkSession, folder: str, *, files_per_trigger: int | N
     )
 
 
-def last_lines_writer(table: str, most: int = 300) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: keeps the last ``most`` lines of each file that are not blank, in a table that is swapped."""
-    def keep(batch: DataFrame, _: int) -> None:
+def last_lines_writer(path: str, most: int = 300) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: keeps the last ``most`` lines of each file that are not blank.
+
+    Every batch writes a table of its own below ``path``, from that of the batch before and its lines, so a batch that is
+    run again gives the same table.  ``last_lines_of`` reads the newest; older ones but the last are not needed any more.
+    """
+    def keep(batch: DataFrame, number: int) -> None:
         from pyspark.sql import Window as W
 
-        spark = batch.sparkSession
-        new = batch.where(~F.col("line").rlike(r"^\s*$"))
-        if spark.catalog.tableExists(table):
-            new = spark.table(table).unionByName(new)
+        columns = ["file", "seg", "pos", "line"]
+        new = batch.select(columns).where(~F.col("line").rlike(r"^\s*$"))
+        if number > 0:
+            new = batch.sparkSession.read.schema(new.schema).parquet(f"{path}/batch={number - 1}").unionByName(new)
         rank = F.row_number().over(W.partitionBy("file").orderBy(F.desc("seg"), F.desc("pos")))
-        kept = new.withColumn("r", rank).where(F.col("r") <= most).drop("r")
-        kept.write.mode("overwrite").saveAsTable(f"{table}_next")
-        spark.table(f"{table}_next").write.mode("overwrite").saveAsTable(table)
+        new.withColumn("r", rank).where(F.col("r") <= most).drop("r").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return keep
 
 
+def last_lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """The table of the newest batch."""
+    tables = spark.read.parquet(path)
+    newest = tables.agg(F.max("batch").alias("batch"))
+    return tables.join(F.broadcast(newest), "batch").drop("batch")
+
+
 def fold_lines(file: str, lines: list[str], state: tuple | None) -> tuple[list[tuple], tuple]:
     """Closed blocks of a file's next lines, and what stays open: (seq, seen, stack, ts, lines)."""
     stamps = [re.compile(P.TS_CLASSIC, re.A), re.compile(P.TS_ISO, re.A)]

@@ -67,8 +67,13 @@ def test_report(events):
     import json
 
     report = json.loads(summary.triage_report(events).first()[0])
-    assert set(report) == {"total", "summary", "causes", "searches", "samples"}
-    assert json.loads(report["total"]) == [{"total_events": 7}]
+    assert list(report) == ["files", "total_events", "levels", "codes", "exceptions", "tags", "likely_causes", "searches", "hung_threads", "timeline", "samples"]
+    assert report["total_events"] == 7 and report["files"] == [{"file": "a.log", "events": 7, "errors": 3}]
+    assert report["levels"] == {"INFO": 2, "ERROR": 2, "WARNING": 2, "FATAL": 1} and report["codes"]["WSVR0605W"] == 2
+    assert set(report["samples"][0]) == {"level", "thread_id", "code", "exception", "root_cause", "ts", "tags", "text"}
+    assert report["hung_threads"][0]["thread_name"] == "WebContainer : 5" and report["timeline"][0]["bucket"] == "10/12/15 21:22"
+    nothing = json.loads(summary.triage_report(events.where("false")).first()[0])
+    assert nothing["total_events"] == 0 and nothing["levels"] == {} and nothing["samples"] == []
 
 
 def test_search_cascade_and_rules(events):
@@ -144,9 +149,68 @@ def test_files(spark, tmp_path):
     assert lines.where("line_no = 8").first().line == "bad  byte"
     by = {r.file.rsplit("/", 1)[-1]: r.n for r in assembly.events(lines).groupBy("file").agg(F.count("*").alias("n")).collect()}
     assert by == {"a.log": 7, "b.log.gz": 7}
-    (tmp_path / "d.gz").write_text("plain text")
-    report = {r.path.rsplit("/", 1)[-1]: r.readable for r in files.ingest_report(spark, [str(tmp_path)]).collect()}
+    (tmp_path / "d.gz").write_bytes(b"plain text\r\nin two lines\n")
+    (tmp_path / "empty.gz").write_bytes(b"")
+    report = {r.path.rsplit("/", 1)[-1]: r.readable for r in files.ingest_report(spark, [str(tmp_path), str(tmp_path / "none")]).collect()}
     assert report["d.gz"] is False and report["b.log.gz"] is True
+    lines = files.read_numbered(spark, [str(tmp_path / "none.log"), str(tmp_path)])  # a missing path is skipped, a mis-named file is text
+    assert [r.line for r in lines.where("file like '%/d.gz'").orderBy("line_no").collect()] == ["plain text", "in two lines"]
+    assert {r.file.rsplit("/", 1)[-1]: r.n for r in lines.groupBy("file").agg(F.count("*").alias("n")).collect()} == {"a.log": 9, "b.log.gz": 7, "d.gz": 2}
+    assert files.read_lines(spark, [str(tmp_path / "none.log")]).count() == 0
+
+
+def test_file_order_and_blocked_roots(spark, tmp_path):
+    for name in ("x/1.log", "x/11.log", "y/1.log"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    paths = [str(tmp_path / "y"), str(tmp_path / "x" / "1.log"), str(tmp_path / "x" / "11.log")]
+    got = files.with_file_order(files.read_lines(spark, paths), paths).collect()
+    assert {r.line: r.file_ord for r in got} == {"y/1.log": 0, "x/1.log": 1, "x/11.log": 2}
+    assert files.read_lines(spark, paths, blocked=(str(tmp_path / "x"),)).count() == 1
+    asked = ["file:///etc/a.log", "/etc/a.log", "/etc", "hdfs://n:1/proc/x/a.txt", "/home/etc/a.log", "/devices/a.out", "/home/a.csv", "/dev/a.log"]
+    allowed = spark.createDataFrame([(p,) for p in asked], "p string").where(files.path_allowed(F.col("p"))).collect()
+    assert [r.p for r in allowed] == ["/home/etc/a.log", "/devices/a.out"]
+
+
+def test_events_are_written_by_day(spark, tmp_path, events):
+    files.write_events(events, str(tmp_path / "events"))
+    back = spark.read.parquet(str(tmp_path / "events"))
+    assert back.count() == 7 and back.where("event_date = '2015-10-13'").count() == 3
+    files.write_json_report(summary.total_events(events), str(tmp_path / "report"))
+    assert spark.read.text(str(tmp_path / "report")).first()[0] == '{"total_events":7}'
+
+
+def test_growing_files_are_followed(spark, tmp_path):
+    from lumenlog.streaming.tail import TailSource
+
+    spark.dataSource.register(TailSource)
+    log = tmp_path / "logs" / "a.log"
+    log.parent.mkdir()
+    log.write_text("one\ntwo\n\nhal")
+    (tmp_path / "logs" / "skipped.csv").write_text("no log\n")
+    stream = spark.readStream.format("tail").option("path", str(tmp_path / "logs")).option("from", "start").option("maxBytes", "64").load()
+
+    def run():
+        query = stream.writeStream.option("checkpointLocation", str(tmp_path / "state")).format("parquet").start(str(tmp_path / "out"))
+        query.processAllAvailable()
+        return query
+
+    lines = lambda: sorted(r.line for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    query = run()
+    assert lines() == ["one", "two"]
+    with log.open("a") as f:
+        f.write("f\n" + "x" * 40 + "\n" + "y" * 40 + "\n")  # more than one poll
+    query.processAllAvailable()
+    assert lines() == ["half", "one", "two", "x" * 40, "y" * 40]
+    log.write_text("new\n")  # truncated
+    query.processAllAvailable()
+    assert "new" in lines()
+    query.stop()
+    with log.open("a") as f:
+        f.write("after\n")
+    query = run()  # goes on where it was
+    query.stop()
+    assert sorted(lines()) == sorted(["half", "one", "two", "x" * 40, "y" * 40, "new", "after"])
 
 
 def test_small_splits_give_the_same_lines(spark, tmp_path):
@@ -178,12 +242,38 @@ def test_streamed_events_equal_batch(spark, tmp_path, events):
     assert [e.code for e in got if e.text != "loose"] == [e.code for e in events.orderBy("event_seq").collect()]
 
 
-def test_last_lines_of_a_stream(spark):
-    keep = streams.last_lines_writer("tail_test", 2)
+def test_last_lines_of_a_stream(spark, tmp_path):
+    keep = streams.last_lines_writer(str(tmp_path / "tail"), 2)
     rows = lambda seg, *lines: spark.createDataFrame([("f", seg, k, x) for k, x in enumerate(lines)], "file string, seg long, pos long, line string")
     keep(rows(0, "a", "", "b", "c"), 0)
     keep(rows(1, "d", "  "), 1)
-    assert [r.line for r in spark.table("tail_test").orderBy("seg", "pos").collect()] == ["c", "d"]
+    keep(rows(1, "d", "  "), 1)  # a batch that is run again
+    assert [r.line for r in streams.last_lines_of(spark, str(tmp_path / "tail")).orderBy("seg", "pos").collect()] == ["c", "d"]
+
+
+def test_stored_tables_are_cleared(spark):
+    from lumenlog import storage
+
+    df = storage.store(spark.range(3), "some")
+    assert df.count() == 3 and storage.clear_stored(spark) >= 1
+    with pytest.raises(Exception, match="(?i)not.*exist|no such"):
+        df.count()
+
+
+@pytest.mark.parametrize("block", [100_000, 2])
+def test_windows_by_blocks_equal_whole_files(spark, monkeypatch, block):
+    import random
+
+    monkeypatch.setattr(recipes, "BLOCK", block)
+    rng = random.Random(3)
+    rows = [(f, k, rng.choice(["S", "R", "x"]), rng.randrange(100)) for f in "ab" for k in range(25)]
+    frame = spark.createDataFrame(rows, "file string, event_seq long, code string, v long")
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("file").orderBy("event_seq")
+    want = {(r.file, r.event_seq): (r.b, r.n) for r in frame.select("*", F.lag("v").over(order).alias("b"), F.count_if(F.col("code") == "S").over(order).alias("n")).collect()}
+    got = recipes.runs_in_file(recipes.before_in_file(frame, F.col("v"), "b"), F.col("code") == "S", "n").collect()
+    assert {(r.file, r.event_seq): (r.b, r.n) for r in got} == want
 
 
 def test_recipes(events):
