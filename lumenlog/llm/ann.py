@@ -59,13 +59,13 @@ class Block:
         self.first = np.searchsorted(own, np.arange(len(self.vectors) + 1))  # where the ids of each distinct vector stand
         self.copies = np.diff(self.first)
         p = directions @ self.vectors.T
-        self.order = np.argsort(p, axis=1, kind="stable").astype(np.int32)
+        self.order = np.argsort(p, axis=1, kind="stable")
         self.sorted = np.take_along_axis(p, self.order, 1)
         # all arrays in one, each in a range of its own, so that one search finds all ends of the windows
         self.span = 4 * float(np.abs(p).max()) + 1
         self.base = np.arange(len(p)) * self.span
         self.flat = (self.sorted + self.base[:, None]).ravel()
-        self.start = np.median(np.abs(p - np.median(p, axis=1, keepdims=True))) / 16 or 1e-12
+        self.start = np.median(np.abs(p - np.median(p, axis=1, keepdims=True))) / 2 or 1e-12  # unlike vectors do not reach the threshold yet
 
     def ends(self, at, side: str):
         import numpy as np
@@ -98,7 +98,7 @@ class Block:
                 enough = reach * distance[verified[place]] if place < len(verified) else np.inf
             if width >= enough or (hi - lo).min() == n:
                 break
-            width = min(width * 1.25, max(enough, width * 1.02))
+            width = min(width * 1.3, max(enough, width * 1.02))
         out = []
         for i in verified.tolist():
             if len(out) >= k and distance[i] > out[-1][0]:
@@ -151,9 +151,9 @@ def nearest_neighbours(
     k: int = 10,
     vec_id: str = "vec_id",
     embedding: str = "embedding",
-    projections: int = 160,
-    threshold: int = 112,
-    reach: float = 1.2,
+    projections: int = 128,
+    threshold: int = 90,
+    reach: float = 1.15,
     block_rows: int = 8_000,
     query_bytes: int = 32 << 20,
     seed: int = 17,

@@ -272,7 +272,7 @@ def test_near_vectors_are_found_with_few_verified():
         block = ann.Block(ids, ids, vectors, directions)
         hits = verified = 0
         for q in range(0, 3000, 100):
-            found, n = block.nearest(q, q, vectors[q], directions @ vectors[q], 112, 1.2, 10)
+            found, n = block.nearest(q, q, vectors[q], directions @ vectors[q], 112, 1.15, 10)
             d = np.linalg.norm(vectors - vectors[q], axis=1)
             d[q] = np.inf
             hits += len({v for _, _, v, _ in found} & set(np.argsort(d)[:10].tolist()))
