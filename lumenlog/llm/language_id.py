@@ -11,7 +11,9 @@ Training takes the texts of at most ``rows_per_lang`` labelled rows a language,
 hash of the id (a documented bound of the model); the predictions read every whole text.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0, and so does every text if
-there is nothing to learn from; ties go to the language that sorts first; repeated rows are judged alike.
+there is nothing to learn from; ties go to the language that sorts first; repeated rows are judged alike; very long
+texts are coded piece by piece, with the context of the piece before; an empty table gives no rows; other columns pass
+through, but one named as ``into`` is replaced.  Code lengths are kept as 32-bit numbers and summed as 64-bit ones.
 """
 
 from __future__ import annotations
