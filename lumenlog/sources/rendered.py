@@ -37,9 +37,9 @@ COMPONENT = case("event_id % 4", quoted(["WebContainer", "ThreadMonitor", "TCPCh
 MESSAGE = case(
     "event_id % 23",
     quoted([
-        "request done", "connection pool is near its limit", "SSL HANDSHAKE FAILURE: PKIX path building failed", "returned 503 for HTTP/1.1 GET /index",
-        "Java heap space is low", "Thread \"WebContainer : 5\" has been active and may be hung", "password=hunter2 accepted", "authorization: bearer abc.def-123",
-        "cfg {\"api_key\": \"k-99\", \"n\": 1}", "jdbc:db2://h;user=a;pwd=s3cret;x=1", "jwt eyJhbGci.eyJzdWIi.c2ln seen", "work was submitted to the Default Executor-thread-42",
+        "request done", "connection pool is near its limit", "the peer was refused: PKIX path building failed at host nine", "gave 503 to a HTTP/1.1 caller of /menu",
+        "Java heap space is low", "Thread \"WebContainer : 5\" gives no answer", "password=maple7 was taken", "authorization: bearer q1w2.e3r4-5 came in",
+        "cfg {\"api_key\": \"k-99\", \"n\": 1}", "store://north;user=ann;pwd=birch4;n=1", "pass eyJuIjox.eyJtIjoy.c2ln was shown", "work was submitted to the Default Executor-thread-42",
         "stuck thread Default Executor-thread-7 in pool", "token: 7f7f7f passed", "Timeout waiting for idle object", "hung thread suspected",
         "java.lang.IllegalStateException: closed", "OutOfMemoryError while allocating", "all well", "", "pool was exhausted", "SRVE 404 from HTTP", "thread 'ORB.thread.pool : 3' is a stuck thread",
     ]),
