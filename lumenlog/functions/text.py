@@ -11,6 +11,14 @@ from . import patterns as P
 UNIX = "(?d)"
 
 
+#: A word boundary of ASCII letters, digits and _, whatever the Java version takes for one.
+BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def ascii_bounds(pattern: str) -> str:
+    return pattern.replace(r"\b", BOUNDARY)
+
+
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, or null."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
@@ -148,5 +156,5 @@ def normalize(text: Column, roots: tuple[str, ...] = P.PATH_ROOTS) -> Column:
         (r"\b(" + "|".join(roots) + r")[\w./:-]*", ""),
         (r"\s+", " "),
     ):
-        text = F.regexp_replace(text, UNIX + pattern, to)
+        text = F.regexp_replace(text, UNIX + ascii_bounds(pattern), to)
     return F.lower(F.trim(text))

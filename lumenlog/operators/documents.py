@@ -255,6 +255,7 @@ def extract_grades(docs: DataFrame) -> DataFrame:
     text = F.col("text")
 
     def pairs(order: int, pattern: str) -> Column:
+        pattern = T.ascii_bounds(pattern)
         zipped = F.arrays_zip(
             F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("l"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("g")
         )
