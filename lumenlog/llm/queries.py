@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, quality, toxicity
 from .ann import nearest_neighbours
+from .clustering import cluster_vectors
 from .common import fold_of, table
 from .decontaminate import scan_contamination
 from .line_dedup import dedup_lines
@@ -87,6 +88,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
@@ -98,6 +103,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_toxicity": op10_toxicity,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 
 ORACLES = {
@@ -156,3 +162,27 @@ FROM cut
 
 
 ORACLES["op3_url_filter"] = _url_sql()
+
+
+def _cluster_sql(clusters: int = 16, rounds: int = 3) -> str:
+    finite = "embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)) OR abs(CAST(x AS DOUBLE)) > 2097152)) = 0"
+    far = "list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v FROM embeddings WHERE {finite})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {clusters}))",
+    ]
+    for t in range(rounds + 1):
+        parts.append(f"a{t} AS MATERIALIZED (SELECT r, vec_id, v.v, k, {far} AS d FROM kept v, c{t} c QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)")
+        if t < rounds:
+            parts.append(
+                f"m{t} AS (SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{t}) GROUP BY k, i), "
+                f"c{t + 1} AS MATERIALIZED (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM m{t} GROUP BY k UNION ALL SELECT k, v FROM c{t} WHERE k NOT IN (SELECT k FROM a{t}))"
+            )
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(a.k AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.k = c.k
+"""
+
+
+ORACLES["op12_centroid_clustering"] = _cluster_sql()
