@@ -10,6 +10,7 @@ from .ann import nearest_neighbours
 from .clustering import cluster_vectors
 from .common import fold_of, table
 from .decontaminate import scan_contamination
+from .hard_negatives import hard_negatives
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -92,6 +93,11 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    return hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), label=label)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
@@ -104,6 +110,7 @@ QUERIES = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_toxicity": op10_toxicity,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES = {
@@ -186,3 +193,18 @@ FROM a{rounds} a JOIN c{rounds} c ON a.k = c.k
 
 
 ORACLES["op12_centroid_clustering"] = _cluster_sql()
+ORACLES["op13_hard_negatives"] = """
+WITH own AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)) OR abs(CAST(x AS DOUBLE)) > 262144)) = 0),
+kept AS MATERIALIZED (SELECT * FROM own WHERE len(v) = (SELECT len(v) FROM own GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)),
+scored AS MATERIALIZED (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS s
+  FROM kept a JOIN kept b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+positive AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, vec_id) AS p FROM scored WHERE alike QUALIFY p <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.p ORDER BY n.s DESC, n.vec_id) AS INT) AS rank,
+       n.vec_id AS negative_id, CAST(p.s AS BIGINT) AS positive_score, CAST(n.s AS BIGINT) AS negative_score
+FROM positive p JOIN scored n ON p.a = n.a AND NOT n.alike AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s
+QUALIFY rank <= 10
+"""
