@@ -15,6 +15,7 @@ from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack
 from .secrets import find_secrets, frequent_words
+from .token_files import token_digests, token_folder, write_token_files
 from .url_filter import LIMIT, RULES, SOFT, STRICT, filter_urls
 
 
@@ -89,6 +90,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    folder = token_folder(spark)
+    write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, path("byte_bpe_50k.json"))
+    return token_digests(spark, folder)
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -109,6 +118,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_toxicity": op10_toxicity,
+    "op11_token_files": op11_token_files,
     "op12_centroid_clustering": op12_centroid_clustering,
     "op13_hard_negatives": op13_hard_negatives,
 }
