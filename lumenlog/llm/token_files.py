@@ -70,7 +70,7 @@ STRETCH = 4 << 20
 SLICE = 8 << 20
 
 MAGIC = b"RANS"
-HEADER = struct.Struct("<4sIIIIQQ")
+HEADER = "<4sIIIIQQ"
 LOWEST = 1 << 31
 BLOCKS = "part int, at long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
 
@@ -279,7 +279,7 @@ class Table:
                 passed.append(out)
         segments = len(states)
         raw = np.asarray(ids, "<u4")
-        parts = [HEADER.pack(MAGIC, lanes, self.bits, stride, segments, n, out)]
+        parts = [struct.pack(HEADER, MAGIC, lanes, self.bits, stride, segments, n, out)]
         for s in range(segments):
             crc = zlib.crc32(raw[s * stride * lanes : (s + 1) * stride * lanes].tobytes())
             parts.append(struct.pack("<QI", out - passed[segments - 1 - s], crc))
@@ -292,11 +292,11 @@ class Table:
         """The ids of a payload, or those of some of its segments, as 32-bit numbers; an error if a checksum does not hold."""
         import numpy as np
 
-        magic, lanes, bits, stride, count, n, size = HEADER.unpack_from(payload)
+        magic, lanes, bits, stride, count, n, size = struct.unpack_from(HEADER, payload)
         if magic != MAGIC or bits != self.bits or zlib.crc32(payload[:-4]) != struct.unpack("<I", payload[-4:])[0]:
             raise ValueError("this is not an undamaged block of this table")
-        index = [struct.unpack_from("<QI", payload, HEADER.size + 12 * s) for s in range(count)]
-        at = HEADER.size + 12 * count
+        index = [struct.unpack_from("<QI", payload, struct.calcsize(HEADER) + 12 * s) for s in range(count)]
+        at = struct.calcsize(HEADER) + 12 * count
         states = np.frombuffer(payload, "<u8", count * lanes, at).reshape(count, lanes)
         words = np.append(np.frombuffer(payload, "<u4", size, at + states.nbytes), np.uint32(0)).astype(np.uint64)
         own = list(range(count) if segments is None else segments)
