@@ -293,7 +293,7 @@ def pack(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece (an int), start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     cut = docs.select(F.col(doc_id).alias("doc_id"), tokens_of(tokenizer, capacity, end_id)(F.col(text)).alias("t"))
     pieces = materialize(
@@ -325,7 +325,7 @@ def pack(
             break
         left = packed.where("light").drop("light", "sequence_id", "offset")
         todo, before = left.count(), todo
-    return out.drop("row")
+    return out.drop("row").withColumn("piece", F.col("piece").cast("int"))
 
 
 def group_packer(capacity: int, level: int):
