@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..storage import store
+from .covers import fixed_crossref
 
 HEADING = P.HEADING
 
@@ -71,8 +73,8 @@ def doc_findings(sections: DataFrame) -> DataFrame:
         return F.transform(rows, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["id"].alias("id"), F.trim(x["raw"]).alias("text")))
 
     every = F.flatten(F.array(*(of_kind(k, a) for k, a in kinds)))
-    found = sections.select("doc_id", "target", F.explode(every).alias("f")).select("doc_id", "target", "f.*")
-    found = found.withColumn("norm", T.normalize(F.col("text")))
+    normal = F.transform(every, lambda x: x.withField("norm", T.normalize(x["text"])))  # before the rows are filtered, so once each
+    found = sections.select("doc_id", "target", F.explode(normal).alias("f")).select("doc_id", "target", "f.*")
     head = F.lower("text")
     skip = ((F.col("kind") == 1) & (F.col("text").startswith("---") | head.startswith("item") | F.col("text").startswith("#"))) | (
         (F.col("kind") == 3) & (F.col("text").startswith("---") | (head == "missing test"))
@@ -95,108 +97,6 @@ def diff_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("category").agg(F.count(F.lit(1)).alias("findings"))
 
 
-def significant(norm: Column) -> Column:
-    """The distinct words of a normal form without stop words."""
-    words = F.array_distinct(F.filter(F.split(norm, r"\s+"), lambda w: w != ""))
-    return F.array_except(words, F.array(*map(F.lit, P.STOP_WORDS)))
-
-
-def grams(text: Column, k: int) -> Column:
-    """The distinct substrings of ``k`` characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substring(text, i, k)))
-
-
-def containing_pairs(short: DataFrame, long: DataFrame, k: int = 4) -> DataFrame:
-    """(d, a, b) with text a of ``short`` inside text b of ``long`` of the same d, by an equi join on the first ``k``
-    characters of a (all of them if it has fewer) among the substrings of b."""
-    size = F.least(F.lit(k), F.length("a"))
-    left = short.where("a <> ''").select("d", "a", size.alias("size"), F.substring(F.col("a"), F.lit(1), size).alias("g"))
-    parts = F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.length("b")))).alias("size")
-    right = long.where("b <> ''").select("d", "b", parts).select("d", "b", "size", F.explode(grams(F.col("b"), F.col("size"))).alias("g"))
-    return left.join(right, ["d", "size", "g"]).where(F.contains("b", "a")).select("d", "a", "b")
-
-
-#: Words that count as frequent where rare ones are looked for first; any number gives the same rows.
-FREQUENT = 4096
-
-
-def keyed(texts: DataFrame) -> DataFrame:
-    """(d, k, t): distinct texts t of documents d that are not empty, with a short key."""
-    return texts.where("t <> ''").select("d", text_key(F.col("t")).alias("k"), "t").distinct()
-
-
-def text_key(text: Column) -> Column:
-    return F.unhex(F.sha2(text.cast("binary"), 256))
-
-
-def frequent(words: DataFrame) -> DataFrame:
-    """(w, often) of the most frequent words of (k, w); a table that can be broadcast."""
-    return F.broadcast(words.groupBy("w").agg(F.count(F.lit(1)).alias("often")).orderBy(F.desc("often"), "w").limit(FREQUENT))
-
-
-def word_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(d, ka, kb, wa, wb) that can share two words and 0.4 of the smaller set; every pair of a document that does is there.
-
-    Words stand rarest first.  Two sets that share t words share one of the first n - t + 1 of the smaller set, so its t - 1
-    most frequent words make no pairs.
-    """
-    words = lambda df: df.withColumn("w", significant(F.col("t"))).where("size(w) >= 2").select("d", "k", F.explode("w").alias("w"))
-    x, y = words(a), words(b)
-    order = frequent(x.unionByName(y))
-
-    def ranked(df: DataFrame) -> DataFrame:
-        own = df.join(order, "w", "left").groupBy("d", "k").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "w"))).alias("ws"))
-        return own.select("d", "k", F.col("ws.w").alias("ws"))
-
-    sets_a, sets_b = ranked(x), ranked(y)
-    at = lambda df, s: df.select("d", F.col("k").alias("k" + s), F.size("ws").alias("n" + s), F.posexplode("ws").alias("p" + s, "w"))
-    left, right = at(sets_a, "a"), at(sets_b, "b")
-    need = F.expr("greatest(2, (2 * least(na, nb) + 4) div 5)")
-    first = (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need) & F.expr("if(na <= nb, pa <= na - greatest(2, (2 * na + 4) div 5), pb <= nb - greatest(2, (2 * nb + 4) div 5))")
-    own = F.col("pa") <= F.col("na") - 2  # of either side the most frequent word never comes first
-    pairs = left.where(own).join(right.where("pb <= nb - 2"), ["d", "w"]).where(first).select("d", "ka", "kb").distinct()
-    return pairs.join(sets_a.select("d", F.col("k").alias("ka"), F.col("ws").alias("wa")), ["d", "ka"]).join(sets_b.select("d", F.col("k").alias("kb"), F.col("ws").alias("wb")), ["d", "kb"])
-
-
-def inside_keys(short: DataFrame, long: DataFrame, side: str) -> DataFrame:
-    """(d, k) of the texts of ``short`` that stand in one of ``long`` (side "s"), or of those of ``long`` that hold one (side "l").
-
-    A text of three words or more is met at the rarest of its inner words, which are whole words of the other text too; of
-    shorter ones the longest word is looked for in the vocabulary.
-    """
-    words = long.select("d", "k", F.explode(F.array_distinct(F.split("t", " "))).alias("w")).where("w <> ''")
-    parts = short.withColumn("ws", F.split("t", " ")).withColumn("inner", F.filter("ws", lambda w, i: (i > 0) & (i < F.size("ws") - 1) & (w != "")))
-    met = parts.where("size(inner) > 0").select("d", "k", F.explode("inner").alias("w")).join(frequent(words), "w", "left")
-    met = met.groupBy("d", "k").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "w")).alias("m")).select("d", F.col("k").alias("ks"), F.col("m.w").alias("w"))
-    longest = F.array_max(F.transform("ws", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    few = parts.where("size(inner) = 0").select("d", F.col("k").alias("ks"), longest.alias("a"), (F.size("ws") == 1).alias("one"))
-    held = few.join(containing_pairs(few.select("d", "a").distinct(), words.select("d", F.col("w").alias("b")).distinct()), ["d", "a"]).select("d", "ks", "one", F.col("b").alias("w"))
-    single, double = held.where("one"), held.where("not one").select("d", "ks", "w")
-    pairs = met.unionByName(double).join(words.select("d", F.col("k").alias("kl"), "w"), ["d", "w"]).select("d", "ks", "kl").distinct()
-    texts = lambda df, n: df.select("d", F.col("k").alias("k" + n), F.col("t").alias("t" + n))
-    sure = pairs.join(texts(short, "s"), ["d", "ks"]).join(texts(long, "l"), ["d", "kl"]).where(F.contains("tl", "ts")).select("d", F.col("k" + side).alias("k"))
-    one = single.select("d", F.col("ks").alias("k")) if side == "s" else words.join(single.select("d", "w").distinct(), ["d", "w"], "left_semi").select("d", "k")
-    return sure.unionByName(one).distinct()
-
-
-def fixed_crossref(findings: DataFrame, fixed: DataFrame, within: str | None = None) -> DataFrame:
-    """The fid of findings (fid, id, norm) that some fixed row (ids, norm) covers: by id, by containing text either
-    way, or by two shared words that are 0.4 of the smaller word set.  ``within`` names a column of both, such as a
-    report: then only rows of equal value meet.
-
-    Texts meet at rare words first, so a word that most of them share makes no pairs of all of them.
-    """
-    d = (F.lit("") if within is None else F.col(within)).alias("d")
-    findings, fixed = findings.select(d, "fid", "id", "norm"), fixed.select(d, "ids", "norm")
-    by_id = findings.join(fixed.select("d", F.explode("ids").alias("id")).distinct(), ["d", "id"], "left_semi").select("fid")
-    a, b = keyed(findings.select("d", F.col("norm").alias("t"))), keyed(fixed.select("d", F.col("norm").alias("t")))
-    shared = F.size(F.array_intersect("wa", "wb"))
-    by_words = word_pairs(a, b).where((shared >= 2) & (shared / F.least(F.size("wa"), F.size("wb")) >= 0.4)).select("d", F.col("ka").alias("k"))
-    keys = by_words.unionByName(inside_keys(a, b, "s")).unionByName(inside_keys(b, a, "l")).distinct()
-    own = findings.where("norm <> ''").select("fid", "d", text_key(F.col("norm")).alias("k"))
-    return by_id.unionByName(own.join(keys, ["d", "k"], "left_semi").select("fid")).distinct()
-
-
 def fixed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, i, ids, norm): the index of what a report marks as fixed.  Each marked line counts, with the ids it names."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).where(T.is_fixed(F.col("line")))
@@ -214,14 +114,16 @@ def compare_reports(old: DataFrame, new: DataFrame) -> DataFrame:
     """(doc_id, target, norm, category) of two versions (doc_id, text) of each report, section by section.
 
     Findings of the new version that it marks as fixed anywhere, by id, by containing text or by shared words, count as fixed.
+    Both versions' findings are made by one job and stored, and so are the fixed lines, so each text is split once for either.
     """
-    found = lambda docs: doc_findings(section_targets(doc_sections(docs)))
-    after = found(new)
+    version = lambda docs, v: docs.select(F.struct("doc_id", F.lit(v).alias("v")).alias("doc_id"), "text")
+    found = store(doc_findings(section_targets(doc_sections(version(old, 0).unionByName(version(new, 1))))).select("doc_id.*", "target", "seq", "id", "fixed", "norm"), "findings")
+    before, after = found.where("v = 0"), found.where("v = 1")
     own = after.where("not fixed").select("doc_id", F.struct("doc_id", "target", "seq").alias("fid"), "id", "norm")
-    sure = fixed_crossref(own, fixed_lines(new), "doc_id").select("fid.*").withColumn("sure", F.lit(True))
+    sure = fixed_crossref(own, store(fixed_lines(new), "fixed-lines"), "doc_id").select("fid.*").withColumn("sure", F.lit(True))
     after = after.join(sure, ["doc_id", "target", "seq"], "left").withColumn("fixed", F.col("fixed") | F.coalesce("sure", F.lit(False)))
     last = lambda df, name: df.where("norm <> ''").groupBy("doc_id", "target", "norm").agg(F.max_by("fixed", "seq").alias(name))
-    both = last(found(old), "old_fixed").join(last(after, "new_fixed"), ["doc_id", "target", "norm"], "full")
+    both = last(before, "old_fixed").join(last(after, "new_fixed"), ["doc_id", "target", "norm"], "full")
     return both.select("doc_id", "target", "norm", category(F.col("old_fixed"), F.col("new_fixed")).alias("category")).where("category is not null")
 
 

@@ -22,7 +22,9 @@ def reports(s, d) -> DataFrame:
     return rendered_reports(table(s, d, "documents"))
 
 
-def rendered_reports(docs: DataFrame) -> DataFrame:
+def rendered_reports(docs: DataFrame, shift: int = 0) -> DataFrame:
+    """The reports of documents; ``shift`` moves the marks on."""
+    number = F.col("doc_id") + shift
     bare = F.transform(F.split("text", LINE_END, -1), lambda x: F.trim(F.replace(x, F.lit("|"), F.lit("/"))))
     docs = docs.where("text is not null").select("doc_id", F.filter(bare, lambda x: x != "").alias("own"))
 
@@ -30,23 +32,23 @@ def rendered_reports(docs: DataFrame) -> DataFrame:
         return F.array_join(F.transform("own", f), "\n")
 
     def marked(x, i) -> F.Column:
-        k = (F.col("doc_id") + i) % 4
+        k = (number + i) % 4
         return (
             F.when(k == 0, F.concat(F.lit("~~"), x, F.lit("~~ Done"))).when(k == 1, F.concat(x, F.lit(" 30 min")))
             .when(k == 2, F.concat(F.lit("**"), x, F.lit("**"))).otherwise(F.concat(x, F.lit(" Fixed")))
         )
 
     parts = [
-        F.expr("'# Report ' || CAST(doc_id AS STRING)"),
-        F.expr("'Architecture: ' || CASE doc_id % 3 WHEN 0 THEN 'A-' WHEN 1 THEN 'B+' ELSE 'F' END"),
+        F.concat(F.lit("# Report "), number),
+        F.concat(F.lit("Architecture: "), F.when(number % 3 == 0, "A-").when(number % 3 == 1, "B+").otherwise("F")),
         F.lit("## 1. Executive Summary\nKey findings, short:"),
         each(lambda x, i: F.concat(F.lit("- "), marked(x, i))),
-        F.expr("'\\nGrade: **' || CASE doc_id % 2 WHEN 0 THEN 'B' ELSE 'C+' END || '**'"),
+        F.concat(F.lit("\nGrade: **"), F.when(number % 2 == 0, "B").otherwise("C+"), F.lit("**")),
         F.lit("## 2. Code Review Findings"),
         each(lambda x, i: F.concat(F.lit("#### B"), i, F.lit(": "), marked(x, i))),
         F.lit("| # | Item | Effort |"),
         each(lambda x, i: F.concat(F.lit("| "), i, F.lit(" | fix "), x, F.lit(" | 2 hr |"))),
-        F.expr("'| Security | **' || CASE doc_id % 2 WHEN 0 THEN 'A' ELSE 'D' END || '** |'"),
+        F.concat(F.lit("| Security | **"), F.when(number % 2 == 0, "A").otherwise("D"), F.lit("** |")),
         F.lit("## Test Coverage Analysis"),
         each(lambda x, i: F.concat(F.lit("| `"), x, F.lit("` | High |"))),
         F.lit("## Notes"),
@@ -60,7 +62,7 @@ def rendered_reports(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.concat_ws("\n", *parts).alias("text"))
 
 
-def _reports_sql() -> str:
+def _reports_sql(name: str = "reports", source: str = "documents") -> str:
     """The same reports in DuckDB."""
     each = lambda x: f"coalesce(array_to_string(list_transform(own, lambda x, j: {x}), chr(10)), '')"
     i = "CAST(j - 1 AS VARCHAR)"
@@ -87,7 +89,7 @@ def _reports_sql() -> str:
         "'```'",
     ]
     own = f"list_filter(list_transform(string_split_regex(text, '{LINE_END}'), lambda x: trim(replace(x, '|', '/'))), lambda x: x <> '')"
-    return f"reports AS (SELECT doc_id, {' || chr(10) || '.join(parts)} AS text FROM (SELECT doc_id, {own} AS own FROM documents WHERE text IS NOT NULL))"
+    return f"{name} AS (SELECT doc_id, {' || chr(10) || '.join(parts)} AS text FROM (SELECT doc_id, {own} AS own FROM {source} WHERE text IS NOT NULL))"
 
 
 REPORTS = _reports_sql()
@@ -100,7 +102,7 @@ def add(name: str, f, oracle: str | None = None) -> None:
 
 
 HEAD = S.lit(P.HEADING)
-SECTIONS = f"""WITH {REPORTS},
+SECTIONS_OF = f"""
 split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM reports),
 headed AS (SELECT *, regexp_matches(line, {HEAD}) AS h, CAST(count(*) FILTER (regexp_matches(line, {HEAD})) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS seq FROM split),
 titled AS (
@@ -108,6 +110,7 @@ titled AS (
   FROM headed WHERE seq > 0 GROUP BY doc_id, seq),
 sections AS (SELECT * FROM titled WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, title ORDER BY seq DESC) = 1)
 """
+SECTIONS = f"WITH {REPORTS}, {SECTIONS_OF}"
 _targets = "(VALUES " + ", ".join(f"({i}, {S.lit(t)})" for i, t in enumerate(P.TARGET_SECTIONS)) + ") v(o, target)"
 TARGETS = f", targets AS (SELECT doc_id, target, seq, title, body FROM sections, {_targets} WHERE contains(lower(title), lower(target)) OR contains(lower(target), lower(title)) QUALIFY row_number() OVER (PARTITION BY doc_id, target ORDER BY seq) = 1)"
 add("doc_sections", lambda s, d: D.doc_sections(reports(s, d)), SECTIONS + "SELECT doc_id, seq, title, body FROM sections")
@@ -253,13 +256,28 @@ add(
 
 def compare_reports(s, d):
     """Each report against its next version, which is rendered with the marks moved by one and without its first line."""
-    docs = table(s, d, "documents").where("text is not null")
-    old = rendered_reports(docs)
-    new = rendered_reports(docs.select((F.col("doc_id") + 1).alias("doc_id"), F.regexp_replace("text", r"^[^\n]*\n", "").alias("text")))
-    return D.compare_reports(old, new.select((F.col("doc_id") - 1).alias("doc_id"), "text"))
+    docs = table(s, d, "documents").where("text is not null").select("doc_id", "text")
+    docs = docs.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # a file of many texts makes far more text here
+    new = docs.withColumn("text", F.regexp_replace("text", r"^[^\n]*\n", ""))
+    return D.compare_reports(rendered_reports(docs), rendered_reports(new, shift=1))
 
 
-add("compare_reports", compare_reports)
+_fixed_ids = f"list_concat(regexp_extract_all(line, {S.lit(P.FINDING_ID)}, 1), list_transform(regexp_extract_all(line, {S.lit(P.FINDING_NUMBER)}, 1), lambda x: '#' || x))"
+# both versions go through the same steps: report k is 2 k in its old version and 2 k + 1 in its new one
+add(
+    "compare_reports",
+    compare_reports,
+    f"WITH {_reports_sql('before')}, changed AS (SELECT doc_id + 1 AS doc_id, regexp_replace(text, '^[^\\n]*\\n', '') AS text FROM documents), {_reports_sql('after', 'changed')}, "
+    f"reports AS (SELECT 2 * doc_id AS doc_id, text FROM before UNION ALL SELECT 2 * (doc_id - 1) + 1, text FROM after), {SECTIONS_OF}{TARGETS}{FOUND}"
+    f""", marked AS (SELECT doc_id, {_fixed_ids} AS ids, {normalize_sql('line')} AS norm FROM split WHERE doc_id % 2 = 1 AND ({FIXED.format(x='line')})),
+f AS MATERIALIZED (SELECT *, {_words.format(x='norm')} AS w FROM marked),
+w AS MATERIALIZED (SELECT doc_id, target, seq, id, norm, {_words.format(x='norm')} AS w FROM findings WHERE doc_id % 2 = 1 AND NOT fixed),
+sure AS (SELECT DISTINCT w.doc_id, w.target, w.seq FROM w JOIN f ON w.doc_id = f.doc_id WHERE list_contains(f.ids, w.id) OR {COVERS}),
+n AS (SELECT (doc_id - 1) // 2 AS doc_id, target, norm, arg_max(fixed OR sure.seq IS NOT NULL, seq) AS fixed FROM findings LEFT JOIN sure USING (doc_id, target, seq) WHERE doc_id % 2 = 1 AND norm <> '' GROUP BY ALL),
+o AS (SELECT doc_id // 2 AS doc_id, target, norm, arg_max(fixed, seq) AS fixed FROM findings WHERE doc_id % 2 = 0 AND norm <> '' GROUP BY ALL)
+SELECT doc_id, target, norm, category FROM (SELECT doc_id, target, norm, {_category.format(o='o.fixed', n='n.fixed')} AS category FROM o FULL JOIN n USING (doc_id, target, norm)) WHERE category IS NOT NULL
+""",
+)
 
 
 def previous_snapshot(s, d):

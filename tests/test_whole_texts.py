@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from lumenlog.functions import patterns
-from lumenlog.operators import documents, recipes
+from lumenlog.operators import covers, documents, recipes
 from lumenlog.plans import document_queries, recipe_queries
 
 
@@ -83,7 +83,8 @@ def covered(a, b):
 
 @pytest.mark.parametrize("most", [4096, 3])
 def test_crossref_equals_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(documents, "FREQUENT", most)
+    monkeypatch.setattr(covers, "FREQUENT", most)
+    monkeypatch.setattr(covers, "LIKELY", 1 + most % 2)
     rng = random.Random(7)
     line = lambda n: " ".join(rng.choice(("hot", "the", *"uvxyz")) + rng.choice(("", "", "1", "2", "33", "k", "mm")) for _ in range(n))
     own, fixed = [line(rng.randrange(1, 16)) for _ in range(150)], [line(rng.choice((1, 2, 3, 12))) for _ in range(6)]
@@ -96,8 +97,10 @@ def test_crossref_equals_brute_force(spark, monkeypatch, most):
 
 
 def test_a_frequent_word_makes_no_pairs(spark):
-    texts = lambda side: documents.keyed(spark.createDataFrame([("", f"hot {side}{i} {side}{i}x {side}{i}y") for i in range(100)], "d string, t string"))
-    assert documents.word_pairs(texts("a"), texts("b")).count() == 0
+    texts = lambda side: spark.createDataFrame([("", f"hot {side}{i} {side}{i}x {side}{i}y") for i in range(100)], "d string, t string")
+    index = covers.word_index(texts("a"), texts("b"))
+    assert index.count() == 200
+    assert covers.word_pairs(covers.postings(index.where("a"), "a"), covers.postings(index.where("b"), "b")).count() == 0
 
 
 def test_every_conversation_is_history_or_new(spark, tmp_path):
