@@ -23,8 +23,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from .common import WORD_FOLD, binary_values
@@ -150,17 +150,26 @@ def labelled_sample(
 ) -> tuple[DataFrame, dict[int, int]]:
     """(i, label, text) of at most ``rows_per_label`` labelled ids a label, and how many ids have each label.
 
-    The texts of a label hold half of ``sample_bytes`` at most: of longer ones together, those of the smallest hashes are
-    taken.  Of rows that share an id the one with the smallest text is used.
+    The texts of a label hold half of ``sample_bytes`` at most: they are taken in the order of a hash of the id, and one
+    that does not fit is left out by itself, so a huge text costs no other row its place.  Of rows that share an id the one
+    with the smallest text is used, and of the labels of an id the smallest.
     """
     own = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("label")).where("i is not null and label in (0, 1)")
+    own = own.groupBy("i").agg(F.min("label").alias("label"))
     n = {r[0]: r[1] for r in own.groupBy("label").count().collect()}
-    chosen = sample_by_key(own, "label", "i", rows_per_label).groupBy("i").agg(F.min("label").alias("label"))
+    chosen = sample_by_key(own, "label", "i", rows_per_label)
     texts = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).where("text is not null")
     found = texts.join(F.broadcast(chosen), "i").groupBy("i", "label").agg(F.min("text").alias("text"))  # 2 * rows_per_label rows at most are broadcast
-    before = W.partitionBy("label").orderBy(F.xxhash64("i", F.lit("bytes")), "i").rowsBetween(W.unboundedPreceding, 0)
-    held = found.withColumn("held", F.sum(F.octet_length("text")).over(before))
-    return held.where(F.col("held") <= sample_bytes // 2).drop("held"), n
+    sizes = found.select("i", "label", F.octet_length("text").alias("size"), F.xxhash64("i", F.lit("bytes")).alias("h")).collect()  # as many rows
+    left, fits = {0: sample_bytes // 2, 1: sample_bytes // 2}, []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["i"])):
+        if r["size"] <= left[r["label"]]:
+            left[r["label"]] -= r["size"]
+            fits.append((r["i"],))
+    if len(fits) < len(sizes):
+        kept = docs.sparkSession.createDataFrame(fits, T.StructType([T.StructField("i", chosen.schema["i"].dataType)]))
+        found = found.join(F.broadcast(kept), "i")
+    return found, n
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows_per_label: int = 2500, doc_id: str = "doc_id", text: str = "text") -> dict:

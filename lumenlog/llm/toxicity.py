@@ -71,6 +71,26 @@ def text_features(raw: bytes | None, known: Features) -> set[int]:
     return set(patterns(raw)).union(*map(known.__getitem__, set(raw.translate(WORD_FOLD).split())))
 
 
+def vote_shares(votes, weights, mean, least: float, block: int = 256):
+    """Of each voter the share of the vote that it has in common with others: one over the sum of its correlations from
+    ``least`` on (less is no more than chance), its own being 1.
+
+    Correlations are taken for ``block`` voters at a time, so memory grows with the voters and not with their square.
+    """
+    import numpy as np
+
+    sd, total = np.sqrt(mean * (1 - mean)), max(weights.sum(), 1e-9)
+    out = np.empty(votes.shape[1])
+    for k in range(0, votes.shape[1], block):
+        own = slice(k, k + block)
+        cov = (votes[:, own] * weights[:, None].astype(votes.dtype)).T @ votes / total - np.outer(mean[own], mean)
+        together = np.clip(cov / np.outer(sd[own], sd), 0, 1)
+        together[together < least] = 0
+        together[np.arange(len(together)), np.arange(k, k + len(together))] = 1
+        out[own] = 1 / together.sum(1)
+    return out
+
+
 def label_model(votes, given, weights, *, trust: float = 0.9, still: float = 1e-4, rounds: int = 1000):
     """Posterior of label 1 for each text, and how often the given label is 1 on either label.
 
@@ -87,12 +107,7 @@ def label_model(votes, given, weights, *, trust: float = 0.9, still: float = 1e-
         a1 = (votes.T @ w1 + 0.05) / (w1.sum() + 1)  # how often each voter fires on toxic texts
         a0 = (votes.T @ w0 + 0.05) / (w0.sum() + 1)
         t1, t0 = ((given @ w + 1) / (w.sum() + 2) for w in (w1, w0))
-        cov = (votes * w1[:, None]).T @ votes / max(w1.sum(), 1e-9) - np.outer(a1, a1)
-        sd = np.sqrt(a1 * (1 - a1))
-        together = np.clip(cov / np.outer(sd, sd), 0, 1)
-        together[together < max(0.1, 3 / np.sqrt(max(p.sum(), 1)))] = 0  # no more than chance
-        np.fill_diagonal(together, 1)
-        own = 1 / together.sum(1)  # a voter's share of the vote that it has in common with others
+        own = vote_shares(votes, w1, a1, max(0.1, 3 / np.sqrt(max(p.sum(), 1))))
         z = np.log(prior / (1 - prior)) + np.where(given == 1, np.log(t1 / t0), np.log((1 - t1) / (1 - t0)))
         z = z + votes @ (own * np.log(a1 / a0)) + (1 - votes) @ (own * np.log((1 - a1) / (1 - a0)))
         before, p = p, 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -171,7 +186,16 @@ def learn(
     got = counts.where(f"n1 >= 3 or f < {RESERVED}").toArrow().sort_by("f")
     f, n1, n0 = (got[c].to_numpy() for c in ("f", "n1", "n0"))
     voters = f[(f < RESERVED) | significant(n1.astype(float), n0.astype(float), size[1], size[0], tried)].tolist()
-    chosen = own.select("i", "label", F.array_intersect("f", F.array(*map(F.lit, voters)).cast("array<int>")).alias("f")).toArrow().sort_by("i")
+    held = docs.sparkSession.sparkContext.broadcast(np.array(voters, np.int32))  # so few features pass the test; ids go out, no plan literals
+
+    @arrow_udf("array<int>")
+    def of_voters(column: pa.Array) -> pa.Array:
+        f = column.flatten().to_numpy()
+        kept = np.isin(f, held.value)
+        ends = np.concatenate(([0], np.cumsum(kept)))[column.offsets.to_numpy() - column.offsets[0].as_py()]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(f[kept], pa.int32()))
+
+    chosen = own.select("i", "label", of_voters("f").alias("f")).toArrow().sort_by("i")
     y = chosen["label"].to_numpy()
     place = {x: k for k, x in enumerate(voters)}
     votes = np.zeros((len(y), len(voters)), np.uint8)
