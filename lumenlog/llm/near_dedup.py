@@ -6,8 +6,9 @@ space); one of fewer words is a single shingle.  Documents of equal sets are one
 1. Each class gets ``POSITIONS`` minwise tokens.  At the root of every tree one of them is chosen; classes that
    agree on it go to the same child node, so all trees together make ``ROOTS`` nodes a class.
 2. A node of at most ``node_limit`` classes is compared exhaustively, by the share of equal minwise tokens.  A
-   larger one branches again by two more tokens, chosen by the node's own hash.  What is still too large at
-   the last level is compared in blocks (4), so no node is skipped or capped.
+   larger one branches again, and again, by two more tokens, chosen by the node's own hash.  A child that keeps over half
+   of its node is a family of near copies, which branching does not part: it is compared in blocks (4), like what is
+   still too large at the last of ``LEVELS``, so no node is skipped or capped.
 3. Pairs that look alike enough join classes into candidate groups.  Inside a group all pairs that could
    matter are compared on their full sets; only these exact comparisons make links.
 4. A group too large for one task meets in random blocks first, twice, each joined by the few members that look most
@@ -21,7 +22,7 @@ unlike to be a candidate with one of 4e-4; both fall quickly with similarity and
 
 Scale: texts are read twice (signatures, then the sets of candidates).  Every group that meets in a task is
 bounded: nodes by ``node_limit`` classes, candidate groups by ``group_limit`` classes and ``group_shingles``
-shingles.  Copies collapse into classes before they meet, and the few classes of very many copies go back to
+shingles.  Copies collapse into classes before they meet, of rows equal in id and text one is read, and the few classes of very many copies go back to
 their rows by a broadcast, whose size is bound by their number.
 
 Defined results: null and wordless texts have 0 shingles and are linked with nothing; so are rows with a null
@@ -45,7 +46,7 @@ from .components import connected_components
 WORDS = 5
 POSITIONS = 64
 ROOTS = 10
-LEVELS = 2
+LEVELS = 6
 #: Equal minwise tokens, of POSITIONS, that make a pair a candidate.
 ALIKE = 36
 SIGNATURE = "struct<fp:binary,n:bigint,sig:binary,tokens:array<bigint>>"
@@ -320,25 +321,35 @@ def connected_in_groups(
 
 def candidate_groups(reps: DataFrame, node_limit: int) -> DataFrame:
     """(vertex, component) of the classes that look alike in some node of some tree."""
-    nodes = reps.select("rep", F.posexplode("tokens").alias("k", "token")).select(F.xxhash64("k", "token").alias("node"), "rep")
-    found = None
-    for level in range(1, LEVELS + 1):
-        sizes = materialize(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "nodes")
-        members = materialize(nodes.join(sizes, "node"), "members").join(reps.select("rep", "sig"), "rep")
-        large = members.where(F.col("size") > node_limit)
-        if level == LEVELS or not sizes.where(F.col("size") > node_limit).head(1):
-            return connected_in_groups(members, "node", F.ceil(F.col("size") / node_limit), "sig", alike_in_nodes, edges=found)
-        small = members.where(F.col("size") <= node_limit).withColumn("known", F.col("rep"))
-        edges = met(small, F.col("node"), "sig", alike_in_nodes)
-        found = edges if found is None else found.unionByName(edges)
+    roots = reps.select("rep", F.posexplode("tokens").alias("k", "token"))
+    nodes = roots.select(F.xxhash64("k", "token").alias("node"), "rep", F.lit(None).cast("long").alias("before"))
+    size, compared = F.col("size"), None
+    for level in range(LEVELS):
+        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("before").alias("before")).where("size > 1")
+        # a child that keeps over half of its node is a family, which more branching would only copy
+        ends = (size <= node_limit) | (2 * size > F.col("before")) if level < LEVELS - 1 else F.lit(True)
+        sizes = materialize(sizes.withColumn("ends", F.coalesce(ends, F.lit(False))), "nodes")
+        members = materialize(nodes.select("node", "rep").join(sizes, "node").select("node", "rep", "size", "ends"), "members")
+        own = members.where("ends").select("node", "rep", "size")
+        compared = own if compared is None else compared.unionByName(own)
+        if not sizes.where("not ends").head(1):
+            break
         pick = F.explode(F.transform(F.array(F.lit(1), F.lit(2)), lambda b: F.pmod(F.xxhash64("node", b), F.lit(POSITIONS - ROOTS)) + ROOTS))
-        nodes = materialize(
-            large.select("node", "rep", "sig", pick.alias("p"))
-            .select(F.xxhash64("node", "p", F.expr("substring(sig, cast(4 * p + 1 as int), 4)")).alias("node"), "rep")
-            .distinct(),
-            "children",
-        )
-    raise AssertionError("no level")
+        large = members.where("not ends").join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig", "size", pick.alias("p"))
+        child = F.xxhash64("node", "p", F.expr("substring(sig, cast(4 * p + 1 as int), 4)"))
+        nodes = materialize(large.select(child.alias("node"), "rep", F.col("size").alias("before")).distinct(), "children")
+    members = compared.join(reps.select("rep", "sig"), "rep")
+    return connected_in_groups(members, "node", F.ceil(size / node_limit), "sig", alike_in_nodes)
+
+
+def one_of_equal_rows(own: DataFrame, signed: DataFrame) -> DataFrame:
+    """``own`` with one of the rows that are equal in id and text."""
+    key = ["doc_id", "text_hash"]
+    again = materialize(signed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "repeated")
+    if not again.head(1):
+        return own
+    once = own.join(again, key, "left_semi").groupBy(key).agg(F.first("text").alias("text"))
+    return own.join(again, key, "left_anti").unionByName(once)
 
 
 def near_duplicates(
@@ -367,7 +378,7 @@ def near_duplicates(
     parts = F.greatest(F.ceil(F.col("size") / group_limit), F.ceil(F.col("load") / group_shingles))
     load = materialize(load.select("component", parts.cast("long").alias("parts")), "groups")
     dealt = members.join(load, "component").select("rep", "component", "parts", F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash"))
-    sets = own.join(dealt, ["doc_id", "text_hash"]).select("rep", "component", "parts", arrow_udf("binary")(full_set).asNondeterministic()("text").alias("s"))
+    sets = one_of_equal_rows(own, signed.where(whole)).join(dealt, ["doc_id", "text_hash"]).select("rep", "component", "parts", arrow_udf("binary")(full_set).asNondeterministic()("text").alias("s"))
     joined = connected_in_groups(materialize(sets, "sets"), "component", F.col("parts"), "s", links_of_groups(*similarity), signed=reps.select("rep", "sig"))
     parted = joined.select(F.col("vertex").alias("rep"), "component").unionByName(joined.select(F.col("component").alias("rep"), "component").distinct())
     parted = materialize(parted.join(reps.select("rep", "at"), "rep"), "parts")

@@ -387,3 +387,54 @@ def test_samples_are_bounded_in_rows_and_bytes(spark):
     rows = sample.collect()
     assert n == {0: 31, 1: 30} and len({r.i for r in rows}) == len(rows)
     assert all(sum(len(r.text) for r in rows if r.label == k) <= 6000 for k in (0, 1)) and len(rows) >= 6
+
+
+def test_a_huge_text_drops_only_itself_from_a_sample(spark):
+    def at(i):  # where the sample meets the id
+        return spark.range(1).select(F.xxhash64(F.lit(i).cast("long"), F.lit("bytes"))).first()[0]
+
+    ids = sorted(range(40), key=at)
+    huge = ids[:2]  # first in the order of the hash
+    docs = spark.createDataFrame([(i, ("h" * 20_000 if i in huge else "x" * 100) + str(i)) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)] * 3, "doc_id long, quality int")
+    sample, n = quality.labelled_sample(docs, labels, "quality", 100, sample_bytes=12_000)
+    assert n == {0: 20, 1: 20} and {r.i for r in sample.collect()} == set(ids) - set(huge)
+
+
+def test_vote_shares_in_blocks():
+    rng = np.random.default_rng(5)
+    votes = (rng.random((300, 70)) < 0.2).astype(np.float32)
+    votes[:, 40:50] = votes[:, :10]
+    weights, mean = rng.random(300), None
+    mean = votes.T @ weights / weights.sum()
+    whole = toxicity.vote_shares(votes, weights, mean, 0.3, block=1000)
+    assert np.allclose(whole, toxicity.vote_shares(votes, weights, mean, 0.3, block=7), atol=1e-5)
+    assert np.allclose(whole[:10], 0.5, atol=1e-3) and np.allclose(whole[10:40], 1)
+
+
+def test_equal_rows_are_read_once(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, text)] * 3000 + [(2, text + " more"), (3, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = docs.withColumn("text_hash", F.xxhash64("text"))
+    assert near_dedup.one_of_equal_rows(own.where("text is not null"), own.where("text is not null")).count() == 2
+    got = near_duplicates(docs).collect()
+    assert len(got) == 3003 and {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (2, 1, False), (3, 3, True)}
+
+
+def test_large_nodes_branch_until_they_are_small(spark, monkeypatch):
+    rng, n = np.random.default_rng(6), 4000
+    sig = rng.integers(0, 6, (n, near_dedup.POSITIONS)).astype("<u4")
+    sig[1::400] = sig[::400]  # ten pairs that look alike
+    tokens = np.arange(n * near_dedup.ROOTS).reshape(n, -1)
+    tokens[:, 0] = -1  # one root node holds all
+    reps = spark.createDataFrame([(k, t.tolist(), bytearray(s.tobytes())) for k, (t, s) in enumerate(zip(tokens, sig, strict=True))], "rep long, tokens array<long>, sig binary")
+    names, store = [], near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, name: names.append(name) or store(df, name))
+    found = {(r.component, r.vertex) for r in near_dedup.candidate_groups(reps, 60).collect()}
+    assert found == {(k, k + 1) for k in range(0, n, 400)} and names.count("children") >= 2
+
+
+def test_pieces_are_ints(spark, tokenizer):
+    packed = pack(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), tokenizer)
+    assert dict(packed.dtypes)["piece"] == "int"
