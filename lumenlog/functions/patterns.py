@@ -48,7 +48,7 @@ REDACTIONS = (
     (r"\beyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[REDACTED_JWT]"),
 )
 
-# --- likely causes: id, title, pattern, cause ------------------------------------------------------
+# --- likely causes: id, title, pattern -------------------------------------------------------------
 CAUSES = (
     (
         "ssl-trust",
@@ -71,6 +71,25 @@ CAUSES = (
         r"(?i)OutOfMemoryError|Java heap space|GC overhead limit exceeded|allocation failure|Metaspace",
     ),
 )
+#: What each cause means and what helps: (cause, fixes) by the cause's id.
+CAUSE_TEXTS = {
+    "ssl-trust": (
+        "The chain of certificates that the peer sent does not end at an authority which this server trusts.",
+        ("Add the peer's signer certificate to the trust store.", "List the chain and look for certificates that are expired or not valid yet.", "After a renewal, restart whatever may still hold the old chain."),
+    ),
+    "db-pool": (
+        "Every connection of a data source is taken, so new requests wait until they time out.",
+        ("Look for long queries and open transactions that keep connections.", "Look for code that keeps a connection when an error occurs.", "If the load is as expected, allow more connections or a longer wait."),
+    ),
+    "hung-threads": (
+        "Threads have worked on one request for longer than the monitor allows.",
+        ("Take several thread dumps and compare what the threads wait for.", "Look at slow remote calls, database locks and loops without an end.", "For long batch work, raise the monitor's threshold."),
+    ),
+    "oom-gc": (
+        "The heap, or the space for classes, has no room left for new objects.",
+        ("Take a heap dump when the error occurs and see what holds the memory.", "Look for collections that only grow, open streams, and class loaders left by deployments.", "Give the JVM more memory once a leak is ruled out."),
+    ),
+}
 
 # --- suggested searches ----------------------------------------------------------------------------
 SEARCH_SCOPE = "index=APP sourcetype=WAS"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from .summary import ORDER
+from .summary import order
 
 NEVER_NOISE = ("ERROR", "SEVERE", "FATAL")
 FRAMEWORK = r"^\s*at (java|javax|sun|com\.ibm\.ws)\."
@@ -76,7 +76,7 @@ def stack_clusters(events: DataFrame) -> DataFrame:
     frames = F.filter(F.split("text", "\n", -1), lambda x: T.is_stack_line(x) & ~x.rlike(FRAMEWORK))
     key = F.array_join(F.transform(frames, lambda x: F.regexp_replace(F.trim(x, F.lit(" \t")), r":\d+\)$", ")")), "\n")
     out = events.withColumn("k", key).where("k <> ''").groupBy(F.sha2(F.col("k").cast("binary"), 256).alias("fingerprint")).agg(
-        F.count(F.lit(1)).alias("cnt"), F.min(F.struct(*ORDER)).alias("first")
+        F.count(F.lit(1)).alias("cnt"), F.min(F.struct(*order(events))).alias("first")
     )
     return out.select("fingerprint", "cnt", "first.*")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from .summary import ORDER
+from .summary import order
 
 KINDS = ("code", "exception", "text")
 
@@ -62,8 +62,8 @@ def search_events(events: DataFrame, queries: Sequence[str], most: int = 3) -> D
         F.array_sort(F.collect_set("exception")).alias("exceptions"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"),
     )
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(*ORDER))
-    first = own.withColumn("r", rank).where(F.col("r") <= most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("r", *ORDER, "text"))).alias("events"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(*order(events)))
+    first = own.withColumn("r", rank).where(F.col("r") <= most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("r", *order(events), "text"))).alias("events"))
     asked = spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "query_id long, query string")
     kind = F.when(F.col("priority") == 0, KINDS[0]).when(F.col("priority") == 1, KINDS[1]).when(F.col("priority") == 2, KINDS[2])
     none = F.array().cast("array<string>")

@@ -1,6 +1,7 @@
 """Ranked summaries, histograms, causes, samples and drilldowns over the events table.
 
-Rows have no order of their own, so ranks carry the first event that showed a key, as (file, event_seq).
+Rows have no order of their own, so ranks carry the first event that showed a key.  Files come in the order in which they
+were given, where events carry it as ``file_ord``, and else by name; events of a file by their number.
 Each operator combines on the map side, and ranks only what is left: keys, buckets or rules.
 """
 
@@ -14,12 +15,14 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..functions.time import ts_parts
 
-ORDER = ("file", "event_seq")
+def order(events: DataFrame) -> tuple[str, ...]:
+    """The columns that order the events of all files."""
+    return ("file_ord", "file", "event_seq") if "file_ord" in events.columns else ("file", "event_seq")
 
 
-def at() -> Column:
+def at(events: DataFrame) -> Column:
     """An event's place in the order of files and events."""
-    return F.struct(*ORDER)
+    return F.struct(*order(events))
 
 
 def total_events(events: DataFrame) -> DataFrame:
@@ -47,10 +50,10 @@ def summary(events: DataFrame, most: int | None = 10) -> DataFrame:
     )
     all_ = F.concat(single, F.transform("tags", lambda t: entry("tag", t)))
     counts = (
-        events.select(*ORDER, F.explode(all_).alias("e"))
+        events.select(*order(events), F.explode(all_).alias("e"))
         .where("e.key is not null")
         .groupBy("e.dim", "e.key")
-        .agg(F.count(F.lit(1)).alias("cnt"), F.min(at()).alias("first"))
+        .agg(F.count(F.lit(1)).alias("cnt"), F.min(at(events)).alias("first"))
     )
     return ranked(counts, most)
 
@@ -58,12 +61,12 @@ def summary(events: DataFrame, most: int | None = 10) -> DataFrame:
 def top(events: DataFrame, dim: str, most: int = 10) -> DataFrame:
     """(key, cnt, rank) of one dimension: level, code, exception or tag."""
     if dim == "tag":
-        keys = events.select(*ORDER, F.explode("tags").alias("key"))
+        keys = events.select(*order(events), F.explode("tags").alias("key"))
     elif dim == "level":
-        keys = events.select(*ORDER, F.coalesce("level", F.lit("UNKNOWN")).alias("key"))
+        keys = events.select(*order(events), F.coalesce("level", F.lit("UNKNOWN")).alias("key"))
     else:
-        keys = events.select(*ORDER, F.col(dim).alias("key")).where("key is not null")
-    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min(at()).alias("first"))
+        keys = events.select(*order(events), F.col(dim).alias("key")).where("key is not null")
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min(at(events)).alias("first"))
     return ranked(counts.withColumn("dim", F.lit(dim)), most).drop("dim")
 
 
@@ -103,11 +106,15 @@ def time_histogram(events: DataFrame, minutes: int = 1) -> DataFrame:
 
 
 def likely_causes(events: DataFrame) -> DataFrame:
-    """(id, title, cnt, rank) of the cause rules that match some event."""
+    """(id, title, cnt, cause, fixes, rank) of the cause rules that match some event."""
     counts = events.agg(*(F.count_if(F.col("text").rlike(T.UNIX + p)).alias(f"c{i}") for i, (_, _, p) in enumerate(P.CAUSES)))
-    rows = F.explode(
-        F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(k).alias("id"), F.lit(t).alias("title"), F.col(f"c{i}").alias("cnt")) for i, (k, t, _) in enumerate(P.CAUSES)))
-    )
+
+    def rule(i: int, key: str, title: str) -> Column:
+        cause, fixes = P.CAUSE_TEXTS[key]
+        fields = {"rule": F.lit(i), "id": F.lit(key), "title": F.lit(title), "cnt": F.col(f"c{i}"), "cause": F.lit(cause), "fixes": F.array(*map(F.lit, fixes))}
+        return F.struct(*(c.alias(k) for k, c in fields.items()))
+
+    rows = F.explode(F.array(*(rule(i, key, title) for i, (key, title, _) in enumerate(P.CAUSES))))
     rank = F.row_number().over(W.orderBy(F.desc("cnt"), "rule"))  # four rows at most
     return counts.select(rows.alias("r")).select("r.*").where("cnt > 0").withColumn("rank", rank).drop("rule")
 
@@ -116,15 +123,15 @@ def hung_threads(events: DataFrame) -> DataFrame:
     """Hung or stuck threads: how often, when first and last, their ids and the first stack sample."""
     hung = events.where(T.is_hung(F.col("text")))
     name = F.coalesce(T.hung_thread_name(F.col("text")), F.concat(F.lit("0x"), F.col("thread_id")), F.lit("unknown"))
-    hung = hung.select(*ORDER, "ts", "thread_id", name.alias("thread_name"), F.array_join(T.stack_sample(F.col("text")), "\n").alias("stack"))
-    when = lambda c: F.when(c, at())
+    hung = hung.select(*order(events), "ts", "thread_id", name.alias("thread_name"), F.array_join(T.stack_sample(F.col("text")), "\n").alias("stack"))
+    when = lambda c: F.when(c, at(events))
     out = hung.groupBy("thread_name").agg(
         F.count(F.lit(1)).alias("cnt"),
         F.min_by("ts", when(F.col("ts").isNotNull())).alias("first_ts"),
         F.max_by("ts", when(F.col("ts").isNotNull())).alias("last_ts"),
         F.array_sort(F.collect_set("thread_id")).alias("hex_ids"),
         F.coalesce(F.min_by("stack", when(F.col("stack") != "")), F.lit("")).alias("stack_sample"),
-        F.min(at()).alias("first"),
+        F.min(at(events)).alias("first"),
     )
     rank = F.row_number().over(W.orderBy(F.desc("cnt"), "first"))  # one row a thread name
     search = F.concat(F.lit(P.SEARCH_SCOPE + ' "'), F.col("thread_name"), F.lit('"'))
@@ -169,7 +176,7 @@ def suggested_searches(events: DataFrame, most: int = 8, top_n: int = 10) -> Dat
 def incident_window(events: DataFrame, seconds: int = 30) -> DataFrame:
     """Events within ``seconds`` of the first error in list order, with their offset; the trigger is one row."""
     parsed = events.where("ts_dt is not null")
-    trigger = parsed.where(T.is_error(F.col("level"))).agg(F.min(F.struct(*ORDER, "ts_dt")).alias("t")).where("t is not null")
+    trigger = parsed.where(T.is_error(F.col("level"))).agg(F.min(F.struct(*order(events), "ts_dt")).alias("t")).where("t is not null")
     trigger = trigger.select(F.lit(1).alias("one"), F.col("t.file").alias("t_file"), F.col("t.event_seq").alias("t_seq"), F.col("t.ts_dt").alias("t_dt"))
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     offset = (micros(F.col("ts_dt")) - micros(F.col("t_dt"))) / 1e6
@@ -186,7 +193,7 @@ def incident_window(events: DataFrame, seconds: int = 30) -> DataFrame:
 def dedup_events(events: DataFrame) -> DataFrame:
     """The first event of each (level, code, exception), nulls equal.  Aggregated, so a frequent triple is no hot group."""
     rest = [c for c in events.columns if c not in ("level", "code", "exception")]
-    first = events.groupBy("level", "code", "exception").agg(F.min_by(F.struct(*rest), at()).alias("r"))
+    first = events.groupBy("level", "code", "exception").agg(F.min_by(F.struct(*rest), at(events)).alias("r"))
     return first.select("level", "code", "exception", "r.*").select(*events.columns)
 
 
@@ -197,8 +204,8 @@ def score_events(events: DataFrame) -> DataFrame:
 def pick_samples(events: DataFrame, most: int = 5) -> DataFrame:
     """The most telling events, one for each (level, code, exception)."""
     scored = score_events(dedup_events(events))
-    rank = F.row_number().over(W.orderBy(F.desc("score"), *ORDER))
-    return scored.orderBy(F.desc("score"), *ORDER).limit(most).withColumn("rank", rank)
+    rank = F.row_number().over(W.orderBy(F.desc("score"), *order(events)))
+    return scored.orderBy(F.desc("score"), *order(events)).limit(most).withColumn("rank", rank)
 
 
 def last_lines(lines: DataFrame, most: int = 300, contains: str | None = None) -> DataFrame:
@@ -221,9 +228,11 @@ def append_distinct(history: DataFrame, new: DataFrame, keys: list[str]) -> Data
 
 
 def triage_report(events: DataFrame, top_n: int = 10, samples: int = 5, minutes: int = 1) -> DataFrame:
-    """One row: a JSON object of files, totals, ranked summaries, causes, searches, hung threads, timeline and samples.
+    """One row: a JSON object of files, totals, ranked summaries, causes with their fixes, searches, hung threads, timeline and
+    samples: the whole analysis of a set of logs.
 
-    Every part is ranked or grouped before it is gathered; what is gathered grows with the files and the buckets only.
+    Every part is ranked or grouped before it is gathered; what is gathered grows with the files, the threads that hung and
+    the buckets only.
     """
     options = {"ignoreNullFields": "false"}
 
@@ -238,13 +247,14 @@ def triage_report(events: DataFrame, top_n: int = 10, samples: int = 5, minutes:
     maps = F.array_join(F.transform("rows", lambda r: F.regexp_replace(entry(r), r"^\[(?s)(.*)\]:", "$1:")), ",")
     counted = counted.select(F.col("dim").alias("name"), F.concat(F.lit("{"), maps, F.lit("}")).alias("part"))
     picked = pick_samples(events, samples)
+    stack = F.filter(F.split("stack_sample", "\n", -1), lambda x: x != "")
     every = (
         listed("files", per_file(events), "file", ["file", F.col("total").alias("events"), "errors"])
         .unionByName(total_events(events).select(F.lit("total_events").alias("name"), F.col("total_events").cast("string").alias("part")))
         .unionByName(counted)
-        .unionByName(listed("causes", likely_causes(events), "rank", ["id", "title", "cnt"]))
-        .unionByName(listed("searches", suggested_searches(events, top_n=top_n), "rank", ["description", "search"]))
-        .unionByName(listed("hung", hung_threads(events), "rank", ["thread_name", "cnt", "first_ts", "last_ts", "hex_ids", "stack_sample", "search"]))
+        .unionByName(listed("causes", likely_causes(events), "rank", ["id", "title", F.col("cnt").alias("count"), "cause", "fixes"]))
+        .unionByName(listed("searches", suggested_searches(events, top_n=top_n), "rank", ["description", F.col("search").alias("query")]))
+        .unionByName(listed("hung", hung_threads(events), "rank", ["thread_name", F.col("cnt").alias("count"), "first_ts", "last_ts", "hex_ids", stack.alias("stack_sample"), F.col("search").alias("splunk_query")]))
         .unionByName(listed("timeline", time_histogram(events, minutes), "bucket", ["bucket", "total", "errors"]))
         .unionByName(listed("samples", picked, "rank", ["level", "thread_id", "code", "exception", "root_cause", "ts", "tags", T.sample_text(F.col("text")).alias("text")]))
     )
@@ -252,6 +262,6 @@ def triage_report(events: DataFrame, top_n: int = 10, samples: int = 5, minutes:
     part = lambda title, name, none="{}": F.concat(F.lit(f'"{title}":'), F.coalesce(F.col("p")[name], F.lit(none)))
     fields = [
         part("files", "files"), part("total_events", "total_events"), part("levels", "level"), part("codes", "code"), part("exceptions", "exception"), part("tags", "tag"),
-        part("likely_causes", "causes"), part("searches", "searches"), part("hung_threads", "hung"), part("timeline", "timeline"), part("samples", "samples"),
+        part("likely_causes", "causes"), part("splunk_queries", "searches"), part("hung_thread_drilldown", "hung"), part("timeline", "timeline"), part("samples", "samples"),
     ]
     return parts.select(F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("report"))

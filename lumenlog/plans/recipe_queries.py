@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..operators import assembly
 from ..operators import recipes as R
-from ..operators.summary import summary
+from ..operators.summary import incident_window, pick_samples, summary
 from ..sources import files
 from ..sources.rendered import rendered_lines
 from ..storage import new_folder
 from ..streaming import streams
 from . import sql as S
 from .events_queries import events, table
+from .summary_queries import SCORE
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -263,6 +265,15 @@ def ingest_report(spark, sf_dir):
     return got.groupBy(name.alias("file")).agg(F.sum("bytes").alias("bytes"), F.bool_and("readable").alias("readable"))
 
 
+def ingest_gzip(spark, sf_dir):
+    """The rendered lines as gzip files, inflated whole by the executors."""
+    at = folder(spark)
+    own = rendered_lines(table(spark, sf_dir, "events")).repartition("file", "block").sortWithinPartitions("file", "block", "pos")
+    own.select("file", F.col("line").alias("value")).write.partitionBy("file").option("compression", "gzip").text(f"{at}/logs")
+    got = files.ingest_report(spark, [f"{at}/logs"]).groupBy(F.regexp_extract("path", "/file=([^/]+)/", 1).alias("file"))
+    return got.agg(F.sum("inflated").alias("inflated"), F.bool_and("readable").alias("readable"), F.count("reason").alias("reasons"))
+
+
 def stream_events(spark, sf_dir):
     at = folder(spark)
     own = rendered_lines(table(spark, sf_dir, "events")).select("file", F.col("block").alias("seg"), "pos", "line")
@@ -288,14 +299,43 @@ def multi_file_union(spark, sf_dir):
     return own.groupBy("file_ord", F.regexp_extract("file", "/file=([^/]+)/", 1).alias("file")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+#: The order in which the log files are given: not that of their names.
+GIVEN = (4, 5, 6, 7, 0, 1, 2, 3)
+
+
+def given_events(spark, sf_dir):
+    """Events of real files in the order given, of which one is missing; a log is named by its folder."""
+    root = written(spark, sf_dir)
+    paths = [f"{root}/missing.log", *(f"{root}/file=node{k}.log" for k in GIVEN)]
+    name = F.regexp_extract("file", "/file=([^/]+)/", 1)
+    lines = files.read_lines(spark, paths).withColumns({"block": F.concat_ws("/", "file", F.format_string("%020d", "block")), "file": name})
+    manifest = files.file_manifest(spark, paths).select(name.alias("file"), "file_ord").distinct()
+    return files.ordered_events(assembly.events(lines), manifest)
+
+
+QUERIES["multi_file_events"] = lambda s, d: given_events(s, d).select("file_ord", "file", "event_seq", "ts", "level", "code")
+QUERIES["incident_by_argument_order"] = lambda s, d: incident_window(given_events(s, d), 3600).select("file_ord", "file", "event_seq", "offset_seconds", "is_trigger")
+QUERIES["samples_by_argument_order"] = lambda s, d: pick_samples(given_events(s, d), 5).select("rank", "file", "event_seq", "score")
 QUERIES["multi_file_union"] = multi_file_union
 ORACLES["multi_file_union"] = S.WITH_LINES + "SELECT CAST((CAST(substr(file, 5, 1) AS INT) + 4) % 8 + 1 AS BIGINT) AS file_ord, file, count(*) AS n_lines FROM lines GROUP BY ALL"
 
 
-QUERIES |= {"read_lines": read_lines, "ingest_report": ingest_report, "stream_events": stream_events, "stream_last_lines": stream_last_lines}
+_given = ", g AS MATERIALIZED (SELECT *, CAST((CAST(substr(file, 5, 1) AS INT) + 4) % 8 + 1 AS BIGINT) AS file_ord FROM ev)"
+ORACLES["multi_file_events"] = S.WITH_EVENTS + _given + " SELECT file_ord, file, event_seq, ts, level, code FROM g"
+ORACLES["incident_by_argument_order"] = (
+    S.WITH_EVENTS + _given + f", trigger AS (SELECT file AS f, event_seq AS s, ts_dt AS t FROM g WHERE {ERROR} AND ts_dt IS NOT NULL ORDER BY file_ord, event_seq LIMIT 1) "
+    "SELECT file_ord, file, event_seq, (epoch_us(ts_dt) - epoch_us(t)) / 1e6 AS offset_seconds, file = f AND event_seq = s AS is_trigger "
+    "FROM g, trigger WHERE ts_dt IS NOT NULL AND abs(epoch_us(ts_dt) - epoch_us(t)) <= 3600000000"
+)
+ORACLES["samples_by_argument_order"] = (
+    S.WITH_EVENTS + _given + f", u AS (SELECT *, {SCORE} AS score FROM g QUALIFY row_number() OVER (PARTITION BY level, code, exception ORDER BY file_ord, event_seq) = 1) "
+    "SELECT CAST(row_number() OVER (ORDER BY score DESC, file_ord, event_seq) AS INT) AS rank, file, event_seq, score FROM u QUALIFY rank <= 5"
+)
+QUERIES |= {"read_lines": read_lines, "ingest_report": ingest_report, "ingest_gzip": ingest_gzip, "stream_events": stream_events, "stream_last_lines": stream_last_lines}
 ORACLES |= {
     "read_lines": S.WITH_LINES + "SELECT file, count(*) AS n_lines, count(*) FILTER (line = '') AS n_blank, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM lines GROUP BY file",
     "ingest_report": S.WITH_LINES + "SELECT file, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, true AS readable FROM lines GROUP BY file",
+    "ingest_gzip": S.WITH_LINES + "SELECT file, CAST(sum(strlen(line) + 1) AS BIGINT) AS inflated, true AS readable, CAST(0 AS BIGINT) AS reasons FROM lines GROUP BY file",
     "stream_events": S.WITH_EVENTS + "SELECT file, ts, level, code, exception, text FROM ev WHERE event_seq < (SELECT max(event_seq) FROM ev AS o WHERE o.file = ev.file)",
     "stream_last_lines": S.WITH_LINES + "SELECT file, line FROM lines WHERE NOT regexp_matches(line, '^\\s*$') QUALIFY row_number() OVER (PARTITION BY file ORDER BY line_no DESC) <= 50",
 }

@@ -51,10 +51,15 @@ add(
     f"count(*) AS total, count(*) FILTER ({ERROR}) AS errors FROM timed, n GROUP BY ALL",
 )
 _rules = " UNION ALL ".join(
-    f"SELECT {i} AS rule, '{k}' AS id, {S.lit(t)} AS title, count(*) FILTER ({S.matches('text', p)}) AS cnt FROM ev" for i, (k, t, p) in enumerate(P.CAUSES)
+    f"SELECT {i} AS rule, '{k}' AS id, {S.lit(t)} AS title, count(*) FILTER ({S.matches('text', p)}) AS cnt, {S.lit(P.CAUSE_TEXTS[k][0])} AS cause, [{', '.join(map(S.lit, P.CAUSE_TEXTS[k][1]))}] AS fixes FROM ev"
+    for i, (k, t, p) in enumerate(P.CAUSES)
+)
+CAUSES = f"causes AS (SELECT id, title, cnt, cause, fixes, CAST(row_number() OVER (ORDER BY cnt DESC, rule) AS INT) AS rank FROM ({_rules}) WHERE cnt > 0)"
+add(
+    "likely_causes",
+    lambda s, d: A.likely_causes(events(s, d)).withColumn("fixes", F.array_join("fixes", "\n")),
+    ", " + CAUSES + " SELECT id, title, cnt, cause, array_to_string(fixes, chr(10)) AS fixes, rank FROM causes",
 )
-CAUSES = f"causes AS (SELECT id, title, cnt, CAST(row_number() OVER (ORDER BY cnt DESC, rule) AS INT) AS rank FROM ({_rules}) WHERE cnt > 0)"
-add("likely_causes", lambda s, d: A.likely_causes(events(s, d)), ", " + CAUSES + " SELECT * FROM causes")
 _name_sql = "coalesce(" + ", ".join(S.found("text", P.HUNG_NAME, i) for i in (1, 2, 3, 4)) + ", '0x' || thread_id, 'unknown')"
 _stack = f"list_filter(string_split(text, chr(10)), lambda x: {S.matches('x', P.STACK_LINE)} OR {S.matches('x', P.CAUSED_BY)})[1:5]"
 add(
@@ -125,9 +130,16 @@ _pairs = (
     ("files", _listed(["'file': file", "'events': total", "'errors': errors"], f"(SELECT file, count(*) AS total, count(*) FILTER ({ERROR}) AS errors FROM ev GROUP BY file)", "file")),
     ("total_events", "(SELECT CAST(count(*) AS VARCHAR) FROM ev)"),
     ("levels", _dims % "level"), ("codes", _dims % "code"), ("exceptions", _dims % "exception"), ("tags", _dims % "tag"),
-    ("likely_causes", _listed(_same("id", "title", "cnt"), "causes", "rank")),
-    ("searches", _listed(_same("description", "search"), "(SELECT * FROM suggested WHERE rank <= 8)", "rank")),
-    ("hung_threads", _listed(_same("thread_name", "cnt", "first_ts", "last_ts", "hex_ids", "stack_sample", "search"), "hungs", "rank")),
+    ("likely_causes", _listed([*_same("id", "title"), "'count': cnt", *_same("cause", "fixes")], "causes", "rank")),
+    ("splunk_queries", _listed([*_same("description"), "'query': search"], "(SELECT * FROM suggested WHERE rank <= 8)", "rank")),
+    (
+        "hung_thread_drilldown",
+        _listed(
+            [*_same("thread_name"), "'count': cnt", *_same("first_ts", "last_ts", "hex_ids"), "'stack_sample': list_filter(string_split(stack_sample, chr(10)), lambda x: x <> '')", "'splunk_query': search"],
+            "hungs",
+            "rank",
+        ),
+    ),
     ("timeline", _listed(_same("bucket", "total", "errors"), f"({_hist})", "bucket")),
     ("samples", _listed([*_same("level", "thread_id", "code", "exception", "root_cause", "ts", "tags"), "'text': substring(text, 1, 4000)"], "picked", "rank")),
 )

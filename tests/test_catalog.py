@@ -1,5 +1,6 @@
 """The registered queries: names, SQL, and equality with DuckDB for a spread of them at the smallest scale."""
 
+import json
 import math
 import os
 
@@ -49,4 +50,5 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no tables")
-    assert entry.entry(spark).columns == ["dim", "key", "cnt", "rank"]
+    report = json.loads(entry.entry(spark).first()["report"])
+    assert report["total_events"] > 0 and report["likely_causes"][0]["fixes"] and report["splunk_queries"] and report["hung_thread_drilldown"]

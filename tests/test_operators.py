@@ -1,6 +1,7 @@
 """Operators on small event tables: summaries, causes, search, routing, documents, files and streams."""
 
 import gzip
+import random
 import os
 from datetime import datetime
 
@@ -67,11 +68,15 @@ def test_report(events):
     import json
 
     report = json.loads(summary.triage_report(events).first()[0])
-    assert list(report) == ["files", "total_events", "levels", "codes", "exceptions", "tags", "likely_causes", "searches", "hung_threads", "timeline", "samples"]
+    assert list(report) == ["files", "total_events", "levels", "codes", "exceptions", "tags", "likely_causes", "splunk_queries", "hung_thread_drilldown", "timeline", "samples"]
     assert report["total_events"] == 7 and report["files"] == [{"file": "a.log", "events": 7, "errors": 3}]
     assert report["levels"] == {"INFO": 2, "ERROR": 2, "WARNING": 2, "FATAL": 1} and report["codes"]["WSVR0605W"] == 2
     assert set(report["samples"][0]) == {"level", "thread_id", "code", "exception", "root_cause", "ts", "tags", "text"}
-    assert report["hung_threads"][0]["thread_name"] == "WebContainer : 5" and report["timeline"][0]["bucket"] == "10/12/15 21:22"
+    cause, hung = report["likely_causes"][0], report["hung_thread_drilldown"][0]
+    assert set(cause) == {"id", "title", "count", "cause", "fixes"} and cause["count"] == 2 and len(cause["fixes"]) == 3
+    assert set(report["splunk_queries"][0]) == {"description", "query"}
+    assert set(hung) == {"thread_name", "count", "first_ts", "last_ts", "hex_ids", "stack_sample", "splunk_query"} and isinstance(hung["stack_sample"], list)
+    assert hung["thread_name"] == "WebContainer : 5" and report["timeline"][0]["bucket"] == "10/12/15 21:22"
     nothing = json.loads(summary.triage_report(events.where("false")).first()[0])
     assert nothing["total_events"] == 0 and nothing["levels"] == {} and nothing["samples"] == []
 
@@ -159,6 +164,52 @@ def test_files(spark, tmp_path):
     assert files.read_lines(spark, [str(tmp_path / "none.log")]).count() == 0
 
 
+def test_damaged_gzip_is_reported(spark, tmp_path, monkeypatch):
+    rng, member = random.Random(3), gzip.compress(b"one more member\n")
+    whole = gzip.compress("\n".join(f"line {rng.random()}" for _ in range(20_000)).encode())
+    broken = bytearray(whole)
+    broken[-6] ^= 255  # the checksum at the end
+    given = {"whole.gz": whole, "cut.gz": whole[:-20], "early.gz": whole[:3], "bad.gz": bytes(broken), "two.gz": whole + member + b"\0" * 9, "half.gz": whole + member[:-3], "text.gz": b"no gzip\n", "plain.log": b"x"}
+    for name, content in given.items():
+        (tmp_path / name).write_bytes(content)
+    monkeypatch.setattr(files, "PIECE", 1 << 12)
+    got = {r.path.rsplit("/", 1)[-1]: r for r in files.ingest_report(spark, [str(tmp_path)]).collect()}
+    assert {k for k, r in got.items() if r.readable} == {"whole.gz", "two.gz", "plain.log"}
+    size = len(gzip.decompress(whole))
+    assert got["whole.gz"].inflated == size and got["two.gz"].inflated == size + 16 and got["plain.log"].inflated is None
+    assert got["cut.gz"].reason == "truncated" and got["cut.gz"].offset == len(whole) - 20 and 0 < got["cut.gz"].inflated <= size
+    assert got["half.gz"].reason == "truncated" and got["early.gz"].reason == "truncated" and "check" in got["bad.gz"].reason
+    assert got["text.gz"].reason == "not gzip"
+    lines = {r.file.rsplit("/", 1)[-1]: r.n for r in files.read_lines(spark, [str(tmp_path)]).groupBy("file").agg(F.count("*").alias("n")).collect()}
+    assert lines["whole.gz"] == 20_000 and lines["text.gz"] == 1 and lines.get("cut.gz", 0) < 20_000
+
+
+def test_plain_lines_by_pieces(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(files, "PIECE", size)
+        for _ in range(40):
+            text = "".join(rng.choice(("a", "é", "\n", "\r", "\r\n")) for _ in range(rng.randrange(0, 12)))
+            (tmp_path / "t").write_bytes(text.encode())
+            want = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+            want = want[:-1] if want[-1] == "" else want
+            got = [r for b in files.plain_lines([pa.RecordBatch.from_arrays([pa.array([str(tmp_path / "t")])], ["file"])]) for r in b.to_pylist()]
+            assert [r["line"] for r in got] == want and [r["pos"] for r in got] == list(range(len(want))), (size, text)
+
+
+def test_given_order_decides_the_trigger(spark, tmp_path):
+    for name, second in (("a.log", 10), ("b.log", 20)):
+        (tmp_path / name).write_text(f"[10/12/15 21:22:{second}:000 UTC] 0000001a Web E   SRVE0293E: bad in {name}\n")
+    given = lambda *names: files.read_events(spark, [str(tmp_path / "none.log"), *(str(tmp_path / n) for n in names)])
+    first = lambda events: summary.incident_window(events).where("is_trigger").first()
+    assert [first(given(*names)).file.rsplit("/", 1)[-1] for names in (("a.log", "b.log"), ("b.log", "a.log"))] == ["a.log", "b.log"]
+    own = given("b.log", "a.log")
+    assert summary.pick_samples(own, 1).first().file.endswith("b.log") and [r.file_ord for r in own.orderBy("file_ord").collect()] == [1, 2]
+    assert summary.dedup_events(own).count() == 1 and summary.order(own) == ("file_ord", "file", "event_seq")
+
+
 def test_file_order_and_blocked_roots(spark, tmp_path):
     for name in ("x/1.log", "x/11.log", "y/1.log"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
