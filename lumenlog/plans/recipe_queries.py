@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -11,7 +14,7 @@ from ..operators import recipes as R
 from ..operators.summary import incident_window, pick_samples, summary
 from ..sources import files
 from ..sources.rendered import rendered_lines
-from ..storage import new_folder
+from ..storage import new_folder, store
 from ..streaming import streams
 from . import sql as S
 from .events_queries import events, table
@@ -196,7 +199,7 @@ def folder(spark: SparkSession) -> str:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rendered lines as a stream: written as rows in two segments, read back with the stream source."""
+    """The rendered lines as a stream of rows, in two segments."""
     at = folder(spark)
     own = rendered_lines(table(spark, sf_dir, "events")).withColumn("seg", F.lit(0).cast("long"))
     own.select("file", "seg", "pos", "line").where("block % 2 = 0").write.parquet(f"{at}/in")
@@ -220,9 +223,39 @@ def stream_histogram(spark, sf_dir):
     return run_once(streams.stream_histogram(segments(spark, sf_dir), "60 minutes", "30 days"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+def in_two_runs(rows: DataFrame, first: Column, start) -> str:
+    """Streams the rows in two runs, of which the second goes on from the first's checkpoint; ``start`` gets a stream of them and a
+    new folder, and says which writer to run.  The folder."""
+    spark = rows.sparkSession
+    at = folder(spark)
+    for own in (rows.where(first), rows.where(~first)):
+        own.write.mode("append").parquet(f"{at}/in")
+        writer = start(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), at)
+        writer.trigger(availableNow=True).option("checkpointLocation", f"{at}/state").start().awaitTermination()
+    return at
+
+
 def stream_counts(spark, sf_dir):
-    out = run_once(streams.stream_counts(segments(spark, sf_dir), "1 day", "30 days"), "complete")
-    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """In update mode, in two runs, into a sink of versions."""
+    rows = rendered_lines(table(spark, sf_dir, "events")).select("file", "block", "pos", "line")
+    at = in_two_runs(
+        rows,
+        F.col("block") % 2 == 0,
+        lambda stream, at: streams.stream_counts(stream, "1 day", "30 days").writeStream.outputMode("update").foreachBatch(streams.versions_writer(f"{at}/out")),
+    )
+    return streams.latest_versions(spark, f"{at}/out", ["start", "thread_id"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def late_rows(spark, sf_dir):
+    """A histogram by the hour with its late rows: odd blocks come first, so even ones are late by up to all of their time."""
+    rows = rendered_lines(table(spark, sf_dir, "events")).select("file", "block", "pos", "line")
+    at = in_two_runs(rows, F.col("block") % 2 == 1, lambda stream, at: stream.writeStream.foreachBatch(streams.histogram_writer(f"{at}/out", 3600, 86_400)))
+    return streams.counted_histogram(spark, f"{at}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def stream_error_bursts(spark, sf_dir):
+    out = run_once(streams.error_bursts(segments(spark, sf_dir), 600, "30 days"), "complete")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
 _line_ts = S.parse_ts(S.extract_ts("line"))
@@ -238,11 +271,47 @@ ORACLES["stream_counts"] = S.WITH_LINES + (
 
 
 def stream_lines(spark, sf_dir):
-    return run_once(segments(spark, sf_dir), "append").groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"))
+    """The rendered lines as rotated text segments, a folder for each log and segment, read with the stream source."""
+    at = folder(spark)
+    own = rendered_lines(table(spark, sf_dir, "events")).withColumn("seg", F.col("block")).repartition("file", "seg").sortWithinPartitions("file", "seg", "pos")
+    own.select("file", "seg", F.col("line").alias("value")).write.partitionBy("file", "seg").text(f"{at}/logs")
+    got = run_once(streams.stream_lines(spark, f"{at}/logs", name=r"/file=([^/]+)/seg=(\d+)/"), "append")
+    return got.groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("ends").alias("n_segments"), F.sum(F.length("line")).alias("n_chars"))
 
 
+def tail(spark, sf_dir):
+    """The rendered lines as log files that are followed from their start, by stretches of 64 KB; the folder is mounted."""
+    from ..streaming.tail import TailSource
+
+    spark.dataSource.register(TailSource)
+    root = written(spark, sf_dir)
+    at = folder(spark)
+    stream = spark.readStream.format("tail").option("path", re.sub(r"^file:/+", "/", root)).option("from", "start").load()
+    query = stream.writeStream.option("checkpointLocation", f"{at}/state").format("parquet").start(f"{at}/out")
+    query.processAllAvailable()
+    query.stop()
+    got = spark.read.schema(stream.schema).parquet(f"{at}/out").groupBy(F.regexp_extract("file", "/file=([^/]+)/", 1).alias("file"))
+    return got.agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+QUERIES["stream_tail"] = tail
+ORACLES["stream_tail"] = S.WITH_LINES + "SELECT file, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM lines WHERE NOT regexp_matches(line, '^\\s*$') GROUP BY file"
 QUERIES["stream_lines"] = stream_lines
-ORACLES["stream_lines"] = S.WITH_LINES + "SELECT file, count(*) AS n_lines FROM lines GROUP BY file"
+ORACLES["stream_lines"] = S.WITH_LINES + "SELECT file, count(*) AS n_lines, count(DISTINCT event_id // 2000) AS n_segments, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM spread WHERE line IS NOT NULL GROUP BY file"
+QUERIES["stream_late_rows"] = late_rows
+ORACLES["stream_late_rows"] = S.WITH_LINES + (
+    f", t AS (SELECT {_line_ts} AS t, {S.level('line')} AS level, event_id // 2000 % 2 = 1 AS first FROM spread WHERE line IS NOT NULL), "
+    "seen AS (SELECT max(t) AS seen FROM t WHERE first), "
+    "r AS (SELECT date_trunc('hour', t) AS start, level, NOT first AND seen IS NOT NULL AND date_trunc('hour', t) + INTERVAL 25 HOURS <= seen AS late FROM t, seen WHERE t IS NOT NULL) "
+    f"SELECT start, count(*) FILTER (NOT late) AS total, count(*) FILTER (NOT late AND {ERROR}) AS errors, count(*) FILTER (late) AS late FROM r GROUP BY 1"
+)
+QUERIES["stream_error_bursts"] = stream_error_bursts
+ORACLES["stream_error_bursts"] = S.WITH_LINES + (
+    f", t AS (SELECT file, {_line_ts} AS t FROM lines WHERE {S.level('line')} IN ('ERROR', 'SEVERE', 'FATAL')), "
+    "g AS (SELECT file, t, coalesce(epoch_us(t) - lag(epoch_us(t)) OVER (PARTITION BY file ORDER BY t) > 600000000, true) AS opens FROM t WHERE t IS NOT NULL), "
+    "b AS (SELECT file, t, count(*) FILTER (opens) OVER (PARTITION BY file ORDER BY t ROWS UNBOUNDED PRECEDING) AS b FROM g) "
+    'SELECT file, min(t) AS start, max(t) AS "end", count(*) AS cnt FROM b GROUP BY file, b'
+)
 
 
 def written(spark: SparkSession, sf_dir: str) -> str:
@@ -275,20 +344,31 @@ def ingest_gzip(spark, sf_dir):
 
 
 def stream_events(spark, sf_dir):
-    at = folder(spark)
-    own = rendered_lines(table(spark, sf_dir, "events")).select("file", F.col("block").alias("seg"), "pos", "line")
-    own.write.parquet(f"{at}/in")
-    stream = streams.stream_events(spark.readStream.schema("file string, seg long, pos long, line string").parquet(f"{at}/in"))
-    return run_once(stream, "append").select("file", "ts", "level", "code", "exception", "text")
+    """Streamed assembly of segments of which every other one comes early; a last row without a line closes each file."""
+    place = F.row_number().over(W.partitionBy("file", "block").orderBy("pos"))
+    last = F.lead("pos").over(W.partitionBy("file", "block").orderBy("pos")).isNull()
+    own = rendered_lines(table(spark, sf_dir, "events")).select("file", F.col("block").alias("seg"), (place - 1).cast("long").alias("pos"), "line", last.alias("ends"))
+    own = store(own, "segments")
+    # of each log, segments are numbered without gaps
+    numbers = own.select("file", "seg").distinct().withColumn("no", F.row_number().over(W.partitionBy("file").orderBy("seg")).cast("long"))
+    numbers = store(numbers, "numbers")
+    lines = own.join(F.broadcast(numbers), ["file", "seg"]).select("file", F.col("no").alias("seg"), "pos", "line", "ends")
+    ends = numbers.groupBy("file").agg((F.max("no") + 1).alias("seg")).select("file", "seg", F.lit(0).cast("long").alias("pos"), F.lit(None).cast("string").alias("line"), F.lit(True).alias("ends"))
+    at = in_two_runs(
+        lines.unionByName(ends),
+        F.col("seg") % 2 == 0,  # half of the segments are early
+        lambda stream, at: streams.stream_events(stream, first=1).writeStream.outputMode("append").foreachBatch(streams.versions_writer(f"{at}/out")),
+    )
+    return spark.read.parquet(f"{at}/out").select("file", "event_seq", "ts", "level", "code", "exception", "text")
 
 
 def stream_last_lines(spark, sf_dir):
-    at = folder(spark)
-    keep = streams.last_lines_writer(f"{at}/last", 50)
-    rendered_lines(table(spark, sf_dir, "events")).select("file", F.col("block").alias("seg"), "pos", "line").write.parquet(f"{at}/in")
-    lines = spark.readStream.schema("file string, seg long, pos long, line string").parquet(f"{at}/in")
-    lines.writeStream.foreachBatch(keep).trigger(availableNow=True).option("checkpointLocation", f"{at}/state").start().awaitTermination()
-    return streams.last_lines_of(spark, f"{at}/last").select("file", "line")
+    """Last lines kept in state, in two runs, the later segments first."""
+    rows = rendered_lines(table(spark, sf_dir, "events")).select("file", F.col("block").alias("seg"), "pos", "line")
+    at = in_two_runs(
+        rows, F.col("seg") % 2 == 1, lambda stream, at: streams.stream_last_lines(stream, 50).writeStream.outputMode("update").foreachBatch(streams.versions_writer(f"{at}/out"))
+    )
+    return streams.latest_versions(spark, f"{at}/out", ["file"]).select("file", "line")
 
 
 def multi_file_union(spark, sf_dir):
@@ -336,6 +416,6 @@ ORACLES |= {
     "read_lines": S.WITH_LINES + "SELECT file, count(*) AS n_lines, count(*) FILTER (line = '') AS n_blank, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM lines GROUP BY file",
     "ingest_report": S.WITH_LINES + "SELECT file, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, true AS readable FROM lines GROUP BY file",
     "ingest_gzip": S.WITH_LINES + "SELECT file, CAST(sum(strlen(line) + 1) AS BIGINT) AS inflated, true AS readable, CAST(0 AS BIGINT) AS reasons FROM lines GROUP BY file",
-    "stream_events": S.WITH_EVENTS + "SELECT file, ts, level, code, exception, text FROM ev WHERE event_seq < (SELECT max(event_seq) FROM ev AS o WHERE o.file = ev.file)",
+    "stream_events": S.WITH_EVENTS + "SELECT file, row_number() OVER (PARTITION BY file ORDER BY event_seq) - 1 AS event_seq, ts, level, code, exception, text FROM ev",
     "stream_last_lines": S.WITH_LINES + "SELECT file, line FROM lines WHERE NOT regexp_matches(line, '^\\s*$') QUALIFY row_number() OVER (PARTITION BY file ORDER BY line_no DESC) <= 50",
 }

@@ -1,7 +1,11 @@
 """Streams of log lines.
 
-The line source reads whole new files of a folder (rotated segments); it does not follow appends.  State is
-keyed by file and bounded: the last lines of a file, or the one block that is still open.
+The line source reads whole new files of a folder (rotated segments); ``tail`` follows appends.  State is kept by file in a
+RocksDB store, which the stateful functions here choose for the session: the last lines of a file, or its one block that
+is still open and what came too early.
+
+Sinks write each batch below its own number, so a batch that is run again replaces what it wrote, and ``latest_versions``
+reads what the newest batch says of each key: nothing that is written is written again.
 """
 
 from __future__ import annotations
@@ -11,8 +15,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import patterns as P
 from ..functions import text as T
@@ -20,52 +25,72 @@ from ..functions.time import parse_ts
 from ..operators.assembly import classify
 
 BLOCK = "file string, event_seq long, ts string, text string"
-STATE = "seq long, seen boolean, stack boolean, ts string, lines array<string>"
+LAST = "file string, seg long, pos long, line string"
+STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_lines(spark: SparkSession, folder: str, *, files_per_trigger: int | None = None) -> DataFrame:
-    """(file, seg, pos, line) of rotated segments such as ``a.1.log``; ``file`` is the name without its number.
+def stream_lines(spark: SparkSession, folder: str, *, files_per_trigger: int | None = None, name: str = r"([^/]+?)(?:\.(\d+))?\.(?:log|txt|out)(?:\.gz)?$") -> DataFrame:
+    """(file, seg, pos, line, ends) of rotated segments such as ``a.1.log``; ``name`` finds file and number in a path, and
+    ``ends`` marks a segment's last line.
 
     A stream has no row numbers, so a segment is read whole, to know its lines' places; its size is what the
     rotation allows.
     """
-    reader = spark.readStream.schema("value string").option("wholetext", "true")
+    reader = spark.readStream.schema("value string").option("wholetext", "true").option("recursiveFileLookup", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     path = F.col("_metadata.file_path")
-    name = F.element_at(F.split(path, "/"), -1)
-    lines = F.posexplode(F.split(F.regexp_replace("value", r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n", -1))
-    return reader.format("text").load(folder).select(
-        F.regexp_replace(name, r"(\.\d+)?\.(log|txt|out)(\.gz)?$", "").alias("file"),
-        F.coalesce(F.regexp_extract(name, r"\.(\d+)\.", 1).try_cast("long"), F.lit(0)).alias("seg"),
-        lines.alias("pos", "line"),
+    lines = F.split(F.regexp_replace("value", r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n", -1)
+    cut = reader.format("text").load(folder).select(
+        F.regexp_extract(path, name, 1).alias("file"), F.coalesce(F.regexp_extract(path, name, 2).try_cast("long"), F.lit(0)).alias("seg"), lines.alias("lines")
     )
+    return cut.select("file", "seg", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line")).select("file", "seg", "pos", "line", (F.col("pos") == F.col("n") - 1).alias("ends"))
 
 
-def last_lines_writer(path: str, most: int = 300) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: keeps the last ``most`` lines of each file that are not blank.
+def versions_writer(path: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: an upsert sink, of which ``latest_versions`` reads the newest rows of each key."""
 
-    Every batch writes a table of its own below ``path``, from that of the batch before and its lines, so a batch that is
-    run again gives the same table.  ``last_lines_of`` reads the newest; older ones but the last are not needed any more.
-    """
     def keep(batch: DataFrame, number: int) -> None:
-        from pyspark.sql import Window as W
-
-        columns = ["file", "seg", "pos", "line"]
-        new = batch.select(columns).where(~F.col("line").rlike(r"^\s*$"))
-        if number > 0:
-            new = batch.sparkSession.read.schema(new.schema).parquet(f"{path}/batch={number - 1}").unionByName(new)
-        rank = F.row_number().over(W.partitionBy("file").orderBy(F.desc("seg"), F.desc("pos")))
-        new.withColumn("r", rank).where(F.col("r") <= most).drop("r").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return keep
 
 
-def last_lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """The table of the newest batch."""
-    tables = spark.read.parquet(path)
-    newest = tables.agg(F.max("batch").alias("batch"))
-    return tables.join(F.broadcast(newest), "batch").drop("batch")
+def latest_versions(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The rows that the newest batch to say something of their key wrote; keys may be null."""
+    rows = spark.read.parquet(path)
+    newest = F.max("batch").over(W.partitionBy(*keys))
+    return rows.withColumn("newest", newest).where("batch = newest").drop("batch", "newest")
+
+
+class LastLines(StatefulProcessor):
+    """The last lines of a file that are not blank, in a list of bounded length."""
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def init(self, handle) -> None:
+        self.held = handle.getListState("held", "seg long, pos long, line string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = held = [tuple(x) for x in self.held.get()]
+        for frame in rows:
+            held = sorted({*held, *((int(s), int(p), x) for s, p, x in zip(frame["seg"], frame["pos"], frame["line"], strict=True) if x and x.strip())})[-self.most :]
+        if held != before:
+            self.held.put(held)
+            yield pd.DataFrame([(key[0], *x) for x in held], columns=["file", "seg", "pos", "line"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_last_lines(lines: DataFrame, most: int = 300) -> DataFrame:
+    """(file, seg, pos, line): of each file that has new lines its last ``most`` ones, in update mode.
+
+    Lines may come in any order, and again.  Read what ``versions_writer`` keeps of it by ``file``.
+    """
+    lines.sparkSession.conf.set(*STORE)
+    return lines.groupBy("file").transformWithStateInPandas(LastLines(most), LAST, "update", "none")
 
 
 def fold_lines(file: str, lines: list[str], state: tuple | None) -> tuple[list[tuple], tuple]:
@@ -97,25 +122,83 @@ def fold_lines(file: str, lines: list[str], state: tuple | None) -> tuple[list[t
     return out, (seq, seen, stack, ts, held)
 
 
-def stream_events(lines: DataFrame, *, timeout_ms: int | None = None) -> DataFrame:
-    """The typed events of a stream of lines.  A block is emitted when the next one opens; with ``timeout_ms`` also
-    when its file stays silent that long."""
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = tuple(state.get) if state.exists else None
-        if state.hasTimedOut:
-            held = held or (0, False, False, None, [])
-            out = [(key[0], held[0], held[3], "\n".join(held[4]))] if held[1] and held[4] else []
-            state.update((held[0] + len(out), held[1], False, None, []))
-        else:
-            rows = pd.concat(list(frames)).sort_values(["seg", "pos"])
-            out, left = fold_lines(key[0], rows["line"].tolist(), held)
-            state.update(left)
-            if timeout_ms:
-                state.setTimeoutDuration(timeout_ms)
+class Assembly(StatefulProcessor):
+    """Folds a file's lines, in the order of their segments, into blocks.
+
+    Lines of a segment whose turn has not come wait in the state.  With ``timeout_ms`` a timer closes the open block of a
+    file that stays silent; a row without a line closes it at once.
+    """
+
+    def __init__(self, first: int | None, timeout_ms: int | None):
+        self.first, self.timeout_ms = first, timeout_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "seg long, pos long, seq long, seen boolean, stack boolean, ts string")
+        self.lines = handle.getListState("lines", "line string")
+        self.early = handle.getListState("early", "seg long, pos long, line string, ends boolean")
+
+    def folded(self) -> tuple:
+        """Whose turn it is, and the open block."""
+        seg, pos, *block = self.place.get() if self.place.exists() else (None, 0, 0, False, False, None)
+        return seg, pos, (*block, [x[0] for x in self.lines.get()])
+
+    def hold(self, seg: int | None, pos: int, block: tuple) -> None:
+        *fields, lines = block
+        self.place.update((seg, pos, *fields))
+        self.lines.put([(x,) for x in lines]) if lines else self.lines.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seg, pos, block = self.folded()
+        waiting = [tuple(x) for x in self.early.get()]
+        for f in rows:
+            waiting += [(int(s), int(p), x, bool(e)) for s, p, x, e in zip(f["seg"], f["pos"], f["line"], f["ends"], strict=True)]
+        waiting.sort(key=lambda x: x[:2])
+        if seg is None:
+            seg = waiting[0][0] if self.first is None else self.first
+        out, k = [], 0
+        while k < len(waiting) and waiting[k][:2] <= (seg, pos):
+            if waiting[k][:2] == (seg, pos):  # what is smaller came again
+                _, _, line, ends = waiting[k]
+                found, block = closed(key[0], block) if line is None else fold_lines(key[0], [line], block)
+                out += found
+                seg, pos = (seg + 1, 0) if ends else (seg, pos + 1)
+            k += 1
+        self.hold(seg, pos, block)
+        self.early.put(waiting[k:]) if waiting[k:] else self.early.clear()
+        if self.timeout_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
         yield pd.DataFrame(out, columns=["file", "event_seq", "ts", "text"])
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    return classify(lines.groupBy("file").applyInPandasWithState(step, BLOCK, STATE, "append", timeout))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        seg, pos, block = self.folded()
+        out, block = closed(key[0], block)
+        self.hold(seg, pos, block)
+        yield pd.DataFrame(out, columns=["file", "event_seq", "ts", "text"])
+
+    def close(self) -> None:
+        pass
+
+
+def closed(file: str, block: tuple) -> tuple[list[tuple], tuple]:
+    """The open block as an event, if it is one, and the state without it."""
+    seq, seen, _, ts, lines = block
+    out = [(file, seq, ts, "\n".join(lines))] if seen and lines else []
+    return out, (seq + len(out), seen, False, None, [])
+
+
+def stream_events(lines: DataFrame, *, first: int | None = None, timeout_ms: int | None = None) -> DataFrame:
+    """The typed events of a stream of lines (file, seg, pos, line, ends), in append mode.
+
+    Segments of a file are numbered without gaps from ``first`` on (by default from the least number of the file's first
+    batch) and may come in any order; places count from 0 in each.  A block is emitted when the next one opens, at a row
+    without a line, and with ``timeout_ms`` also when its file stays silent that long.
+    """
+    lines.sparkSession.conf.set(*STORE)
+    mode = "processingTime" if timeout_ms else "none"
+    return classify(lines.groupBy("file").transformWithStateInPandas(Assembly(first, timeout_ms), BLOCK, "append", mode))
 
 
 def stamped(lines: DataFrame, delay: str) -> DataFrame:
@@ -138,3 +221,41 @@ def stream_counts(lines: DataFrame, width: str = "5 minutes", delay: str = "10 m
         F.count_if(T.is_error(T.level(line))).alias("errors"), F.count_if(T.is_hung(line)).alias("hung")
     )
     return out.select(F.col("w.start").alias("start"), "thread_id", "errors", "hung")
+
+
+def error_bursts(lines: DataFrame, gap: int = 600, delay: str = "10 minutes") -> DataFrame:
+    """(file, start, end, cnt): errors of a file with no pause longer than ``gap`` seconds, as session windows, which grow
+    together when a late error falls between them.  Time stamps have milliseconds."""
+    errors = stamped(lines.where(T.is_error(T.level(F.col("line")))), delay)
+    out = errors.groupBy("file", F.session_window("at", f"{1000 * gap + 1} milliseconds").alias("w"))
+    return out.agg(F.min("at").alias("start"), F.max("at").alias("end"), F.count(F.lit(1)).alias("cnt")).drop("w")
+
+
+def histogram_writer(path: str, width: int, delay: int) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` over lines: each batch's rows by window of ``width`` seconds, on time or late.
+
+    A row is late if its window had ended ``delay`` seconds before the greatest time stamp of all batches before.  What a
+    batch writes stands below its number and is added up by ``counted_histogram``, so no row is lost: late ones count as such.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        at = F.unix_micros(parse_ts(T.extract_ts(F.col("line"))).cast("timestamp"))
+        start = F.floor(F.col("at") / (width * 1_000_000)).cast("long") * width
+        rows = batch.select(at.alias("at"), T.is_error(T.level(F.col("line"))).alias("error")).where("at is not null").select("at", "error", start.alias("start"))
+        seen = None
+        if number > 0:
+            seen = spark.read.schema("batch long, seen long").parquet(path).where(F.col("batch") < number).agg(F.max("seen")).first()[0]
+        late = F.lit(False) if seen is None else (F.col("start") + width + delay) * 1_000_000 <= seen
+        out = rows.groupBy("start", late.alias("late")).agg(F.count(F.lit(1)).alias("total"), F.count_if("error").alias("errors"), F.max("at").alias("seen"))
+        out.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return keep
+
+
+def counted_histogram(spark: SparkSession, path: str) -> DataFrame:
+    """(start, total, errors, late) by window: rows and errors that were on time, and rows that were not."""
+    rows = spark.read.parquet(path)
+    on_time = lambda c: F.sum(F.when(~F.col("late"), F.col(c)).otherwise(0))
+    out = rows.groupBy("start").agg(on_time("total").alias("total"), on_time("errors").alias("errors"), F.sum(F.when(F.col("late"), F.col("total")).otherwise(0)).alias("late"))
+    return out.withColumn("start", F.timestamp_seconds("start"))

@@ -1,8 +1,12 @@
 """A stream source that follows files as they grow.
 
-Each poll reads at most ``maxBytes`` of what was appended to a file, up to its last line end.  A file that is
-shorter than what was read of it was truncated or rotated and is read from its start.  Blank lines are dropped and
-bad bytes ignored.  Paths must be mounted where the driver and the executors run, such as a shared log folder.
+Each poll reads at most ``maxBytes`` of what was appended to a file, up to its last line end.  After a restart the first
+poll takes all that was appended meanwhile, in parts of ``maxBytes`` that tasks read side by side: a part holds the lines
+that begin in it.  A file that is shorter than what was read of it, or whose first bytes are others than they were, was
+truncated, rotated or rewritten and is read from its start.  Blank lines are dropped and bad bytes ignored.  Paths must
+be mounted where the driver and the executors run, such as a shared log folder.
+
+An offset holds for each file how far it was read, and how many of its first bytes have which checksum.
 
     spark.dataSource.register(TailSource)
     spark.readStream.format("tail").option("path", "/logs").option("from", "start").load()
@@ -12,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -37,46 +42,79 @@ def line_end(path: str, begin: int, end: int, window: int) -> int:
     return at + cut + 1 if cut >= 0 else end if end - begin >= window else begin
 
 
+#: First bytes of a file by which it is known again.
+HEAD = 256
+
+
+def head_of(path: str, size: int) -> list[int]:
+    """How many first bytes there are, ``HEAD`` at most, and their checksum."""
+    with open(path, "rb") as f:
+        own = f.read(min(size, HEAD))
+    return [len(own), zlib.crc32(own)]
+
+
+def resumed(path: str, size: int, last: list[int] | None) -> int:
+    """Where to read on in a file of ``size`` bytes, of which ``last`` says what was read."""
+    if not last or size < last[0]:
+        return 0
+    return last[0] if head_of(path, last[1]) == last[1:] else 0
+
+
 class Span(InputPartition):
-    def __init__(self, path: str, begin: int, end: int):
-        self.path, self.begin, self.end = path, begin, end
+    """Lines of a file that begin in a range of its bytes; ``first`` says that a line begins where the range does."""
+
+    def __init__(self, path: str, begin: int, end: int, first: bool):
+        self.path, self.begin, self.end, self.first = path, begin, end, first
 
 
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path, self.most = options["path"], int(options.get("maxbytes", 64 * 1024))
         self.from_end = options.get("from", "end") == "end"
-        self.at: dict[str, int] | None = None
+        self.at: dict[str, list[int]] | None = None
 
     def initialOffset(self) -> dict:
         sizes = {p: os.path.getsize(p) if self.from_end else 0 for p in followed(self.path)}
-        self.at = dict(sizes)
-        return sizes
+        self.at = {p: [n, *head_of(p, n)] for p, n in sizes.items()}
+        return dict(self.at)
 
     def latestOffset(self) -> dict:
         out = {}
         for p in followed(self.path):
             size = os.path.getsize(p)
             if self.at is None:  # after a restart what was read is not known yet: up to the last whole line
-                out[p] = line_end(p, 0, size, self.most)
-                continue
-            begin = self.at.get(p, 0)
-            begin = 0 if size < begin else begin
-            out[p] = line_end(p, begin, min(size, begin + self.most), self.most)
+                end = line_end(p, 0, size, self.most)
+            else:
+                begin = resumed(p, size, self.at.get(p))
+                end = line_end(p, begin, min(size, begin + self.most), self.most)
+            out[p] = [end, *head_of(p, end)]
         return out
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         self.at = dict(end)
-        spans = [(p, start.get(p, 0), to) for p, to in sorted(end.items())]
-        return [Span(p, 0 if to < begin else begin, to) for p, begin, to in spans if to != begin]
+        spans = []
+        for p, (to, *_) in sorted(end.items()):
+            begin = resumed(p, to, start.get(p))
+            spans += [Span(p, a, min(a + self.most, to), a == begin) for a in range(begin, to, self.most)]
+        return spans
 
     def read(self, partition: Span) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
-            f.seek(partition.begin)
-            text = f.read(partition.end - partition.begin).decode("utf-8", "ignore")
-        for k, line in enumerate(re.split(r"\r\n|\r|\n", text)):
-            if line.strip():
-                yield partition.path, partition.begin, k, line
+            at = partition.begin
+            if not partition.first:  # the line that covers the byte before belongs to the part before, cut like there
+                f.seek(at - 1)
+                while (skipped := f.readline(self.most)) and not skipped.endswith(b"\n"):
+                    pass
+                at = f.tell()
+            else:
+                f.seek(at)
+            k = 0
+            while at < partition.end and (raw := f.readline(self.most)):
+                at += len(raw)
+                for line in re.split(r"\r\n|\r|\n", raw.decode("utf-8", "ignore").rstrip("\n")):
+                    if line.strip():
+                        yield partition.path, partition.begin, k, line
+                        k += 1
 
 
 class TailSource(DataSource):

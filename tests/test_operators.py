@@ -1,8 +1,9 @@
 """Operators on small event tables: summaries, causes, search, routing, documents, files and streams."""
 
 import gzip
-import random
 import os
+import random
+import time
 from datetime import datetime
 
 import pytest
@@ -293,13 +294,111 @@ def test_streamed_events_equal_batch(spark, tmp_path, events):
     assert [e.code for e in got if e.text != "loose"] == [e.code for e in events.orderBy("event_seq").collect()]
 
 
+def in_runs(spark, tmp_path, batches, schema, start, mode="update"):
+    """Streams each batch in a run of its own, from the checkpoint of the one before, into a sink of versions."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = start(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state"))
+        query.foreachBatch(streams.versions_writer(str(tmp_path / "out"))).start().awaitTermination()
+
+
 def test_last_lines_of_a_stream(spark, tmp_path):
-    keep = streams.last_lines_writer(str(tmp_path / "tail"), 2)
-    rows = lambda seg, *lines: spark.createDataFrame([("f", seg, k, x) for k, x in enumerate(lines)], "file string, seg long, pos long, line string")
-    keep(rows(0, "a", "", "b", "c"), 0)
-    keep(rows(1, "d", "  "), 1)
-    keep(rows(1, "d", "  "), 1)  # a batch that is run again
-    assert [r.line for r in streams.last_lines_of(spark, str(tmp_path / "tail")).orderBy("seg", "pos").collect()] == ["c", "d"]
+    rows = lambda seg, *lines: [("f", seg, k, x) for k, x in enumerate(lines)]
+    schema = "file string, seg long, pos long, line string"
+    batches = [rows(1, "c", "d", "  "), rows(0, "a", "", "b"), [("g", 0, 0, "x")], rows(2, "e")]
+    in_runs(spark, tmp_path, batches, schema, lambda s: streams.stream_last_lines(s, 2))
+    got = streams.latest_versions(spark, str(tmp_path / "out"), ["file"]).orderBy("file", "seg", "pos").collect()
+    assert [(r.file, r.line) for r in got] == [("f", "d"), ("f", "e"), ("g", "x")]
+    kept = spark.read.parquet(str(tmp_path / "out"))
+    assert kept.where("batch = 1").count() == 0 and kept.where("batch = 2").count() == 1  # only files with new last lines are written
+
+
+def test_a_batch_that_is_run_again_is_one_version(spark, tmp_path):
+    keep = streams.versions_writer(str(tmp_path / "out"))
+    rows = lambda *r: spark.createDataFrame(r, "k string, n long")
+    keep(rows(("a", 1), (None, 1)), 0)
+    for _ in range(2):
+        keep(rows(("a", 2), ("b", 1)), 1)
+    assert {(r.k, r.n) for r in streams.latest_versions(spark, str(tmp_path / "out"), ["k"]).collect()} == {("a", 2), ("b", 1), (None, 1)}
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    line = lambda h, m: ("f", f"[10/12/15 {h:02}:{m:02}:10:000 UTC] 0000001a Web E   SRVE0293E: bad")
+    keep = streams.histogram_writer(str(tmp_path / "out"), 3600, 3600)
+    rows = lambda *r: spark.createDataFrame(r, "file string, line string")
+    keep(rows(line(1, 0), line(5, 30), ("f", "no time")), 0)
+    for _ in range(2):  # a batch that is run again
+        keep(rows(line(2, 59), line(3, 59), line(4, 0), line(9, 0)), 1)
+    keep(rows(line(5, 0)), 2)
+    got = {r.start.hour: (r.total, r.late) for r in streams.counted_histogram(spark, str(tmp_path / "out")).collect()}
+    assert got == {1: (1, 0), 2: (0, 1), 3: (0, 1), 4: (1, 0), 5: (1, 1), 9: (1, 0)}
+
+
+def test_segments_in_any_order_and_silent_files(spark, tmp_path, events):
+    schema = "file string, seg long, pos long, line string, ends boolean"
+    cut = [LOG[4:], LOG[2:4], LOG[:2]]  # the last segment first
+    batches = [[("a.log", 3 - k, i, x, i == len(own) - 1) for i, x in enumerate(own)] for k, own in enumerate(cut)]
+    in_runs(spark, tmp_path, batches, schema, lambda s: streams.stream_events(s, first=1), "append")
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.where("batch < 2").count() == 0 and [r.event_seq for r in got.orderBy("event_seq").collect()] == list(range(6))
+    stream = streams.stream_events(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), first=1, timeout_ms=500)
+    query = stream.writeStream.outputMode("append").trigger(processingTime="500 milliseconds").option("checkpointLocation", str(tmp_path / "state2")).format("parquet").start(str(tmp_path / "out2"))
+    until = time.monotonic() + 60
+    while time.monotonic() < until and query.isActive and spark.read.schema(stream.schema).parquet(str(tmp_path / "out2")).count() < 7:
+        time.sleep(0.5)
+    query.stop()
+    codes = [r.code for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out2")).orderBy("event_seq").collect()]
+    assert codes == [r.code for r in events.orderBy("event_seq").collect()]  # the open block too
+
+
+def test_bursts_of_a_stream_equal_batch(spark, tmp_path):
+    rng, at = random.Random(9), 0
+    rows = []
+    for k in range(60):
+        at += rng.choice((5, 600, 601, 900))
+        rows.append(("f", f"[10/{12 + at // 86400}/15 {at % 86400 // 3600:02}:{at % 3600 // 60:02}:{at % 60:02}:000 UTC] 0000001a Web E   SRVE0293E: bad"))
+    frame = spark.createDataFrame([(f, 0, k, x) for k, (f, x) in enumerate(rows)], "file string, block long, pos long, line string")
+    want = {(r.start, r.end, r.cnt) for r in recipes.error_bursts(assembly.events(frame)).collect()}
+    order = list(range(60))
+    rng.shuffle(order)  # late rows fall between others
+    for n, own in enumerate((order[:30], order[30:])):
+        spark.createDataFrame([rows[k] for k in own], "file string, line string").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.error_bursts(spark.readStream.schema("file string, line string").parquet(str(tmp_path / "in")), delay="30 days")
+        stream.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).foreachBatch(streams.versions_writer(str(tmp_path / "out"))).start().awaitTermination()
+    newest = spark.read.parquet(str(tmp_path / "out")).where("batch = 1")
+    assert {(r.start, r.end, r.cnt) for r in newest.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")}).collect()} == want and len(want) > 5
+
+
+def test_a_restarted_tail_reads_bounded_parts(tmp_path):
+    from lumenlog.streaming.tail import TailReader
+
+    log = tmp_path / "a.log"
+    log.write_text("".join(f"line {k}\n" for k in range(20)))
+    options = {"path": str(log), "maxbytes": "64", "from": "start"}
+
+    def lines(reader, start, end):
+        spans = reader.partitions(start, end)
+        assert all(s.end - s.begin <= 64 for s in spans)
+        return [x[3] for s in spans for x in reader.read(s)]
+
+    reader = TailReader(options)
+    start = reader.initialOffset()
+    first = reader.latestOffset()
+    got = lines(reader, start, first)
+    with log.open("a") as f:
+        f.write("".join(f"more {k} {'x' * (k % 50)}\n" for k in range(300)) + "open")
+    again = TailReader(options)  # knows nothing of the one before
+    end = again.latestOffset()
+    got += lines(again, first, end)
+    assert got == [f"line {k}" for k in range(20)] + [f"more {k} {'x' * (k % 50)}" for k in range(300)]
+    log.write_text("".join(f"other {k}\n" for k in range(3000)))  # longer than before, with another head
+    for reader in (again, TailReader(options)):
+        at, found = end, []
+        while (now := reader.latestOffset()) != at:
+            found += lines(reader, at, now)
+            at = now
+        assert found == [f"other {k}" for k in range(3000)]
 
 
 def test_stored_tables_are_cleared(spark):
