@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..functions.time import parse_ts
 from .summary import order
 
 NEVER_NOISE = ("ERROR", "SEVERE", "FATAL")
@@ -41,11 +42,28 @@ def without_noise(events: DataFrame, codes: list[str], prefixes: list[str]) -> D
     return events.where(~F.coalesce(noisy, F.lit(False)) | T.is_error(F.col("level")))
 
 
+#: Seconds of time in which a code's times in a file are ordered together; with milliseconds that bounds them.
+STRETCH = 3600
+
+
 def regular_messages(events: DataFrame, least: int = 5, spread: float = 1.0) -> DataFrame:
-    """(code, file, cnt, gap, deviation) of codes that come at regular intervals in a file."""
-    gap = seconds(F.col("ts_dt")) - F.lag(seconds(F.col("ts_dt"))).over(W.partitionBy("file", "code").orderBy("ts_dt", "event_seq"))
-    gaps = events.where("ts_dt is not null and code is not null").withColumn("gap", gap).where("gap is not null")
-    out = gaps.groupBy("code", "file").agg(F.count(F.lit(1)).alias("cnt"), F.avg("gap").alias("gap"), F.stddev_pop("gap").alias("deviation"))
+    """(code, file, cnt, gap, deviation) of codes that come at regular intervals in a file.
+
+    Equal times count once, with their number of events, and each stretch of time is ordered by itself: only its first time
+    looks back, to the last one of the stretch before, which is one row.  So no task holds all events of a code.
+    """
+    key = ["file", "code"]
+    rows = events.where("ts_dt is not null and code is not null").select(*key, F.unix_micros(F.col("ts_dt").cast("timestamp")).alias("t"))
+    times = rows.groupBy(*key, F.floor(F.col("t") / (STRETCH * 1_000_000)).alias("part"), "t").agg(F.count(F.lit(1)).alias("n"))
+    own = F.lag("t").over(W.partitionBy(*key, "part").orderBy("t"))
+    ends = times.groupBy(*key, "part").agg(F.max("t").alias("end"))
+    carried = ends.select(*key, "part", F.lag("end").over(W.partitionBy(*key).orderBy("part")).alias("carried"))  # one row a stretch
+    gaps_ = times.withColumn("own", own).join(carried, [*key, "part"]).withColumn("gap", (F.col("t") - F.coalesce("own", "carried")) / 1e6)
+    # n events of one time have n - 1 gaps of zero among them
+    sums = gaps_.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("gap").alias("total"), F.sum(F.col("gap") * F.col("gap")).alias("squares")).where("n > 1")
+    cnt, zero = F.col("n") - 1, F.lit(0.0)
+    out = sums.select("code", "file", cnt.alias("cnt"), (F.coalesce("total", zero) / cnt).alias("gap"), (F.coalesce("squares", zero) / cnt).alias("square"))
+    out = out.withColumn("deviation", F.sqrt(F.greatest(F.col("square") - F.col("gap") * F.col("gap"), zero))).drop("square")
     return out.where((F.col("cnt") >= least) & (F.col("deviation") <= spread * F.col("gap")))
 
 
@@ -203,11 +221,29 @@ def summary_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def json_lines(lines: DataFrame) -> DataFrame:
-    """Server logs of one JSON object a line: (ts, level, code, message, thread)."""
-    schema = "type string, ibm_datetime string, ibm_messageId string, loglevel string, message string, ibm_threadId string"
-    x = F.from_json("line", schema)
-    return lines.select(x.alias("x")).where("x.message is not null").select(
-        F.col("x.ibm_datetime").alias("ts"), F.col("x.loglevel").alias("level"), F.col("x.ibm_messageId").alias("code"), F.col("x.message").alias("message"), F.col("x.ibm_threadId").alias("thread")
+    """Server logs of one JSON object a line (file, line_no, line), as rows of the events table.
+
+    The message and a stack below it are the text, redacted before anything is taken from it; a message id, level or thread
+    that the object names wins over one in the text.  Lines that are no such object are left out.
+    """
+    schema = "type string, ibm_datetime string, ibm_messageId string, loglevel string, message string, ibm_threadId string, ibm_stackTrace string"
+    rows = lines.select("file", F.col("line_no").alias("event_seq"), F.from_json("line", schema).alias("x")).select("file", "event_seq", "x.*").where("message is not null")
+    text = F.col("text")
+    # the zone is left out, as it is of other time stamps
+    ts = F.regexp_replace("ibm_datetime", r"(Z|[+-]\d{2}:?\d{2})$", "")
+    rows = rows.withColumns({"text": T.redact(F.concat_ws("\n", "message", "ibm_stackTrace")), "ts": ts})
+    return rows.select(
+        "file",
+        "event_seq",
+        "ts",
+        parse_ts(F.col("ts")).alias("ts_dt"),
+        F.coalesce(F.upper("loglevel"), T.level(text)).alias("level"),
+        F.coalesce(F.lower("ibm_threadId"), T.thread_id(text)).alias("thread_id"),
+        F.coalesce("ibm_messageId", T.message_code(text)).alias("code"),
+        T.exception(text).alias("exception"),
+        T.root_cause(text).alias("root_cause"),
+        T.signal_tags(text).alias("tags"),
+        "text",
     )
 
 
@@ -246,13 +282,18 @@ def restarts(events: DataFrame, start_code: str, ready_code: str | None = None)
 def thread_timeline(events: DataFrame, minutes: int = 5) -> DataFrame:
     """(file, event_seq, hung_seq, seconds): what a thread did in the ``minutes`` before it was reported as hung.
 
-    Both sides are dealt to buckets as wide as the window; an event meets the reports of its own bucket and the next.
+    Of an event's reports the next one in the file counts: an as-of join, as a carry backward over blocks of events.  Each
+    event has one row and no pairs are made.
     """
-    wide = 60 * minutes
+    key = ["file", "thread_id"]
     s = seconds(F.col("ts_dt"))
-    rows = events.where("ts_dt is not null and thread_id is not null").select("file", "event_seq", "thread_id", s.alias("s"), F.array_contains("tags", "HungThreads").alias("hung"))
-    bucket = F.floor(F.col("s") / wide)
-    hung = rows.where("hung").select("file", "thread_id", F.col("event_seq").alias("hung_seq"), F.col("s").alias("at"), F.explode(F.array(bucket, bucket - 1)).alias("b"))
-    pairs = rows.withColumn("b", bucket).join(hung, ["file", "thread_id", "b"]).where((F.col("event_seq") < F.col("hung_seq")) & (F.col("at") - F.col("s")).between(0, wide))
-    # of an event's reports the next one counts
-    return pairs.groupBy("file", "event_seq").agg(F.min(F.struct("hung_seq", (F.col("at") - F.col("s")).alias("seconds"))).alias("h")).select("file", "event_seq", "h.hung_seq", "h.seconds")
+    rows = events.where("ts_dt is not null and thread_id is not null").select(*key, "event_seq", s.alias("s"), F.array_contains("tags", "HungThreads").alias("hung"), F.floor(F.col("event_seq") / BLOCK).alias("block"))
+    report = F.when(F.col("hung"), F.struct("event_seq", "s"))
+    after = W.partitionBy(*key, "block").orderBy("event_seq").rowsBetween(1, W.unboundedFollowing)
+    own = rows.withColumn("own", F.first(report, ignorenulls=True).over(after))
+    first = rows.groupBy(*key, "block").agg(F.min(report).alias("first"))
+    later = W.partitionBy(*key).orderBy("block").rowsBetween(1, W.unboundedFollowing)  # one row a block
+    carried = first.select(*key, "block", F.first("first", ignorenulls=True).over(later).alias("carried"))
+    found = own.join(carried, [*key, "block"]).withColumn("h", F.coalesce("own", "carried")).where("h is not null")
+    ago = F.col("h.s") - F.col("s")
+    return found.where(ago.between(0, 60 * minutes)).select("file", "event_seq", F.col("h.event_seq").alias("hung_seq"), ago.alias("seconds"))

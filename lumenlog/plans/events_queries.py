@@ -42,13 +42,22 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.number_lines(raw_lines(spark, sf_dir))
 
 
-#: Tables that several queries read, stored once an application: (application, folder, name) to a path and a schema.
-KEPT: dict[tuple[str, str, str], tuple] = {}
+#: Tables that several queries read, stored once an application and state of their input: (application, folder, state,
+#: name) to a path and a schema.
+KEPT: dict[tuple, tuple] = {}
+
+
+def state_of(spark: SparkSession, path: str) -> tuple[int, int]:
+    """How many files a table has, and a hash of their names, lengths and times, from Spark's listing; nothing is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    row = found.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(path, length, modificationTime))")).first()
+    return tuple(row)
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """What ``build`` makes of the tables, stored by the first query that asks for it and read by all."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """What ``build`` makes of the events table, stored by the first query that asks for it and read by all until the table's
+    files change.  So building a query lists these files, and the first one runs the job that stores."""
+    key = (spark.sparkContext.applicationId, sf_dir, state_of(spark, f"{sf_dir}/events.parquet"), name)
     if key in KEPT:
         path, schema = KEPT[key]
         try:

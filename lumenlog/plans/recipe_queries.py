@@ -184,13 +184,23 @@ add(
 
 
 def json_lines(spark, sf_dir):
-    """The events table as JSON server logs, of which every row is read back."""
-    row = F.to_json(F.struct(F.lit("liberty_message").alias("type"), F.col("ts").cast("string").alias("ibm_datetime"), F.col("event_type").alias("loglevel"), F.col("props").alias("message"), F.hex("user_id").alias("ibm_threadId")))
-    return R.json_lines(table(spark, sf_dir, "events").select(row.alias("line")))
+    """The events of the rendered logs as JSON server logs, read back into the events schema; some have no id of their own."""
+    own = events(spark, sf_dir)
+    when = F.date_format("ts_dt", "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    row = F.struct(
+        F.lit("liberty_message").alias("type"), F.concat(when, F.lit("+0000")).alias("ibm_datetime"), F.when(F.col("event_seq") % 3 > 0, F.col("code")).alias("ibm_messageId"),
+        F.col("level").alias("loglevel"), F.substring_index("text", "\n", 1).alias("message"), F.upper("thread_id").alias("ibm_threadId"),
+        F.when(F.col("text").contains("\n"), F.substring(F.col("text"), F.length(F.substring_index("text", "\n", 1)) + 2, F.length("text"))).alias("ibm_stackTrace"),
+    )
+    got = R.json_lines(own.select("file", F.col("event_seq").alias("line_no"), F.to_json(row).alias("line")))
+    return got.withColumn("tags", F.array_join("tags", ","))
 
 
-QUERIES["json_lines"] = json_lines
-ORACLES["json_lines"] = "SELECT CASE WHEN extract(microsecond FROM ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE rtrim(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0') END AS ts, event_type AS level, CAST(NULL AS VARCHAR) AS code, props AS message, to_hex(user_id) AS thread FROM events WHERE props IS NOT NULL"
+add(
+    "json_lines",
+    json_lines,
+    "SELECT file, event_seq, strftime(ts_dt, '%Y-%m-%dT%H:%M:%S.%g') AS ts, ts_dt, level, thread_id, code, exception, root_cause, array_to_string(tags, ',') AS tags, text FROM ev",
+)
 
 
 def folder(spark: SparkSession) -> str:
