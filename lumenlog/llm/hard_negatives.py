@@ -31,7 +31,7 @@ import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,10 +47,10 @@ POSITIVE = "anchor_row long, anchor_id long, vec_id long, score long"
 NEGATIVE = "anchor_row long, anchor_id long, place int, positive_id long, positive_score long, vec_id long, score long"
 
 
-def valid_rows(vectors: DataFrame, vec_id: str, embedding: str, label: Column, scale: int) -> DataFrame:
+def valid_rows(vectors: DataFrame, vec_id: str, embedding: str, label: str, scale: int) -> DataFrame:
     """(row, vec_id, label, v): the rows that take part, with integer components."""
     x = F.col("x")
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), label.cast("long").alias("label"), F.col(embedding).cast("array<double>").alias("x"))
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.expr(label).cast("long").alias("label"), F.col(embedding).cast("array<double>").alias("x"))
     fits = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= LARGEST / scale)
     rows = rows.where(x.isNotNull() & F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(x) > 0) & F.forall(x, fits))
     size = rows.groupBy(F.size(x).alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -307,7 +307,7 @@ def planted_blocks(rows: DataFrame, n: int, most: int, block_rows: int, sample_r
 def hard_negatives(
     vectors: DataFrame,
     *,
-    label: Column,
+    label: str,
     is_anchor: str = "vec_id % 100 = 0",
     positives: int = 5,
     negatives: int = 10,
@@ -323,7 +323,7 @@ def hard_negatives(
 ) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score and negative_score.
 
-    Of each row that ``is_anchor`` names the ``positives`` best other rows of its label, and for each of them the
+    ``label`` and ``is_anchor`` are SQL expressions.  Of each row that ``is_anchor`` names the ``positives`` best other rows of its label, and for each of them the
     ``negatives`` best rows of other labels with ``low * positive_score <= score <= high * positive_score``; ``low`` and
     ``high`` are fractions.
     """

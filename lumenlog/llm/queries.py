@@ -103,7 +103,7 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    label = "if(vec_id % 7 = 0, (label + 1) % 10, label)"
     return hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), label=label)
 
 

@@ -194,9 +194,11 @@ class ByteTokens:
     def cut(self, raw: bytes) -> bytes:
         """Ids of a text with any white space."""
         head, *words = CUT.split(raw)
-        if missing := [w for w in set(words) if w not in self.words]:
+        known = {w: self.words.get(w) for w in words}
+        if missing := [w for w, ids in known.items() if ids is None]:
             self.learn(missing)
-        return self.plain([head])[0] + b"".join(map(self.words.__getitem__, words))
+            known |= {w: self.words[w] for w in missing}
+        return self.plain([head])[0] + b"".join(map(known.__getitem__, words))
 
 
 def stretches(text: bytes) -> Iterator[bytes]:
@@ -374,7 +376,7 @@ def blocks_of(held, code: str, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        table = Table(*held.value)
+        table = Table(*held.value) if len(held.value[0]) else None  # no ids, no blocks
         doc_ids: list = []
         lengths: list[int] = []
         parts: list[bytes] = []
