@@ -215,6 +215,63 @@ def test_guess_cost_equals_brute_force():
         assert guess_cost(value, rank, 6.0) == pytest.approx(min(want, 6.0)), value
 
 
+def brute_long(value, rank, held):
+    """The cheapest way to cut a long value: every end of every run, and every unit that is no repeat itself."""
+    if value in held:
+        return held[value]
+    n, low = len(value), value.translate(LOWER)
+    best = [0.0] + [math.inf] * n
+
+    def offer(a, b, cost):
+        best[b] = min(best[b], best[a] + cost)
+
+    for a in range(n):
+        offer(a, a + 1, secrets.char_cost(value[a]))
+        for b in range(a + 2, min(n, a + 20) + 1):
+            for form, exact in ((low[a:b], True), (low[a:b].translate(secrets.LEET), False)):
+                if form in rank:
+                    offer(a, b, secrets.word_cost(value[a:b], low[a:b], rank[form], exact))
+                    break
+            if secrets.DATE.fullmatch(value[a:b]) and 4 <= b - a <= 10:
+                offer(a, b, secrets.date_cost(b - a))
+        b = a + 1
+        while b < n and (low[b - 1], low[b]) in secrets.NEXT:
+            b += 1
+            if b - a >= 3:
+                offer(a, b, secrets.walk_cost(b - a))
+        b = a + 1
+        while b < n and abs(ord(value[b]) - ord(value[b - 1])) <= 2 and ord(value[b]) - ord(value[b - 1]) == ord(value[a + 1]) - ord(value[a]):
+            b += 1
+            if b - a >= 3:
+                offer(a, b, secrets.sequence_cost(b - a))
+        for u in range(1, (n - a) // 2 + 1):
+            unit = value[a : a + u]
+            if value.startswith(unit, a + u) and (unit + unit).find(unit, 1) == u:
+                cost, m = brute_long(unit, rank, held), 2
+                while value.startswith(unit, a + (m - 1) * u):
+                    if m * u >= 3:
+                        offer(a, a + m * u, cost + math.log10(m))
+                    m += 1
+    held[value] = best[n]
+    return best[n]
+
+
+def test_long_runs_and_units_equal_brute_force():
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789XYZ#"
+    random_unit = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    unit = random_unit(200)
+    values = ["a" * 40 + ("a" * 40 + "b") * 3, unit * 3, "x9" + unit * 2 + "q", random_unit(65) * 7, "a" * 300 + ("a" * 90 + "b1") * 3, "qw" * 150 + ("qw" * 40 + "7") * 2, "swordpas" * 20, "Xpassword" + "swordpas" * 9]
+    pieces = ("a" * 60, "b" * 35, "qwertyuiop", "asdfghjkl" * 2, "password", "1234567890", "xy" * 33, "Z", "#4", "ab", unit[:70], "a" * 33 + "b")
+    for _ in range(25):
+        own = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 5)))
+        values.append((own * rng.choice((1, 1, 2, 3)))[:330])
+    for value in values:
+        want = brute_long(value, secrets.RANK, {})
+        assert guess_cost(value) == pytest.approx(want), value
+        assert guess_cost(value, limit=10) == pytest.approx(min(want, 10)), value
+
+
 def brute_base(text):
     """The three fixed patterns, matched place by place."""
     word = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
