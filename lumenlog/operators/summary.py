@@ -265,3 +265,25 @@ def triage_report(events: DataFrame, top_n: int = 10, samples: int = 5, minutes:
         part("likely_causes", "causes"), part("splunk_queries", "searches"), part("hung_thread_drilldown", "hung"), part("timeline", "timeline"), part("samples", "samples"),
     ]
     return parts.select(F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("report"))
+
+
+def top_sketches(events: DataFrame, dim: str, most_items: int = 10_000) -> DataFrame:
+    """(day, sketch): for each day the frequent keys of one dimension (level, code or exception), to be stored and combined later.
+
+    A sketch tracks ``most_items`` keys at most.  With fewer distinct keys its counts are exact; else each is wrong by no more
+    than the day's events divided by 0.75 x ``most_items``.  Undated events stand under a null day.
+    """
+    key = F.coalesce("level", F.lit("UNKNOWN")) if dim == "level" else F.col(dim)
+    rows = events.select(F.to_date("ts_dt").alias("day"), key.alias("key")).where("key is not null")
+    return rows.groupBy("day").agg(F.expr(f"approx_top_k_accumulate(key, {most_items})").alias("sketch"))
+
+
+def top_of_sketches(sketches: DataFrame, most: int = 10, most_items: int = 10_000) -> DataFrame:
+    """(key, cnt, rank) of the most frequent keys over the days whose sketches are given; the days' errors add up.
+
+    Ties go by key, as sketches do not know what came first, so more than ``most`` are asked for and then ranked.
+    """
+    one = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {most_items})").alias("s"))
+    found = one.where("s is not null").select(F.explode(F.expr(f"approx_top_k_estimate(s, {min(most_items, 100 * most)})")).alias("x"))
+    rank = F.row_number().over(W.orderBy(F.desc("cnt"), "key"))  # a hundred times ``most`` rows
+    return found.select(F.col("x.item").alias("key"), F.col("x.count").alias("cnt")).withColumn("rank", rank).where(F.col("rank") <= most)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import summary as A
+from ..storage import store
 from . import sql as S
 from .events_queries import events, lines, table
 
@@ -34,6 +35,11 @@ add("error_count", lambda s, d: A.error_count(events(s, d)), f"SELECT count(*) F
 add("summary", lambda s, d: A.summary(events(s, d)), KEYS + "SELECT dim, key, cnt, rank FROM summary WHERE rank <= 10")
 for _name, _dim in (("top_levels", "level"), ("top_codes", "code"), ("top_exceptions", "exception"), ("top_tags", "tag")):
     add(_name, lambda s, d, dim=_dim: A.top(events(s, d), dim), KEYS + f"SELECT key, cnt, rank FROM summary WHERE dim = '{_dim}' AND rank <= 10")
+add(
+    "top_codes_by_sketch",
+    lambda s, d: A.top_of_sketches(store(A.top_sketches(events(s, d), "code"), "sketches")),
+    "SELECT code AS key, count(*) AS cnt, CAST(row_number() OVER (ORDER BY count(*) DESC, code) AS INT) AS rank FROM ev WHERE code IS NOT NULL GROUP BY code QUALIFY rank <= 10",
+)
 add(
     "headline_metrics",
     lambda s, d: A.headline_metrics(events(s, d)),

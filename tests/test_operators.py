@@ -65,6 +65,20 @@ def test_suggested_searches_are_capped(events):
     assert [r.rank for r in got] == list(range(1, len(got) + 1))
 
 
+def test_sketches_by_day_are_combined(spark):
+    rng = random.Random(6)
+    rows = [(datetime(2024, 1, 1 + k % 3) if k % 7 else None, f"CODE{min(int(rng.expovariate(0.05)), 400)}") for k in range(6000)]
+    frame = spark.createDataFrame(rows, "ts_dt timestamp_ntz, code string")
+    exact = {r.code: r["count"] for r in frame.groupBy("code").count().collect()}
+    for most_items in (1000, 48):
+        sketches = summary.top_sketches(frame, "code", most_items)
+        assert sketches.count() == 4
+        got = summary.top_of_sketches(sketches, 5, most_items).orderBy("rank").collect()
+        bound = 0 if most_items == 1000 else 2 * len(rows) / (0.75 * most_items)
+        assert len(got) == 5 and all(abs(r.cnt - exact[r.key]) <= bound for r in got)
+    assert summary.top_of_sketches(summary.top_sketches(frame.where("false"), "code")).count() == 0
+
+
 def test_report(events):
     import json
 
