@@ -58,7 +58,7 @@ def regular_messages(events: DataFrame, least: int = 5, spread: float = 1.0) ->
     own = F.lag("t").over(W.partitionBy(*key, "part").orderBy("t"))
     ends = times.groupBy(*key, "part").agg(F.max("t").alias("end"))
     carried = ends.select(*key, "part", F.lag("end").over(W.partitionBy(*key).orderBy("part")).alias("carried"))  # one row a stretch
-    gaps_ = times.withColumn("own", own).join(carried, [*key, "part"]).withColumn("gap", (F.col("t") - F.coalesce("own", "carried")) / 1e6)
+    gaps_ = times.withColumn("own", own).join(carried, [*key, "part"]).withColumn("gap", F.col("t") / 1e6 - F.coalesce("own", "carried") / 1e6)
     # n events of one time have n - 1 gaps of zero among them
     sums = gaps_.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("gap").alias("total"), F.sum(F.col("gap") * F.col("gap")).alias("squares")).where("n > 1")
     cnt, zero = F.col("n") - 1, F.lit(0.0)
