@@ -271,7 +271,7 @@ def top_sketches(events: DataFrame, dim: str, most_items: int = 10_000) -> DataF
     """(day, sketch): for each day the frequent keys of one dimension (level, code or exception), to be stored and combined later.
 
     A sketch tracks ``most_items`` keys at most.  With fewer distinct keys its counts are exact; else each is wrong by no more
-    than the day's events divided by 0.75 x ``most_items``.  Undated events stand under a null day.
+    than the day's events divided by 0.75 x ``most_items``, and keys whose counts are within that may be left out.  Undated events stand under a null day.
     """
     key = F.coalesce("level", F.lit("UNKNOWN")) if dim == "level" else F.col(dim)
     rows = events.select(F.to_date("ts_dt").alias("day"), key.alias("key")).where("key is not null")
