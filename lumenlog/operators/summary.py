@@ -283,7 +283,7 @@ def top_of_sketches(sketches: DataFrame, most: int = 10, most_items: int = 10_00
 
     Ties go by key, as sketches do not know what came first, so more than ``most`` are asked for and then ranked.
     """
-    one = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {most_items})").alias("s"))
-    found = one.where("s is not null").select(F.explode(F.expr(f"approx_top_k_estimate(s, {min(most_items, 100 * most)})")).alias("x"))
+    one = sketches.groupBy(F.lit(1).alias("one")).agg(F.expr(f"approx_top_k_combine(sketch, {most_items})").alias("s"))  # no row of none
+    found = one.select(F.explode(F.expr(f"approx_top_k_estimate(s, {min(most_items, 100 * most)})")).alias("x"))
     rank = F.row_number().over(W.orderBy(F.desc("cnt"), "key"))  # a hundred times ``most`` rows
     return found.select(F.col("x.item").alias("key"), F.col("x.count").alias("cnt")).withColumn("rank", rank).where(F.col("rank") <= most)
