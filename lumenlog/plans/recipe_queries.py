@@ -325,9 +325,10 @@ ORACLES["stream_error_bursts"] = S.WITH_LINES + (
 
 
 def written(spark: SparkSession, sf_dir: str) -> str:
-    """The rendered lines as text files, a folder for each log and a file for each of its blocks."""
+    """The rendered lines as text files, a folder for each log; tasks take ranges of blocks, so the names of a log's files sort as
+    their blocks do."""
     at = folder(spark)
-    own = rendered_lines(table(spark, sf_dir, "events")).repartition("file", "block").sortWithinPartitions("file", "block", "pos")
+    own = rendered_lines(table(spark, sf_dir, "events")).repartitionByRange("file", "block").sortWithinPartitions("file", "block", "pos")
     own.select("file", F.col("line").alias("value")).write.partitionBy("file").text(f"{at}/logs")
     return f"{at}/logs"
 
