@@ -17,19 +17,37 @@ from .covers import fixed_crossref
 HEADING = P.HEADING
 
 
+def each(docs: DataFrame, items: Column, name: str) -> DataFrame:
+    """(doc_id, item) of an array.  An inner generator would evaluate the array once more, to leave out rows without items."""
+    return docs.select("doc_id", F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
+def text_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, i, line) of (doc_id, text)."""
+    return docs.select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("i", "line")).where("i is not null")
+
+
+def sections_of(text: Column) -> Column:
+    """What starts with a second-level heading, as an array of (title, seq, body), sorted."""
+    pieces = F.filter(F.split(F.concat(F.lit("\n"), text), r"\n(?=##[^\S\n])", -1), lambda x: x.startswith("##") & x.rlike(HEADING))
+
+    def section(piece: Column, i: Column) -> Column:
+        heading = F.substring_index(piece, "\n", 1)
+        body = F.substring(piece, F.length(heading) + 2, F.length(piece))
+        return F.struct(F.trim(F.regexp_extract(heading, HEADING, 1)).alias("title"), (i + 1).cast("long").alias("seq"), body.alias("body"))
+
+    return F.array_sort(F.filter(F.transform(pieces, section), lambda x: x["title"] != ""))
+
+
 def doc_sections(docs: DataFrame) -> DataFrame:
-    """(doc_id, seq, title, body): what stands below each second-level heading.  Of equal titles the last stays."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    heading = F.col("line").rlike(HEADING)
-    before = W.partitionBy("doc_id").orderBy("i")
-    lines = lines.withColumn("seq", F.count_if(heading).over(before)).where("seq > 0")
-    body = F.array_sort(F.collect_list(F.when(~heading, F.struct("i", "line"))))
-    sections = lines.groupBy("doc_id", "seq").agg(
-        F.max(F.when(heading, F.trim(F.regexp_extract("line", HEADING, 1)))).alias("title"),
-        F.array_join(F.transform(body, lambda x: x["line"]), "\n").alias("body"),
-    )
-    last = F.row_number().over(W.partitionBy("doc_id", "title").orderBy(F.desc("seq")))
-    return sections.where("title <> ''").withColumn("r", last).where("r = 1").drop("r")
+    """(doc_id, seq, title, body): what stands below each second-level heading.  Of equal titles the last stays.
+
+    A text is cut, and its titles are compared, within its row: no line is shuffled.
+    """
+    found = docs.select("doc_id", sections_of(F.col("text")).alias("s"))
+    beside = F.arrays_zip(F.col("s").alias("own"), F.slice("s", 2, F.size("s")).alias("after"))
+    last = F.filter(beside, lambda x: F.coalesce(x["own"]["title"] != x["after"]["title"], F.lit(True)))
+    return each(found, last, "x").select("doc_id", "x.own.seq", "x.own.title", "x.own.body")
 
 
 def section_targets(sections: DataFrame) -> DataFrame:
@@ -74,7 +92,7 @@ def doc_findings(sections: DataFrame) -> DataFrame:
 
     every = F.flatten(F.array(*(of_kind(k, a) for k, a in kinds)))
     normal = F.transform(every, lambda x: x.withField("norm", T.normalize(x["text"])))  # before the rows are filtered, so once each
-    found = sections.select("doc_id", "target", F.explode(normal).alias("f")).select("doc_id", "target", "f.*")
+    found = sections.select("doc_id", "target", F.explode_outer(normal).alias("f")).where("f is not null").select("doc_id", "target", "f.*")
     head = F.lower("text")
     skip = ((F.col("kind") == 1) & (F.col("text").startswith("---") | head.startswith("item") | F.col("text").startswith("#"))) | (
         (F.col("kind") == 3) & (F.col("text").startswith("---") | (head == "missing test"))
@@ -99,7 +117,7 @@ def diff_counts(diff: DataFrame) -> DataFrame:
 
 def fixed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, i, ids, norm): the index of what a report marks as fixed.  Each marked line counts, with the ids it names."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).where(T.is_fixed(F.col("line")))
+    lines = text_lines(docs).where(T.is_fixed(F.col("line")))
     numbers = F.transform(F.regexp_extract_all("line", F.lit(P.FINDING_NUMBER), F.lit(1)), lambda x: F.concat(F.lit("#"), x))
     ids = F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all("line", F.lit(P.FINDING_ID), F.lit(1)), numbers)))
     return lines.select("doc_id", "i", ids.alias("ids"), T.normalize(F.col("line")).alias("norm"))
@@ -131,7 +149,7 @@ def extract_queries(replies: DataFrame) -> DataFrame:
     """(doc_id, block, part, description, query) of the searches in a reply's fenced code blocks."""
     block = r"(?s)```[^\n]*\n.*?\n```"
     beside = F.arrays_zip(F.regexp_extract_all("text", F.lit(block), F.lit(0)).alias("part"), F.split("text", block, -1).alias("before"))  # one longer
-    rows = replies.select("doc_id", F.posexplode(beside).alias("k", "p")).where("p.part is not null").select("doc_id", (2 * F.col("k") + 1).alias("i"), "p.part", "p.before")
+    rows = replies.select("doc_id", F.posexplode_outer(beside).alias("k", "p")).where("p.part is not null").select("doc_id", (2 * F.col("k") + 1).alias("i"), "p.part", "p.before")
     fence = r"(?s)^```(\w*)\n(.*?)\n```$"
     rows = rows.where(F.col("part").rlike(fence)).select(
         "doc_id", "i", F.lower(F.regexp_extract("part", fence, 1)).alias("lang"), F.trim(F.regexp_extract("part", fence, 2), F.lit(" \n\t")).alias("code"), "before"
@@ -149,24 +167,25 @@ def extract_queries(replies: DataFrame) -> DataFrame:
     several = F.size(F.split("code", "(?m)^-- +")) > 1
     single = F.struct(F.coalesce(F.try_element_at(said, F.lit(-1)), F.lit("Splunk query")).alias("description"), F.col("code").alias("query"))
     found = F.when(several & (F.size(cut) > 1), cut).otherwise(F.array(single))
-    return rows.select("doc_id", F.col("i").alias("block"), F.posexplode(found).alias("part", "f")).select("doc_id", "block", "part", "f.description", "f.query")
+    return rows.select("doc_id", F.col("i").alias("block"), F.posexplode_outer(found).alias("part", "f")).where("f is not null").select("doc_id", "block", "part", "f.description", "f.query")
 
 
 def extract_grades(docs: DataFrame) -> DataFrame:
     """(doc_id, label, grade, class): grades by area; table rows win over inline ones, and the first counts."""
     text = F.col("text")
 
-    def pairs(order: int, pattern: str) -> Column:
-        pattern = T.ascii_bounds(pattern)
-        zipped = F.arrays_zip(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("l"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("g")
-        )
-        return F.transform(zipped, lambda x, i: F.struct(F.lit(order).alias("o"), i.alias("i"), F.initcap(F.trim(x["l"])).alias("label"), F.upper(x["g"]).alias("grade")))
+    def pairs(order: int, pattern: str, label: str, grade: str) -> Column:
+        """Of each match, found in one pass, the label it starts with and the grade it ends with."""
+        found = F.regexp_extract_all(text, F.lit(T.ascii_bounds(pattern)), F.lit(0))
+        part = lambda x, p: F.regexp_extract(x, p, 1)
+        return F.transform(found, lambda x, i: F.struct(F.lit(order).alias("o"), i.alias("i"), F.initcap(F.trim(part(x, label))).alias("label"), F.upper(part(x, grade)).alias("grade")))
 
     overall = F.transform(
         F.regexp_extract_all(text, F.lit(P.GRADE_OVERALL), F.lit(1)), lambda g, i: F.struct(F.lit(2).alias("o"), i.alias("i"), F.lit("Overall").alias("label"), F.upper(g).alias("grade"))
     )
-    every = docs.select("doc_id", F.explode(F.flatten(F.array(pairs(0, P.GRADE_TABLE), pairs(1, P.GRADE_INLINE), overall))).alias("x")).select("doc_id", "x.*")
+    table = pairs(0, P.GRADE_TABLE, r"^\|\s*\*{0,2}([^*|]*?)\*{0,2}\s*\|", r"([A-Za-z][+-]?)\*{0,2}\s*\|$")
+    inline = pairs(1, P.GRADE_INLINE_HEAD + P.GRADE_INLINE, r"(?i)^(" + P.GRADE_AREAS + r")(?!\w)", r"([A-Za-z][+-]?)$")
+    every = each(docs, F.flatten(F.array(table, inline, overall)), "x").select("doc_id", "x.*")
     known = F.create_map(*(F.lit(v) for pair in P.GRADE_CLASSES.items() for v in pair))
     valid = every.where("grade not in ('D+', 'D-', 'F+', 'F-')").withColumn("class", known[F.substring("grade", 1, 1)])
     first = F.row_number().over(W.partitionBy("doc_id", F.replace(F.lower("label"), F.lit("  "), F.lit(" "))).orderBy("o", "i"))

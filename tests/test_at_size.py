@@ -5,7 +5,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlog.plans import recipe_queries
+from lumenlog.functions import text as T
+from lumenlog.operators import documents
+from lumenlog.plans import document_queries, recipe_queries
 from lumenlog.sources import files
 from lumenlog.sources.rendered import rendered_lines
 
@@ -31,3 +33,30 @@ def test_written_logs_keep_their_order(spark, several_tasks):
     got = files.read_lines(spark, [root]).withColumn("log", F.regexp_extract("file", "/file=([^/]+)/", 1)).orderBy("log", "file", "block", "pos").select("log", "line").collect()
     want = rendered_lines(spark.read.parquet(f"{SF_DIR}/events.parquet")).orderBy("file", "pos").select(F.col("file").alias("log"), "line").collect()
     assert got == want
+
+
+def test_documents_are_evaluated_once_and_lines_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "## 1. A\nx\n\n## B\n##\n## 2. A\r\ny\n## ## C")], "doc_id long, text string")
+    sections = documents.doc_sections(docs)
+    assert "Exchange" not in plan_of(sections)
+    assert sorted(tuple(r) for r in sections.collect()) == [(1, 2, "B", "##"), (1, 3, "A", "y"), (1, 4, "## C", "")]
+    targets = spark.createDataFrame([(1, "Executive Summary", "x")], "doc_id long, target string, body string")
+    assert "size(" not in plan_of(documents.doc_findings(targets))  # no filter that makes the findings a second time
+    grades = plan_of(documents.extract_grades(docs))
+    assert 0 < grades.split("Window")[-1].count("regexp_extract_all") <= 4
+
+
+@pytest.mark.parametrize("name", ["normalize_text", "extract_grades", "extract_queries", "fixed_index", "doc_findings", "findings_diff"])
+def test_documents_are_dealt_to_tasks(spark, name):
+    if not os.path.isdir(SF_DIR):
+        pytest.skip("no tables")
+    assert "REPARTITION_BY_NUM" in plan_of(document_queries.QUERIES[name](spark, SF_DIR))
+
+
+def test_normal_form_of_odd_texts(spark):
+    texts = {
+        "  | `a`\t\r\n*b_  10 min ": "a b", "~~x~~ ✅ 5 5 min hr": "x", " app/x.py:3 see  tests/y mapp": "see mapp", " A  9hr": " a ", "a | | 5 min": "a",
+        "30 minutes 4 hr": "30 minutes", "": "", "   ": "", "~~": "",
+    }
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", T.normalize(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in rows} == texts
