@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenlog.functions import text as T
-from lumenlog.operators import documents
+from lumenlog.operators import covers, documents
 from lumenlog.plans import document_queries, recipe_queries
 from lumenlog.sources import files
 from lumenlog.sources.rendered import rendered_lines
@@ -60,3 +60,17 @@ def test_normal_form_of_odd_texts(spark):
     }
     rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", T.normalize(F.col("t")).alias("n")).collect()
     assert {r.t: r.n for r in rows} == texts
+
+
+def test_small_reports_are_looked_through_without_an_index(spark, monkeypatch):
+    rows = [("r", k, None, x) for k, x in enumerate(["alpha beta gamma", "see delta now", "no more", "", "alpha zeta", "one two three four five six"])] + [(None, 9, None, "alpha beta")]
+    own = spark.createDataFrame(rows, "d string, fid int, id string, norm string")
+    lines = spark.createDataFrame([("r", ["#1"], "gamma x beta"), ("r", [], "delta"), ("r", [], ""), ("s", [], "no more"), (None, [], "alpha beta"), ("r", [], "six five a b c d e")], "d string, ids array<string>, norm string")
+    found = []
+    for most in (covers.PAIRS, 0):  # looked through, and by the index
+        monkeypatch.setattr(covers, "PAIRS", most)
+        if most:
+            monkeypatch.setattr(covers, "indexed", lambda texts: pytest.fail("an index was made"))
+        found.append(sorted(r.fid for r in covers.fixed_crossref(own, lines, "d").collect()))
+        monkeypatch.undo()
+    assert found == [[0, 1], [0, 1]]
