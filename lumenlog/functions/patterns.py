@@ -34,6 +34,14 @@ TAGS = {
     "OOM/GC": r"(?i)OutOfMemoryError|Java heap space|GC overhead limit exceeded",
     "SSL/TLS": r"(?i)SSLHandshakeException|handshake_failure|PKIX path building failed|unable to find valid certification path",
 }
+#: In lower case, what a text has to hold for a tag's pattern to match: patterns run on these texts only.
+TAG_NEEDS = {
+    "DB/Pool": ("pool", "j2ca", "timeout waiting"),
+    "HTTP": ("http", "srve"),
+    "HungThreads": ("hung thread", "threadmonitor", "wsvr0605", "stuck thread", "cwwke0701e"),
+    "OOM/GC": ("outofmemoryerror", "java heap space", "gc overhead"),
+    "SSL/TLS": ("handshake", "pkix", "unable to find"),
+}
 HUNG_NAME = (
     r"""(?i)(?:thread\s+["']([^"']+)["'])|(?:thread\s+(WebContainer\s*:\s*\d+))"""
     r"""|(?:the\s+(Default Executor-thread-\d+))|(?:thread\s+(Default Executor-thread-\d+))"""
@@ -48,6 +56,10 @@ REDACTIONS = (
     (r"\beyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[REDACTED_JWT]"),
 )
 
+_SECRETS = ("key", "token", "secret", "password", "passwd", "credential")
+#: The same for each redaction, in their order.
+REDACTION_NEEDS = (("authorization:",), _SECRETS, _SECRETS, ("password", "pwd"), ("eyj",))
+
 # --- likely causes: id, title, pattern -------------------------------------------------------------
 CAUSES = (
     (

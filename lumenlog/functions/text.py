@@ -53,22 +53,23 @@ def message_code(text: Column) -> Column:
 
 
 def exception(text: Column) -> Column:
-    return found(text, P.EXCEPTION)
+    return F.when(holds(text, "Exception", "Error"), found(text, P.EXCEPTION))
 
 
 def root_cause(text: Column) -> Column:
     """The class on the last ``Caused by:`` line that names one."""
-    return F.try_element_at(F.regexp_extract_all(text, F.lit("(?dm)" + P.ROOT_CAUSE), F.lit(1)), F.lit(-1))
+    return F.when(text.contains("Caused by:"), F.try_element_at(F.regexp_extract_all(text, F.lit("(?dm)" + P.ROOT_CAUSE), F.lit(1)), F.lit(-1)))
 
 
 def signal_tags(text: Column) -> Column:
     """Sorted array of the signals that the text shows."""
-    return F.array_compact(F.array(*(F.when(text.rlike(UNIX + p), F.lit(tag)) for tag, p in P.TAGS.items())))
+    shows = lambda tag, p: holds(F.lower(text), *P.TAG_NEEDS[tag]) & text.rlike(UNIX + p)
+    return F.array_compact(F.array(*(F.when(shows(tag, p), F.lit(tag)) for tag, p in P.TAGS.items())))
 
 
 def redact(text: Column) -> Column:
-    for pattern, to in P.REDACTIONS:
-        text = F.regexp_replace(text, pattern, to)
+    for (pattern, to), parts in zip(P.REDACTIONS, P.REDACTION_NEEDS, strict=True):
+        text = replaced(text, lambda x, parts=parts: holds(F.lower(x), *parts), pattern, to)
     return text
 
 

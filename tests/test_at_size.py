@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lumenlog.functions import patterns as P
 from lumenlog.functions import text as T
 from lumenlog.operators import covers, documents
 from lumenlog.plans import document_queries, recipe_queries
@@ -74,3 +75,16 @@ def test_small_reports_are_looked_through_without_an_index(spark, monkeypatch):
         found.append(sorted(r.fid for r in covers.fixed_crossref(own, lines, "d").collect()))
         monkeypatch.undo()
     assert found == [[0, 1], [0, 1]]
+
+
+def test_patterns_of_events_run_only_where_they_can_match(spark):
+    texts = ["PASSWORD = a b", "Authorization: Bearer x.y", 'cfg "API_KEY": "k"', "eyJa.eyJb.c", "poOl is exhausted", "GC OVERHEAD LIMIT EXCEEDED", "Unable to find valid certification path", "srve 404", "a.bError", "Caused by: a.b.CException: x", "", "plain"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    plain = F.col("t")
+    for pattern, to in P.REDACTIONS:
+        plain = F.regexp_replace(plain, pattern, to)
+    tags = F.array_compact(F.array(*(F.when(F.col("t").rlike(T.UNIX + p), F.lit(tag)) for tag, p in P.TAGS.items())))
+    got = df.select(T.redact(F.col("t")), T.signal_tags(F.col("t")), T.exception(F.col("t")), T.root_cause(F.col("t")))
+    assert "contains" in plan_of(got)
+    want = df.select(plain, tags, T.found(F.col("t"), P.EXCEPTION), F.try_element_at(F.regexp_extract_all("t", F.lit("(?dm)" + P.ROOT_CAUSE), F.lit(1)), F.lit(-1)))
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
