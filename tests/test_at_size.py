@@ -1,7 +1,9 @@
 """What shows only on more than a few tasks or larger tables: order of written files, and plans that do not shuffle texts."""
 
 import os
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from lumenlog.operators import covers, documents
 from lumenlog.plans import document_queries, recipe_queries
 from lumenlog.sources import files
 from lumenlog.sources.rendered import rendered_lines
+from lumenlog.streaming import streams
 
 SF_DIR = os.environ.get("LUMENLOG_TEST_SF", "/root/testdata/sf0.01")
 
@@ -88,3 +91,79 @@ def test_patterns_of_events_run_only_where_they_can_match(spark):
     assert "contains" in plan_of(got)
     want = df.select(plain, tags, T.found(F.col("t"), P.EXCEPTION), F.try_element_at(F.regexp_extract_all("t", F.lit("(?dm)" + P.ROOT_CAUSE), F.lit(1)), F.lit(-1)))
     assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+
+
+KINDS = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.string())
+
+
+class State:
+    """A processor's states, in memory."""
+
+    def __init__(self):
+        self.kept = {}
+
+    def getValueState(self, name, schema):
+        kept = self.kept
+
+        class Value:
+            exists = lambda self: name in kept
+            get = lambda self: kept[name]
+            update = lambda self, x: kept.update({name: x})
+
+        return Value()
+
+    def getListState(self, name, schema):
+        kept = self.kept
+
+        class Values:
+            get = lambda self: list(kept.get(name, []))
+            put = lambda self, x: kept.update({name: x})
+            clear = lambda self: kept.pop(name, None)
+
+        return Values()
+
+    def getMapState(self, name, key, value):
+        own = self.kept.setdefault(name, {})
+
+        class Map:
+            keys = lambda self: list(own)
+            getValue = lambda self, k: own[k]
+            updateValue = lambda self, k, x: own.update({k: x})
+            removeKey = lambda self, k: own.pop(k)
+
+        return Map()
+
+
+@pytest.mark.parametrize("first", [None, 1])
+def test_lines_are_folded_as_runs_that_come_early_twice_or_in_part(first):
+    rng = random.Random(7)
+    pool = ["[10/12/15 21:22:04:257 CEST] 00000001 A I x", "2015-10-12 21:22:04 y", "\tat a.b(C.java:1)", "Caused by: a.b.CError", "", "  ", "loose", None]
+    for _ in range(100):
+        segments = [[rng.choice(pool) for _ in range(rng.randrange(1, 9))] for _ in range(5)]
+        want, left = streams.fold_lines("f", [x for s in segments for x in s], None)
+        rows = [(s, p, p == len(own) - 1, x) for s, own in enumerate(segments, 1) for p, x in enumerate(own)]
+        cuts = sorted({0, len(rows), *(rng.randrange(len(rows)) for _ in range(6))})
+        pieces = [rows[max(0, a - rng.randrange(3)) : b] for a, b in zip(cuts, cuts[1:], strict=False)]  # overlapping
+        rng.shuffle(pieces)
+        if first is None:
+            pieces.insert(0, rows[:1])
+        pieces.append(rows[2:5])
+        state, found = State(), []
+        for piece in pieces:
+            ts, kinds = zip(*(streams.marks([x for *_, x in piece])), strict=True)
+            columns = [["f"] * len(piece), *([r[k] for r in piece] for k in (0, 1, 2, 3)), ts, kinds]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS, strict=True)], [f"c{k}" for k in range(7)])
+            frames = [b.to_pandas() for b in streams.runs_of_lines(iter([batch]))]
+            assert len(frames[0]) == 1 + sum(r[2] for r in piece[:-1])  # a row for all lines of a segment
+            own = streams.Assembly(first, None)  # a batch knows only the state
+            own.init(state)
+            found += [tuple(r) for f in own.handleInputRows(("f",), iter(frames), None) for r in f.itertuples(index=False)]
+        assert [x[1] for x in found] == [x[1] for x in want] and [x[3] for x in found] == [x[3] for x in want] and not state.kept["runs"]
+        assert [x[0] for x in state.kept.get("lines", [])] == left[4]
+
+
+def test_blocks_of_a_stream_are_dealt_to_tasks(spark, tmp_path):
+    schema = "file string, seg long, pos long, line string, ends boolean"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))
+    plan = streams.stream_events(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow runs_of_lines" in plan and plan.index("RepartitionByExpression") < plan.index("TransformWithState")
