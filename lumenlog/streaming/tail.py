@@ -1,8 +1,8 @@
 """A stream source that follows files as they grow.
 
-Each poll reads at most ``maxBytes`` of what was appended to a file, up to its last line end.  After a restart the first
-poll takes all that was appended meanwhile, in parts of ``maxBytes`` that tasks read side by side: a part holds the lines
-that begin in it.  A file that is shorter than what was read of it, or whose first bytes are others than they were, was
+Each poll reads what was appended to a file, up to its last line end, in parts of ``maxBytes`` that tasks read side by side: a
+part holds the lines that begin in it.  If there are many parts, neighbours go to one task, which still holds no more than
+``maxBytes`` at a time.  So what has gathered takes one batch, and no batch for each part.  A file that is shorter than what was read of it, or whose first bytes are others than they were, was
 truncated, rotated or rewritten and is read from its start.  Blank lines are dropped and bad bytes ignored.  Paths must
 be mounted where the driver and the executors run, such as a shared log folder.
 
@@ -60,11 +60,17 @@ def resumed(path: str, size: int, last: list[int] | None) -> int:
     return last[0] if head_of(path, last[1]) == last[1:] else 0
 
 
+#: Parts that a poll may have before neighbours go to one task, and the most that do.
+TASKS = 1024
+NEIGHBOURS = 64
+
+
 class Span(InputPartition):
-    """Lines of a file that begin in a range of its bytes; ``first`` says that a line begins where the range does."""
+    """Lines of a file that begin in a range of its bytes; ``first`` says that a line begins where the range does, and ``stop``
+    is where the poll ends."""
 
-    def __init__(self, path: str, begin: int, end: int, first: bool):
-        self.path, self.begin, self.end, self.first = path, begin, end, first
+    def __init__(self, path: str, begin: int, end: int, first: bool, stop: int):
+        self.path, self.begin, self.end, self.first, self.stop = path, begin, end, first, stop
 
 
 class TailReader(DataSourceStreamReader):
@@ -81,27 +87,27 @@ class TailReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         out = {}
         for p in followed(self.path):
-            size = os.path.getsize(p)
-            if self.at is None:  # after a restart what was read is not known yet: up to the last whole line
-                end = line_end(p, 0, size, self.most)
-            else:
-                begin = resumed(p, size, self.at.get(p))
-                end = line_end(p, begin, min(size, begin + self.most), self.most)
-            out[p] = [end, *head_of(p, end)]
+            while p not in out:
+                size = os.path.getsize(p)
+                # after a restart what was read is not known yet
+                begin = 0 if self.at is None else resumed(p, size, self.at.get(p))
+                end = line_end(p, begin, size, self.most)
+                own = [end, *head_of(p, end)]
+                if os.path.getsize(p) >= end:  # else it was truncated meanwhile, and the head may be another file's
+                    out[p] = own
         return out
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         self.at = dict(end)
-        spans = []
-        for p, (to, *_) in sorted(end.items()):
-            begin = resumed(p, to, start.get(p))
-            spans += [Span(p, a, min(a + self.most, to), a == begin) for a in range(begin, to, self.most)]
-        return spans
+        stretches = [(p, resumed(p, to, start.get(p)), to) for p, (to, *_) in sorted(end.items())]
+        parts = sum(-(-(to - begin) // self.most) for _, begin, to in stretches)
+        step = self.most * min(NEIGHBOURS, max(1, -(-parts // TASKS)))
+        return [Span(p, a, min(a + step, to), a == begin, to) for p, begin, to in stretches for a in range(begin, to, step)]
 
     def read(self, partition: Span) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
-            at = partition.begin
-            if not partition.first:  # the line that covers the byte before belongs to the part before, cut like there
+            at, cut = partition.begin, False
+            if not partition.first:  # the line that covers the byte before belongs to the part before, with all its pieces
                 f.seek(at - 1)
                 while (skipped := f.readline(self.most)) and not skipped.endswith(b"\n"):
                     pass
@@ -109,8 +115,8 @@ class TailReader(DataSourceStreamReader):
             else:
                 f.seek(at)
             k = 0
-            while at < partition.end and (raw := f.readline(self.most)):
-                at += len(raw)
+            while (at < partition.end or cut) and at < partition.stop and (raw := f.readline(min(self.most, partition.stop - at))):
+                at, cut = at + len(raw), not raw.endswith(b"\n")
                 for line in re.split(r"\r\n|\r|\n", raw.decode("utf-8", "ignore").rstrip("\n")):
                     if line.strip():
                         yield partition.path, partition.begin, k, line

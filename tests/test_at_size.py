@@ -13,7 +13,7 @@ from lumenlog.operators import covers, documents
 from lumenlog.plans import document_queries, recipe_queries
 from lumenlog.sources import files
 from lumenlog.sources.rendered import rendered_lines
-from lumenlog.streaming import streams
+from lumenlog.streaming import streams, tail
 
 SF_DIR = os.environ.get("LUMENLOG_TEST_SF", "/root/testdata/sf0.01")
 
@@ -167,3 +167,18 @@ def test_blocks_of_a_stream_are_dealt_to_tasks(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))
     plan = streams.stream_events(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))._jdf.queryExecution().analyzed().toString()
     assert "MapInArrow runs_of_lines" in plan and plan.index("RepartitionByExpression") < plan.index("TransformWithState")
+
+
+def test_what_has_gathered_is_one_poll_of_a_tail(tmp_path, monkeypatch):
+    log = tmp_path / "a.log"
+    rows = [f"line {k}" for k in range(3000)] + ["y" * 300, "after"]
+    log.write_text("\n".join(rows) + "\nopen")
+    for tasks in (tail.TASKS, 10):  # parts, and neighbours in one task
+        monkeypatch.setattr(tail, "TASKS", tasks)
+        reader = tail.TailReader({"path": str(log), "maxbytes": "64", "from": "start"})
+        start, now = reader.initialOffset(), reader.latestOffset()
+        spans = reader.partitions(start, now)
+        assert now[str(log)][0] == log.stat().st_size - len("open") == reader.latestOffset()[str(log)][0]
+        found = [x[3] for s in spans for x in reader.read(s)]
+        assert found == rows[:3000] + ["y" * 64] * 4 + ["y" * 44] + ["after"] and len({s.begin for s in spans}) == len(spans)
+        assert (len(spans) <= 10) == (tasks == 10) and max(s.end - s.begin for s in spans) <= 64 * tail.NEIGHBOURS
