@@ -182,3 +182,9 @@ def test_what_has_gathered_is_one_poll_of_a_tail(tmp_path, monkeypatch):
         found = [x[3] for s in spans for x in reader.read(s)]
         assert found == rows[:3000] + ["y" * 64] * 4 + ["y" * 44] + ["after"] and len({s.begin for s in spans}) == len(spans)
         assert (len(spans) <= 10) == (tasks == 10) and max(s.end - s.begin for s in spans) <= 64 * tail.NEIGHBOURS
+
+
+def test_many_segments_are_listed_by_few_tasks(spark, tmp_path):
+    (tmp_path / "a.1.log").write_text("x\n")
+    streams.stream_lines(spark, str(tmp_path))
+    assert int(spark.conf.get(streams.LISTING[0])) <= 256
