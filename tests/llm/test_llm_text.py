@@ -272,6 +272,14 @@ def test_long_runs_and_units_equal_brute_force():
         assert guess_cost(value, limit=10) == pytest.approx(min(want, 10)), value
 
 
+def test_every_end_of_a_long_run_counts():
+    found = secrets.Cheapest(20_000, math.inf)
+    found.offer_ends(0, 19_000, 1, 3, lambda m: secrets.logarithm(26 * m), 1)
+    assert [found.best[k] for k in (3, 40, 5_000, 19_000)] == pytest.approx([math.log10(26 * k) for k in (3, 40, 5_000, 19_000)])
+    value = "1" * 40 + ("1" * 4_200 + "2") * 3  # the first run has to end after 40 of its 4,240 characters
+    assert guess_cost(value, limit=10) == pytest.approx(math.log10(10 * 40) + math.log10(10 * 4_200) + 1 + math.log10(3))
+
+
 def brute_base(text):
     """The three fixed patterns, matched place by place."""
     word = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
