@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -152,9 +154,14 @@ def is_fixed(text: Column) -> Column:
     return holds(text, "Done", "Fixed", "\u2705", "\u2714") | (text.contains("~~") & text.rlike(r"~~.*?~~"))
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is bound by a lambda, so it is evaluated once however often it is read."""
+    return F.transform(F.array(value), f)[0]
+
+
 def replaced(text: Column, needs, pattern: str, to: str) -> Column:
-    """The pattern replaced where ``needs`` holds.  The text is bound by a lambda, so it is evaluated once however often it is read."""
-    return F.transform(F.array(text), lambda x: F.when(needs(x), F.regexp_replace(x, pattern, to)).otherwise(x))[0]
+    """The pattern replaced where ``needs`` holds."""
+    return bound(text, lambda x: F.when(needs(x), F.regexp_replace(x, pattern, to)).otherwise(x))
 
 
 def normalize(text: Column, roots: tuple[str, ...] = P.PATH_ROOTS) -> Column:
@@ -164,6 +171,7 @@ def normalize(text: Column, roots: tuple[str, ...] = P.PATH_ROOTS) -> Column:
     """
     several = r" \s+|[\t\n\x0B\f\r]\s*"  # all blanks but single spaces
     blanks = ("  ", "\t", "\n", "\x0b", "\f", "\r")
+    plain = all(re.fullmatch(r"[\w/ -]+", root) for root in roots)
     effort = lambda unit: lambda x: x.contains(unit) & x.rlike(rf"\d\s*{unit}")
     for needs, pattern, to in (
         (lambda x: x.contains("~~"), r"~~(.*?)~~", "$1"),
@@ -172,7 +180,7 @@ def normalize(text: Column, roots: tuple[str, ...] = P.PATH_ROOTS) -> Column:
         (lambda x: holds(x, *"|`*_~"), r"[|`*_~]", ""),
         (effort("min"), r"\s*\d+\s*min\b", ""),
         (effort("hr"), r"\s*\d+\s*hr\b", ""),
-        (lambda x: x.rlike("|".join(roots)), r"\b(" + "|".join(roots) + r")[\w./:-]*", ""),
+        (lambda x: holds(x, *roots) if plain else x.rlike("|".join(roots)), r"\b(" + "|".join(roots) + r")[\w./:-]*", ""),
         (lambda x: holds(x, *blanks), several, " "),
     ):
         text = replaced(text, needs, UNIX + ascii_bounds(pattern), to)

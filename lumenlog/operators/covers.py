@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import text as T
 from ..storage import store
 
 #: Words that count as frequent where rare ones come first, and lines of a posting that are tried first; any numbers give
@@ -29,9 +30,9 @@ FREQUENT, LIKELY = 4096, 4
 PAIRS = 1 << 18
 
 
-def significant(norm: Column) -> Column:
+def significant(norm: Column, blank: str = r"\s+") -> Column:
     """The distinct words of a normal form without stop words."""
-    words = F.array_distinct(F.filter(F.split(norm, r"\s+"), lambda w: w != ""))
+    words = F.array_distinct(F.filter(F.split(norm, blank), lambda w: w != ""))
     return F.array_except(words, F.array(*map(F.lit, P.STOP_WORDS)))
 
 
@@ -57,6 +58,46 @@ def looked_through(texts: DataFrame) -> DataFrame:
     return own.join(lines, (F.col("d") == F.col("dl")) & covers, "left_semi").select("d", "t")
 
 
+#: Words of 64 bits of a text's signature, one bit a significant word; any number gives the same rows.
+SIGNS = 4
+
+
+def covers_of(own: Column, lines: Column) -> tuple[Column, Column]:
+    """The normal forms of two arrays of one report, empty ones aside, as arrays ``own`` and ``lines`` of (t, w, k, c, m): with their
+    significant words, how many of them at least have to be shared, and a signature m, in which c words have no bit of their own."""
+
+    def sign(hashes: Column, part: int) -> Column:
+        bit = lambda h: F.when(F.shiftrightunsigned(h, 6).bitwiseAND(SIGNS - 1) == part, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda m, h: m.bitwiseOR(bit(h)))
+
+    def text(t: Column, w: Column, m: Column) -> Column:
+        bits = sum((F.bit_count(m[i]) for i in range(1, SIGNS)), F.bit_count(m[0]))
+        return F.struct(t.alias("t"), w.alias("w"), needed(F.size(w)).cast("int").alias("k"), (F.size(w) - bits).alias("c"), m.alias("m"))
+
+    def told(t: Column) -> Column:
+        signs = lambda w: T.bound(F.transform(w, lambda x: F.xxhash64(x)), lambda hashes: F.array(*(sign(hashes, i) for i in range(SIGNS))))
+        return T.bound(significant(t, " "), lambda w: T.bound(signs(w), lambda m: text(t, w, m)))
+
+    each = lambda texts: F.transform(F.filter(texts, lambda t: t != ""), lambda t: told(t))
+    return each(own).alias("own"), each(lines).alias("lines")
+
+
+def covered_here(own: Column, lines: Column) -> Column:
+    """The texts of ``own`` that some line of the same row covers, each tried up to its first cover; both as ``covers_of`` gives them.
+
+    Two texts share no more words than bits of their signatures, and words without a bit of their own.
+    """
+    holds = lambda a, b: F.contains(a["t"], b["t"]) | F.contains(b["t"], a["t"])
+
+    def shares(a: Column, b: Column) -> Column:
+        bits = lambda i: F.bit_count(a["m"][i].bitwiseAND(b["m"][i]))
+        least = F.least(a["k"], b["k"])
+        return (sum((bits(i) for i in range(1, SIGNS)), bits(0)) + F.least(a["c"], b["c"]) >= least) & (F.size(F.array_intersect(a["w"], b["w"])) >= least)
+
+    covered = F.filter(own, lambda a: F.exists(lines, lambda b: holds(a, b)) | F.exists(lines, lambda b: shares(a, b)))
+    return F.transform(covered, lambda a: a["t"])
+
+
 def word_index(findings: DataFrame, fixed: DataFrame) -> DataFrame:
     """(d, k, t, a, b, ws, n) of all texts of both sides."""
     return indexed(distinct_texts(findings, fixed))

@@ -188,3 +188,41 @@ def test_many_segments_are_listed_by_few_tasks(spark, tmp_path):
     (tmp_path / "a.1.log").write_text("x\n")
     streams.stream_lines(spark, str(tmp_path))
     assert int(spark.conf.get(streams.LISTING[0])) <= 256
+
+
+def test_reports_are_compared_within_their_rows(spark, monkeypatch):
+    """Only the documents are dealt; neither sections nor findings nor lines are shuffled or stored."""
+    if not os.path.isdir(SF_DIR):
+        pytest.skip("no tables")
+    monkeypatch.setattr(documents, "store", lambda *_: pytest.fail("something was stored"))
+    monkeypatch.setattr(covers, "store", lambda *_: pytest.fail("something was stored"))
+    plan = document_queries.QUERIES["compare_reports"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("RepartitionByExpression") == 1
+    compared = document_queries.QUERIES["compare_reports"](spark, SF_DIR)
+    assert compared.count() > 0
+    assert plan_of(compared).split("Initial Plan")[-1].count("Exchange ") == 1
+
+
+def test_long_and_short_reports_are_compared_alike(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: rng.choice(("test", "summary", "Done", "~~old~~", "key findings:", "#### B2: x", "- item", "| 4 | row | high |", "#3", "B1", "app/x.py", "30 min", "**", *"abcdefghijk"))
+    texts = ["\n".join(" ".join(word() for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(0, 9))) for _ in range(60)]
+    texts += ["", "\n\n", "## 1. Executive Summary\nkey findings:\n- one two three\n\n## Test\n| `a` | High |", "a\r\nb c", "test\ntest\ntest"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = []
+    for most in (documents.LONG, -1):
+        monkeypatch.setattr(documents, "LONG", most)
+        rows.append(sorted(map(tuple, document_queries.QUERIES["compare_reports"](spark, str(tmp_path)).collect())))
+    assert rows[0] == rows[1] and {r[3] for r in rows[0]} == {"fixed", "remaining"}
+
+
+def test_shared_words_by_signatures(spark):
+    rng = random.Random(5)
+    line = lambda: " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 120)))
+    own, lines = [line() for _ in range(60)], [line() for _ in range(12)] + [""]
+    words = lambda x: {w for w in x.split() if w not in P.STOP_WORDS}
+    covers_ = lambda a, b: b != "" and (a in b or b in a or len(words(a) & words(b)) >= max(2, 0.4 * min(len(words(a)), len(words(b)))))
+    want = {a for a in own if any(covers_(a, b) for b in lines)}
+    rows = spark.createDataFrame([(own, lines)], "a array<string>, b array<string>").select(*covers.covers_of(F.col("a"), F.col("b")))
+    got = rows.select(covers.covered_here(F.col("own"), F.col("lines")).alias("x")).head().x
+    assert set(got) == want and 0 < len(want) < 60
